@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from capturelake.catalog.common import intrinsics, r, rq, sql, sql_matrix, sql_relative
 from capturelake.fixtures import table
 from capturelake.functions.imaging import scale_intrinsics, subsample_step
-from capturelake.functions.pose import pose
+from capturelake.functions.pose import pose, pose_compose, with_pose
 from capturelake.operators.gates import grid_subsample, min_confidence, valid_depth
+from capturelake.operators.motion import root_relative
 from capturelake.operators.points import (color_pixels, color_position, explode_depth_frames, frame_matrices,
                                           point_counts, points_per_view, project_points, session_cloud,
                                           unproject_pixels, view_frames, world_points, zip_arrays,
@@ -18,6 +19,7 @@ from capturelake.plans.chunks import SESSION
 from capturelake.sources.readers import complete_depth_frames
 
 GRID = 2000
+SET_BACK = 0.01371
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +68,7 @@ def scaled(spark: SparkSession, sf: str) -> DataFrame:
 def local_points(spark: SparkSession, sf: str) -> DataFrame:
     side = frames(spark, sf).select("frame_id", "texture_k", "depth_width", "depth_height")
     return unproject_pixels(pixels(spark, sf), side, GRID).select(
-        "frame_id", "i", *[r(c).alias(c) for c in ("x_m", "y_m", "z_m", "confidence")])
+        "frame_id", "i", *[r(c, 9).alias(c) for c in ("x_m", "y_m", "z_m", "confidence")])
 
 
 def confident(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,7 +89,7 @@ def color_at(spark: SparkSession, sf: str) -> DataFrame:
 
 def cloud(spark: SparkSession, sf: str) -> DataFrame:
     return world(spark, sf).select(
-        SESSION, "frame_id", "i", *[r(c, 5).alias(c) for c in ("x", "y", "z")], "red", "green", "blue",
+        SESSION, "frame_id", "i", *[r(c, 9).alias(c) for c in ("x", "y", "z")], "red", "green", "blue",
         r("confidence").alias("confidence"))
 
 
@@ -128,9 +130,11 @@ def views(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def projected(spark: SparkSession, sf: str) -> DataFrame:
-    from capturelake.operators.motion import root_relative
     depth = frames(spark, sf).select(SESSION, "frame_id", "seq")
-    seen = project_points(world(spark, sf), root_relative(views(spark, sf)), depth, 4)
+    # Set back a little, so that no point lies exactly on the near plane.
+    back = pose(F.lit(0.0), F.lit(0.0), F.lit(SET_BACK), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    moved = with_pose(root_relative(views(spark, sf)), "pose", pose_compose(F.col("pose"), back))
+    seen = project_points(world(spark, sf), moved, depth, 4)
     return points_per_view(seen).withColumn("nearest_m", r("nearest_m", 4))
 
 
@@ -200,8 +204,9 @@ WITH px AS (SELECT o_custkey, o_orderkey, x, y FROM orders, (SELECT unnest(range
 v AS (SELECT concat('s', lpad(cast(o_custkey AS varchar), 6, '0')) AS session_id, o_orderkey AS frame_id, x, y, {mm} AS raw,
   {at(CONF_OF, f'y*{W + 2} + x')} AS confidence, {at(Y_OF, f'{cy}*{CW + 4} + {cx}')} AS yy,
   {at(U_OF, half)} AS uu, {at(V_OF, half)} AS vv FROM px)
-SELECT session_id, frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY y, x) - 1 AS i, x, y,
-  CASE WHEN raw > 32767 THEN raw - 65536 ELSE raw END AS depth_mm, confidence, yy, uu, vv FROM v WHERE raw <> 0"""
+SELECT session_id, frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY y, x) - 1 AS i, cast(x AS int) AS x, cast(y AS int) AS y,
+  cast(CASE WHEN raw > 32767 THEN raw - 65536 ELSE raw END AS int) AS depth_mm, cast(confidence AS int) AS confidence,
+  cast(yy AS int) AS yy, cast(uu AS int) AS uu, cast(vv AS int) AS vv FROM v WHERE raw <> 0"""
 
 
 K_SQL = "fx*160/img_w AS kfx, fy*90/img_h AS kfy, cx*160/img_w AS kcx, cy*90/img_h AS kcy"
@@ -232,7 +237,7 @@ pairs AS (SELECT v.session_id, v.frame_id AS view_id, f.frame_id, v.m0, v.m1, v.
   FROM framed v JOIN framed f ON f.session_id = v.session_id AND f.rk <= v.rk AND f.rk > v.rk - 4 WHERE v.frame_id % 3 = 0),
 cam AS (SELECT q.session_id, q.view_id, q.fx, q.fy, q.cx, q.cy, q.img_w, q.img_h,
   m0*(x-m12) + m1*(y-m13) + m2*(z-m14) AS vx, m4*(x-m12) + m5*(y-m13) + m6*(z-m14) AS vy,
-  -(m8*(x-m12) + m9*(y-m13) + m10*(z-m14)) AS vd FROM pairs q JOIN world w USING (frame_id))"""
+  0.01371e0 - (m8*(x-m12) + m9*(y-m13) + m10*(z-m14)) AS vd FROM pairs q JOIN world w USING (frame_id))"""
 
 QUERIES = {
     "complete_depth_frames": (whole_frames,
@@ -247,17 +252,17 @@ QUERIES = {
         f"SELECT frame_id, {rq('kfx', 'fx')}, {rq('kfy', 'fy')}, {rq('kcx', 'cx')}, {rq('kcy', 'cy')} FROM "
         f"(SELECT frame_id, {K_SQL} FROM depth_frames_meta)", "depth_frames_meta")),
     "unproject_pixels": (local_points, sql(
-        f"SELECT frame_id, i, {rq('x_m', 'x_m')}, {rq('y_m', 'y_m')}, {rq('z_m', 'z_m')}, {rq('conf', 'confidence')} "
+        f"SELECT frame_id, i, {rq('x_m', 'x_m', 9)}, {rq('y_m', 'y_m', 9)}, {rq('z_m', 'z_m', 9)}, {rq('conf', 'confidence', 9)} "
         "FROM local_ WHERE x % 3 = 0 AND y % 3 = 0", "depth_pixels", "depth_frames_meta", extra=LOCAL)),
     "confident_points": (confident, sql(
         f"SELECT frame_id, i, {rq('conf', 'confidence')} FROM local_ WHERE conf >= 0.1", "depth_pixels", "depth_frames_meta",
         extra=LOCAL)),
     "color_pixels": (colors, sql(f"SELECT frame_id, i, {rgb_sql()} FROM depth_pixels WHERE depth_mm <> 0", "depth_pixels")),
     "color_position": (color_at, sql(
-        "SELECT frame_id, i, x*640//160 AS color_x, 60 + y*360//90 AS color_y, (x*640//160)//2 AS chroma_x, "
-        "(60 + y*360//90)//2 AS chroma_y FROM depth_pixels", "depth_pixels")),
+        "SELECT frame_id, i, cast(x*640//160 AS bigint) AS color_x, cast(60 + y*360//90 AS bigint) AS color_y, "
+        "cast((x*640//160)//2 AS bigint) AS chroma_x, cast((60 + y*360//90)//2 AS bigint) AS chroma_y FROM depth_pixels", "depth_pixels")),
     "world_points": (cloud, sql(
-        f"SELECT session_id, frame_id, i, {rq('x', 'x', 5)}, {rq('y', 'y', 5)}, {rq('z', 'z', 5)}, {rgb_sql()}, "
+        f"SELECT session_id, frame_id, i, {rq('x', 'x', 9)}, {rq('y', 'y', 9)}, {rq('z', 'z', 9)}, {rgb_sql()}, "
         f"{rq('conf', 'confidence')} FROM world", "depth_pixels", "depth_frames_meta", extra=f"{LOCAL}, {MODEL}")),
     "point_counts": (counts, sql(
         "SELECT frame_id, count(*) AS point_count FROM depth_pixels WHERE depth_mm <> 0 GROUP BY frame_id", "depth_pixels")),
@@ -281,6 +286,6 @@ QUERIES = {
         "GROUP BY session_id, view_id", "depth_pixels", "depth_frames_meta", extra=f"{LOCAL}, {MODEL}, {VIEWED}")),
     "explode_depth_frames": (decoded, decoded_sql()),
     "padded_point_counts": (decoded_padded,
-        "SELECT concat('s', lpad(cast(o_custkey AS varchar), 6, '0')) AS session_id, o_orderkey AS frame_id, 12 AS point_count "
+        "SELECT concat('s', lpad(cast(o_custkey AS varchar), 6, '0')) AS session_id, o_orderkey AS frame_id, cast(12 AS bigint) AS point_count "
         "FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0"),
 }

@@ -1 +1,202 @@
-QUERIES = {}
+"""File queries: every writer runs over the derived tables and its reader gives the rows back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from capturelake.catalog.clouds import LOCAL, MODEL, PX, binary_frames, decoded_sql, rgb_sql, world
+from capturelake.catalog.common import intrinsics, r, rq, sql, sql_matrix
+from capturelake.catalog.datasets import ROOTED, SAVED, VALID, documents, saved_keyframes, sessions
+from capturelake.catalog.photos import NEAREST, PHOTO_TABLES
+from capturelake.fixtures import table
+from capturelake.functions.pose import pose
+from capturelake.operators.export import build_manifests, build_transforms, prepare_jobs, validate_sessions
+from capturelake.operators.points import explode_depth_frames
+from capturelake.plans.chunks import SESSION
+from capturelake.session import checkpoint_dir
+from capturelake.sources import readers, writers
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where every executor can write and read."""
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+def point_cloud_files(spark: SparkSession, sf: str) -> DataFrame:
+    root = shared_folder(spark)
+    points = world(spark, sf).withColumn("frame", F.format_string("frame_%06d_%d", "frame_id", F.col("frame_id") * 33000000))
+    writers.write_point_clouds(points.withColumn("frame_ts_ns", F.col("frame_id") * 33000000), root)
+    return readers.read_point_clouds(spark, root).select(
+        SESSION, "frame", "frame_ts_ns", "i", *[r(F.col(c).cast("double"), 4).alias(c) for c in ("x", "y", "z")],
+        "red", "green", "blue", r(F.col("confidence").cast("double"), 4).alias("confidence"))
+
+
+def keyframe_files(spark: SparkSession, sf: str) -> DataFrame:
+    root = shared_folder(spark)
+    writers.write_keyframes(saved_keyframes(spark, sf), root)
+    docs = readers.read_keyframes(spark, root)
+    return docs.select(SESSION, "file_name", "capture_index", "image", "jpeg_sensor_timestamp_ns",
+                       *[r(F.col("translation_m")[i], 5).alias(f"t{i}") for i in range(3)],
+                       r(F.col("arcore_image_intrinsics.focal_length_px")[0], 3).alias("fx"),
+                       F.col("camera2_capture.iso").alias("iso"),
+                       F.size("world_from_camera_column_major").alias("matrix_values"),
+                       F.col("capture_quality_gate.max_saved_exposure_ns").alias("max_saved_exposure_ns"))
+
+
+def validated_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with missing fields go through their files and fail their sessions."""
+    root = shared_folder(spark)
+    docs = documents(spark, sf).withColumn("image", F.coalesce("image", F.lit("x.jpg")))
+    writers.write_keyframes(docs, root)
+    return validate_sessions(readers.read_keyframes(spark, root), sessions(spark, sf))
+
+
+def transforms_files(spark: SparkSession, sf: str) -> DataFrame:
+    root = shared_folder(spark)
+    writers.write_transforms(build_transforms(documents(spark, sf)), root)
+    back = readers.read_transforms(spark, root)
+    return back.select(SESSION, "camera_model", "capture_index", "file_path", r("fl_x", 5).alias("fl_x"),
+                       *[r(F.col("transform_matrix")[i][3]).alias(f"m{i}3") for i in range(3)])
+
+
+def job_files(spark: SparkSession, sf: str) -> DataFrame:
+    root = shared_folder(spark)
+    writers.write_transforms(build_transforms(documents(spark, sf)), root)
+    frames = readers.read_transforms(spark, root)
+    writers.write_jobs(prepare_jobs(frames, sessions(spark, sf), 1_700_000_000_000), root)
+    jobs = spark.read.schema("frame_count long, requested_at_unix_ms long, status string").json(f"{root}/*/3dgs_job.json")
+    return jobs.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias(SESSION),
+                       "frame_count", "requested_at_unix_ms", "status")
+
+
+def trajectory_files(spark: SparkSession, sf: str) -> DataFrame:
+    root = shared_folder(spark)
+    writers.write_trajectory(saved_keyframes(spark, sf), root)
+    return readers.read_trajectory(spark, root).select(
+        SESSION, "index", "image", "pose_timestamp_ns", *[r(c, 5).alias(c) for c in ("tx", "ty", "tz")])
+
+
+def published_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifests are written to working folders; half of the names are taken before publishing."""
+    root = shared_folder(spark)
+    valid = build_manifests(documents(spark, sf), sessions(spark, sf))
+    working = valid.withColumn(SESSION, F.concat(F.lit("capture_tmp_"), SESSION))
+    writers.write_manifests(working, root)
+    taken = valid.where(F.substring(SESSION, -1, 1).isin("0", "2", "4", "6", "8"))
+    writers.write_documents(taken.select(F.concat(F.lit("dataset_"), SESSION).alias(SESSION),
+                                         F.lit("README").alias("file"), F.lit("taken").alias("content")), root, "taken")
+    return writers.publish_datasets(working, root).select(SESSION, F.col("file").alias("published"))
+
+
+def session_camera_files(spark: SparkSession, sf: str) -> DataFrame:
+    root = shared_folder(spark)
+    cameras = table(spark, sf, "customer").selectExpr(
+        "concat('s', lpad(cast(c_custkey AS string), 6, '0')) AS session_id", "'Google' AS manufacturer",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'Pixel 10a' ELSE 'Pixel 9' END AS model", "cast(c_custkey % 3 AS string) AS camera_id",
+        "4000 AS jpeg_width", "3000 AS jpeg_height",
+        "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 90 END AS sensor_orientation_degrees",
+        "CASE WHEN c_custkey % 7 > 0 THEN struct(0 AS left, 0 AS top, 4080 AS right, 3072 AS bottom) END AS active_array",
+        "array(1.68D) AS available_apertures", "cast(NULL AS array<double>) AS lens_distortion")
+    writers.write_session_cameras(cameras, root)
+    return readers.read_session_cameras(spark, root).select(
+        SESSION, "model", "camera_id", "sensor_orientation_degrees", F.col("active_array.right").alias("active_right"),
+        F.col("available_apertures")[0].alias("aperture"), F.size("lens_distortion").alias("distortion_values"))
+
+
+def image_files(spark: SparkSession, sf: str) -> DataFrame:
+    root = shared_folder(spark)
+    photos = saved_keyframes(spark, sf).select(
+        SESSION, "image", F.encode(F.concat(F.lit("photo "), "image"), "UTF-8").alias("content"))
+    writers.write_images(photos, root)
+    return readers.read_images(spark, root).select(SESSION, "capture_index", "timestamp_ns", "length")
+
+
+def depth_frame_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Depth frames as a parquet working table, read back and decoded."""
+    where = f"{shared_folder(spark)}/depth_frames"
+    full = binary_frames(spark, sf).withColumns({
+        "timestamp_ns": F.col("seq"), "texture_k": F.lit(None), "pose": F.lit(None)})
+    full.write.parquet(where)
+    return explode_depth_frames(readers.read_depth_frames(spark, where), limit=20).select(*PX)
+
+
+def state_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Camera states and still metadata as JSON working tables, read back with fixed schemas."""
+    root = shared_folder(spark)
+    table(spark, sf, "camera_states").write.json(f"{root}/states")
+    table(spark, sf, "still_metadata").write.json(f"{root}/stills")
+    states = readers.read_camera_states(spark, f"{root}/states", "json")
+    stills = readers.read_still_metadata(spark, f"{root}/stills", "json")
+    columns = (SESSION, "seq", "timestamp_ns", "exposure_time_ns", "iso", "af_state", "lens_state")
+    return (states.select(F.lit("state").alias("kind"), *columns)
+            .unionByName(stills.select(F.lit("still").alias("kind"), *columns)))
+
+
+def pose_table(spark: SparkSession, sf: str) -> DataFrame:
+    where = f"{shared_folder(spark)}/poses"
+    table(spark, sf, "poses").select(
+        SESSION, "seq", "timestamp_ns", "tracking_state", pose().alias("pose"), intrinsics("image_k"),
+        intrinsics("texture_k"), "lens_state", "af_state").write.parquet(where)
+    return readers.read_poses(spark, where).select(
+        SESSION, "seq", "timestamp_ns", "tracking_state", r("pose.tx").alias("tx"), r("pose.qw").alias("qw"),
+        F.col("image_k.width").alias("width"), "af_state")
+
+
+ROOT_NAME = "format('frame_{:06d}_{}', frame_id, frame_id*33000000)"
+IMAGE = "format('frame_{:06d}_{}.jpg', capture_index, k.timestamp_ns)"
+M = sql_matrix()
+OK = f"""ok AS (SELECT k.* FROM keyframes k JOIN (SELECT session_id FROM keyframes GROUP BY session_id
+  HAVING count(*) FILTER (capture_index IS NULL OR jpeg_width IS NULL) = 0) g USING (session_id))"""
+
+QUERIES = {
+    "point_cloud_files": (point_cloud_files, sql(
+        f"SELECT session_id, {ROOT_NAME} AS frame, frame_id*33000000 AS frame_ts_ns, "
+        "row_number() OVER (PARTITION BY frame_id ORDER BY i) - 1 AS i, "
+        + ", ".join(rq(f"cast(cast({c} AS float) AS double)", c, 4) for c in "xyz")
+        + f", {rgb_sql()}, {rq('cast(cast(conf AS float) AS double)', 'confidence', 4)} FROM world",
+        "depth_pixels", "depth_frames_meta", extra=f"{LOCAL}, {MODEL}")),
+    "keyframe_files": (keyframe_files, sql(
+        f"SELECT k.session_id, replace({IMAGE}, '.jpg', '.json') AS file_name, capture_index, {IMAGE} AS image, "
+        f"k.timestamp_ns AS jpeg_sensor_timestamp_ns, {rq('p.tx', 't0', 5)}, {rq('p.ty', 't1', 5)}, {rq('p.tz', 't2', 5)}, "
+        f"{rq('p.fx', 'fx', 3)}, m.iso, 16 AS matrix_values, cast(4000000 AS bigint) AS max_saved_exposure_ns FROM {SAVED} "
+        "JOIN still_metadata m ON m.session_id = k.session_id AND m.timestamp_ns = k.timestamp_ns WHERE outcome = 'saved'",
+        *PHOTO_TABLES, extra=f"{NEAREST}, {ROOTED}")),
+    "validated_files": (validated_files, sql(
+        "SELECT session_id, frame_count, bad_frames, CASE WHEN frame_count = 0 THEN 'no captured keyframes' "
+        "WHEN bad_frames > 0 THEN 'finalize failed' ELSE 'ok' END AS status FROM checked", "keyframes", extra=VALID)),
+    "transforms_files": (transforms_files, sql(
+        f"SELECT session_id, 'OPENCV' AS camera_model, capture_index, image AS file_path, {rq('fx*jpeg_width/img_w', 'fl_x', 5)}, "
+        + ", ".join(rq(M[12 + i], f"m{i}3") for i in range(3)) + " FROM ok", "keyframes", extra=OK)),
+    "job_files": (job_files, sql(
+        "SELECT session_id, count(*) AS frame_count, 1700000000000 AS requested_at_unix_ms, "
+        "'READY_FOR_ANDROID_NATIVE_TRAINER' AS status FROM ok WHERE session_id IN (SELECT session_id FROM sess) "
+        "GROUP BY session_id HAVING count(*) >= 8", "keyframes", extra=f"{OK}, {VALID}")),
+    "trajectory_files": (trajectory_files, sql(
+        f"SELECT k.session_id, capture_index AS index, {IMAGE} AS image, p.timestamp_ns AS pose_timestamp_ns, "
+        f"{rq('p.tx', 'tx', 5)}, {rq('p.ty', 'ty', 5)}, {rq('p.tz', 'tz', 5)} FROM {SAVED} WHERE outcome = 'saved'",
+        *PHOTO_TABLES, extra=f"{NEAREST}, {ROOTED}")),
+    "published_files": (published_files, sql(
+        "SELECT concat('capture_tmp_', session_id) AS session_id, CASE WHEN right(session_id, 1) IN ('0','2','4','6','8') "
+        "THEN concat('dataset_', session_id, '_saved') ELSE concat('dataset_', session_id) END AS published "
+        "FROM checked WHERE bad_frames = 0 AND frame_count > 0", "keyframes", extra=VALID)),
+    "session_camera_files": (session_camera_files, """
+SELECT concat('s', lpad(cast(c_custkey AS varchar), 6, '0')) AS session_id,
+  CASE WHEN c_custkey % 2 = 0 THEN 'Pixel 10a' ELSE 'Pixel 9' END AS model, cast(c_custkey % 3 AS varchar) AS camera_id,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 90 END AS sensor_orientation_degrees,
+  CASE WHEN c_custkey % 7 > 0 THEN 4080 END AS active_right, 1.68e0 AS aperture, CAST(NULL AS int) AS distortion_values
+FROM customer"""),
+    "image_files": (image_files, sql(
+        f"SELECT session_id, capture_index, timestamp_ns, cast(length({IMAGE}) + 6 AS bigint) AS length FROM kf k "
+        "WHERE outcome = 'saved'", *PHOTO_TABLES, extra=NEAREST)),
+    "depth_frame_table": (depth_frame_table, decoded_sql()),
+    "state_tables": (state_tables, sql(
+        "SELECT 'state' AS kind, session_id, seq, timestamp_ns, exposure_time_ns, iso, af_state, lens_state FROM camera_states "
+        "UNION ALL SELECT 'still', session_id, seq, timestamp_ns, exposure_time_ns, iso, af_state, lens_state FROM still_metadata",
+        "camera_states", "still_metadata")),
+    "pose_table": (pose_table, sql(
+        f"SELECT session_id, seq, timestamp_ns, tracking_state, {rq('tx', 'tx')}, {rq('qw', 'qw')}, 640 AS width, af_state FROM poses",
+        "poses")),
+}

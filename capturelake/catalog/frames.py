@@ -330,7 +330,7 @@ QUERIES = {
         "abs(greatest(width, height)*1e0/least(width, height) - 4e0/3e0) < 0.04 THEN 0 ELSE 1 END AS tier "
         "FROM camera_sizes)) WHERE rn = 1", "camera_sizes")),
     "size_catalogue": (size_catalogue, sql(
-        f"SELECT camera_id, ord, width*height AS pixels, {rq('width*height/1e6', 'megapixels')}, "
+        f"SELECT camera_id, ord, cast(width*height AS bigint) AS pixels, {rq('width*height/1e6', 'megapixels')}, "
         "abs(greatest(width, height)*1e0/least(width, height) - 4e0/3e0) < 0.04 AS four_by_three FROM camera_sizes",
         "camera_sizes")),
     "choose_camera_config": (camera_choice, sql("""
@@ -352,11 +352,11 @@ ON p.device_id = n.device_id AND p.rn = 1""", "camera_configs", extra=f"cur AS (
         "reason FROM s4", "poses", "camera_states", extra=fold_sql(DATASET, False) + "," + PLAN_SQL, recursive=True)),
     "resolve_policy": (session_policies, """
 SELECT c_custkey, profile, cls AS device_class,
-  CASE profile WHEN 'dataset' THEN 700000000 ELSE 650000000 END AS min_interval_ns,
+  cast(CASE profile WHEN 'dataset' THEN 700000000 ELSE 650000000 END AS bigint) AS min_interval_ns,
   CASE WHEN profile = 'dataset' THEN 0.25e0 WHEN cls = 'pixel10a' THEN 0.08e0 ELSE 0.10e0 END AS max_linear_mps,
-  CASE profile WHEN 'dataset' THEN 4000000 WHEN 'highres' THEN 3333333 ELSE
-    CASE WHEN cls = 'pixel10a' THEN 10000000 ELSE 12500000 END END AS max_exposure_ns,
-  CASE profile WHEN 'dataset' THEN 3200 WHEN 'highres' THEN 1600 END AS max_iso
+  cast(CASE profile WHEN 'dataset' THEN 4000000 WHEN 'highres' THEN 3333333 ELSE
+    CASE WHEN cls = 'pixel10a' THEN 10000000 ELSE 12500000 END END AS bigint) AS max_exposure_ns,
+  cast(CASE profile WHEN 'dataset' THEN 3200 WHEN 'highres' THEN 1600 END AS bigint) AS max_iso
 FROM (SELECT *, CASE WHEN profile = 'dataset' THEN 'any' WHEN c_custkey % 5 <> 0 AND c_custkey % 2 = 0 THEN 'pixel10a'
     ELSE 'generic' END AS cls FROM (SELECT c_custkey,
   CASE c_custkey % 3 WHEN 0 THEN 'dataset' WHEN 1 THEN 'highres' ELSE 'photo' END AS profile FROM customer))"""),

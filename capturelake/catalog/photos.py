@@ -15,6 +15,7 @@ from capturelake.operators.report import DECISIONS, capture_report, depth_frames
 from capturelake.plans.assemble import (assemble_keyframes, evict_metadata, matched_images, rejected_images,
                                         unmatched_images)
 from capturelake.policies import DATASET, HIGHRES_GENERIC, Policy
+from capturelake.session import cut
 
 KEY = ("session_id", "seq", "timestamp_ns")
 
@@ -50,7 +51,7 @@ def closest_depth(spark: SparkSession, sf: str) -> DataFrame:
 def closest_depth_causal(spark: SparkSession, sf: str) -> DataFrame:
     images, meta, frames, depth = tables(spark, sf)
     final = finalize_seq(match_metadata(images, meta), frames)
-    return nearest_retained(final, depth, "depth", DATASET.depth_tolerance_ns, DATASET.depth_buffer).select(
+    return nearest_retained(cut(final), {"depth": (depth, DATASET.depth_tolerance_ns, DATASET.depth_buffer)}).select(
         *KEY, "finalize_seq", "depth_timestamp_ns", "depth_seq")
 
 

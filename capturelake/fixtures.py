@@ -61,7 +61,7 @@ SELECT session_id, seq,
        ELSE 'result_without_timestamp' END AS kind
   FROM ev WHERE event_type IN ('error', 'signup', 'purchase') OR event_id % 10 = 3"""),
     "depth_pixels": ("lineitem", """
-SELECT l_orderkey AS frame_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i,
+SELECT l_orderkey AS frame_id, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS bigint) AS i,
   cast(l_partkey % 160 AS int) AS x, cast((l_suppkey*7 + l_linenumber*13) % 90 AS int) AS y,
   CASE WHEN l_partkey % 10 = 0 THEN 0 ELSE cast(floor(l_extendedprice) AS bigint) % 5000 END AS depth_mm,
   cast((l_linenumber*37 + l_partkey) % 256 AS int) AS confidence, cast((l_partkey*3) % 256 AS int) AS yy,
@@ -75,7 +75,7 @@ SELECT o_orderkey AS frame_id, concat('s', lpad(cast(o_custkey AS {string}), 6,
   640 AS img_w, 480 AS img_h FROM orders"""),
     "camera_sizes": ("part", """
 SELECT p_brand AS camera_id, p_partkey AS ord,
-  CASE p_partkey % 2 WHEN 0 THEN (480 + p_size*96)*4 {div} 3 ELSE (480 + p_size*96)*16 {div} 9 END AS width,
+  cast(CASE p_partkey % 2 WHEN 0 THEN (480 + p_size*96)*4 {div} 3 ELSE (480 + p_size*96)*16 {div} 9 END AS int) AS width,
   480 + p_size*96 AS height FROM part"""),
     "camera_configs": ("part", """
 SELECT p_brand AS device_id, p_partkey AS ord, concat('cam', cast(p_partkey % 3 AS {string})) AS camera_id,

@@ -5,7 +5,7 @@ All functions build native column expressions, so they stay inside whole-stage c
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
@@ -19,6 +19,22 @@ def pose(*cols: str | Column) -> Column:
                       for c, f in zip(parts, FIELDS)])
 
 
+def settle(values: list[Column]) -> Column:
+    """An array kept as one computed value.
+
+    Catalyst replaces an element access on a literal array by the element's expression, so
+    values that feed each other would be expanded again at every use; a slice stops that.
+    """
+    return F.slice(F.array(*values), 1, len(values))
+
+
+def with_pose(df: DataFrame, name: str, p: Column) -> DataFrame:
+    """Adds a pose column whose expression is evaluated once per row."""
+    held = f"_settled_{name}"
+    rows = df.withColumn(held, settle([p[f] for f in FIELDS]))
+    return rows.withColumn(name, F.struct(*[F.col(held)[i].alias(f) for i, f in enumerate(FIELDS)])).drop(held)
+
+
 def _t(p: Column) -> Vec:
     return p["tx"], p["ty"], p["tz"]
 
@@ -72,12 +88,12 @@ def pose_matrix(p: Column) -> Column:
     """4×4 homogeneous matrix as a column-major array of 16."""
     x, y, z, w = p["qx"], p["qy"], p["qz"], p["qw"]
     one, zero = F.lit(1.0), F.lit(0.0)
-    return F.array(
+    return settle([
         one - 2.0 * (y * y + z * z), 2.0 * (x * y + z * w), 2.0 * (x * z - y * w), zero,
         2.0 * (x * y - z * w), one - 2.0 * (x * x + z * z), 2.0 * (y * z + x * w), zero,
         2.0 * (x * z + y * w), 2.0 * (y * z - x * w), one - 2.0 * (x * x + y * y), zero,
         p["tx"], p["ty"], p["tz"], one,
-    )
+    ])
 
 
 def translation_distance(a: Column, b: Column) -> Column:

@@ -110,51 +110,61 @@ def finalize_seq(images: DataFrame, poses: DataFrame, chunk_ns: int = TIME_CHUNK
             .withColumn("finalize_seq", done).drop("_first_pose"))
 
 
-def nearest_retained(images: DataFrame, samples: DataFrame, name: str, tolerance_ns: int, n: int,
+def arrivals_before(rows: DataFrame, samples: dict[str, DataFrame], width: int = SEQ_CHUNK) -> DataFrame:
+    """Adds ``<name>_rank`` per kind: how many samples had arrived at the row's ``at_seq`` (0 where null)."""
+    asks = rows.select(SESSION, F.coalesce("at_seq", F.lit(-1)).alias("seq"), F.lit(1).alias("_kind"),
+                       F.struct(*rows.columns).alias("_row"))
+    for name, table in samples.items():
+        asks = asks.unionByName(table.select(SESSION, "seq", F.lit(0).alias("_kind"), F.lit(name).alias("_name")),
+                                allowMissingColumns=True)
+    counts = [Running(f"{n}_rank", "sum", F.when(F.col("_name") == n, 1).otherwise(0)) for n in samples]
+    ranked = running(asks, counts, order=("seq", "_kind"), width=width)
+    return ranked.where(F.col("_kind") == 1).select("_row.*", *[f"{n}_rank" for n in samples])
+
+
+def blocks_of(samples: DataFrame, n: int, width: int = SEQ_CHUNK) -> DataFrame:
+    """Samples numbered in arrival order, as arrays of the n samples of each block."""
+    numbered = running(samples.select(SESSION, "seq", "timestamp_ns"), [Running("rank", "sum", F.lit(1))], width=width)
+    return (numbered.withColumn("_block", chunk_of(F.col("rank") - 1, n)).groupBy(SESSION, "_block")
+            .agg(F.collect_list(F.struct("rank", "seq", "timestamp_ns")).alias("_held")))
+
+
+def _closest_held(blocks: list[str], rank: Column, n: int) -> Column:
+    """The nearest sample of the blocks among the n that end at ``rank``."""
+    ts = F.col("timestamp_ns")
+    held = F.flatten(F.array_compact(F.array(*[F.col(b) for b in blocks])))
+    inside = F.filter(held, lambda s: (s["rank"] <= rank) & (s["rank"] > rank - n))
+    return F.array_min(F.transform(inside, lambda s: F.struct(
+        F.abs(s["timestamp_ns"] - ts).alias("d"), s["seq"].alias("seq"), s["timestamp_ns"].alias("timestamp_ns"))))
+
+
+def nearest_retained(images: DataFrame, samples: dict[str, tuple[DataFrame, int, int]],
                      width: int = SEQ_CHUNK) -> DataFrame:
-    """D4 causal / D5: nearest among the newest n arrivals at the image's ``finalize_seq``.
+    """D4 causal / D5: nearest among the newest n arrivals at the image's ``finalize_seq``, per kind.
 
-    Samples are numbered in arrival order and stored in blocks of n, so every image reads
-    exactly the two blocks that cover its history; no block exceeds n samples.
+    ``samples`` maps a name to (table, tolerance, n). Samples are stored in blocks of n in
+    arrival order, so every image reads exactly the two blocks that cover its history; no
+    block exceeds n samples.
     """
-    numbered = samples.select(SESSION, "seq", F.lit(0).alias("_kind"), F.col("timestamp_ns").alias("_sample_ts"))
-    asks = images.select(SESSION, F.col("finalize_seq").alias("seq"), F.lit(1).alias("_kind"),
-                         F.struct(*images.columns).alias("_image"))
-    waiting = asks.where(F.col("seq").isNull())
-    ranked = running(numbered.unionByName(asks.where(F.col("seq").isNotNull()), allowMissingColumns=True),
-                     [Running("_rank", "sum", 1 - F.col("_kind"))], order=("seq", "_kind"), width=width)
-    blocks = (ranked.where(F.col("_kind") == 0)
-              .withColumn("_block", chunk_of(F.col("_rank") - 1, n))
-              .groupBy(SESSION, "_block")
-              .agg(F.collect_list(F.struct(F.col("_rank").alias("rank"), "seq",
-                                           F.col("_sample_ts").alias("timestamp_ns"))).alias("_held")))
-    pending = waiting.select(SESSION, "_image", F.lit(0).cast("long").alias("_rank"))
-    wanted = (ranked.where(F.col("_kind") == 1).select(SESSION, "_image", "_rank").unionByName(pending)
-              .withColumn("_block", chunk_of(F.col("_rank") - 1, n))
-              .withColumn("_older", F.col("_block") - 1))
-    newer = blocks.withColumnRenamed("_held", "_newer")
-    older = blocks.select(SESSION, F.col("_block").alias("_older"), F.col("_held").alias("_old"))
-    ts = F.col("_image.timestamp_ns")
-
-    def best(held: str) -> Column:
-        inside = F.filter(F.col(held), lambda s: (s["rank"] <= F.col("_rank")) & (s["rank"] > F.col("_rank") - n))
-        return F.array_min(F.transform(inside, lambda s: F.struct(
-            F.abs(s["timestamp_ns"] - ts).alias("d"), s["seq"].alias("seq"), s["timestamp_ns"].alias("timestamp_ns"))))
-
-    picked = (wanted.join(newer, [SESSION, "_block"], "left").join(older, [SESSION, "_older"], "left")
-              .withColumn("_best", F.array_min(F.array(best("_newer"), best("_old")))))
-    hit = F.col("_best.d") <= tolerance_ns
-    return picked.select("_image.*",
-                         F.when(hit, F.col("_best.timestamp_ns")).alias(f"{name}_timestamp_ns"),
-                         F.when(hit, F.col("_best.seq")).alias(f"{name}_seq"))
+    rows = arrivals_before(images.withColumn("at_seq", F.col("finalize_seq")),
+                           {k: v[0] for k, v in samples.items()}, width).drop("at_seq")
+    for name, (table, tolerance, n) in samples.items():
+        held, rank = blocks_of(table, n, width), F.col(f"{name}_rank")
+        top = chunk_of(rank - 1, n)
+        sides = {"_newer": top, "_older": top - 1}
+        for side, block in sides.items():
+            rows = rows.withColumn("_block", block).join(
+                held.withColumnRenamed("_held", side), [SESSION, "_block"], "left").drop("_block")
+        hit = F.col("_best.d") <= tolerance
+        rows = rows.withColumn("_best", _closest_held(list(sides), rank, n)).withColumns({
+            f"{name}_timestamp_ns": F.when(hit, F.col("_best.timestamp_ns")),
+            f"{name}_seq": F.when(hit, F.col("_best.seq"))}).drop("_best", f"{name}_rank", *sides)
+    return rows
 
 
 def retained(samples: DataFrame, at: DataFrame, n: int, width: int = SEQ_CHUNK) -> DataFrame:
     """For each row of ``at`` (session, seq) the arrival range held then: first and last rank and count."""
-    numbered = samples.select(SESSION, "seq", F.lit(0).alias("_kind"))
-    asks = at.select(SESSION, "seq", F.lit(1).alias("_kind"))
-    ranked = running(numbered.unionByName(asks), [Running("last_rank", "sum", 1 - F.col("_kind"))],
-                     order=("seq", "_kind"), width=width).where(F.col("_kind") == 1)
+    ranked = arrivals_before(at.select(SESSION, "seq", F.col("seq").alias("at_seq")), {"last": samples}, width)
     first = F.greatest(F.lit(1), F.col("last_rank") - n + 1)
     return ranked.select(SESSION, "seq", first.alias("first_rank"), "last_rank",
                          (F.col("last_rank") - first + 1).alias("held"))

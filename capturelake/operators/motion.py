@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.functions.pose import (pose_compose, pose_inverse, rotation_degrees,
-                                        translation_distance)
+                                        translation_distance, with_pose)
 from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, attach_session, running
 
 CAMERA_FIELDS = ("exposure_time_ns", "iso", "focus_distance", "af_state", "lens_state")
@@ -17,16 +17,19 @@ CAMERA_FIELDS = ("exposure_time_ns", "iso", "focus_distance", "af_state", "lens_
 def motion(frames: DataFrame, width: int = SEQ_CHUNK) -> DataFrame:
     """adds linear_mps and angular_dps against the previous arrival; 0 without one or for dt ≤ 0."""
     withp = running(frames, [Running("_prev", "last", F.struct("pose", "timestamp_ns"), inclusive=False)], width=width)
-    prev_pose, prev_ts = F.col("_prev.pose"), F.col("_prev.timestamp_ns")
+    return withp.withColumns(speeds("_prev")).drop("_prev")
+
+
+def speeds(prev: str) -> dict[str, Column]:
+    """linear_mps and angular_dps against a struct column (pose, timestamp_ns) of the previous frame."""
+    prev_pose, prev_ts = F.col(f"{prev}.pose"), F.col(f"{prev}.timestamp_ns")
     dt = (F.col("timestamp_ns") - prev_ts) / F.lit(1e9)
 
     def per_second(v: Column) -> Column:
         return F.coalesce(F.when(dt > 0, v / dt), F.lit(0.0))
 
-    return withp.withColumns({
-        "linear_mps": per_second(translation_distance(prev_pose, F.col("pose"))),
-        "angular_dps": per_second(rotation_degrees(prev_pose, F.col("pose"))),
-    }).drop("_prev")
+    return {"linear_mps": per_second(translation_distance(prev_pose, F.col("pose"))),
+            "angular_dps": per_second(rotation_degrees(prev_pose, F.col("pose")))}
 
 
 def latest_camera_state(states: DataFrame, fields: Sequence[str] = CAMERA_FIELDS,
@@ -51,7 +54,8 @@ def attach_root(frames: DataFrame, roots: DataFrame, override: str | None = None
 
 def root_relative(frames: DataFrame) -> DataFrame:
     """Replaces ``pose`` by root⁻¹∘pose."""
-    return frames.withColumn("pose", pose_compose(pose_inverse(F.col("root")), F.col("pose")))
+    based = with_pose(frames, "_inverse", pose_inverse(F.col("root")))
+    return with_pose(based, "pose", pose_compose(F.col("_inverse"), F.col("pose"))).drop("_inverse")
 
 
 def new_depth_only(depth: DataFrame, width: int = SEQ_CHUNK) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from capturelake.functions.imaging import (color_coord, norm_confidence, scale_intrinsics, to_byte, unproject,
                                            yuv_to_rgb)
-from capturelake.functions.pose import apply_matrix, pose_compose, pose_inverse, pose_matrix
+from capturelake.functions.pose import apply_matrix, pose_inverse, pose_matrix, with_pose
 from capturelake.operators.gates import grid_subsample, min_confidence, valid_depth
-from capturelake.operators.motion import last_n
+from capturelake.operators.motion import last_n, root_relative
 from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, chunk_of, running
 from capturelake.policies import DISPLAY_FRAMES, MIN_CONFIDENCE, POINT_LIMIT
 
@@ -126,8 +126,10 @@ def zip_arrays(points: Column, colors: Column) -> Column:
 
 def frame_matrices(frames: DataFrame, root: str = "root") -> DataFrame:
     """Adds ``model``: root⁻¹∘pose as a matrix, once per frame rather than once per point."""
-    relative = pose_compose(pose_inverse(F.col(root)), F.col("pose")) if root in frames.columns else F.col("pose")
-    return frames.withColumn("model", pose_matrix(relative))
+    rows = frames
+    if root in frames.columns:
+        rows = root_relative(frames.withColumnRenamed(root, "root"))
+    return rows.withColumn("model", pose_matrix(F.col("pose")))
 
 
 def world_points(points: DataFrame, frames: DataFrame | None = None, keys: Sequence[str] = FRAME) -> DataFrame:
@@ -181,8 +183,9 @@ def project_points(points: DataFrame, views: DataFrame, depth: DataFrame, n: int
     view's camera and kept between the near and far planes and inside the image. Views carry
     ``view_id``, ``pose`` and ``image_k``.
     """
-    shown = (view_frames(views, depth, n, width)
-             .select(*FRAME, "view_id", "image_k", pose_matrix(pose_inverse(F.col("pose"))).alias("_m")))
+    placed_views = with_pose(views, "_inverse", pose_inverse(F.col("pose")))
+    shown = view_frames(placed_views.select(SESSION, "seq", "view_id", "image_k", pose_matrix(F.col("_inverse")).alias("_m")),
+                        depth, n, width)
     rows = points.join(shown, list(FRAME))
     x, y, z = apply_matrix(F.col("_m"), F.col("x"), F.col("y"), F.col("z"))
     placed = rows.withColumns({"_cx": x, "_cy": y, "depth_m": -z})

@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from capturelake.operators.gates import FOCUSED_AF, is_slow
-from capturelake.operators.motion import motion
+from capturelake.operators.motion import speeds
 from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, chunk_name, running, with_chunk
 from capturelake.policies import Policy, threshold
+from capturelake.session import cut
 
 CLEARING = ("photo_arrived", "request_failed", "result_without_timestamp")
 POSE = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
@@ -177,21 +178,22 @@ def block_reason(policy: Policy | str) -> Column:
             .when(~F.col("af_state").isin(*FOCUSED_AF), "focus"))
 
 
-def with_controls(frames: DataFrame, controls: DataFrame | None, width: int) -> DataFrame:
-    """Adds ``enabled`` and ``_clear`` (latest arrival that ended a request, −1 if none)."""
-    if controls is None:
-        return frames.withColumns({"enabled": F.lit(True), "_clear": F.lit(-1).cast("long")})
-    marks = controls.select(
-        SESSION, "seq", F.lit(0).alias("_rank"),
-        F.when(F.col("kind").isin("stop", "resume"), F.col("kind") == "resume").alias("_on"),
-        F.when(F.col("kind").isin(*CLEARING), F.col("seq")).alias("_ended"))
-    rows = frames.select(SESSION, "seq", F.lit(1).alias("_rank"), F.struct(*frames.columns).alias("_row"))
-    merged = running(rows.unionByName(marks, allowMissingColumns=True),
-                     [Running("_enabled", "last", F.col("_on")), Running("_last_clear", "last", F.col("_ended"))],
-                     order=("seq", "_rank"), width=width)
-    return merged.where(F.col("_rank") == 1).select(
-        "_row.*", F.coalesce("_enabled", F.lit(True)).alias("enabled"),
-        F.coalesce("_last_clear", F.lit(-1)).cast("long").alias("_clear"))
+def with_history(frames: DataFrame, controls: DataFrame | None, width: int) -> DataFrame:
+    """Adds motion, ``enabled`` and ``_clear`` (latest arrival that ended a request, −1 if none) in one pass."""
+    rows = frames.select(SESSION, "seq", F.lit(1).alias("_rank"), F.struct("pose", "timestamp_ns").alias("_now"),
+                         F.struct(*[c for c in frames.columns if c not in (SESSION, "seq")]).alias("_row"))
+    specs = [Running("_prev", "last", F.col("_now"), inclusive=False)]
+    if controls is not None:
+        marks = controls.select(
+            SESSION, "seq", F.lit(0).alias("_rank"),
+            F.when(F.col("kind").isin("stop", "resume"), F.col("kind") == "resume").alias("_on"),
+            F.when(F.col("kind").isin(*CLEARING), F.col("seq")).alias("_ended"))
+        rows = rows.unionByName(marks, allowMissingColumns=True)
+        specs += [Running("_enabled", "last", F.col("_on")), Running("_cleared", "last", F.col("_ended"))]
+    seen = running(rows, specs, order=("seq", "_rank"), width=width).where(F.col("_rank") == 1)
+    enabled, clear = ("_enabled", "_cleared") if controls is not None else (F.lit(True), F.lit(-1))
+    return seen.select(SESSION, "seq", "_row.*", "_prev", F.coalesce(enabled, F.lit(True)).alias("enabled"),
+                       F.coalesce(clear, F.lit(-1)).cast("long").alias("_clear")).withColumns(speeds("_prev"))
 
 
 def select_keyframes(frames: DataFrame, policy: Policy | str, controls: DataFrame | None = None,
@@ -207,11 +209,11 @@ def select_keyframes(frames: DataFrame, policy: Policy | str, controls: DataFram
     tracked = controls is not None
     chunk = chunk_name("seq", width)
     limits = tuple(getattr(policy, t) for t in THRESHOLDS) if isinstance(policy, Policy) else None
-    moving = motion(with_chunk(with_controls(frames, controls, width), "seq", width), width)
-    ready = moving.select(
+    seen = with_chunk(with_history(frames, controls, width), "seq", width)
+    ready = cut(seen.select(
         SESSION, chunk, "seq", "timestamp_ns", *[F.col(f"pose.{c}").alias(c) for c in POSE], "_clear",
         block_reason(policy).alias("_block"),
-        *([] if limits else [threshold(policy, t).alias(t) for t in THRESHOLDS]))
+        *([] if limits else [threshold(policy, t).alias(t) for t in THRESHOLDS])))
 
     # One row per chunk: is there a later one, and the clock and clearing arrival before it.
     per_chunk = ready.groupBy(SESSION, chunk).agg(F.max("timestamp_ns").alias("_max"), F.max("_clear").alias("_cleared"))

@@ -11,6 +11,7 @@ from capturelake.operators.gates import is_still_sharp
 from capturelake.operators.motion import last_n
 from capturelake.plans.chunks import SEQ_CHUNK, SESSION, TIME_CHUNK_NS, Running, attach_session, running
 from capturelake.policies import DATASET, Policy, threshold
+from capturelake.session import cut
 
 
 def assign_capture_index(rows: DataFrame, chunk_ns: int = TIME_CHUNK_NS) -> DataFrame:
@@ -39,11 +40,10 @@ def assemble_keyframes(images: DataFrame, metadata: DataFrame, poses: DataFrame,
             samples["depth"] = (depth, policy.depth_tolerance_ns)
         matched = nearest(base, samples, chunk_ns)
     elif mode == "causal":
-        matched = nearest_retained(finalize_seq(base, poses, chunk_ns), poses, "pose",
-                                   policy.pose_tolerance_ns, policy.pose_buffer, width)
+        samples = {"pose": (poses, policy.pose_tolerance_ns, policy.pose_buffer)}
         if with_depth:
-            matched = nearest_retained(matched, depth, "depth", policy.depth_tolerance_ns,
-                                       policy.depth_buffer, width)
+            samples["depth"] = (depth, policy.depth_tolerance_ns, policy.depth_buffer)
+        matched = nearest_retained(cut(finalize_seq(base, poses, chunk_ns)), samples, width)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     outcome = (F.when(F.col("meta").isNull(), "pending_metadata")
@@ -55,7 +55,8 @@ def assemble_keyframes(images: DataFrame, metadata: DataFrame, poses: DataFrame,
     rows = matched.withColumn("outcome", outcome.otherwise("saved"))
     for name in ("pose", "depth") if with_depth else ("pose",):
         rows = rows.withColumn(f"{name}_delta_ns", F.col(f"{name}_timestamp_ns") - F.col("timestamp_ns"))
-    return assign_capture_index(rows, chunk_ns)
+    # One row per image: written once, since numbering the saved rows reads it twice.
+    return assign_capture_index(cut(rows), chunk_ns)
 
 
 def with_poses(keyframes: DataFrame, poses: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -31,5 +31,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = held.get() if held.isDefined() else None
     if not current:
         current = tempfile.mkdtemp(prefix="capturelake-ckpt-")
-    spark.sparkContext.setCheckpointDir(current)
+        spark.sparkContext.setCheckpointDir(current)
+    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A table several later branches read, computed once and kept in the shared checkpoint folder.
+
+    Runs a job. Without it every branch would plan and compute the table again, and each
+    further step would double that.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
