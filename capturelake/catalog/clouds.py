@@ -143,34 +143,39 @@ def shown(spark: SparkSession, sf: str) -> DataFrame:
     return view_frames(views(spark, sf), depth, 4).select(SESSION, "view_id", "frame_id")
 
 
-# Binary frames of 8x6 depth pixels, every byte a function of the order and the position.
+# Binary frames of 8x6 depth pixels: planes are digests of the order key, with extra zero digits in the depth.
 W, H, CW, CH = 8, 6, 16, 12
-DEPTH_OF = "((o_orderkey * 37 + p * 911) % 65536) * (CASE WHEN (o_orderkey + p) % 9 = 0 THEN 0 ELSE 1 END)"
-CONF_OF = "(o_orderkey + p * 3) % 256"
-Y_OF, U_OF, V_OF = "(o_orderkey * 3 + p) % 256", "(o_orderkey + p * 5) % 256", "(o_orderkey * 7 + p) % 256"
+STRIDES = {"conf": W + 2, "y": CW + 4, "u": CW, "v": CW}
+DEPTH_DIGITS = "'abcde01234', '0000000000'"
 
 
-def _bytes(size: int, formula: str, width: int = 1) -> str:
-    """Spark SQL for a byte plane; 16-bit values are written low byte first."""
-    one = f"lpad(hex(cast({formula} AS bigint)), {2 * width}, '0')"
-    if width == 2:
-        one = f"concat(substr({one}, 3, 2), substr({one}, 1, 2))"
-    return f"unhex(array_join(transform(sequence(0, {size - 1}), p -> {one}), ''))"
+def _plane(name: str, size: int) -> str:
+    """Spark SQL for a plane of at least ``size`` bytes, 16 per digest."""
+    parts = ", ".join(f"md5(concat(o_orderkey, '{name}', {k}))" for k in range(-(-size // 16)))
+    text = f"concat({parts})"
+    return f"unhex({f'translate({text}, {DEPTH_DIGITS})' if name == 'd' else text})"
+
+
+def _byte(name: str, at: str) -> str:
+    """DuckDB SQL for the byte at a position of a plane."""
+    digits = f"md5(concat(o_orderkey, '{name}', ({at})//16))"
+    digits = f"translate({digits}, {DEPTH_DIGITS})" if name == "d" else digits
+    return f"cast(concat('0x', substr({digits}, (({at}) % 16)*2 + 1, 2)) AS int)"
 
 
 def binary_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Depth frames with planes; some orders miss one of the three images."""
-    conf_stride, y_stride, c_stride = W + 2, CW + 4, CW
     return table(spark, sf, "orders").selectExpr(
         "concat('s', lpad(cast(o_custkey AS string), 6, '0')) AS session_id", "o_orderkey AS frame_id",
         "o_orderkey AS seq", f"{W} AS width", f"{H} AS height",
-        f"CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE {_bytes(W * H, DEPTH_OF, 2)} END AS depth16",
-        f"CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE {_bytes(conf_stride * H, CONF_OF)} END AS confidence",
-        f"CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE {_bytes(y_stride * CH, Y_OF)} END AS y_plane",
-        f"{_bytes(c_stride * CH // 2, U_OF)} AS u_plane", f"{_bytes(c_stride * CH // 2, V_OF)} AS v_plane",
-        f"{conf_stride} AS conf_row_stride", "1 AS conf_pixel_stride", f"{y_stride} AS y_row_stride",
-        "1 AS y_pixel_stride", f"{c_stride} AS u_row_stride", "2 AS u_pixel_stride", f"{c_stride} AS v_row_stride",
-        "2 AS v_pixel_stride", f"{CW} AS color_width", "float(1.5) AS color_min_y", "float(10.4) AS color_max_y")
+        f"CASE WHEN o_orderkey % 13 <> 0 THEN {_plane('d', W * H * 2)} END AS depth16",
+        f"CASE WHEN o_orderkey % 17 <> 0 THEN {_plane('c', STRIDES['conf'] * H)} END AS confidence",
+        f"CASE WHEN o_orderkey % 19 <> 0 THEN {_plane('y', STRIDES['y'] * CH)} END AS y_plane",
+        f"{_plane('u', STRIDES['u'] * CH // 2)} AS u_plane", f"{_plane('v', STRIDES['v'] * CH // 2)} AS v_plane",
+        f"{STRIDES['conf']} AS conf_row_stride", "1 AS conf_pixel_stride", f"{STRIDES['y']} AS y_row_stride",
+        "1 AS y_pixel_stride", f"{STRIDES['u']} AS u_row_stride", "2 AS u_pixel_stride",
+        f"{STRIDES['v']} AS v_row_stride", "2 AS v_pixel_stride", f"{CW} AS color_width",
+        "float(1.5) AS color_min_y", "float(10.4) AS color_max_y")
 
 
 def whole_frames(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,23 +195,19 @@ def decoded_padded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decoded_sql() -> str:
-    """The sampled pixels straight from the byte formulas; step 2 keeps 4x3 pixels."""
-    def at(formula: str, p: str) -> str:
-        return formula.replace("p *", f"({p}) *").replace("+ p)", f"+ ({p}))")
-
-    lo, hi = 2, 10
-    cx, cy = f"(x*{CW}//{W})", f"({lo} + y*{hi - lo}//{H})"
+    """The sampled pixels straight from the digests; step 2 keeps 4x3 pixels, colour rows span 2 to 10."""
+    cx, cy = f"(x*{CW}//{W})", f"(2 + y*8//{H})"
     half = f"({cy}//2)*{CW} + ({cx}//2)*2"
-    mm = at(DEPTH_OF, f"y*{W} + x")
+    low, high = _byte("d", f"(y*{W} + x)*2"), _byte("d", f"(y*{W} + x)*2 + 1")
     return f"""
-WITH px AS (SELECT o_custkey, o_orderkey, x, y FROM orders, (SELECT unnest(range(0, {W}, 2)) AS x) a, (SELECT unnest(range(0, {H}, 2)) AS y) b
+WITH px AS (SELECT o_custkey, o_orderkey, cast(x AS int) AS x, cast(y AS int) AS y FROM orders,
+    (SELECT unnest(range(0, {W}, 2)) AS x) a, (SELECT unnest(range(0, {H}, 2)) AS y) b
   WHERE o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0),
-v AS (SELECT concat('s', lpad(cast(o_custkey AS varchar), 6, '0')) AS session_id, o_orderkey AS frame_id, x, y, {mm} AS raw,
-  {at(CONF_OF, f'y*{W + 2} + x')} AS confidence, {at(Y_OF, f'{cy}*{CW + 4} + {cx}')} AS yy,
-  {at(U_OF, half)} AS uu, {at(V_OF, half)} AS vv FROM px)
-SELECT session_id, frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY y, x) - 1 AS i, cast(x AS int) AS x, cast(y AS int) AS y,
-  cast(CASE WHEN raw > 32767 THEN raw - 65536 ELSE raw END AS int) AS depth_mm, cast(confidence AS int) AS confidence,
-  cast(yy AS int) AS yy, cast(uu AS int) AS uu, cast(vv AS int) AS vv FROM v WHERE raw <> 0"""
+v AS (SELECT concat('s', lpad(cast(o_custkey AS varchar), 6, '0')) AS session_id, o_orderkey AS frame_id, x, y,
+  {low} + 256*{high} AS raw, {_byte('c', f"y*{STRIDES['conf']} + x")} AS confidence,
+  {_byte('y', f"{cy}*{STRIDES['y']} + {cx}")} AS yy, {_byte('u', half)} AS uu, {_byte('v', half)} AS vv FROM px)
+SELECT session_id, frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY y, x) - 1 AS i, x, y,
+  CASE WHEN raw > 32767 THEN raw - 65536 ELSE raw END AS depth_mm, confidence, yy, uu, vv FROM v WHERE raw <> 0"""
 
 
 K_SQL = "fx*160/img_w AS kfx, fy*90/img_h AS kfy, cx*160/img_w AS kcx, cy*90/img_h AS kcy"
@@ -221,7 +222,6 @@ model AS (SELECT *, {', '.join(f'{e} AS m{i}' for i, e in enumerate(sql_matrix()
 world AS (SELECT l.session_id, l.frame_id, l.i, l.conf, l.depth_mm, l.yy, l.uu, l.vv,
   m0*x_m + m4*y_m + m8*z_m + m12 AS x, m1*x_m + m5*y_m + m9*z_m + m13 AS y, m2*x_m + m6*y_m + m10*z_m + m14 AS z
   FROM local_ l JOIN model USING (frame_id))"""
-TONE = "(yy/255e0 {t})"
 VF, UF = "(vv*1.230e0/255e0 - 0.615e0)", "(uu*0.872e0/255e0 - 0.436e0)"
 
 
@@ -242,7 +242,7 @@ cam AS (SELECT q.session_id, q.view_id, q.fx, q.fy, q.cx, q.cy, q.img_w, q.img_h
 QUERIES = {
     "complete_depth_frames": (whole_frames,
         f"SELECT concat('s', lpad(cast(o_custkey AS varchar), 6, '0')) AS session_id, o_orderkey AS frame_id, {W * H * 2} AS depth_bytes, "
-        f"{(W + 2) * H} AS confidence_bytes FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0"),
+        f"64 AS confidence_bytes FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0"),
     "valid_depth": (depth_valid, sql("SELECT frame_id, i, depth_mm FROM depth_pixels WHERE depth_mm <> 0", "depth_pixels")),
     "grid_subsample": (on_grid, sql("SELECT frame_id, i, x, y FROM depth_pixels WHERE x % 3 = 0 AND y % 3 = 0", "depth_pixels")),
     "subsample_step": (steps, sql(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from capturelake.policies import DISPLAY_FRAMES, MIN_CONFIDENCE, POINT_LIMIT
 FRAME = (SESSION, "frame_id")
 FAR, NEAR = 100.0, 0.1
 PIXEL = "array<struct<i:long,x:int,y:int,depth_mm:int,confidence:int,yy:int,uu:int,vv:int>>"
+# Plane bytes of the frames sampled together, which bounds the memory of a decoding task.
+DECODE_BYTES = 32 << 20
 CHANNELS = ("x", "y", "depth_mm", "confidence", "yy", "uu", "vv")
 PLANES = ("depth16", "confidence", "y_plane", "u_plane", "v_plane")
 LAYOUT = ("width", "height", "conf_row_stride", "conf_pixel_stride", "y_row_stride", "y_pixel_stride",
@@ -27,44 +32,73 @@ LAYOUT = ("width", "height", "conf_row_stride", "conf_pixel_stride", "y_row_stri
           "color_min_y", "color_max_y")
 
 
+@lru_cache(maxsize=64)
+def _grid(layout: tuple, limit: int) -> tuple[np.ndarray, ...]:
+    """Sampled x and y, and the offset of each sample in every plane, for one frame layout.
+
+    Depth rows are taken as tight; confidence and colour planes honour their strides.
+    """
+    f = dict(zip(LAYOUT, layout))
+    w, h = int(f["width"]), int(f["height"])
+    step = max(1, math.ceil(math.sqrt(w * h / limit)))
+    y, x = (g.ravel() for g in np.meshgrid(np.arange(0, h, step), np.arange(0, w, step), indexing="ij"))
+    lo, hi = math.floor(f["color_min_y"] + 0.5), math.floor(f["color_max_y"] + 0.5)
+    cx, cy = x * int(f["color_width"]) // w, lo + y * (hi - lo) // h
+    at = {"conf": (y, x), "y": (cy, cx), "u": (cy // 2, cx // 2), "v": (cy // 2, cx // 2)}
+    offsets = [r * int(f[f"{p}_row_stride"]) + c * int(f[f"{p}_pixel_stride"]) for p, (r, c) in at.items()]
+    return x, y, y * w + x, *offsets
+
+
+def sample_pixels(layout: tuple, planes: list[np.ndarray], limit: int, unsigned: bool, pad: bool) -> pa.Array:
+    """Sampled pixels of frames with one layout as a list per frame; planes are (frames, bytes)."""
+    x, y, at, *offsets = _grid(layout, limit)
+    depth = planes[0].view("<u2" if unsigned else "<i2")[:, at].astype(np.int32)
+    n, m = depth.shape
+    channels = [np.broadcast_to(x, (n, m)), np.broadcast_to(y, (n, m)), depth,
+                *[p[:, o] for p, o in zip(planes[1:], offsets)]]
+    kept = depth != 0
+    counts = kept.sum(axis=1)
+    if pad:
+        # Pixels with depth first, in order, then one empty pixel for each without.
+        order = np.argsort(~kept, axis=1, kind="stable")
+        filled = np.take_along_axis(kept, order, axis=1)
+        values = [(np.take_along_axis(c, order, axis=1) * filled).ravel() for c in channels]
+        counts = np.full(n, m)
+    else:
+        values = [c[kept] for c in channels]
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    index = np.arange(offsets[-1]) - np.repeat(offsets[:-1], counts)
+    fields = [pa.array(index, pa.int64()), *[pa.array(v.astype(np.int32)) for v in values]]
+    pixels = pa.StructArray.from_arrays(fields, names=["i", *CHANNELS])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pixels)
+
+
 def _decode(limit: int, unsigned: bool, pad: bool) -> Callable:
     def decode(frames: pa.Array) -> pa.Array:
-        sampled = [sample_pixels(f.as_py(), limit, unsigned, pad) for f in frames]
-        offsets = np.cumsum([0, *[s.shape[1] for s in sampled]])
-        flat = np.concatenate(sampled, axis=1) if sampled else np.zeros((7, 0), dtype=np.int64)
-        index = np.concatenate([np.arange(s.shape[1]) for s in sampled]) if sampled else np.zeros(0, dtype=np.int64)
-        fields = [pa.array(index, pa.int64()), *[pa.array(c, pa.int32()) for c in flat]]
-        pixels = pa.StructArray.from_arrays(fields, names=["i", *CHANNELS])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pixels)
+        columns = [frames.field(i) for i in range(len(PLANES) + len(LAYOUT))]
+        layouts = list(zip(*[c.to_pylist() for c in columns[len(PLANES):]]))
+        sizes = list(zip(*[pc.binary_length(c).to_pylist() for c in columns[:len(PLANES)]]))
+        groups: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(layouts, sizes)):
+            groups.setdefault(key, []).append(i)
+        lists, order = [], []
+        for (layout, size), rows in groups.items():
+            together = max(1, DECODE_BYTES // max(1, sum(size)))
+            for start in range(0, len(rows), together):
+                part = rows[start:start + together]
+                planes = [np.frombuffer(b"".join(c.take(pa.array(part)).to_pylist()), dtype=np.uint8).reshape(len(part), -1)
+                          for c in columns[:len(PLANES)]]
+                lists.append(sample_pixels(layout, planes, limit, unsigned, pad))
+                order.extend(part)
+        if not lists:
+            return pa.array([], pa.list_(pa.struct([("i", pa.int64()), *[(c, pa.int32()) for c in CHANNELS]])))
+        joined = pa.concat_arrays(lists)
+        return joined if order == sorted(order) else joined.take(pa.array(np.argsort(order)))
 
     # Annotations are strings in this module, so the evaluation type is set by the wrapper.
     return F.arrow_udf(decode, PIXEL)
 
 
-def sample_pixels(f: dict, limit: int, unsigned: bool, pad: bool) -> np.ndarray:
-    """The sampled pixels of one frame, one row of the result per channel.
-
-    Depth rows are taken as tight; confidence and colour planes honour their strides.
-    """
-    w, h = f["width"], f["height"]
-    step = max(1, int(np.ceil(np.sqrt(w * h / limit))))
-    y, x = (g.ravel() for g in np.meshgrid(np.arange(0, h, step), np.arange(0, w, step), indexing="ij"))
-    depth = np.frombuffer(f["depth16"], dtype="<u2" if unsigned else "<i2")[y * w + x].astype(np.int64)
-    lo, hi = int(np.floor(f["color_min_y"] + 0.5)), int(np.floor(f["color_max_y"] + 0.5))
-    cx, cy = x * f["color_width"] // w, lo + y * (hi - lo) // h
-
-    def plane(name: str, short: str, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        data = np.frombuffer(f[name], dtype=np.uint8)
-        return data[rows * f[f"{short}_row_stride"] + cols * f[f"{short}_pixel_stride"]]
-
-    channels = np.stack([
-        x, y, depth, plane("confidence", "conf", y, x), plane("y_plane", "y", cy, cx),
-        plane("u_plane", "u", cy // 2, cx // 2), plane("v_plane", "v", cy // 2, cx // 2)])
-    kept = channels[:, depth != 0]
-    empty = channels.shape[1] - kept.shape[1] if pad else 0
-    return np.concatenate([kept, np.zeros((len(CHANNELS), empty), dtype=kept.dtype)], axis=1)
-
-
 def explode_depth_frames(frames: DataFrame, limit: int = POINT_LIMIT, unsigned: bool = False,
                          pad: bool = False) -> DataFrame:
     """H1: one row per sampled pixel with depth, keeping the frame's other columns.
