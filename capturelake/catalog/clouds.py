@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from capturelake.catalog.common import intrinsics, r, rq, sql, sql_matrix, sql_relative
 from capturelake.fixtures import table
 from capturelake.functions.imaging import scale_intrinsics, subsample_step
-from capturelake.functions.pose import pose, pose_compose, with_pose
+from capturelake.functions.pose import compose_parts, parts, pose, with_pose
 from capturelake.operators.gates import grid_subsample, min_confidence, valid_depth
 from capturelake.operators.motion import root_relative
 from capturelake.operators.points import (color_pixels, color_position, explode_depth_frames, frame_matrices,
@@ -132,8 +132,8 @@ def views(spark: SparkSession, sf: str) -> DataFrame:
 def projected(spark: SparkSession, sf: str) -> DataFrame:
     depth = frames(spark, sf).select(SESSION, "frame_id", "seq")
     # Set back a little, so that no point lies exactly on the near plane.
-    back = pose(F.lit(0.0), F.lit(0.0), F.lit(SET_BACK), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    moved = with_pose(root_relative(views(spark, sf)), "pose", pose_compose(F.col("pose"), back))
+    back = [F.lit(v) for v in (0.0, 0.0, SET_BACK, 0.0, 0.0, 0.0, 1.0)]
+    moved = with_pose(root_relative(views(spark, sf)), "pose", compose_parts(parts(F.col("pose")), back))
     seen = project_points(world(spark, sf), moved, depth, 4)
     return points_per_view(seen).withColumn("nearest_m", r("nearest_m", 4))
 

@@ -52,8 +52,9 @@ def validated(spark: SparkSession, sf: str) -> DataFrame:
 
 def ordered(spark: SparkSession, sf: str) -> DataFrame:
     """Frames in document order with their position, positions being running counts."""
-    rows = order_frames(documents(spark, sf)).withColumn("_at", F.coalesce("capture_index", F.lit(2147483647)))
-    placed = running(rows, [Running("position", "sum", F.lit(1))], order=("_at", "jpeg_sensor_timestamp_ns"), width=1 << 20)
+    rows = order_frames(documents(spark, sf)).withColumn(
+        "_at", F.coalesce("capture_index", F.lit(1 << 60) + F.col("jpeg_sensor_timestamp_ns")))
+    placed = running(rows, [Running("position", "sum", F.lit(1))], order=("_at",), width=1 << 17)
     return placed.select(SESSION, "image", "capture_index", "position")
 
 

@@ -28,32 +28,58 @@ def settle(values: list[Column]) -> Column:
     return F.slice(F.array(*values), 1, len(values))
 
 
-def with_pose(df: DataFrame, name: str, p: Column) -> DataFrame:
-    """Adds a pose column whose expression is evaluated once per row."""
-    held = f"_settled_{name}"
-    rows = df.withColumn(held, settle([p[f] for f in FIELDS]))
-    return rows.withColumn(name, F.struct(*[F.col(held)[i].alias(f) for i, f in enumerate(FIELDS)])).drop(held)
+def parts(p: Column) -> list[Column]:
+    """The seven fields of a pose column."""
+    return [p[f] for f in FIELDS]
 
 
-def _t(p: Column) -> Vec:
-    return p["tx"], p["ty"], p["tz"]
+def with_pose(df: DataFrame, name: str, values: list[Column]) -> DataFrame:
+    """Adds a pose column from its seven values, which are evaluated once per row."""
+    held = f"_settled_{name}"
+    rows = df.withColumn(held, settle(values))
+    return rows.withColumn(name, F.struct(*[F.col(held)[i].alias(f) for i, f in enumerate(FIELDS)])).drop(held)
 
 
-def _rotate(p: Column, v: Vec, sign: int = 1) -> Vec:
-    """R(q)v as v + 2w(u×v) + 2u×(u×v); sign=-1 rotates by the conjugate."""
-    ux, uy, uz = p["qx"] * sign, p["qy"] * sign, p["qz"] * sign
-    w = p["qw"]
+def _turn(q: list[Column], v: list[Column]) -> list[Column]:
+    """v rotated by the quaternion q: v + 2w(u×v) + 2u×(u×v)."""
+    ux, uy, uz, w = q
     vx, vy, vz = v
     cx, cy, cz = uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx
-    return (vx + 2.0 * (w * cx + uy * cz - uz * cy),
-            vy + 2.0 * (w * cy + uz * cx - ux * cz),
-            vz + 2.0 * (w * cz + ux * cy - uy * cx))
+    return [vx + 2.0 * (w * cx + uy * cz - uz * cy), vy + 2.0 * (w * cy + uz * cx - ux * cz),
+            vz + 2.0 * (w * cz + ux * cy - uy * cx)]
+
+
+def _product(a: list[Column], b: list[Column]) -> list[Column]:
+    """Quaternion product a⊗b."""
+    ax, ay, az, aw = a
+    bx, by, bz, bw = b
+    return [aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx,
+            aw * bz + ax * by - ay * bx + az * bw, aw * bw - ax * bx - ay * by - az * bz]
+
+
+def _conjugate(q: list[Column]) -> list[Column]:
+    return [-q[0], -q[1], -q[2], q[3]]
+
+
+def inverse_parts(a: list[Column]) -> list[Column]:
+    q = _conjugate(a[3:])
+    return [*[-c for c in _turn(q, a[:3])], *q]
+
+
+def compose_parts(a: list[Column], b: list[Column]) -> list[Column]:
+    return [*[t + c for t, c in zip(a[:3], _turn(a[3:], b[:3]))], *_product(a[3:], b[3:])]
+
+
+def relative_parts(a: list[Column], b: list[Column]) -> list[Column]:
+    """a⁻¹∘b in one step: the offset between the two turned back by a."""
+    q = _conjugate(a[3:])
+    return [*_turn(q, [y - x for x, y in zip(a[:3], b[:3])]), *_product(q, b[3:])]
 
 
 def rotate_vector(p: Column, x: float | Column, y: float | Column, z: float | Column) -> Column:
     """A direction rotated by the pose, as array(3)."""
-    lit = [c if isinstance(c, Column) else F.lit(float(c)) for c in (x, y, z)]
-    return F.array(*_rotate(p, tuple(lit)))
+    v = [c if isinstance(c, Column) else F.lit(float(c)) for c in (x, y, z)]
+    return F.array(*_turn(parts(p)[3:], v))
 
 
 def forward_world(p: Column) -> Column:
@@ -66,22 +92,12 @@ def up_world(p: Column) -> Column:
 
 def pose_inverse(p: Column) -> Column:
     """q* with translation −R(q*)t."""
-    x, y, z = _rotate(p, _t(p), -1)
-    return pose(-x, -y, -z, -p["qx"], -p["qy"], -p["qz"], p["qw"])
+    return pose(*inverse_parts(parts(p)))
 
 
 def pose_compose(a: Column, b: Column) -> Column:
     """a∘b, translation ta + R(qa)tb and rotation qa⊗qb."""
-    x, y, z = _rotate(a, _t(b))
-    ax, ay, az, aw = a["qx"], a["qy"], a["qz"], a["qw"]
-    bx, by, bz, bw = b["qx"], b["qy"], b["qz"], b["qw"]
-    return pose(
-        a["tx"] + x, a["ty"] + y, a["tz"] + z,
-        aw * bx + ax * bw + ay * bz - az * by,
-        aw * by - ax * bz + ay * bw + az * bx,
-        aw * bz + ax * by - ay * bx + az * bw,
-        aw * bw - ax * bx - ay * by - az * bz,
-    )
+    return pose(*compose_parts(parts(a), parts(b)))
 
 
 def pose_matrix(p: Column) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from capturelake.plans.chunks import (SEQ_CHUNK, SESSION, TIME_CHUNK_NS, Running, attach_session, chunk_of,
-                                      running)
+from capturelake.plans.chunks import CELL_NS, SEQ_CHUNK, SESSION, Running, attach, chunk_of, running
 
+REACH_NS = 1 << 33
 STAMP = [SESSION, "timestamp_ns"]
 
 
@@ -33,9 +33,9 @@ def newest_pose(poses: DataFrame) -> DataFrame:
     return poses.groupBy(SESSION).agg(F.max("timestamp_ns").alias("newest_pose_ns"))
 
 
-def pose_ready(images: DataFrame, poses: DataFrame, chunk_ns: int = TIME_CHUNK_NS) -> DataFrame:
+def pose_ready(images: DataFrame, poses: DataFrame) -> DataFrame:
     """Adds ``pose_ready``, true once the session's newest pose is not older than the image."""
-    joined = attach_session(images, newest_pose(poses), order="timestamp_ns", width=chunk_ns)
+    joined = attach(images, newest_pose(poses), by=["timestamp_ns"])
     ready = F.coalesce(F.col("newest_pose_ns") >= F.col("timestamp_ns"), F.lit(False))
     return joined.withColumn("pose_ready", ready).drop("newest_pose_ns")
 
@@ -47,37 +47,65 @@ def _closest(refs: list[Column], ts: Column) -> Column:
     return F.array_min(F.array(*ranked))
 
 
-def nearest(images: DataFrame, samples: dict[str, tuple[DataFrame, int]],
-            chunk_ns: int = TIME_CHUNK_NS) -> DataFrame:
-    """Nearest sample of each kind within its tolerance, for all kinds in one shuffle.
+def _spread(cell: Column, tolerance: int, cell_ns: int, reach: int) -> Column:
+    """The groups of ``reach`` cells that a cell's samples can be within the tolerance of."""
+    cells = -(-tolerance // cell_ns)
+    return F.explode(F.sequence(chunk_of(cell - cells, reach), chunk_of(cell + cells, reach)))
+
+
+def nearest(images: DataFrame, samples: dict[str, tuple[DataFrame, int]], cell_ns: int = CELL_NS,
+            reach_ns: int = REACH_NS) -> DataFrame:
+    """Nearest sample of each kind within its tolerance; images are unique per timestamp.
 
     ``samples`` maps a name to (table, tolerance). Adds ``<name>_timestamp_ns`` and
-    ``<name>_seq``. Per session and time chunk, images and samples are sorted once and the
-    last sample before and the first after each image are kept, so no pairs are formed and
-    the work is linear in the rows. Samples within the tolerance of a chunk's edge are
-    seen by the neighbouring chunk as well; samples with one timestamp count once
-    (the earliest arrival wins such ties anyway).
+    ``<name>_seq``. No pairs are formed; every image keeps the last sample before it and the
+    first after it, found at two scales so that no group grows with the data:
+
+    * within a cell of about a millisecond all its samples count (after reduction to one per
+      timestamp, the earliest arrival, a cell cannot hold more rows than nanoseconds);
+    * from other cells only their first and last samples can be nearest, so those are
+      ordered in groups of some seconds, i.e. a few thousand cells. Cells near a group's
+      edge are seen by the neighbouring group as well.
     """
-    if any(2 * tolerance >= chunk_ns for _, tolerance in samples.values()):
-        raise ValueError("the time chunk must be wider than twice each tolerance")
-    row = F.struct(*[F.col(c) for c in images.columns])
-    events = images.select(SESSION, "timestamp_ns", chunk_of("timestamp_ns", chunk_ns).alias("_chunk"),
-                           F.lit(1).alias("_kind"), row.alias("_image"))
+    if any(2 * (tolerance + cell_ns) >= reach_ns for _, tolerance in samples.values()):
+        raise ValueError("the reach must be wider than twice each tolerance")
+    reach = reach_ns // cell_ns
+    cell = chunk_of("timestamp_ns", cell_ns).alias("_cell")
+    inside = images.select(SESSION, cell, "timestamp_ns", F.lit(1).alias("_kind"),
+                           F.struct(*images.columns).alias("_image"))
+    asking = images.select(SESSION, cell).distinct()
+    around = asking.select(SESSION, "_cell", F.lit(0).alias("_kind"), chunk_of("_cell", reach).alias("_group"))
     for name, (table, tolerance) in samples.items():
-        one = table.groupBy(*STAMP).agg(F.min("seq").alias("seq"))
-        spread = F.explode(F.sequence(chunk_of(F.col("timestamp_ns") - tolerance, chunk_ns),
-                                      chunk_of(F.col("timestamp_ns") + tolerance, chunk_ns)))
-        ref = one.select(SESSION, "timestamp_ns", F.lit(0).alias("_kind"),
-                         F.struct("timestamp_ns", "seq").alias(f"_{name}"), spread.alias("_chunk"))
-        events = events.unionByName(ref, allowMissingColumns=True)
-    base = Window.partitionBy(SESSION, "_chunk")
-    before = base.orderBy("timestamp_ns", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    after = base.orderBy(F.desc("timestamp_ns"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = events.withColumns({f"_before_{n}": F.last(f"_{n}", ignorenulls=True).over(before) for n in samples})
-    seen = seen.withColumns({f"_after_{n}": F.last(f"_{n}", ignorenulls=True).over(after) for n in samples})
-    found = seen.where(F.col("_kind") == 1).select("_image.*", *[
-        _closest([F.col(f"_before_{n}"), F.col(f"_after_{n}")], F.col("timestamp_ns")).alias(f"_{n}")
-        for n in samples])
+        one = table.groupBy(*STAMP).agg(F.min("seq").alias("seq")).select(SESSION, cell, "timestamp_ns", "seq")
+        ref = F.struct("timestamp_ns", "seq")
+        inside = inside.unionByName(
+            one.select(SESSION, "_cell", "timestamp_ns", F.lit(0).alias("_kind"), ref.alias(f"_{name}")),
+            allowMissingColumns=True)
+        ends = one.groupBy(SESSION, "_cell").agg(
+            F.min("timestamp_ns").alias("_t0"), F.min_by("seq", "timestamp_ns").alias("_s0"),
+            F.max("timestamp_ns").alias("_t1"), F.max_by("seq", "timestamp_ns").alias("_s1"))
+        around = around.unionByName(ends.select(
+            SESSION, "_cell", F.lit(1).alias("_kind"), _spread(F.col("_cell"), tolerance, cell_ns, reach).alias("_group"),
+            F.struct(F.col("_t0").alias("timestamp_ns"), F.col("_s0").alias("seq")).alias(f"_first_{name}"),
+            F.struct(F.col("_t1").alias("timestamp_ns"), F.col("_s1").alias("seq")).alias(f"_last_{name}")),
+            allowMissingColumns=True)
+
+    def seen(column: str, group: Window, *order: Column) -> Column:
+        window = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.last(column, ignorenulls=True).over(window)
+
+    # A cell asks before its own samples come, from either side; within a cell they come first.
+    group, one_cell = Window.partitionBy(SESSION, "_group"), Window.partitionBy(SESSION, "_cell")
+    outer = around.select("*", *[seen(f"_last_{n}", group, F.asc("_cell"), F.asc("_kind")).alias(f"_b_{n}") for n in samples])
+    outer = outer.select("*", *[seen(f"_first_{n}", group, F.desc("_cell"), F.asc("_kind")).alias(f"_a_{n}") for n in samples])
+    outer = outer.where(F.col("_kind") == 0).select(SESSION, "_cell", *[f"_{p}_{n}" for n in samples for p in "ab"])
+    inner = inside.select("*", *[
+        seen(f"_{n}", one_cell, F.asc("timestamp_ns"), F.asc("_kind")).alias(f"_i_{n}") for n in samples])
+    inner = inner.select("*", *[
+        seen(f"_{n}", one_cell, F.desc("timestamp_ns"), F.asc("_kind")).alias(f"_j_{n}") for n in samples])
+    inner = inner.where(F.col("_kind") == 1).select(SESSION, "_cell", "_image", *[f"_{p}_{n}" for n in samples for p in "ij"])
+    found = inner.join(outer, [SESSION, "_cell"], "left").select("_image.*", *[
+        _closest([F.col(f"_{p}_{n}") for p in "ijab"], F.col("_image.timestamp_ns")).alias(f"_{n}") for n in samples])
     out = {}
     for name, (_, tolerance) in samples.items():
         hit = F.col(f"_{name}.d") <= tolerance
@@ -86,13 +114,13 @@ def nearest(images: DataFrame, samples: dict[str, tuple[DataFrame, int]],
     return found.withColumns(out).drop(*[f"_{n}" for n in samples])
 
 
-def nearest_pose(images: DataFrame, poses: DataFrame, tolerance_ns: int,
-                 chunk_ns: int = TIME_CHUNK_NS) -> DataFrame:
-    """D3 (poses C1-filtered by the caller)."""
-    return nearest(images, {"pose": (poses, tolerance_ns)}, chunk_ns)
+def nearest_pose(images: DataFrame, poses: DataFrame, tolerance_ns: int, cell_ns: int = CELL_NS,
+                 reach_ns: int = REACH_NS) -> DataFrame:
+    """D3 (poses C1-filtered by the caller); a later copy of an image replaces the earlier one."""
+    return nearest(latest_by_timestamp(images), {"pose": (poses, tolerance_ns)}, cell_ns, reach_ns)
 
 
-def finalize_seq(images: DataFrame, poses: DataFrame, chunk_ns: int = TIME_CHUNK_NS) -> DataFrame:
+def finalize_seq(images: DataFrame, poses: DataFrame, cell_ns: int = CELL_NS) -> DataFrame:
     """Adds ``finalize_seq``: the arrival at which image, metadata and a late enough pose are all there.
 
     Images carry ``meta`` (see ``match_metadata``); null while any of the three is missing.
@@ -103,7 +131,7 @@ def finalize_seq(images: DataFrame, poses: DataFrame, chunk_ns: int = TIME_CHUNK
     rows = images.select(*STAMP, F.lit(0).alias("_kind"), F.struct(*images.columns).alias("_image"))
     scan = running(rows.unionByName(marks, allowMissingColumns=True),
                    [Running("_first_pose", "min", F.col("_pose_seq"))],
-                   order=("timestamp_ns", "_kind"), width=chunk_ns, reverse=True)
+                   order=("timestamp_ns", "_kind"), width=cell_ns, reverse=True)
     done = F.when(F.col("meta").isNotNull() & F.col("_first_pose").isNotNull(),
                   F.greatest("seq", "meta.seq", "_first_pose"))
     return (scan.where(F.col("_kind") == 0).select("_image.*", "_first_pose")

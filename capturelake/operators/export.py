@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions.imaging import frame_name
 from capturelake.functions.pose import column_major_to_rows, forward_world, pose_inverse, pose_matrix, up_world
-from capturelake.plans.chunks import SESSION
+from capturelake.plans.chunks import SESSION, attach
 from capturelake.policies import DATASET, MIN_JOB_FRAMES, Policy
 
 # Fixed values of the dataset documents.
@@ -82,8 +82,8 @@ def transform_frames(keyframes: DataFrame) -> DataFrame:
 def build_transforms(keyframes: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """E1 for valid sessions only: any bad frame fails its whole session."""
     status = validate_sessions(keyframes, keyframes if sessions is None else sessions)
-    failed = status.where(F.col("status") != "ok").select(SESSION)
-    return transform_frames(keyframes).join(failed, SESSION, "left_anti")
+    valid = status.where(F.col("status") == "ok").select(SESSION, F.lit(True).alias("_valid"))
+    return transform_frames(attach(keyframes, valid, by=["image", "jpeg_sensor_timestamp_ns"], how="inner"))
 
 
 def transforms_head(source: str = "capturelake") -> dict:

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.functions.pose import (pose_compose, pose_inverse, rotation_degrees,
-                                        translation_distance, with_pose)
-from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, attach_session, running
+from capturelake.functions.pose import (parts, relative_parts, rotation_degrees, translation_distance,
+                                        with_pose)
+from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, attach, running
 
 CAMERA_FIELDS = ("exposure_time_ns", "iso", "focus_distance", "af_state", "lens_state")
 
@@ -44,18 +44,16 @@ def session_roots(poses: DataFrame) -> DataFrame:
     return poses.groupBy(SESSION).agg(F.min_by("pose", "seq").alias("root"))
 
 
-def attach_root(frames: DataFrame, roots: DataFrame, override: str | None = None,
-                width: int = SEQ_CHUNK) -> DataFrame:
+def attach_root(frames: DataFrame, roots: DataFrame, override: str | None = None) -> DataFrame:
     """Adds ``root``; a per-frame override wins, and without any root the frame's own pose is used."""
     known = [F.col(override)] if override else []
-    joined = attach_session(frames, roots.withColumnRenamed("root", "_root"), width=width)
+    joined = attach(frames, roots.withColumnRenamed("root", "_root"), by=["seq"])
     return joined.withColumn("root", F.coalesce(*known, F.col("_root"), F.col("pose"))).drop("_root")
 
 
 def root_relative(frames: DataFrame) -> DataFrame:
     """Replaces ``pose`` by root⁻¹∘pose."""
-    based = with_pose(frames, "_inverse", pose_inverse(F.col("root")))
-    return with_pose(based, "pose", pose_compose(F.col("_inverse"), F.col("pose"))).drop("_inverse")
+    return with_pose(frames, "pose", relative_parts(parts(F.col("root")), parts(F.col("pose"))))
 
 
 def new_depth_only(depth: DataFrame, width: int = SEQ_CHUNK) -> DataFrame:

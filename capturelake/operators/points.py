@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from capturelake.functions.imaging import (color_coord, norm_confidence, scale_intrinsics, to_byte, unproject,
                                            yuv_to_rgb)
-from capturelake.functions.pose import apply_matrix, pose_inverse, pose_matrix, with_pose
+from capturelake.functions.pose import apply_matrix, inverse_parts, parts, pose_matrix, with_pose
 from capturelake.operators.gates import grid_subsample, min_confidence, valid_depth
 from capturelake.operators.motion import last_n, root_relative
-from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, chunk_of, running
+from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, attach, chunk_of, running
 from capturelake.policies import DISPLAY_FRAMES, MIN_CONFIDENCE, POINT_LIMIT
 
 FRAME = (SESSION, "frame_id")
@@ -123,7 +123,9 @@ def unproject_pixels(pixels: DataFrame, intrinsics: DataFrame | None = None, lim
     ``depth_height``. ``sampled`` says the grid has been applied already; ``pad`` keeps
     pixels without depth, which land on the camera itself.
     """
-    rows = pixels if intrinsics is None else pixels.join(intrinsics, [c for c in FRAME if c in pixels.columns])
+    rows = pixels
+    if intrinsics is not None:
+        rows = attach(pixels, intrinsics, by=["i"], keys=[c for c in FRAME if c in pixels.columns], how="inner")
     rows = rows if pad else valid_depth(rows)
     if not sampled:
         rows = grid_subsample(rows, F.col("depth_width"), F.col("depth_height"), limit)
@@ -172,7 +174,7 @@ def world_points(points: DataFrame, frames: DataFrame | None = None, keys: Seque
     ``frames`` (with ``model``, see ``frame_matrices``) joins by frame; points that carry
     ``model`` already need no join.
     """
-    rows = points if frames is None else points.join(frames, list(keys))
+    rows = points if frames is None else attach(points, frames, by=["i"], keys=keys, how="inner")
     x, y, z = apply_matrix(F.col("model"), F.col("x_m"), F.col("y_m"), F.col("z_m"))
     return rows.withColumns({"x": x, "y": y, "z": z}).drop("model")
 
@@ -217,7 +219,7 @@ def project_points(points: DataFrame, views: DataFrame, depth: DataFrame, n: int
     view's camera and kept between the near and far planes and inside the image. Views carry
     ``view_id``, ``pose`` and ``image_k``.
     """
-    placed_views = with_pose(views, "_inverse", pose_inverse(F.col("pose")))
+    placed_views = with_pose(views, "_inverse", inverse_parts(parts(F.col("pose"))))
     shown = view_frames(placed_views.select(SESSION, "seq", "view_id", "image_k", pose_matrix(F.col("_inverse")).alias("_m")),
                         depth, n, width)
     rows = points.join(shown, list(FRAME))

@@ -3,7 +3,7 @@
 Whether a frame is requested depends on the last request before it, so selection is a
 sequential fold. It is still exact and parallel within one session:
 
-1. frames are cut into chunks of at most C arrivals; only the last request before a chunk
+1. a session's frames are cut into chunks of C consecutive ones; only the last request before a chunk
    links it to the past;
 2. each chunk that has a successor is folded once from every frame that could be its first
    request (its heads: the unblocked frames up to the first one that any earlier request
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from capturelake.operators.gates import FOCUSED_AF, is_slow
 from capturelake.operators.motion import speeds
-from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, chunk_name, running, with_chunk
+from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, chunk_of, running
 from capturelake.policies import Policy, threshold
 from capturelake.session import cut
 
@@ -179,10 +179,11 @@ def block_reason(policy: Policy | str) -> Column:
 
 
 def with_history(frames: DataFrame, controls: DataFrame | None, width: int) -> DataFrame:
-    """Adds motion, ``enabled`` and ``_clear`` (latest arrival that ended a request, −1 if none) in one pass."""
+    """Adds motion, ``enabled``, ``_clear`` (latest arrival that ended a request, −1 if none) and the frame's
+    position ``_at`` in its session, in one pass."""
     rows = frames.select(SESSION, "seq", F.lit(1).alias("_rank"), F.struct("pose", "timestamp_ns").alias("_now"),
                          F.struct(*[c for c in frames.columns if c not in (SESSION, "seq")]).alias("_row"))
-    specs = [Running("_prev", "last", F.col("_now"), inclusive=False)]
+    specs = [Running("_prev", "last", F.col("_now"), inclusive=False), Running("_at", "sum", F.col("_rank"))]
     if controls is not None:
         marks = controls.select(
             SESSION, "seq", F.lit(0).alias("_rank"),
@@ -192,7 +193,7 @@ def with_history(frames: DataFrame, controls: DataFrame | None, width: int) -> D
         specs += [Running("_enabled", "last", F.col("_on")), Running("_cleared", "last", F.col("_ended"))]
     seen = running(rows, specs, order=("seq", "_rank"), width=width).where(F.col("_rank") == 1)
     enabled, clear = ("_enabled", "_cleared") if controls is not None else (F.lit(True), F.lit(-1))
-    return seen.select(SESSION, "seq", "_row.*", "_prev", F.coalesce(enabled, F.lit(True)).alias("enabled"),
+    return seen.select(SESSION, "seq", "_row.*", "_prev", "_at", F.coalesce(enabled, F.lit(True)).alias("enabled"),
                        F.coalesce(clear, F.lit(-1)).cast("long").alias("_clear")).withColumns(speeds("_prev"))
 
 
@@ -207,11 +208,11 @@ def select_keyframes(frames: DataFrame, policy: Policy | str, controls: DataFram
     and resume are ``capture_stopped``.
     """
     tracked = controls is not None
-    chunk = chunk_name("seq", width)
+    chunk = "_chunk"
     limits = tuple(getattr(policy, t) for t in THRESHOLDS) if isinstance(policy, Policy) else None
-    seen = with_chunk(with_history(frames, controls, width), "seq", width)
+    seen = with_history(frames, controls, width)
     ready = cut(seen.select(
-        SESSION, chunk, "seq", "timestamp_ns", *[F.col(f"pose.{c}").alias(c) for c in POSE], "_clear",
+        SESSION, chunk_of(F.col("_at") - 1, width).alias(chunk), "seq", "timestamp_ns", *[F.col(f"pose.{c}").alias(c) for c in POSE], "_clear",
         block_reason(policy).alias("_block"),
         *([] if limits else [threshold(policy, t).alias(t) for t in THRESHOLDS])))
 

@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.operators.asof import (STAMP, finalize_seq, latest_by_timestamp, match_metadata, nearest,
+from capturelake.operators.asof import (REACH_NS, STAMP, finalize_seq, latest_by_timestamp, match_metadata, nearest,
                                         nearest_retained, pose_ready)
 from capturelake.operators.gates import is_still_sharp
 from capturelake.operators.motion import last_n
-from capturelake.plans.chunks import SEQ_CHUNK, SESSION, TIME_CHUNK_NS, Running, attach_session, running
+from capturelake.plans.chunks import CELL_NS, SEQ_CHUNK, SESSION, Running, attach, running
 from capturelake.policies import DATASET, Policy, threshold
 from capturelake.session import cut
 
 
-def assign_capture_index(rows: DataFrame, chunk_ns: int = TIME_CHUNK_NS) -> DataFrame:
+def assign_capture_index(rows: DataFrame, cell_ns: int = CELL_NS) -> DataFrame:
     """E5: adds ``capture_index``, 1-based over a session's saved rows by image time, null elsewhere."""
     saved = F.col("outcome") == "saved"
     counted = running(rows, [Running("_index", "sum", F.when(saved, 1).otherwise(0))],
-                      order=("timestamp_ns", "seq"), width=chunk_ns)
+                      order=("timestamp_ns", "seq"), width=cell_ns)
     return counted.withColumn("capture_index", F.when(saved, F.col("_index")).cast("int")).drop("_index")
 
 
 def assemble_keyframes(images: DataFrame, metadata: DataFrame, poses: DataFrame, depth: DataFrame | None = None,
                        policy: Policy = DATASET, mode: str = "nearest",
-                       chunk_ns: int = TIME_CHUNK_NS, width: int = SEQ_CHUNK) -> DataFrame:
+                       cell_ns: int = CELL_NS, reach_ns: int = REACH_NS, width: int = SEQ_CHUNK) -> DataFrame:
     """One row per image with ``outcome`` and, where found, pose and depth references and deltas.
 
     ``poses`` are tracking frames only. Outcomes in order: pending_metadata, pending_pose,
@@ -33,17 +33,17 @@ def assemble_keyframes(images: DataFrame, metadata: DataFrame, poses: DataFrame,
     when the image could first be finalised; ``'nearest'`` looks at the whole session.
     """
     with_depth = depth is not None and policy.depth_tolerance_ns is not None
-    base = pose_ready(match_metadata(images, metadata), poses, chunk_ns)
+    base = pose_ready(match_metadata(images, metadata), poses)
     if mode == "nearest":
         samples = {"pose": (poses, policy.pose_tolerance_ns)}
         if with_depth:
             samples["depth"] = (depth, policy.depth_tolerance_ns)
-        matched = nearest(base, samples, chunk_ns)
+        matched = nearest(base, samples, cell_ns, reach_ns)
     elif mode == "causal":
         samples = {"pose": (poses, policy.pose_tolerance_ns, policy.pose_buffer)}
         if with_depth:
             samples["depth"] = (depth, policy.depth_tolerance_ns, policy.depth_buffer)
-        matched = nearest_retained(cut(finalize_seq(base, poses, chunk_ns)), samples, width)
+        matched = nearest_retained(cut(finalize_seq(base, poses, cell_ns)), samples, width)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     outcome = (F.when(F.col("meta").isNull(), "pending_metadata")
@@ -56,7 +56,7 @@ def assemble_keyframes(images: DataFrame, metadata: DataFrame, poses: DataFrame,
     for name in ("pose", "depth") if with_depth else ("pose",):
         rows = rows.withColumn(f"{name}_delta_ns", F.col(f"{name}_timestamp_ns") - F.col("timestamp_ns"))
     # One row per image: written once, since numbering the saved rows reads it twice.
-    return assign_capture_index(cut(rows), chunk_ns)
+    return assign_capture_index(cut(rows), cell_ns)
 
 
 def with_poses(keyframes: DataFrame, poses: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def evict_metadata(metadata: DataFrame, poses: DataFrame, policy: Policy = DATAS
     counts = held.groupBy(SESSION).agg(F.count("*").alias("_held"))
     oldest = (last_n(poses.select(SESSION, "seq", "timestamp_ns"), policy.pose_buffer, width=width)
               .groupBy(SESSION).agg(F.min_by("timestamp_ns", "seq").alias("_oldest")))
-    rows = attach_session(held, counts.join(oldest, SESSION, "left"), width=width)
+    rows = attach(held, counts.join(oldest, SESSION, "left"), by=["timestamp_ns"])
     stale = ((F.col("_held") > threshold(policy, "metadata_buffer"))
              & F.coalesce(F.col("timestamp_ns") < F.col("_oldest") - threshold(policy, "pose_tolerance_ns"),
                           F.lit(False)))

@@ -1,15 +1,18 @@
-"""Skew-safe ordered computations.
+"""Skew-safe ordered computations and session-level joins.
 
-One session may hold a third of all rows, so no operator here partitions raw rows by
-``session_id`` alone. Rows are cut into chunks of a session along an order column:
+One session may hold a third of all rows, and so may one stretch of its clock. No operator
+here partitions raw rows by ``session_id`` alone; every group has a bound that does not
+depend on the data:
 
-* arrival order: ``seq`` is unique within a session, so a chunk of width C holds at most
-  C rows, whatever the data;
-* clock order: rows are first reduced to one per (session, timestamp).
+* rows are cut into fine chunks along an integer order column (2^17 arrivals or 2^20 ns);
+  an order value occurs once per session (``seq`` by definition, timestamps after
+  reduction), so a fine chunk cannot hold more rows than it is wide;
+* fine chunks are grouped into coarse ones of 2^20 fine chunks.
 
-A running value is the value within the chunk combined with the carry of all earlier
-chunks. Carries come from one row per chunk (built with map-side partial aggregation),
-and they are joined back on (session, chunk), the key the rows are partitioned by already.
+A running value is the value within the fine chunk, combined with the carry of the earlier
+fine chunks of its coarse chunk and the carry of the earlier coarse chunks. Carries come
+from one row per chunk, built with map-side partial aggregation and joined back on
+(session, chunk), the key the rows are partitioned by already.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from pyspark.sql.window import Window
 
 SESSION = "session_id"
 SEQ_CHUNK = 1 << 17
-TIME_CHUNK_NS = 1 << 33
+CELL_NS = 1 << 20
+COARSE = 1 << 20
+SALTS = 64
 
 
 def chunk_of(order: str | Column, width: int) -> Column:
@@ -67,55 +72,57 @@ def _pick(value: Column, dtype: T.DataType, position: Column, reverse: bool) ->
 
 
 def running(df: DataFrame, specs: Sequence[Running], *, order: Sequence[str] = ("seq",), width: int = SEQ_CHUNK,
-            keys: Sequence[str] = (SESSION,), reverse: bool = False) -> DataFrame:
+            keys: Sequence[str] = (SESSION,), reverse: bool = False, coarse: int = COARSE) -> DataFrame:
     """Adds running columns over each key in ``order`` (or backwards), for keys of any size.
 
     The first order column is the integer one that is cut into chunks; the others break
     ties within it. Non-null values of a ``last`` column need distinct first order values.
     """
-    chunk = chunk_name(order[0], width)
+    chunk, group = chunk_name(order[0], width), "_coarse"
     direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     values = {s.out: f"_v_{s.out}" for s in specs}
     rows = with_chunk(df, order[0], width).withColumns({values[s.out]: s.value for s in specs})
-    by_chunk = Window.partitionBy(*keys, chunk).orderBy(*[direction(c) for c in order])
-    upto = {True: by_chunk.rowsBetween(Window.unboundedPreceding, 0),
-            False: by_chunk.rowsBetween(Window.unboundedPreceding, -1)}
+    types = {s.out: rows.schema[values[s.out]].dataType for s in specs}
 
-    def local(s: Running) -> Column:
-        v = F.col(values[s.out])
-        return (F.last(v, ignorenulls=True) if s.kind == "last" else _AGG[s.kind](v)).over(upto[s.inclusive])
+    def over(s: Running, v: Column, window: Window) -> Column:
+        return (F.last(v, ignorenulls=True) if s.kind == "last" else _AGG[s.kind](v)).over(window)
 
-    def total(s: Running) -> Column:
-        v = F.col(values[s.out])
+    def total(s: Running, v: Column, position: str) -> Column:
         if s.kind != "last":
             return _AGG[s.kind](v)
-        return _pick(v, rows.schema[values[s.out]].dataType, F.when(v.isNotNull(), F.col(order[0])), reverse)
-
-    carries = Window.partitionBy(*keys).orderBy(direction(chunk)).rowsBetween(Window.unboundedPreceding, -1)
+        return _pick(v, types[s.out], F.when(v.isNotNull(), F.col(position)), reverse)
 
-    def carry(s: Running) -> Column:
-        t = F.col(f"_t_{s.out}")
-        return (F.last(t, ignorenulls=True) if s.kind == "last" else _AGG[s.kind](t)).over(carries)
+    def earlier(at: str, *by: str) -> Window:
+        return Window.partitionBy(*by).orderBy(direction(at)).rowsBetween(Window.unboundedPreceding, -1)
 
-    per_chunk = rows.groupBy(*keys, chunk).agg(*[total(s).alias(f"_t_{s.out}") for s in specs])
-    carried = per_chunk.select(*keys, chunk, *[carry(s).alias(f"_c_{s.out}") for s in specs])
-    joined = rows.withColumns({f"_l_{s.out}": local(s) for s in specs}).join(carried, [*keys, chunk], "left")
-    result = joined.withColumns(
+    by_chunk = Window.partitionBy(*keys, chunk).orderBy(*[direction(c) for c in order])
+    upto = {True: by_chunk.rowsBetween(Window.unboundedPreceding, 0),
+            False: by_chunk.rowsBetween(Window.unboundedPreceding, -1)}
+    fine = (rows.groupBy(*keys, chunk)
+            .agg(*[total(s, F.col(values[s.out]), order[0]).alias(f"_t_{s.out}") for s in specs])
+            .withColumn(group, chunk_of(chunk, coarse)))
+    wide = fine.groupBy(*keys, group).agg(*[total(s, F.col(f"_t_{s.out}"), chunk).alias(f"_w_{s.out}") for s in specs])
+    across = wide.select(*keys, group, *[over(s, F.col(f"_w_{s.out}"), earlier(group, *keys)).alias(f"_b_{s.out}")
+                                         for s in specs])
+    within = fine.select(*keys, chunk, group, *[
+        over(s, F.col(f"_t_{s.out}"), earlier(chunk, *keys, group)).alias(f"_a_{s.out}") for s in specs])
+    carried = within.join(across, [*keys, group], "left").select(
+        *keys, chunk, *[_JOIN[s.kind](F.col(f"_a_{s.out}"), F.col(f"_b_{s.out}")).alias(f"_c_{s.out}") for s in specs])
+    local = rows.withColumns({f"_l_{s.out}": over(s, F.col(values[s.out]), upto[s.inclusive]) for s in specs})
+    result = local.join(carried, [*keys, chunk], "left").withColumns(
         {s.out: _JOIN[s.kind](F.col(f"_l_{s.out}"), F.col(f"_c_{s.out}")) for s in specs})
     kept = [c for c in df.columns if c not in {s.out for s in specs}]
     return result.select(*kept, *[s.out for s in specs])
 
 
-def attach_session(df: DataFrame, stats: DataFrame, *, order: str = "seq", width: int = SEQ_CHUNK,
-                   keys: Sequence[str] = (SESSION,)) -> DataFrame:
-    """Left join of session-level columns onto rows without shuffling rows by session.
+def attach(df: DataFrame, values: DataFrame, by: Sequence[str], keys: Sequence[str] = (SESSION,),
+           how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Joins per-key values (one row per key) onto rows, spreading a hot key over ``salts`` groups.
 
-    The session values go to one row per (session, chunk) first; the row-level join is on
-    (session, chunk), so a session with a third of all rows is spread over its chunks.
+    Rows get a salt from the columns ``by`` that tell the rows of one key apart. The values
+    go to the (key, salt) pairs that occur first; the row-level join is on (key, salt).
     """
-    chunk = chunk_name(order, width)
-    rows = with_chunk(df, order, width)
-    directory = rows.select(*keys, chunk).distinct().join(stats, list(keys), "left")
-    joined = rows.join(directory, [*keys, chunk], "left")
-    added = [c for c in stats.columns if c not in keys]
-    return joined.select(*[c for c in df.columns if c not in added], *added)
+    added = [c for c in values.columns if c not in keys]
+    rows = df.drop(*added).withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
+    pairs = rows.select(*keys, "_salt").distinct().join(values, list(keys), how)
+    return rows.join(pairs, [*keys, "_salt"], how).select(*[c for c in rows.columns if c != "_salt"], *added)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from capturelake.functions.imaging import jpeg_orientation
 from capturelake.functions.planning import contains, lock_focus, manual_sensor_supported, plan_exposure
 from capturelake.operators.motion import CAMERA_FIELDS
-from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, running
+from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, attach, running
 from capturelake.policies import DATASET, Policy
 
 
@@ -28,11 +28,10 @@ def exposure_plan(requests: DataFrame, states: DataFrame, caps: DataFrame, polic
     """Exposure, ISO, focus, orientation and reason per request.
 
     ``requests`` carry ``key``; ``caps`` has one row per key: exposure_min/max, iso_min/max,
-    min_focus_distance, capabilities, ois_modes, sensor_orientation. Devices are few next to
-    requests and a device may hold most of them, so the join is left to the planner's
-    size-checked broadcast and skew handling.
+    min_focus_distance, capabilities, ois_modes, sensor_orientation.
     """
-    rows = state_at(requests, states, width).join(caps, key, "left")
+    # One camera may take most of the requests.
+    rows = attach(state_at(requests, states, width), caps, by=[SESSION, "seq"], keys=[key])
     plan = plan_exposure({c: F.col(c) for c in CAMERA_FIELDS}, {
         "manual": manual_sensor_supported(F.col("capabilities")),
         **{c: F.col(c) for c in ("exposure_min", "exposure_max", "iso_min", "iso_max")}}, policy)

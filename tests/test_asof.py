@@ -31,19 +31,25 @@ def random_stamps(seed, n, sessions=("hot", "hot", "hot", "a"), span=4000):
     return [(rng.choice(sessions), i, rng.randint(0, span) * MS) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 151 * MS), (2, 400 * MS), (3, 1 << 33)])
-def test_nearest_equals_all_pairs(spark, seed, chunk):
-    images, poses = random_stamps(seed, 150), random_stamps(seed + 50, 300)
+def unique(rows):
+    """The last arrival per session and timestamp."""
+    return list({(s, ts): (s, q, ts) for s, q, ts in rows}.values())
+
+
+@pytest.mark.parametrize("seed,cell,reach", [(1, MS, 160 * MS), (2, 20 * MS, 400 * MS), (3, 1 << 20, 1 << 33),
+                                             (4, 300 * MS, 1 << 33), (5, 1, 200 * MS)])
+def test_nearest_equals_all_pairs(spark, seed, cell, reach):
+    images, poses = unique(random_stamps(seed, 150)), random_stamps(seed + 50, 300)
     want = closest(images, poses, 75 * MS)
-    got = nearest_pose(stamps(spark, images), stamps(spark, poses), 75 * MS, chunk).collect()
+    got = nearest_pose(stamps(spark, images), stamps(spark, poses), 75 * MS, cell, reach).collect()
     assert {(r.session_id, r.seq): (r.pose_timestamp_ns, r.pose_seq) if r.pose_seq is not None else None
             for r in got} == want
 
 
 def test_nearest_of_two_kinds_at_once(spark):
-    images, poses, depth = random_stamps(4, 80), random_stamps(5, 100), random_stamps(6, 60)
+    images, poses, depth = unique(random_stamps(4, 80)), random_stamps(5, 100), random_stamps(6, 60)
     got = nearest(stamps(spark, images), {"pose": (stamps(spark, poses), 75 * MS),
-                                          "depth": (stamps(spark, depth), 250 * MS)}, 600 * MS).collect()
+                                          "depth": (stamps(spark, depth), 250 * MS)}, 7 * MS, 600 * MS).collect()
     a, b = closest(images, poses, 75 * MS), closest(images, depth, 250 * MS)
     for r in got:
         k = (r.session_id, r.seq)
@@ -55,7 +61,7 @@ def test_tie_goes_to_the_earlier_arrival(spark):
     images = stamps(spark, [("s", 9, 100)])
     for late, early in ((90, 110), (110, 90)):
         poses = stamps(spark, [("s", 1, early), ("s", 2, late), ("s", 3, early)])
-        assert rows_of(nearest_pose(images, poses, 50, 1000), "pose_seq") == [(1,)]
+        assert rows_of(nearest_pose(images, poses, 50, 10, 1000), "pose_seq") == [(1,)]
 
 
 def test_tolerance_is_inclusive(spark):
@@ -66,13 +72,13 @@ def test_tolerance_is_inclusive(spark):
 
 def test_wide_tolerance_needs_a_wider_chunk(spark):
     with pytest.raises(ValueError):
-        nearest_pose(stamps(spark, []), stamps(spark, []), 100, 200)
+        nearest_pose(stamps(spark, []), stamps(spark, []), 100, 10, 200)
 
 
 def test_copies_of_one_timestamp_collapse(spark):
     poses = stamps(spark, [("s", i, 1000) for i in range(500)])
     images = stamps(spark, [("s", 900 + i, 1000) for i in range(500)])
-    assert rows_of(nearest_pose(images, poses, 10, 100), "pose_seq") == [(0,)] * 500
+    assert rows_of(nearest_pose(images, poses, 10, 5, 100), "seq", "pose_seq") == [(1399, 0)]
     assert rows_of(latest_by_timestamp(images), "seq") == [(1399,)]
 
 
@@ -84,11 +90,11 @@ def test_later_metadata_replaces_earlier(spark):
 
 def test_pose_ready(spark):
     images = stamps(spark, [("s", 1, 10), ("s", 2, 21), ("none", 3, 0)])
-    got = pose_ready(images, stamps(spark, [("s", 0, 20), ("s", 4, 5)]), 8)
+    got = pose_ready(images, stamps(spark, [("s", 0, 20), ("s", 4, 5)]))
     assert rows_of(got, "seq", "pose_ready") == [(1, True), (2, False), (3, False)]
 
 
-@pytest.mark.parametrize("seed,width,chunk", [(7, 1 << 17, 1 << 33), (8, 10, 300 * MS), (9, 3, 700 * MS)])
+@pytest.mark.parametrize("seed,width,chunk", [(7, 1 << 17, 1 << 20), (8, 10, 30 * MS), (9, 3, 70 * MS)])
 def test_causal_equals_replay(spark, seed, width, chunk):
     rng = random.Random(seed)
     # One clock per session, samples in clock order, photos and metadata a little late.
@@ -174,9 +180,9 @@ def test_later_depth_frame_is_only_seen_by_nearest(spark):
 def test_outcomes_add_up_for_small_chunks(spark):
     images, poses = random_stamps(20, 120), random_stamps(21, 300)
     stills = meta(spark, [(s, 1000 + q, t) for s, q, t in images if q % 5])
-    tables = stamps(spark, images), stills, stamps(spark, poses), stamps(spark, random_stamps(22, 200))
+    tables = stamps(spark, unique(images)), stills, stamps(spark, poses), stamps(spark, random_stamps(22, 200))
     wide = assemble_keyframes(*tables)
-    tight = assemble_keyframes(*tables, chunk_ns=501 * MS, width=7)
+    tight = assemble_keyframes(*tables, cell_ns=3 * MS, reach_ns=520 * MS, width=7)
     columns = ("session_id", "timestamp_ns", "outcome", "pose_seq", "depth_seq")
     assert sorted(map(str, wide.select(*columns).collect())) == sorted(map(str, tight.select(*columns).collect()))
     saved = tight.where("outcome = 'saved'").groupBy("session_id").agg(
@@ -188,7 +194,7 @@ def test_outcomes_add_up_for_small_chunks(spark):
 def test_capture_index_follows_image_time(spark):
     rows = stamps(spark, [("s", 1, 30), ("s", 2, 10), ("s", 3, 20)]).withColumn(
         "outcome", F.when(F.col("seq") == 3, "rejected_pose").otherwise("saved"))
-    for chunk in (4, 1 << 33):
+    for chunk in (4, 1 << 20):
         assert rows_of(assign_capture_index(rows, chunk), "seq", "capture_index") == [(1, 2), (2, 1), (3, None)]
 
 

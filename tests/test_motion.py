@@ -11,7 +11,7 @@ from capturelake.operators.gates import capture_enabled
 from capturelake.operators.motion import (attach_root, last_n, latest_camera_state, motion, new_depth_only,
                                           root_relative, session_roots, time_since_last)
 from capturelake.operators.report import recent_log_lines
-from capturelake.plans.chunks import Running, attach_session, chunk_of, running
+from capturelake.plans.chunks import Running, attach, chunk_of, running
 
 SESSIONS = {"hot": 120, "a": 25, "b": 1}
 WIDTHS = [1, 3, 16, 1 << 17]
@@ -21,15 +21,15 @@ def frames(spark, seed=1, **kw):
     return frames_table(spark, random_frames(seed, SESSIONS, **kw))
 
 
-@pytest.mark.parametrize("width", WIDTHS)
+@pytest.mark.parametrize("width,coarse", [(1, 4), (3, 2), (5, 1), (16, 1 << 20), (1 << 17, 1 << 20)])
 @pytest.mark.parametrize("reverse", [False, True])
-def test_running_equals_plain_loop(spark, width, reverse):
+def test_running_equals_plain_loop(spark, width, coarse, reverse):
     rows = [(r[0], r[1], r[2], r[3]) for r in random_frames(2, SESSIONS)]
     table = spark.createDataFrame(rows, "session_id string, seq long, ts long, v int")
     specs = [Running("l", "last", F.col("v")), Running("lx", "last", F.col("v"), inclusive=False),
              Running("s", "sum", F.col("v")), Running("n", "min", F.col("ts")), Running("m", "max", F.col("ts")),
              Running("st", "last", F.struct("v", F.struct("ts").alias("in")), inclusive=False)]
-    got = {(r.session_id, r.seq): r for r in running(table, specs, width=width, reverse=reverse).collect()}
+    got = {(r.session_id, r.seq): r for r in running(table, specs, width=width, reverse=reverse, coarse=coarse).collect()}
     assert len(got) == len(rows)
     for s in SESSIONS:
         last, total, lo, hi, before = None, 0, None, None, None
@@ -49,11 +49,12 @@ def test_chunk_of_floors_negative_values(spark):
     assert dict(got.collect()) == {-1: -1, -8: -1, 0: 0, 7: 0, 8: 1}
 
 
-@pytest.mark.parametrize("width", WIDTHS)
-def test_attach_session(spark, width):
+@pytest.mark.parametrize("salts", [1, 3, 64])
+def test_attach(spark, salts):
     table = stamps(spark, [("hot", i, i) for i in range(50)] + [("a", 99, 1), ("none", 100, 1)])
     stats = spark.createDataFrame([("hot", 1), ("a", 2)], "session_id string, n int")
-    got = rows_of(attach_session(table, stats, width=width).groupBy("session_id", "n").count(), "session_id", "n", "count")
+    got = rows_of(attach(table, stats, by=["seq"], salts=salts).groupBy("session_id", "n").count(), "session_id", "n", "count")
+    assert rows_of(attach(table, stats, by=["seq"], how="inner").groupBy("n").count(), "n", "count") == [(1, 50), (2, 1)]
     assert got == [("a", 2, 1), ("hot", 1, 50), ("none", None, 1)]
 
 
@@ -85,7 +86,7 @@ def test_latest_state_keeps_each_field(spark):
 
 def test_root_makes_first_frame_the_identity(spark):
     table = frames(spark, 5)
-    based = root_relative(attach_root(table, session_roots(table), width=4))
+    based = root_relative(attach_root(table, session_roots(table)))
     first = based.where("session_id = 'hot'").orderBy("seq").first().pose
     assert first.qw == pytest.approx(1) and first.tx == pytest.approx(0) and first.qy == pytest.approx(0)
 
