@@ -13,16 +13,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from capturelake.operators.export import trajectory_lines, transforms_head
-from capturelake.plans.chunks import SESSION
+from capturelake.plans.chunks import SESSION, chunk_of
 from capturelake.sources.ply import RECORD, header
 
 MANIFEST = "session_id string, file string, items long, bytes long"
+POINT_SLAB = 1 << 20
+LINE_SLAB = 1 << 17
 TRAJECTORY_HEADER = "index,image,point_cloud,image_timestamp_ns,pose_timestamp_ns,tx,ty,tz,qx,qy,qz,qw\n"
 
 
@@ -106,117 +109,128 @@ def write_session_cameras(cameras: DataFrame, root: str, name: str = "session_ca
                            root, "cameras")
 
 
-def write_point_clouds(points: DataFrame, root: str) -> DataFrame:
+def write_point_clouds(points: DataFrame, root: str, slab: int = POINT_SLAB) -> DataFrame:
     """B1: one point file per (session, frame).
 
     Points: session_id, frame (base name), frame_ts_ns, i, x, y, z, red, green, blue,
-    confidence. They are clustered and sorted by frame, numbered and counted JVM-side, and
-    streamed to the open file batch by batch.
+    confidence; ``i`` numbers the points of a frame.
     """
-    frame = Window.partitionBy(SESSION, "frame")
-    ordered = points.select(
-        SESSION, "frame", "frame_ts_ns", "i", *[F.col(c).cast("float").alias(c) for c in ("x", "y", "z")],
-        *[F.col(c).cast("int").alias(c) for c in ("red", "green", "blue")], F.col("confidence").cast("float"),
-        F.count("*").over(frame).alias("_count"), F.row_number().over(frame.orderBy("i")).alias("_n"))
+    rows = points.select(
+        SESSION, F.concat("frame", F.lit(".ply")).alias("file"), F.col("i").alias("position"), "frame_ts_ns",
+        *[F.col(c).cast("float").alias(c) for c in ("x", "y", "z")],
+        *[F.col(c).cast("int").alias(c) for c in ("red", "green", "blue")], F.col("confidence").cast("float"))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = open_root(root)
-        out = None
-        for pdf in batches:
-            done = []
-            starts = np.append(np.unique(np.append(0, np.flatnonzero(pdf["_n"].to_numpy() == 1))), len(pdf))
-            records = np.empty(len(pdf), dtype=RECORD)
-            for c in RECORD.names:
-                records[c] = pdf[c].to_numpy()
-            for a, b in zip(starts[:-1], starts[1:]):
-                first = pdf.iloc[a]
-                count = int(first["_count"])
-                if first["_n"] == 1:
-                    final, temporary = _target(fs, base, first[SESSION], f"{first['frame']}.ply")
-                    out = fs.open_output_stream(temporary)
-                    head = header(int(first["frame_ts_ns"]), count)
-                    out.write(head)
-                out.write(records[a:b].tobytes())
-                if pdf["_n"].iat[b - 1] == count:
-                    out.close()
-                    fs.move(temporary, final)
-                    done.append((first[SESSION], f"{first['frame']}.ply", count, len(head) + count * RECORD.itemsize))
-            yield pd.DataFrame(done, columns=[SESSION, "file", "items", "bytes"])
+    def encode(pdf: pd.DataFrame) -> bytes:
+        records = np.empty(len(pdf), dtype=RECORD)
+        for c in RECORD.names:
+            records[c] = pdf[c].to_numpy()
+        return records.tobytes()
+
+    return _write_slabs(rows, root, "point_clouds", slab, encode, header, b"", b"")
 
-    return _store(ordered.mapInPandas(write, MANIFEST), root, "point_clouds")
+
+def write_session_files(lines: DataFrame, root: str, name: str, head: str, tail: str, separator: str,
+                        slab: int = LINE_SLAB) -> DataFrame:
+    """One ordered text file per session from (session_id, position, line); positions are unique."""
+    rows = lines.select(SESSION, F.lit(name).alias("file"), F.col("position").cast("long").alias("position"),
+                        F.lit(0).cast("long").alias("frame_ts_ns"), "line")
+    gap = separator.encode("utf-8")
+    return _write_slabs(rows, root, name.split(".")[0], slab, lambda pdf: separator.join(pdf["line"]).encode("utf-8"),
+                        lambda stamp, count: head.encode("utf-8"), gap, tail.encode("utf-8"))
+
+
+def _write_slabs(rows: DataFrame, root: str, label: str, slab: int, encode: Callable[[pd.DataFrame], bytes],
+                 head: Callable[[int, int], bytes], separator: bytes, tail: bytes) -> DataFrame:
+    """Files of any size from rows (session_id, file, position, frame_ts_ns, ...).
+
+    Rows are clustered by (session, file, slab of positions) and sorted and counted JVM-side;
+    a task streams each slab, batch by batch, to a file of its own with head and tail. A
+    second step per file renames the only slab, or joins the bytes of several.
+    """
+    folder = f"{root}/_pieces/{label}-{uuid.uuid4().hex}"
+    unit = Window.partitionBy(SESSION, "file", "_slab")
+    ordered = rows.withColumn("_slab", chunk_of("position", slab)).select(
+        "*", F.count("*").over(unit).alias("_count"), F.row_number().over(unit.orderBy("position")).alias("_n"))
+    parts = ordered.mapInPandas(
+        _piece_writer(folder, encode, head, separator, tail),
+        "session_id string, file string, slab long, piece string, items long, stamp long, head long")
+    listed = parts.groupBy(SESSION, "file").agg(
+        F.array_sort(F.collect_list(F.struct("slab", "piece", "head"))).alias("parts"),
+        F.sum("items").alias("items"), F.min("stamp").alias("stamp"))
+    manifest = _store(listed.mapInPandas(_piece_joiner(root, folder, head, separator, tail), MANIFEST), root, label)
+    fs, base = open_root(folder)
+    if fs.get_file_info(base).type == pafs.FileType.Directory:
+        fs.delete_dir(base)
+    return manifest
 
 
-def _pieces(folder: str, separator: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Writes each run of one session within a sorted partition as a piece."""
+def _piece_writer(folder: str, encode: Callable[[pd.DataFrame], bytes], head: Callable[[int, int], bytes],
+                  separator: bytes, tail: bytes) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = open_root(folder)
         fs.create_dir(base, recursive=True)
-        session = piece = out = first = None
-        items = 0
-
-        def close() -> pd.DataFrame:
-            out.close()
-            return pd.DataFrame({SESSION: [session], "first": [first], "piece": [piece], "items": [items]})
-
+        out = piece = start = None
         for pdf in batches:
-            for s, rows in pdf.groupby(SESSION, sort=False):
-                text = separator.join(rows["line"])
-                if s != session:
-                    if out is not None:
-                        yield close()
-                    session, first, items = s, int(rows["position"].iat[0]), 0
-                    piece = f"{uuid.uuid4().hex}"
+            done = []
+            begins = np.flatnonzero(pdf["_n"].to_numpy() == 1)
+            edges = np.unique(np.concatenate([[0], begins, [len(pdf)]]))
+            for a, b in zip(edges[:-1], edges[1:]):
+                run = pdf.iloc[a:b]
+                first = run.iloc[0]
+                if first["_n"] == 1:
+                    piece = uuid.uuid4().hex
+                    start = head(int(first["frame_ts_ns"]), int(first["_count"]))
                     out = fs.open_output_stream(f"{base}/{piece}")
+                    out.write(start)
                 else:
-                    text = separator + text
-                out.write(text.encode("utf-8"))
-                items += len(rows)
-        if out is not None:
-            yield close()
+                    out.write(separator)
+                out.write(encode(run))
+                if run["_n"].iat[-1] == first["_count"]:
+                    out.write(tail)
+                    out.close()
+                    done.append((first[SESSION], first["file"], first["_slab"], piece, first["_count"],
+                                 first["frame_ts_ns"], len(start)))
+            yield pd.DataFrame(done, columns=[SESSION, "file", "slab", "piece", "items", "stamp", "head"])
     return write
 
 
-def write_session_files(lines: DataFrame, root: str, name: str, head: str, tail: str, separator: str) -> DataFrame:
-    """One ordered text file per session from (session_id, position, line).
-
-    Lines are range-partitioned and sorted by (session, position), so a large session is
-    written as pieces by many tasks; a second step per session only copies the pieces'
-    bytes in order between head and tail.
-    """
-    folder = f"{root}/_pieces/{name}-{uuid.uuid4().hex}"
-    ordered = (lines.select(SESSION, F.col("position").cast("long").alias("position"), "line")
-               .repartitionByRange(SESSION, "position").sortWithinPartitions(SESSION, "position"))
-    pieces = ordered.mapInPandas(_pieces(folder, separator), "session_id string, first long, piece string, items long")
-
-    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _piece_joiner(root: str, folder: str, head: Callable[[int, int], bytes], separator: bytes,
+                  tail: bytes) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = open_root(root)
         _, held = open_root(folder)
         for pdf in batches:
-            done = []
-            for session, parts, items in zip(pdf[SESSION], pdf["parts"], pdf["items"]):
+            sizes = []
+            for session, name, parts, items, stamp in zip(*[pdf[c] for c in (SESSION, "file", "parts", "items", "stamp")]):
                 final, temporary = _target(fs, base, session, name)
-                with fs.open_output_stream(temporary) as out:
-                    out.write(head.encode("utf-8"))
-                    for k, part in enumerate(parts):
-                        if k:
-                            out.write(separator.encode("utf-8"))
-                        with fs.open_input_stream(f"{held}/{part['piece']}") as source:
-                            while block := source.read(1 << 20):
-                                out.write(block)
-                    out.write(tail.encode("utf-8"))
-                    size = out.tell()
-                fs.move(temporary, final)
-                done.append((session, name, items, size))
-            yield pd.DataFrame(done, columns=[SESSION, "file", "items", "bytes"])
-
-    # A session has at most one piece per range partition, so this list is short.
-    listed = pieces.groupBy(SESSION).agg(
-        F.array_sort(F.collect_list(F.struct("first", "piece"))).alias("parts"), F.sum("items").alias("items"))
-    manifest = _store(listed.mapInPandas(compose, MANIFEST), root, name.split(".")[0])
-    fs, base = open_root(folder)
-    if fs.get_file_info(base).type == pafs.FileType.Directory:
-        fs.delete_dir(base)
-    return manifest
+                source = f"{held}/{parts[0]['piece']}"
+                if len(parts) == 1:
+                    # Gone only if an earlier attempt of this task renamed it.
+                    if fs.get_file_info(source).type == pafs.FileType.File:
+                        fs.move(source, final)
+                else:
+                    with fs.open_output_stream(temporary) as out:
+                        out.write(head(int(stamp), int(items)))
+                        for k, part in enumerate(parts):
+                            if k:
+                                out.write(separator)
+                            _copy_body(fs, f"{held}/{part['piece']}", int(part["head"]), len(tail), out)
+                        out.write(tail)
+                    fs.move(temporary, final)
+                sizes.append(fs.get_file_info(final).size)
+            yield pd.DataFrame({SESSION: pdf[SESSION], "file": pdf["file"], "items": pdf["items"], "bytes": sizes})
+    return join
+
+
+def _copy_body(fs: pafs.FileSystem, path: str, head: int, tail: int, out: pa.NativeFile) -> None:
+    """A piece's bytes between its head and its tail, block by block."""
+    left = fs.get_file_info(path).size - head - tail
+    with fs.open_input_file(path) as source:
+        source.seek(head)
+        while left > 0:
+            block = source.read(min(left, 1 << 20))
+            out.write(block)
+            left -= len(block)
 
 
 def write_trajectory(documents: DataFrame, root: str) -> DataFrame:

@@ -83,15 +83,17 @@ def points(spark, frames, size):
         (F.col("id") % 256).cast("int").alias("red"), F.lit(0).alias("green"), F.lit(255).alias("blue"), F.lit(0.25).alias("confidence"))
 
 
-def test_point_files_round_trip_across_arrow_batches(spark, tmp_path):
+@pytest.mark.parametrize("slab", [1 << 20, 300, 1])
+def test_point_files_round_trip_across_arrow_batches(spark, tmp_path, slab):
     root = str(tmp_path)
-    table = points(spark, 5, 700)
+    size = 700 if slab > 1 else 7
+    table = points(spark, 5, size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
     try:
-        manifest = writers.write_point_clouds(table, root)
+        manifest = writers.write_point_clouds(table, root, slab)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sorted({(r.items, r.file) for r in manifest.collect()}) == [(700, f"frame_{i:06d}_1.ply") for i in range(5)]
+    assert sorted({(r.items, r.file) for r in manifest.collect()}) == [(size, f"frame_{i:06d}_1.ply") for i in range(5)]
     back = readers.read_point_clouds(spark, root)
     columns = ("session_id", "frame", "frame_ts_ns", "i", "x", "y", "z", "red", "green", "blue", "confidence")
     want = table.withColumns({c: F.col(c).cast("float") for c in ("x", "y", "z", "confidence")})
@@ -108,16 +110,16 @@ def test_point_file_layout(spark, tmp_path):
     assert [p.name for p in (tmp_path / "s0").iterdir() if not p.name.endswith(".crc")] == ["frame_000000_1.ply"]
 
 
-def test_session_files_are_whole_and_ordered_when_written_in_pieces(spark, tmp_path):
+@pytest.mark.parametrize("slab", [1 << 17, 37])
+def test_session_files_are_whole_and_ordered_when_written_in_pieces(spark, tmp_path, monkeypatch, slab):
     root = str(tmp_path)
+    monkeypatch.setattr(writers.write_session_files, "__defaults__", (slab,))
     docs = documents(spark, [("hot", i, 4000, f"c{i}.ply") for i in range(400)] + [("small", i, 4000, None) for i in range(3)])
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
         manifest = writers.write_transforms(build_transforms(docs), root, source="test")
         writers.write_trajectory(docs, root)
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert rows_of(manifest, "session_id", "items") == [("hot", 400), ("small", 3)]
     doc = json.loads((tmp_path / "hot" / "transforms.json").read_text())
