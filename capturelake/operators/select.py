@@ -19,7 +19,9 @@ one request (or one per unmerged head), never a group.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,16 +97,62 @@ def _decide(tracked: bool, limits: tuple | None) -> Callable[[Iterator[pd.DataFr
     return fold
 
 
+class Orbits:
+    """Selections running side by side through a chunk, each from its own first request.
+
+    Selections whose last request is the same frame go on as one. A frame is only tried
+    against those that can follow their last request by time: ``flying`` wait for their
+    request to end (in arrival order), ``young`` for the interval (a heap by time), and only
+    the ``ripe`` ones are tested for viewpoint.
+    """
+
+    def __init__(self, tracked: bool):
+        self.tracked = tracked
+        self.flying: deque = deque()
+        self.young: list = []
+        self.ripe: list = []
+
+    def follow(self, row: tuple, clear: int | None, limits: tuple) -> list[int]:
+        """Takes out the selections that request ``row``; returns the ids of their heads."""
+        while self.flying and clear is not None and self.flying[0][0][0] < clear:
+            end, ids = self.flying.popleft()
+            heappush(self.young, (end[1], end[0], end, ids))
+        while self.young and row[1] - self.young[0][0] >= limits[0]:
+            _, _, end, ids = heappop(self.young)
+            self.ripe.append((end, ids))
+        merged: list[int] = []
+        left = []
+        for end, ids in self.ripe:
+            if refuse(end, row, clear, self.tracked, limits) is None:
+                merged, ids = (merged, ids) if len(merged) >= len(ids) else (ids, merged)
+                merged.extend(ids)
+            else:
+                left.append((end, ids))
+        self.ripe = left
+        return merged
+
+    def add(self, row: tuple, ids: list[int]) -> None:
+        if self.tracked:
+            self.flying.append((row, ids))
+        else:
+            heappush(self.young, (row[1], row[0], row, ids))
+
+    def ends(self) -> dict[int, tuple]:
+        """Last request per head."""
+        held = [*self.flying, *self.ripe, *[(end, ids) for _, _, end, ids in self.young]]
+        return {i: end for end, ids in held for i in ids}
+
+
 def _head_folds(tracked: bool, limits: tuple | None, chunk: str) -> Callable:
     columns = [SESSION, chunk, *[f"_h_{c}" for c in REQUEST], "_h_clear",
                *([f"_h_{t}" for t in THRESHOLDS]), *[f"_x_{c}" for c in REQUEST]]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, heads, orbits = None, [], {}
-        open_plain, open_flight, cleared = True, True, False
+        where, heads, orbits = None, [], Orbits(tracked)
+        open_plain = open_flight = cleared = False
 
         def finish() -> list[tuple]:
-            ends = {h: end for end, ids in orbits.values() for h in ids}
+            ends = orbits.ends()
             return [(*where, *h, c, *b, *ends[i]) for i, (h, c, b) in enumerate(heads)]
 
         for pdf in batches:
@@ -117,12 +165,11 @@ def _head_folds(tracked: bool, limits: tuple | None, chunk: str) -> Callable:
                 if first:
                     if where is not None:
                         out.extend(finish())
-                    where, heads, orbits = key, [], {}
+                    where, heads, orbits = key, [], Orbits(tracked)
                     open_plain, open_flight, cleared = True, tracked, False
                 if block:
                     continue
-                moved = [s for s, (end, _) in orbits.items() if refuse(end, row, clear, tracked, bounds) is None]
-                merged = [i for s in moved for i in orbits.pop(s)[1]]
+                merged = orbits.follow(row, clear, bounds)
                 cleared = cleared or (clear is not None and clear > clear0)
                 if open_plain or (open_flight and cleared):
                     merged.append(len(heads))
@@ -132,7 +179,7 @@ def _head_folds(tracked: bool, limits: tuple | None, chunk: str) -> Callable:
                     open_plain = open_plain and not forced
                     open_flight = open_flight and not (forced and cleared)
                 if merged:
-                    orbits[row[0]] = (row, merged)
+                    orbits.add(row, merged)
             if out:
                 yield pd.DataFrame(out, columns=columns)
         if where is not None:

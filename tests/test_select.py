@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from helpers import fold, frames_table, random_frames
 
-from capturelake.operators.select import refuse, select_keyframes
+from capturelake.operators.select import Orbits, refuse, select_keyframes
 from capturelake.policies import DATASET, HIGHRES_GENERIC, POLICIES, POLICY_SCHEMA
 
 # A hot session with most rows, a few small ones.
@@ -98,3 +98,21 @@ def test_refuse_is_in_flight_until_cleared():
     assert refuse(last, row, 3, True, limits) == "in_flight"
     assert refuse(last, row, 4, True, limits) is None
     assert refuse(last, row, None, False, limits) is None
+
+
+def test_dense_chunks_stay_linear():
+    """Many selections within one interval are kept waiting, not tried against every frame."""
+    orbits, limits, tries = Orbits(False), (7 * 10**8, 2 * 10**9, 0.03, 2.5), 0
+    for i in range(20_000):
+        row = (i, i * 10**5, i / 10.0, 0, 0, 0, 0, 0, 1)
+        merged = orbits.follow(row, None, limits)
+        tries += len(orbits.ripe) + len(merged)
+        orbits.add(row, [*merged, i])
+    assert tries < 200_000
+    assert len(orbits.ends()) == 20_000
+
+
+@pytest.mark.parametrize("step_ns", [10_000_000, 1_000_000])
+def test_equals_fold_on_a_dense_clock(spark, step_ns):
+    rows = random_frames(51, {"hot": 2000, "a": 50}, step_ns=step_ns)
+    assert decisions(select_keyframes(frames_table(spark, rows), DATASET, width=100)) == fold(rows, DATASET)
