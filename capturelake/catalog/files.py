@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from capturelake.catalog.clouds import LOCAL, MODEL, PX, binary_frames, decoded_sql, rgb_sql, world
 from capturelake.catalog.common import intrinsics, r, rq, sql, sql_matrix
 from capturelake.catalog.datasets import ROOTED, SAVED, VALID, documents, saved_keyframes, sessions
+from capturelake.catalog.frames import decisions_sql, photo_frames
 from capturelake.catalog.photos import NEAREST, PHOTO_TABLES
 from capturelake.fixtures import table
 from capturelake.functions.pose import pose
-from capturelake.operators.export import build_manifests, build_transforms, prepare_jobs, validate_sessions
+from capturelake.operators.export import (build_manifests, build_transforms, photo_documents, prepare_jobs,
+                                          session_documents, validate_sessions)
+from capturelake.operators.motion import motion
 from capturelake.operators.points import explode_depth_frames
+from capturelake.operators.select import select_keyframes
 from capturelake.plans.chunks import SESSION
+from capturelake.policies import DATASET, PHOTO_GENERIC
 from capturelake.session import checkpoint_dir
 from capturelake.sources import readers, writers
 
@@ -100,10 +105,11 @@ def session_camera_files(spark: SparkSession, sf: str) -> DataFrame:
         "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 90 END AS sensor_orientation_degrees",
         "CASE WHEN c_custkey % 7 > 0 THEN struct(0 AS left, 0 AS top, 4080 AS right, 3072 AS bottom) END AS active_array",
         "array(1.68D) AS available_apertures", "cast(NULL AS array<double>) AS lens_distortion")
-    writers.write_session_cameras(cameras, root)
+    writers.write_session_cameras(session_documents(cameras, DATASET), root)
     return readers.read_session_cameras(spark, root).select(
         SESSION, "model", "camera_id", "sensor_orientation_degrees", F.col("active_array.right").alias("active_right"),
-        F.col("available_apertures")[0].alias("aperture"), F.size("lens_distortion").alias("distortion_values"))
+        F.col("available_apertures")[0].alias("aperture"), F.size("lens_distortion").alias("distortion_values"),
+        "stabilization_policy")
 
 
 def image_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,6 +151,20 @@ def pose_table(spark: SparkSession, sf: str) -> DataFrame:
         F.col("image_k.width").alias("width"), "af_state")
 
 
+def photo_keyframe_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Photo-profile keyframes: requested frames with their motion, as documents read back."""
+    root = shared_folder(spark)
+    frames = photo_frames(spark, sf)
+    asked = select_keyframes(frames, PHOTO_GENERIC).where("decision = 'requested'").select(SESSION, "seq")
+    requested = motion(frames).join(asked, [SESSION, "seq"]).withColumn("image_timestamp_ns", F.col("timestamp_ns") + 5)
+    writers.write_keyframes(photo_documents(requested, PHOTO_GENERIC), root)
+    return readers.read_keyframes(spark, root).select(
+        SESSION, "capture_index", "image", "width", "frame_timestamp_ns",
+        r(F.col("intrinsics.focal_length_px")[0], 3).alias("fx"), F.col("camera_metadata.iso").alias("iso"),
+        r("capture_quality_gate.linear_speed_mps", 5).alias("linear_mps"),
+        F.col("capture_quality_gate.profile").alias("profile"))
+
+
 ROOT_NAME = "format('frame_{:06d}_{}', frame_id, frame_id*33000000)"
 IMAGE = "format('frame_{:06d}_{}.jpg', capture_index, k.timestamp_ns)"
 M = sql_matrix()
@@ -164,6 +184,11 @@ QUERIES = {
         f"{rq('p.fx', 'fx', 3)}, m.iso, 16 AS matrix_values, cast(4000000 AS bigint) AS max_saved_exposure_ns FROM {SAVED} "
         "JOIN still_metadata m ON m.session_id = k.session_id AND m.timestamp_ns = k.timestamp_ns WHERE outcome = 'saved'",
         *PHOTO_TABLES, extra=f"{NEAREST}, {ROOTED}")),
+    "photo_keyframe_files": (photo_keyframe_files, decisions_sql(PHOTO_GENERIC, body=(
+        "SELECT session_id, capture_index, format('frame_{:06d}_{}.jpg', capture_index, timestamp_ns + 5) AS image, "
+        f"img_w AS width, timestamp_ns AS frame_timestamp_ns, {rq('fx', 'fx', 3)}, iso, {rq('linear_mps', 'linear_mps', 5)}, "
+        "'generic' AS profile FROM (SELECT b.*, cast(row_number() OVER (PARTITION BY session_id ORDER BY seq) AS int) AS "
+        "capture_index FROM b JOIN decisions d USING (session_id, seq, timestamp_ns) WHERE d.decision = 'requested')"))),
     "validated_files": (validated_files, sql(
         "SELECT session_id, frame_count, bad_frames, CASE WHEN frame_count = 0 THEN 'no captured keyframes' "
         "WHEN bad_frames > 0 THEN 'finalize failed' ELSE 'ok' END AS status FROM checked", "keyframes", extra=VALID)),
@@ -186,8 +211,8 @@ QUERIES = {
 SELECT concat('s', lpad(cast(c_custkey AS varchar), 6, '0')) AS session_id,
   CASE WHEN c_custkey % 2 = 0 THEN 'Pixel 10a' ELSE 'Pixel 9' END AS model, cast(c_custkey % 3 AS varchar) AS camera_id,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 90 END AS sensor_orientation_degrees,
-  CASE WHEN c_custkey % 7 > 0 THEN 4080 END AS active_right, 1.68e0 AS aperture, CAST(NULL AS int) AS distortion_values
-FROM customer"""),
+  CASE WHEN c_custkey % 7 > 0 THEN 4080 END AS active_right, 1.68e0 AS aperture, CAST(NULL AS int) AS distortion_values,
+  'EIS OFF; OIS OFF for saved stills' AS stabilization_policy FROM customer"""),
     "image_files": (image_files, sql(
         f"SELECT session_id, capture_index, timestamp_ns, cast(length({IMAGE}) + 6 AS bigint) AS length FROM kf k "
         "WHERE outcome = 'saved'", *PHOTO_TABLES, extra=NEAREST)),

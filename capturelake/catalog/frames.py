@@ -181,6 +181,12 @@ def session_names(spark: SparkSession, sf: str) -> DataFrame:
         "user_id", F.concat(F.lit("capture_tmp_"), session_name(F.col("ts"))).alias("directory"))
 
 
+def photo_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracking frames with the exposure of their own camera state."""
+    exposures = table(spark, sf, "camera_states").select(*KEY, "exposure_time_ns", "iso")
+    return tracking(spark, sf).join(exposures, list(KEY))
+
+
 def fold_sql(p: Policy, controls: bool) -> str:
     """Selection as a recursive statement: one step per frame and session, carrying the last request."""
     if controls:
@@ -193,6 +199,11 @@ def fold_sql(p: Policy, controls: bool) -> str:
     else:
         marked = "SELECT f.*, true AS enabled FROM f"
         flight = ""
+    exposure = ""
+    if p.profile == "photo":
+        marked = ("SELECT f.*, true AS enabled, c.exposure_time_ns, c.iso FROM f "
+                  "JOIN camera_states c USING (session_id, seq)")
+        exposure = f"WHEN exposure_time_ns > {p.max_exposure_ns} THEN 'exposure'"
     last = ("last_seq", "last_ts", *[f"l{c}" for c in FIELDS])
     now = ("seq", "timestamp_ns", *FIELDS)
     keep = ", ".join(f"CASE WHEN d = 'requested' THEN {b} ELSE {a} END" for a, b in zip(last, now))
@@ -204,7 +215,7 @@ def fold_sql(p: Policy, controls: bool) -> str:
 marked AS ({marked}),
 b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn,
   CASE WHEN linear_mps > {p.max_linear_mps!r} OR angular_dps > {p.max_angular_dps!r} THEN 'motion'
-       WHEN lens_state <> 0 THEN 'lens' WHEN af_state NOT IN (0, 2, 4) THEN 'focus' END AS block FROM marked),
+       WHEN lens_state <> 0 THEN 'lens' WHEN af_state NOT IN (0, 2, 4) THEN 'focus' {exposure} END AS block FROM marked),
 starts AS (SELECT session_id AS sid, 0::BIGINT AS step, NULL::BIGINT AS s_seq, NULL::BIGINT AS s_ts,
   NULL::VARCHAR AS dec, NULL::BIGINT AS last_seq, NULL::BIGINT AS last_ts,
   {', '.join(f'NULL::DOUBLE AS l{c}' for c in FIELDS)} FROM (SELECT DISTINCT session_id FROM b)),
@@ -225,7 +236,8 @@ decisions AS (SELECT sid AS session_id, s_seq AS seq, s_ts AS timestamp_ns, dec
 
 def decisions_sql(p: Policy, controls: bool = False,
                   body: str = "SELECT * FROM decisions") -> str:
-    return sql(body, "poses", *(["control_events"] if controls else []), extra=fold_sql(p, controls), recursive=True)
+    more = ["control_events"] if controls else ["camera_states"] if p.profile == "photo" else []
+    return sql(body, "poses", *more, extra=fold_sql(p, controls), recursive=True)
 
 
 def bounded(lo: str, hi: str, v: str) -> str:
@@ -322,6 +334,7 @@ QUERIES = {
     # selection
     "select_keyframes": (lambda s, d: decided(s, d, DATASET), decisions_sql(DATASET)),
     "select_keyframes_highres": (lambda s, d: decided(s, d, HIGHRES_PIXEL10A), decisions_sql(HIGHRES_PIXEL10A)),
+    "select_keyframes_photo": (lambda s, d: select_keyframes(photo_frames(s, d), PHOTO_GENERIC), decisions_sql(PHOTO_GENERIC)),
     "select_keyframes_with_controls": (lambda s, d: decided(s, d, DATASET, True), decisions_sql(DATASET, True)),
     "choose_jpeg_size": (jpeg_sizes, sql(
         "SELECT camera_id, ord, width, height, tier FROM (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY tier, "

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.functions.imaging import frame_name
+from capturelake.functions.imaging import frame_name, megapixels
 from capturelake.functions.pose import column_major_to_rows, forward_world, pose_inverse, pose_matrix, up_world
-from capturelake.plans.chunks import SESSION, attach
+from capturelake.plans.chunks import SESSION, Running, attach, running
 from capturelake.policies import DATASET, MIN_JOB_FRAMES, Policy
 
 # Fixed values of the dataset documents.
@@ -158,6 +158,25 @@ def _intrinsics(k: str) -> Column:
                     F.array(c["width"], c["height"]).alias("image_dimensions"))
 
 
+# Fixed texts of the session documents, per profile.
+SESSION_TEXTS = {
+    "dataset": {
+        "dataset_contents": "Each frame has .jpg + synchronized root-anchor camera pose JSON + Raw Depth .ply",
+        "capture_policy": "Prefer 1/500 s; save no slower than 1/250 s and no higher than ISO 3200",
+        "stabilization_policy": "EIS OFF; OIS OFF for saved stills"},
+    "highres": {
+        "capture_policy": "Camera2 still: target 1/500 s, never save slower than 1/300 s, ISO <= 1600",
+        "focus_policy": "ARCore/Camera2 autofocus for acquisition; lock measured focus distance for still",
+        "stabilization_policy": "EIS OFF and OIS OFF for saved stills",
+        "aperture_policy": "do not change physical aperture; record actual f-number"},
+    "photo": {
+        "eis_policy": "OFF for stable photogrammetry geometry",
+        "focus_policy": "ARCore AUTO; save only stationary/focused lens frames"},
+}
+HIGHRES_NAMES = {"pixel10a": "pixel_10a_photogrammetry", "generic": "photogrammetry"}
+PHOTO_NAMES = {"pixel10a": "pixel_10a", "generic": "generic"}
+JPEG_QUALITY = 95
+
 # metadata column -> document field, in document order
 _CAPTURE = {"exposure_time_ns": "exposure_time_ns", "iso": "iso", "aperture": "aperture_f_number",
             "focal_length_mm": "focal_length_mm", "focus_distance_diopters": "focus_distance_diopters",
@@ -177,7 +196,7 @@ def quality_gate(policy: Policy) -> Column:
     if policy.depth_tolerance_ns is not None:
         fields["max_depth_match_delta_ns"] = policy.depth_tolerance_ns
     else:
-        fields["profile"] = ("pixel_10a_photogrammetry" if policy.device_class == "pixel10a" else "photogrammetry")
+        fields["profile"] = HIGHRES_NAMES[policy.device_class]
     return F.struct(*[F.lit(v).alias(n) for n, v in fields.items()])
 
 
@@ -193,6 +212,8 @@ def keyframe_documents(keyframes: DataFrame, policy: Policy = DATASET) -> DataFr
     meta_fields = set(saved.schema["meta"].dataType.names)
     capture = F.struct(*[(F.col(f"meta.{src}") if src in meta_fields else F.lit(None).cast("int")).alias(dst)
                          for src, dst in _CAPTURE.items()])
+    if "camera_id" in saved.columns:
+        capture = capture.withField("camera_id", F.col("camera_id"))
     columns = {"capture_index": F.col("capture_index"), "image": F.concat(base, F.lit(".jpg"))}
     has_depth = "depth_seq" in saved.columns
     if has_depth:
@@ -206,17 +227,62 @@ def keyframe_documents(keyframes: DataFrame, policy: Policy = DATASET) -> DataFr
         columns |= {"raw_depth_timestamp_ns": F.col("depth_timestamp_ns"),
                     "depth_timestamp_delta_ns": F.col("depth_delta_ns"), "point_count": count.cast("int"),
                     "point_cloud_coordinate_system": F.lit(POINT_COORDINATES)}
-    columns |= {"translation_m": F.array(p["tx"], p["ty"], p["tz"]),
-                "rotation_quaternion_xyzw": F.array(p["qx"], p["qy"], p["qz"], p["qw"]),
-                "world_from_camera_column_major": pose_matrix(p),
-                "camera_from_world_column_major": pose_matrix(pose_inverse(p)),
-                "forward_world": forward_world(p), "up_world": up_world(p),
+    columns |= {**_pose_fields(p),
                 "arcore_image_intrinsics": _intrinsics("image_k"),
                 "arcore_texture_intrinsics": _intrinsics("texture_k"),
                 "camera2_capture": capture, "capture_quality_gate": quality_gate(policy)}
     return saved.select(SESSION, *[c.alias(n) for n, c in columns.items()])
 
 
+def _pose_fields(p: Column) -> dict[str, Column]:
+    return {"translation_m": F.array(p["tx"], p["ty"], p["tz"]),
+            "rotation_quaternion_xyzw": F.array(p["qx"], p["qy"], p["qz"], p["qw"]),
+            "world_from_camera_column_major": pose_matrix(p),
+            "camera_from_world_column_major": pose_matrix(pose_inverse(p)),
+            "forward_world": forward_world(p), "up_world": up_world(p)}
+
+
+def photo_documents(frames: DataFrame, policy: Policy) -> DataFrame:
+    """B2 content of the photo profile, where the requested frame is the photo.
+
+    ``frames`` are requested frames with motion, pose, image_k, image_timestamp_ns and any of
+    the metadata columns; capture indices count them in arrival order.
+    """
+    counted = running(frames, [Running("capture_index", "sum", F.lit(1))])
+    k, p = F.col("image_k"), F.col("pose")
+    known = {"sensor_timestamp_ns", "exposure_time_ns", "frame_duration_ns", "rolling_shutter_skew_ns", "iso",
+             "aperture_f_number", "focal_length_mm", "focus_distance_diopters", "focus_range_diopters", "lens_state",
+             "af_mode", "af_state", "ae_state", "awb_state", "ois_mode", "video_stabilization_mode",
+             "lens_intrinsic_calibration", "lens_radial_distortion"}
+    metadata = [c for c in frames.columns if c in known]
+    gate = {"profile": F.lit(PHOTO_NAMES[policy.device_class]), "linear_speed_mps": F.col("linear_mps"),
+            "angular_speed_dps": F.col("angular_dps"), "max_exposure_ns": F.lit(policy.max_exposure_ns),
+            "max_linear_speed_mps": F.lit(policy.max_linear_mps), "max_angular_speed_dps": F.lit(policy.max_angular_dps),
+            "jpeg_quality": F.lit(JPEG_QUALITY)}
+    columns = {"capture_index": F.col("capture_index").cast("int"),
+               "image": F.concat(frame_name(F.col("capture_index"), F.col("image_timestamp_ns")), F.lit(".jpg")),
+               "width": k["width"], "height": k["height"], "frame_timestamp_ns": F.col("timestamp_ns"),
+               "image_timestamp_ns": F.col("image_timestamp_ns"), **_pose_fields(p), "intrinsics": _intrinsics("image_k"),
+               "camera_metadata": F.struct(*metadata),
+               "capture_quality_gate": F.struct(*[c.alias(n) for n, c in gate.items()])}
+    return counted.select(SESSION, *[c.alias(n) for n, c in columns.items()])
+
+
+def session_documents(sessions: DataFrame, policy: Policy) -> DataFrame:
+    """B8 content: a session's camera columns with the profile's fixed texts and thresholds."""
+    extra: dict[str, Column] = {n: F.lit(t) for n, t in SESSION_TEXTS[policy.profile].items()}
+    if policy.profile == "highres":
+        extra["profile"] = F.lit(HIGHRES_NAMES[policy.device_class])
+        if "jpeg_width" in sessions.columns:
+            extra["jpeg_megapixels"] = megapixels(F.col("jpeg_width"), F.col("jpeg_height"))
+    if policy.profile == "photo":
+        extra |= {"capture_profile": F.lit(PHOTO_NAMES[policy.device_class]),
+                  "max_exposure_ns": F.lit(policy.max_exposure_ns),
+                  "max_linear_speed_mps": F.lit(policy.max_linear_mps),
+                  "max_angular_speed_dps": F.lit(policy.max_angular_dps)}
+    return sessions.withColumns(extra)
+
+
 def trajectory_lines(documents: DataFrame) -> DataFrame:
     """B3 content: one CSV line per keyframe with 9 decimals."""
     t, q = F.col("translation_m"), F.col("rotation_quaternion_xyzw")

@@ -9,7 +9,7 @@ from capturelake.operators.motion import last_n
 from capturelake.plans.chunks import SEQ_CHUNK, SESSION
 from capturelake.policies import DISPLAY_FRAMES, LOG_LINES
 
-DECISIONS = ("capture_stopped", "in_flight", "interval", "viewpoint", "motion", "lens", "focus", "requested")
+DECISIONS = ("capture_stopped", "in_flight", "interval", "viewpoint", "motion", "lens", "focus", "exposure", "requested")
 
 
 def depth_frames_held(depth: DataFrame, n: int = DISPLAY_FRAMES) -> DataFrame:

@@ -217,12 +217,19 @@ def _walk(tracked: bool, chunk: str) -> Callable[[Iterator[pd.DataFrame]], Itera
     return fold
 
 
-def block_reason(policy: Policy | str) -> Column:
-    """The first failing gate that does not depend on earlier requests; null if none."""
-    return (F.when(~F.col("enabled"), "capture_stopped")
-            .when(~is_slow(policy), "motion")
-            .when(F.col("lens_state") != 0, "lens")
-            .when(~F.col("af_state").isin(*FOCUSED_AF), "focus"))
+def block_reason(policy: Policy | str, exposure: bool = False) -> Column:
+    """The first failing gate that does not depend on earlier requests; null if none.
+
+    Frames are gated on exposure only where the frame itself becomes the photo.
+    """
+    reason = (F.when(~F.col("enabled"), "capture_stopped")
+              .when(~is_slow(policy), "motion")
+              .when(F.col("lens_state") != 0, "lens")
+              .when(~F.col("af_state").isin(*FOCUSED_AF), "focus"))
+    if not exposure:
+        return reason
+    slow = F.col("exposure_time_ns") > threshold(policy, "max_exposure_ns")
+    return reason.when(threshold(policy, "null_exposure_ok") & slow, "exposure")
 
 
 def with_history(frames: DataFrame, controls: DataFrame | None, width: int) -> DataFrame:
@@ -249,7 +256,7 @@ def select_keyframes(frames: DataFrame, policy: Policy | str, controls: DataFram
     """G1: (session_id, seq, timestamp_ns, decision) for every tracking frame, in arrival order.
 
     ``frames`` holds session_id, seq, timestamp_ns, pose, lens_state and af_state, tracking
-    frames only. Motion and viewpoint are the same in any fixed coordinate system, so poses
+    frames only; the photo profile also uses exposure_time_ns. Motion and viewpoint are the same in any fixed coordinate system, so poses
     need not be root-relative. Without ``controls`` a request ends at once; with them, frames
     between a request and the event that ends it are ``in_flight``, and frames between stop
     and resume are ``capture_stopped``.
@@ -260,7 +267,7 @@ def select_keyframes(frames: DataFrame, policy: Policy | str, controls: DataFram
     seen = with_history(frames, controls, width)
     ready = cut(seen.select(
         SESSION, chunk_of(F.col("_at") - 1, width).alias(chunk), "seq", "timestamp_ns", *[F.col(f"pose.{c}").alias(c) for c in POSE], "_clear",
-        block_reason(policy).alias("_block"),
+        block_reason(policy, "exposure_time_ns" in frames.columns).alias("_block"),
         *([] if limits else [threshold(policy, t).alias(t) for t in THRESHOLDS])))
 
     # One row per chunk: is there a later one, and the clock and clearing arrival before it.

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,11 @@ def _session(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
 
 
+def _files(spark: SparkSession, name: str) -> DataFrameReader:
+    """A reader of the files with a name pattern below a root; folders are listed by Spark tasks."""
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
+
+
 def _with_session(df: DataFrame) -> DataFrame:
     return df.select(_session(F.col("_metadata.file_path")).alias(SESSION),
                      F.col("_metadata.file_name").alias("file_name"), *df.columns)
@@ -29,27 +34,26 @@ def _with_session(df: DataFrame) -> DataFrame:
 
 def read_keyframes(spark: SparkSession, root: str) -> DataFrame:
     """A1: every frame_*.json of every session; unreadable documents become all-null rows, which E2 rejects."""
-    docs = spark.read.schema(schemas.KEYFRAME).option("multiLine", True).json(f"{root}/*/frame_*.json")
+    docs = _files(spark, "frame_*.json").schema(schemas.KEYFRAME).option("multiLine", True).json(root)
     return _with_session(docs)
 
 
 def read_transforms(spark: SparkSession, root: str) -> DataFrame:
     """A2: one row per frame of every transforms.json, frame fields flattened."""
-    docs = spark.read.schema(schemas.TRANSFORMS).option("multiLine", True).json(f"{root}/*/transforms.json")
+    docs = _files(spark, "transforms.json").schema(schemas.TRANSFORMS).option("multiLine", True).json(root)
     rows = _with_session(docs).select(SESSION, "camera_model", "coordinate_system", F.explode("frames").alias("f"))
     return rows.select(SESSION, "camera_model", "coordinate_system", "f.*")
 
 
 def transforms_sessions(spark: SparkSession, root: str) -> DataFrame:
     """Sessions that have a transforms document, with its frame count."""
-    docs = spark.read.schema(schemas.TRANSFORMS).option("multiLine", True).json(f"{root}/*/transforms.json")
+    docs = _files(spark, "transforms.json").schema(schemas.TRANSFORMS).option("multiLine", True).json(root)
     return _with_session(docs).select(SESSION, F.size("frames").alias("frame_count"))
 
 
 def read_trajectory(spark: SparkSession, root: str) -> DataFrame:
     """A3."""
-    return _with_session(spark.read.schema(schemas.TRAJECTORY).option("header", True).csv(
-        f"{root}/*/camera_trajectory.csv"))
+    return _with_session(_files(spark, "camera_trajectory.csv").schema(schemas.TRAJECTORY).option("header", True).csv(root))
 
 
 CLOUD = T.StructType(
@@ -62,7 +66,7 @@ CLOUD = T.StructType(
 
 def read_point_clouds(spark: SparkSession, root: str) -> DataFrame:
     """A4: point rows of every PLY file; one file is decoded at a time."""
-    files = spark.read.format("binaryFile").load(f"{root}/*/frame_*.ply").select(
+    files = _files(spark, "frame_*.ply").format("binaryFile").load(root).select(
         _session(F.col("path")).alias(SESSION), F.regexp_extract("path", r"([^/]+)\.ply$", 1).alias("frame"), "content")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,13 +87,13 @@ def read_point_clouds(spark: SparkSession, root: str) -> DataFrame:
 
 def read_session_cameras(spark: SparkSession, root: str) -> DataFrame:
     """A5: session_camera.json and session_device.json, absent fields null."""
-    return _with_session(spark.read.schema(schemas.SESSION_CAMERA).option("multiLine", True).json(
-        f"{root}/*/session_{{camera,device}}.json"))
+    return _with_session(_files(spark, "session_{camera,device}.json").schema(schemas.SESSION_CAMERA)
+                         .option("multiLine", True).json(root))
 
 
 def read_images(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """Photos with index and timestamp from their names; the bytes are read only on request."""
-    files = spark.read.format("binaryFile").load(f"{root}/*/frame_*.jpg")
+    files = _files(spark, "frame_*.jpg").format("binaryFile").load(root)
     name = r"frame_(\d+)_(\d+)\.jpg$"
     columns = [_session(F.col("path")).alias(SESSION),
                F.regexp_extract("path", name, 1).cast("int").alias("capture_index"),

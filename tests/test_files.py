@@ -178,3 +178,19 @@ def test_trajectory_lines_need_no_session_gathering(spark):
 @pytest.mark.parametrize("root", ["/a/b", "file:/a/b", "file:///a/b"])
 def test_roots(root):
     assert writers.open_root(root)[1] == "/a/b"
+
+
+def test_session_documents_per_profile(spark):
+    from capturelake.policies import DATASET, HIGHRES_PIXEL10A, PHOTO_GENERIC
+    from capturelake.operators.export import session_documents
+    base = spark.createDataFrame([("s", 4000, 3000)], "session_id string, jpeg_width int, jpeg_height int")
+    assert session_documents(base, DATASET).first().capture_policy.startswith("Prefer 1/500 s")
+    high = session_documents(base, HIGHRES_PIXEL10A).first()
+    assert (high.profile, high.jpeg_megapixels) == ("pixel_10a_photogrammetry", 12.0)
+    photo = session_documents(base, PHOTO_GENERIC).first()
+    assert (photo.capture_profile, photo.max_exposure_ns) == ("generic", 12_500_000)
+
+
+def test_tables_can_be_read_as_streams(spark, tmp_path):
+    for read in (readers.read_poses, readers.read_camera_states, readers.read_still_metadata):
+        assert read(spark, str(tmp_path), "json", stream=True, max_files=1).isStreaming
