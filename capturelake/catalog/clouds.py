@@ -10,12 +10,12 @@ from capturelake.fixtures import table
 from capturelake.functions.imaging import scale_intrinsics, subsample_step
 from capturelake.functions.pose import compose_parts, parts, pose, with_pose
 from capturelake.operators.gates import grid_subsample, min_confidence, valid_depth
-from capturelake.operators.motion import root_relative
+from capturelake.operators.motion import attach_root, root_relative, session_roots
 from capturelake.operators.points import (color_pixels, color_position, explode_depth_frames, frame_matrices,
                                           point_counts, points_per_view, project_points, session_cloud,
                                           unproject_pixels, view_frames, world_points, zip_arrays,
                                           zip_points_colors)
-from capturelake.plans.chunks import SESSION
+from capturelake.plans.chunks import SESSION, attach
 from capturelake.sources.readers import complete_depth_frames
 
 GRID = 2000
@@ -36,10 +36,9 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
 def located(spark: SparkSession, sf: str) -> DataFrame:
     """Pixels with their frame's session, intrinsics and matrix relative to the session's root."""
     side = frames(spark, sf)
-    roots = side.groupBy(SESSION).agg(F.min_by("pose", "seq").alias("root"))
-    placed = frame_matrices(side.join(roots, SESSION))
-    return pixels(spark, sf).join(placed.select(
-        "frame_id", SESSION, "texture_k", "depth_width", "depth_height", "model"), "frame_id")
+    placed = frame_matrices(attach_root(side, session_roots(side)))
+    return attach(pixels(spark, sf), placed.select(
+        "frame_id", SESSION, "texture_k", "depth_width", "depth_height", "model"), by=["i"], keys=["frame_id"], how="inner")
 
 
 def world(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,8 +123,7 @@ def newest_cloud(spark: SparkSession, sf: str) -> DataFrame:
 def views(spark: SparkSession, sf: str) -> DataFrame:
     """Every third depth frame of the table is also a view of its session."""
     side = frames(spark, sf)
-    roots = side.groupBy(SESSION).agg(F.min_by("pose", "seq").alias("root"))
-    return (side.where("frame_id % 3 = 0").join(roots, SESSION)
+    return (attach_root(side.where("frame_id % 3 = 0"), session_roots(side))
             .selectExpr(SESSION, "seq", "frame_id AS view_id", "pose", "root", "image_k"))
 
 

@@ -8,11 +8,19 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from capturelake.plans.chunks import Running, running
 
 DUCKDB = {"us": "epoch_us(ts)", "div": "//", "k": "json_extract_string(props, '$.k')", "string": "varchar"}
 SPARK = {"us": "unix_micros(cast(ts AS timestamp))", "div": "div", "k": "get_json_object(props, '$.k')",
          "string": "string"}
 
+# Tables that number rows within a key: (key, order columns, chunk width). DuckDB uses a window; Spark a
+# running count over chunks of the first order column, so that no key lands in one task.
+NUMBERED = {"depth_pixels": ("l_orderkey", ("l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice"), 1024),
+            "keyframes": ("o_custkey", ("o_orderkey",), 1 << 17)}
+
 # name -> (relation it reads, SQL)
 TABLES = {
     "ev": ("events", """
@@ -61,7 +69,7 @@ SELECT session_id, seq,
        ELSE 'result_without_timestamp' END AS kind
   FROM ev WHERE event_type IN ('error', 'signup', 'purchase') OR event_id % 10 = 3"""),
     "depth_pixels": ("lineitem", """
-SELECT l_orderkey AS frame_id, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS bigint) AS i,
+SELECT l_orderkey AS frame_id, {nth} AS i,
   cast(l_partkey % 160 AS int) AS x, cast((l_suppkey*7 + l_linenumber*13) % 90 AS int) AS y,
   CASE WHEN l_partkey % 10 = 0 THEN 0 ELSE cast(floor(l_extendedprice) AS bigint) % 5000 END AS depth_mm,
   cast((l_linenumber*37 + l_partkey) % 256 AS int) AS confidence, cast((l_partkey*3) % 256 AS int) AS yy,
@@ -84,7 +92,7 @@ SELECT p_brand AS device_id, p_partkey AS ord, concat('cam', cast(p_partkey % 3
   1280 + (p_size % 3)*640 AS gpu_w, 720 + (p_size % 3)*360 AS gpu_h FROM part"""),
     "keyframes": ("orders", """
 SELECT concat('s', lpad(cast(o_custkey AS {string}), 6, '0')) AS session_id, o_orderkey AS seq,
-  CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE cast(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS int) END AS capture_index,
+  CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE cast({nth} AS int) END AS capture_index,
   CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE 4000 END AS jpeg_width, 3000 AS jpeg_height,
   concat('frame_', cast(o_orderkey AS {string}), '.jpg') AS image,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE concat('frame_', cast(o_orderkey AS {string}), '.ply') END AS point_cloud,
@@ -100,8 +108,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in SOURCES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     parent, sql = TABLES[name]
-    body = re.sub(rf"\bFROM {parent}\b", "FROM {src}", sql.format(**SPARK))
-    return spark.sql(body, src=table(spark, sf_dir, parent))
+    source = table(spark, sf_dir, parent)
+    if name in NUMBERED:
+        key, order, width = NUMBERED[name]
+        source = running(source, [Running("nth", "sum", F.lit(1))], order=order, width=width, keys=(key,))
+    body = re.sub(rf"\bFROM {parent}\b", "FROM {src}", sql.format(**SPARK, nth="nth"))
+    return spark.sql(body, src=source)
 
 
 def ctes(*names: str) -> str:
@@ -116,4 +128,8 @@ def ctes(*names: str) -> str:
 
     for name in names:
         visit(name)
-    return ",\n".join(f"{n} AS ({TABLES[n][1].format(**DUCKDB)})" for n in order)
+    def nth(name: str) -> str:
+        key, columns, _ = NUMBERED.get(name, ("", (), 0))
+        return f"row_number() OVER (PARTITION BY {key} ORDER BY {', '.join(columns)})"
+
+    return ",\n".join(f"{n} AS ({TABLES[n][1].format(**DUCKDB, nth=nth(n))})" for n in order)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions.pose import (parts, relative_parts, rotation_degrees, translation_distance,
                                         with_pose)
-from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, attach, running
+from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, attach, pick, running
 
 CAMERA_FIELDS = ("exposure_time_ns", "iso", "focus_distance", "af_state", "lens_state")
 
@@ -41,7 +41,8 @@ def latest_camera_state(states: DataFrame, fields: Sequence[str] = CAMERA_FIELDS
 
 def session_roots(poses: DataFrame) -> DataFrame:
     """the pose of each session's first tracking frame (input already C1-filtered)."""
-    return poses.groupBy(SESSION).agg(F.min_by("pose", "seq").alias("root"))
+    first = pick(F.col("pose"), poses.schema["pose"].dataType, F.col("seq"), reverse=True)
+    return poses.groupBy(SESSION).agg(first.alias("root"))
 
 
 def attach_root(frames: DataFrame, roots: DataFrame, override: str | None = None) -> DataFrame:

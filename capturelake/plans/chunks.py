@@ -63,10 +63,10 @@ _JOIN = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
          "min": F.least, "max": F.greatest, "last": F.coalesce}
 
 
-def _pick(value: Column, dtype: T.DataType, position: Column, reverse: bool) -> Column:
+def pick(value: Column, dtype: T.DataType, position: Column, reverse: bool) -> Column:
     """The value at the last position, leaf by leaf: primitive buffers aggregate by hash."""
     if isinstance(dtype, T.StructType):
-        leaves = [_pick(value[f.name], f.dataType, position, reverse).alias(f.name) for f in dtype.fields]
+        leaves = [pick(value[f.name], f.dataType, position, reverse).alias(f.name) for f in dtype.fields]
         return F.when(F.max(position).isNotNull(), F.struct(*leaves))
     return (F.min_by if reverse else F.max_by)(value, position)
 
@@ -90,7 +90,7 @@ def running(df: DataFrame, specs: Sequence[Running], *, order: Sequence[str] = (
     def total(s: Running, v: Column, position: str) -> Column:
         if s.kind != "last":
             return _AGG[s.kind](v)
-        return _pick(v, types[s.out], F.when(v.isNotNull(), F.col(position)), reverse)
+        return pick(v, types[s.out], F.when(v.isNotNull(), F.col(position)), reverse)
 
     def earlier(at: str, *by: str) -> Window:
         return Window.partitionBy(*by).orderBy(direction(at)).rowsBetween(Window.unboundedPreceding, -1)
