@@ -15,7 +15,7 @@ from capturelake.operators.points import (color_pixels, color_position, explode_
                                           point_counts, points_per_view, project_points, session_cloud,
                                           unproject_pixels, view_frames, world_points, zip_arrays,
                                           zip_points_colors)
-from capturelake.plans.chunks import SESSION, attach
+from capturelake.plans.chunks import SESSION, attach, chunk_of
 from capturelake.sources.readers import complete_depth_frames
 
 GRID = 2000
@@ -38,7 +38,7 @@ def located(spark: SparkSession, sf: str) -> DataFrame:
     side = frames(spark, sf)
     placed = frame_matrices(attach_root(side, session_roots(side)))
     return attach(pixels(spark, sf), placed.select(
-        "frame_id", SESSION, "texture_k", "depth_width", "depth_height", "model"), by=["i"], keys=["frame_id"], how="inner")
+        "frame_id", SESSION, "texture_k", "depth_width", "depth_height", "model"), by=[chunk_of("i", 1024)], keys=["frame_id"], how="inner")
 
 
 def world(spark: SparkSession, sf: str) -> DataFrame:

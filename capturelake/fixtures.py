@@ -18,7 +18,7 @@ SPARK = {"us": "unix_micros(cast(ts AS timestamp))", "div": "div", "k": "get_jso
 
 # Tables that number rows within a key: (key, order columns, chunk width). DuckDB uses a window; Spark a
 # running count over chunks of the first order column, so that no key lands in one task.
-NUMBERED = {"depth_pixels": ("l_orderkey", ("l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice"), 1024),
+NUMBERED = {"depth_pixels": ("l_orderkey", ("l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice"), 1 << 14),
             "keyframes": ("o_custkey", ("o_orderkey",), 1 << 17)}
 
 # name -> (relation it reads, SQL)

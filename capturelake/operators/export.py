@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions.imaging import frame_name, megapixels
 from capturelake.functions.pose import column_major_to_rows, forward_world, pose_inverse, pose_matrix, up_world
-from capturelake.plans.chunks import SESSION, Running, attach, running
+from capturelake.plans.chunks import SESSION, Running, attach, chunk_of, running
 from capturelake.policies import DATASET, MIN_JOB_FRAMES, Policy
 
 # Fixed values of the dataset documents.
@@ -83,7 +83,8 @@ def build_transforms(keyframes: DataFrame, sessions: DataFrame | None = None) ->
     """E1 for valid sessions only: any bad frame fails its whole session."""
     status = validate_sessions(keyframes, keyframes if sessions is None else sessions)
     valid = status.where(F.col("status") == "ok").select(SESSION, F.lit(True).alias("_valid"))
-    return transform_frames(attach(keyframes, valid, by=["image", "jpeg_sensor_timestamp_ns"], how="inner"))
+    return transform_frames(attach(keyframes, valid, by=[
+        chunk_of("capture_index", 128), F.when(F.col("capture_index").isNull(), F.col("image"))], how="inner"))
 
 
 def transforms_head(source: str = "capturelake") -> dict:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from capturelake.functions.pose import (parts, relative_parts, rotation_degrees, translation_distance,
                                         with_pose)
-from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, attach, pick, running
+from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, attach, chunk_of, pick, running
 
 CAMERA_FIELDS = ("exposure_time_ns", "iso", "focus_distance", "af_state", "lens_state")
 
@@ -48,7 +48,7 @@ def session_roots(poses: DataFrame) -> DataFrame:
 def attach_root(frames: DataFrame, roots: DataFrame, override: str | None = None) -> DataFrame:
     """Adds ``root``; a per-frame override wins, and without any root the frame's own pose is used."""
     known = [F.col(override)] if override else []
-    joined = attach(frames, roots.withColumnRenamed("root", "_root"), by=["seq"])
+    joined = attach(frames, roots.withColumnRenamed("root", "_root"), by=[chunk_of("seq", 1024)])
     return joined.withColumn("root", F.coalesce(*known, F.col("_root"), F.col("pose"))).drop("_root")
 
 

@@ -125,7 +125,7 @@ def unproject_pixels(pixels: DataFrame, intrinsics: DataFrame | None = None, lim
     """
     rows = pixels
     if intrinsics is not None:
-        rows = attach(pixels, intrinsics, by=["i"], keys=[c for c in FRAME if c in pixels.columns], how="inner")
+        rows = attach(pixels, intrinsics, by=[chunk_of("i", 1024)], keys=[c for c in FRAME if c in pixels.columns], how="inner")
     rows = rows if pad else valid_depth(rows)
     if not sampled:
         rows = grid_subsample(rows, F.col("depth_width"), F.col("depth_height"), limit)
@@ -174,7 +174,7 @@ def world_points(points: DataFrame, frames: DataFrame | None = None, keys: Seque
     ``frames`` (with ``model``, see ``frame_matrices``) joins by frame; points that carry
     ``model`` already need no join.
     """
-    rows = points if frames is None else attach(points, frames, by=["i"], keys=keys, how="inner")
+    rows = points if frames is None else attach(points, frames, by=[chunk_of("i", 1024)], keys=keys, how="inner")
     x, y, z = apply_matrix(F.col("model"), F.col("x_m"), F.col("y_m"), F.col("z_m"))
     return rows.withColumns({"x": x, "y": y, "z": z}).drop("model")
 

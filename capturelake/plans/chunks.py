@@ -115,12 +115,13 @@ def running(df: DataFrame, specs: Sequence[Running], *, order: Sequence[str] = (
     return result.select(*kept, *[s.out for s in specs])
 
 
-def attach(df: DataFrame, values: DataFrame, by: Sequence[str], keys: Sequence[str] = (SESSION,),
+def attach(df: DataFrame, values: DataFrame, by: Sequence[str | Column], keys: Sequence[str] = (SESSION,),
            how: str = "left", salts: int = SALTS) -> DataFrame:
     """Joins per-key values (one row per key) onto rows, spreading a hot key over ``salts`` groups.
 
-    Rows get a salt from the columns ``by`` that tell the rows of one key apart. The values
-    go to the (key, salt) pairs that occur first; the row-level join is on (key, salt).
+    Rows get a salt from ``by``, columns that tell the rows of one key apart. The values go to
+    the (key, salt) pairs that occur first; the row-level join is on (key, salt). Blocks of
+    a counter as ``by`` (``chunk_of("seq", 1024)``) give small keys a single pair.
     """
     added = [c for c in values.columns if c not in keys]
     rows = df.drop(*added).withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)))

@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM does not compile methods over 8000 bytes; point arithmetic in one stage exceeds
+    # that and would be interpreted, several times slower than operator by operator.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
