@@ -34,14 +34,15 @@ def _numbered(distinct: DataFrame, order: list[str]) -> DataFrame:
 def _first_names(blocks: DataFrame) -> DataFrame:
     """(key, pos, n, name): the name of every block."""
     blocks = blocks.withColumns({"h": F.xxhash64("content"), "size": F.length("content")})
+    # Two passes over the text: one moves the distinct contents, one keeps only what stands for them.
     names = working_table(_numbered(blocks.select("h", "size", "content").distinct(), ["content"])
                           .select("h", "size", "name"))
+    cells = working_table(blocks.select(*KEY, "pos", "n", "h", "size"))
     by_hash = names.groupBy("h", "size").agg(F.min("name").alias("name"), F.count("*").alias("shared"))
     clashes = by_hash.where("shared > 1").select("h", "size")
-    used = blocks.groupBy("h", "size").agg(F.count("*").alias("uses"))
+    used = cells.groupBy("h", "size").agg(F.count("*").alias("uses"))
     plain = by_hash.where("shared = 1").drop("shared").join(used, ["h", "size"])
-    named = join_groups(blocks.select(*KEY, "pos", "n", "h", "size"), plain, ["h", "size"], "uses")
-    named = named.select(*KEY, "pos", "n", "name")
+    named = join_groups(cells, plain, ["h", "size"], "uses").select(*KEY, "pos", "n", "name")
     if clashes.limit(1).count():
         among = blocks.join(clashes, ["h", "size"], "left_semi")
         again = working_table(_numbered(among.select("content").distinct(), ["content"]))
