@@ -1,10 +1,10 @@
 """Packing of tokenised documents into fixed windows by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut into full windows and one remainder. The remainders of a bounded number of
-documents are partitioned into near-equal windows: every partial partition is a vector of window
+A document's ids are cut into full windows and parts of the remainder. A bounded number of parts is
+partitioned into near-equal windows: every partial partition is a vector of window
 loads; the two with the largest spread are merged so that the fullest window of one meets the emptiest
 of the other, until one is left. If its fullest window exceeds the capacity, the number of windows
-rises by one and the remainders are partitioned again. All of it happens inside map tasks.
+rises and the parts are partitioned again. All of it happens inside map tasks.
 
 Defined results: null or empty text has the end id alone; repeated rows are packed as often as they
 occur; other columns are ignored; an empty table gives an empty result. Sequence ids name the map task
@@ -25,62 +25,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import text_of
+from capturelake.llm.common import pieces, slices, spread, text_of, utf8
 
 WINDOW = 2048
 END = 1
-#: Remainders partitioned at a time; bounds memory and the length of the load vectors.
-GROUP = 4096
+#: A remainder is cut into parts of at most PART ids, so that windows can be filled evenly.
+PART = 512
+#: Parts partitioned at a time; bounds memory and the length of the load vectors.
+GROUP = 3072
 #: Words whose ids a task remembers.
-MEMO = 400_000
+MEMO = 1_000_000
+#: Bytes of text encoded at a time, or one longer text.
+SLICE = 1 << 24
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long")
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
-    """Window of each size, by multiway differencing. Ties go to the earlier partial partition."""
+    """Window of each size, by multiway differencing. Ties go to the earlier partial partition.
+
+    A partial partition holds its loads in descending order; loads of zero at the end are left out
+    until as many windows are in use. A load stands for a tree of sizes.
+    """
     n = len(sizes)
-    if windows == 1:
-        return np.zeros(n, dtype=np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    left: list[np.ndarray] = []
-    heap: list[tuple] = []
-    # The first partial partitions hold one size in each window; later ones are merged into them.
-    for begin in range(0, n, windows):
-        items = order[begin:begin + windows]
-        loads = np.zeros(windows, dtype=np.int64)
-        loads[:len(items)] = sizes[items]
-        members = np.full((windows, 1), -1, dtype=np.int64)
-        members[:len(items), 0] = items
-        left.append(members)
-        low = loads.min()
-        heap.append((-int(loads.max() - low), len(left) - 1, loads - low))
+    tree = [(-1, -1)] * n
+    heap = [(-int(size), i, np.array([size], dtype=np.int64), np.array([i], dtype=np.int64))
+            for i, size in enumerate(sizes.tolist())]
     heapq.heapify(heap)
+    count = n
     while len(heap) > 1:
-        _, a, first = heapq.heappop(heap)
-        _, b, second = heapq.heappop(heap)
-        down, up = np.argsort(-first, kind="stable"), np.argsort(second, kind="stable")
-        loads = first[down] + second[up]
-        left.append(np.concatenate([left[a][down], left[b][up]], axis=1))
-        left[a] = left[b] = None
-        low = loads.min()
-        heapq.heappush(heap, (-int(loads.max() - low), len(left) - 1, loads - low))
+        _, _, loads, nodes = heapq.heappop(heap)
+        _, _, others, names = heapq.heappop(heap)
+        meet = max(0, len(loads) + len(others) - windows)
+        # The fullest windows of one meet the emptiest of the other.
+        alone, small = len(loads) - meet, others[::-1]
+        both = loads[alone:] + small[:meet]
+        joined = np.arange(len(tree), len(tree) + meet)
+        tree.extend(zip(nodes[alone:].tolist(), names[::-1][:meet].tolist(), strict=True))
+        loads = np.concatenate([loads[:alone], both, small[meet:]])
+        nodes = np.concatenate([nodes[:alone], joined, names[::-1][meet:]])
+        order = np.argsort(-loads, kind="stable")
+        loads, nodes = loads[order], nodes[order]
+        if len(loads) == windows:
+            loads = loads - loads[-1]
+        heapq.heappush(heap, (-int(loads[0]), count, loads, nodes))
+        count += 1
     out = np.zeros(n, dtype=np.int64)
-    members = left[-1]
-    window, slot = np.nonzero(members >= 0)
-    out[members[window, slot]] = window
+    for window, node in enumerate(heap[0][3].tolist() if heap else ()):
+        stack = [node]
+        while stack:
+            left, right = tree[node := stack.pop()]
+            if left < 0:
+                out[node] = window
+            else:
+                stack += (left, right)
     return out
 
 
 def fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Window of each size so that none exceeds the capacity, with as few windows as differencing reaches."""
-    windows = max(1, -(-int(sizes.sum()) // capacity))
+    """Window of each size so that none exceeds the capacity; the number of windows rises until that holds."""
+    windows = max(1, -(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
     while True:
         out = differencing(sizes, windows)
         if np.bincount(out, weights=sizes).max(initial=0) <= capacity:
             return out
-        windows += 1
+        windows += 1 + windows // 500
 
 
 #: Letters and then marks: two pre-tokens or more, so letters and marks are encoded apart.
@@ -114,10 +124,21 @@ class WordIds(dict):
         self[word] = out
         return out
 
-    def encode(self, text: str) -> bytes:
-        """The tokenizer never joins text across ASCII white space, so words are encoded one by one."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.__getitem__, words))
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids end).
+
+        The tokenizer never joins text across ASCII white space, so the distinct words of the texts are
+        encoded one by one and put in place by number.
+        """
+        gap = (data == 32) | ((data >= 9) & (data <= 13))
+        cut = ~gap
+        cut[1:] &= gap[:-1]
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        which, words = pieces(data, starts)
+        ids, ends = spread(which, [self[w.strip(" \t\n\x0b\x0c\r")] for w in words])
+        ends = np.concatenate([[0], ends])
+        return ids, ends[np.searchsorted(starts, offsets[1:])]
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -136,7 +157,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, part: int = PART,
+         group: int = GROUP) -> DataFrame:
     """One row per piece: where it starts in its document, its length and checksum, its sequence and place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,20 +182,26 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
             return out
 
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = words.encode(text) + tail
-                total, cut = len(data) // 4, len(data) // 4 // window * window
-                for start in range(0, cut, window):
-                    crc = zlib.crc32(data[4 * start:4 * (start + window)])
-                    out.append((doc_id, start, window, crc, total, base + sequence, 0, window))
-                    sequence += 1
-                if cut < total:
-                    held.append((doc_id, cut, total - cut, zlib.crc32(data[4 * cut:]), total))
-                if len(held) >= group:
-                    out += windows(held)
-                    held = []
-            yield _batch(out)
+            data, offsets = utf8(batch.column(1))
+            doc_ids = batch.column(0).to_pylist()
+            for low, high in slices(offsets, SLICE):
+                out, last = [], 0
+                ids, ends = words.encode(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
+                for doc_id, stop in zip(doc_ids[low:high], ends.tolist(), strict=True):
+                    own = ids[last:stop].tobytes() + tail
+                    last, total = stop, len(own) // 4
+                    cut = total // window * window
+                    for start in range(0, cut, window):
+                        crc = zlib.crc32(own[4 * start:4 * (start + window)])
+                        out.append((doc_id, start, window, crc, total, base + sequence, 0, window))
+                        sequence += 1
+                    for start in range(cut, total, part):
+                        crc = zlib.crc32(own[4 * start:4 * (start + part)])
+                        held.append((doc_id, start, min(part, total - start), crc, total))
+                    if len(held) >= group:
+                        out += windows(held)
+                        held = []
+                yield _batch(out)
         if held:
             yield _batch(windows(held))
 
