@@ -5,7 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from capturelake.llm import byte_bpe, exact_dedup, language, packing, quality, secret_scan, topk
+from capturelake.llm import (
+    byte_bpe,
+    exact_dedup,
+    language,
+    packing,
+    page_text,
+    quality,
+    secret_scan,
+    substring_dedup,
+    topk,
+)
 from capturelake.llm.common import table
 
 
@@ -22,6 +32,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +66,23 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM t JOIN g USING (text_sha256)
 """
 
+OP5_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+u AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+x AS (SELECT doc_id, i, words[i] AS word,
+             CASE WHEN i + 19 <= len(words) THEN array_to_string(words[i:i + 19], ' ') END AS win FROM u),
+d AS (SELECT doc_id, i, word,
+             win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM x),
+c AS (SELECT doc_id, i, word,
+             bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+      FROM d),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+             string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
 OP7_SQL = """
 WITH v AS (
     SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
@@ -68,6 +103,8 @@ QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_packing": (op2_packing, None),
     "op3_byte_bpe": (op3_byte_bpe, None),
+    "op4_page_text": (op4_page_text, None),
+    "op5_substring_dedup": (op5_substring_dedup, OP5_SQL),
     "op6_quality": (op6_quality, None),
     "op7_topk": (op7_topk, OP7_SQL),
     "op8_secret_scan": (op8_secret_scan, None),
