@@ -9,6 +9,7 @@ from capturelake.llm import (
     byte_bpe,
     exact_dedup,
     language,
+    ngram_join,
     packing,
     page_text,
     quality,
@@ -56,6 +57,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_classes(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH t AS (
     SELECT DISTINCT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -98,6 +103,25 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
+OP10_SQL = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, array_to_string(words, ' ') AS s FROM w WHERE len(words) BETWEEN 1 AND 4
+      UNION ALL
+      SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ')
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+n AS (SELECT w.doc_id, count(s.s) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+      FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT doc_id, n AS n_shingles, component_id
+FROM n JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) USING (doc_id)
+"""
+
 #: name -> (query, SQL or None)
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
@@ -109,4 +133,5 @@ QUERIES = {
     "op7_topk": (op7_topk, OP7_SQL),
     "op8_secret_scan": (op8_secret_scan, None),
     "op9_language": (op9_language, None),
+    "op10_ngram_join": (op10_ngram_join, OP10_SQL),
 }
