@@ -6,7 +6,8 @@ three levels of 64-bit words. Find-first-set gives the lowest rank at hand; the
 its bucket is merged, unless the list changed there in the meantime (a stale entry, skipped). Each
 merge costs the same however long the match is, so matches of any length are encoded whole.
 
-Text repeats, so a task remembers the ids of up to MEMO stretches between white space.
+Text repeats: the distinct stretches between spaces of some texts are found first and put in place by
+number, and a worker remembers the ids of up to MEMO matches.
 """
 
 from __future__ import annotations
@@ -14,21 +15,24 @@ from __future__ import annotations
 import base64
 import heapq
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import text_of
+from capturelake.llm.common import pieces, slices, spread, text_of, utf8
 
-MEMO = 800_000
+MEMO = 1_200_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 # White space as Unicode defines it; the pattern's matches never reach over these boundaries.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-STRETCH = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: First bytes of characters that are certainly no white space.
+CLEAR = np.array([b > 32 and b not in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
+#: Bytes of text encoded at a time, or one longer text.
+SLICE = 1 << 24
 
 
 BIT = [1 << i for i in range(64)]
@@ -82,11 +86,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class ByteBpe(dict):
-    """Maps a stretch of text to its ids (little-endian unsigned 32-bit); encodes what it has not met."""
+class ByteBpe:
+    """Encoder and decoder over byte ranks; remembers the ids of matches (little-endian unsigned 32-bit)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
-        super().__init__()
         import regex
 
         self.ranks, self.memo = ranks, memo
@@ -141,21 +144,36 @@ class ByteBpe(dict):
             self.words[word] = out = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
-    def __missing__(self, stretch: str) -> bytes:
-        parts = self.split(stretch)
-        if len(parts) == 1:
-            return self._word(stretch)
-        out = b"".join(map(self._word, parts))
-        if 2 * len(self) >= self.memo:
-            self.clear()
-        self[stretch] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, STRETCH.findall(text)))
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
+    def stretch(self, stretch: str) -> bytes:
+        """Ids of the pattern's matches in a stretch of text, one after the other."""
+        return b"".join(map(self._word, self.split(stretch)))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids end).
+
+        Texts are cut before a space that an ASCII character other than white space follows, or a letter
+        beyond ASCII whose first byte no white space shares. The pattern starts a match there in any case.
+        """
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        cut = np.zeros(len(data), dtype=bool)
+        cut[:-1] = (data[:-1] == 32) & CLEAR[data[1:]]
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        which, stretches = pieces(data, starts)
+        ids, ends = spread(which, [self.stretch(s) for s in stretches])
+        ends = np.concatenate([[0], ends])
+        return ids, ends[np.searchsorted(starts, offsets[1:])]
+
+    def texts(self, column) -> Iterator[np.ndarray]:
+        """Ids of every text of an Arrow column."""
+        data, offsets = utf8(column)
+        for low, high in slices(offsets, SLICE):
+            ids, ends = self.encode(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
+            yield from np.split(ids, ends[:-1])
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 def _encoder(path: str, pattern: str) -> ByteBpe:
@@ -175,8 +193,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(ranks, pattern)
         for batch in batches:
-            ids = [memoryview(bpe.encode(t)).cast("I").tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids = pa.array([ids.astype(np.int32) for ids in bpe.texts(batch.column(1))], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -187,7 +205,7 @@ def decode(tokens: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(ranks, pattern)
         for batch in batches:
-            data = [b"".join(map(bpe.tokens.__getitem__, ids or ())) for ids in batch.column(1).to_pylist()]
+            data = [bpe.decode(np.array(ids or (), np.int64)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
     return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, data binary")
@@ -204,10 +222,9 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         bpe = _encoder(ranks, pattern)
         for batch in batches:
             counts, ids_sha, decoded_sha = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = bpe.encode(text)
-                counts.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
+            for ids in bpe.texts(batch.column(1)):
+                counts.append(len(ids))
+                ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 decoded_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)],
