@@ -29,7 +29,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -338,8 +337,32 @@ def cross_links(held: list[np.ndarray], queries: list[np.ndarray]) -> list[tuple
 LINK = "a long, b long"
 
 
-def _arrays(column: pd.Series) -> list[np.ndarray]:
-    return [np.asarray(x, dtype=np.int64) for x in column]
+def by_block(rows: DataFrame, flag: str, work) -> DataFrame:
+    """(a, b) that ``work`` finds in each block, given as rows (key, flag, shingles); a block is bounded by BLOCK."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def given(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            family, block, keys, flags = (batch.column(i).to_pylist() for i in range(4))
+            lists = batch.column(4)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            pairs = []
+            for i, mine in enumerate(zip(family, block, strict=True)):
+                if mine != key:
+                    pairs += work(held) if len(held) > 1 else []
+                    key, held = mine, []
+                held.append((keys[i], flags[i], values[ends[i]:ends[i + 1]].copy()))
+            yield given(pairs)
+        if len(held) > 1:
+            yield given(work(held))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.select("family", "block", "key", flag, "shingles").repartition(parts, "family", "block")
+            .sortWithinPartitions("family", "block", "key").mapInArrow(run, LINK))
 
 
 def family_links(members: DataFrame) -> DataFrame:
@@ -357,13 +380,12 @@ def family_links(members: DataFrame) -> DataFrame:
     rows = members.withColumn("lead", F.lit(False)).select(columns).unionByName(
         leads.withColumn("lead", F.lit(True)).select(columns))
 
-    def inner(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["lead", "key"], ascending=[False, True]).drop_duplicates("key")
-        keys = group["key"].tolist()
-        found = block_links(_arrays(group["shingles"]))
-        return pd.DataFrame({"a": [keys[i] for i, _ in found], "b": [keys[j] for _, j in found]}, dtype="int64")
+    def inner(rows: list[tuple]) -> list[tuple[int, int]]:
+        chosen = {key: shingles for key, _, shingles in sorted(rows, key=lambda r: (not r[1], r[0]))}
+        keys = list(chosen)
+        return [(keys[i], keys[j]) for i, j in block_links(list(chosen.values()))]
 
-    near = working_table(rows.groupBy("family", "block").applyInPandas(inner, LINK))
+    near = working_table(by_block(rows, "lead", inner))
     if not large.limit(1).count():
         return near
     # Of each large family, the sets outside its largest connected part are sought in every block.
@@ -380,13 +402,13 @@ def family_links(members: DataFrame) -> DataFrame:
     rows = sought.withColumn("query", F.lit(False)).select(columns).unionByName(
         queries.withColumn("query", F.lit(True)).select(columns))
 
-    def across(group: pd.DataFrame) -> pd.DataFrame:
-        held, asked = group[~group["query"]], group[group["query"]]
-        found = cross_links(_arrays(held["shingles"]), _arrays(asked["shingles"]))
-        a, b = held["key"].tolist(), asked["key"].tolist()
-        return pd.DataFrame({"a": [a[j] for j, _ in found], "b": [b[i] for _, i in found]}, dtype="int64").query("a != b")
+    def across(rows: list[tuple]) -> list[tuple[int, int]]:
+        held = [(key, shingles) for key, query, shingles in rows if not query]
+        asked = [(key, shingles) for key, query, shingles in rows if query]
+        found = cross_links([x for _, x in held], [x for _, x in asked])
+        return [(held[j][0], asked[i][0]) for j, i in found if held[j][0] != asked[i][0]]
 
-    return near.unionByName(rows.groupBy("family", "block").applyInPandas(across, LINK))
+    return near.unionByName(by_block(rows, "query", across))
 
 
 def link_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
