@@ -47,11 +47,12 @@ ALLOWED = (
 SPAN = "array<struct<start:int,end:int>>"
 
 
-def _spans(text: Column, pattern: str, matches: Column, keep) -> Column:
-    """Spans of the matches that keep(match, index) accepts; their gaps come from splitting at the pattern."""
-    gaps = F.split(text, pattern, -1)
-    sizes = F.transform(matches, lambda m, i: F.struct(
-        F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(m).alias("size"), keep(m, i).alias("keep")))
+def _spans(text: Column, pattern: str, matches: Column, groups: Column, keep) -> Column:
+    """Spans of the matches whose group keep() accepts; the gaps between them come from splitting at the pattern."""
+    # Zipped, so that the text is split once and not for each match; the gap behind the last match has none.
+    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), groups.alias("group"))
+    sizes = F.transform(F.slice(rows, F.lit(1), F.size(matches)), lambda x: F.struct(
+        F.char_length(x["gap"]).alias("gap"), F.char_length(x["match"]).alias("size"), keep(x["group"]).alias("keep")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -63,6 +64,16 @@ def _spans(text: Column, pattern: str, matches: Column, keep) -> Column:
     return F.aggregate(sizes, start, step, lambda acc: acc["out"])
 
 
+def _at_least(least: int):
+    return lambda string: F.char_length(string) >= least
+
+
+def _with_spans(rows: DataFrame, kind: str, pattern: str, keep) -> DataFrame:
+    spans = _spans(F.col("_text"), pattern, F.col("_match"), F.col("_group"), keep)
+    return rows.withColumn(f"_{kind}", F.when(F.size("_match") > 0, spans).otherwise(F.array().cast(SPAN))).drop(
+        "_match", "_group")
+
+
 def _base_spans(rows: DataFrame) -> DataFrame:
     for kind, pattern, group, least in BASE:
         text = F.col("_text")
@@ -71,13 +82,8 @@ def _base_spans(rows: DataFrame) -> DataFrame:
             pattern = f"{pattern[:-1]}{{{least},}}"
         hinted = text.rlike(HINT[kind])
         rows = rows.withColumn("_match", F.when(hinted, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-        if group:
-            rows = rows.withColumn("_group", F.when(hinted, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))))
-            keep = lambda m, i: F.char_length(F.get(F.col("_group"), i)) >= least
-        else:
-            keep = lambda m, i: F.char_length(m) >= least
-        rows = rows.withColumn(f"_{kind}", F.when(F.size("_match") > 0, _spans(text, pattern, F.col("_match"), keep))
-                               .otherwise(F.array().cast(SPAN))).drop("_match", "_group")
+        rows = rows.withColumn("_group", F.when(hinted, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))))
+        rows = _with_spans(rows, kind, pattern, _at_least(least))
     return rows
 
 
@@ -121,9 +127,8 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = _base_spans(docs.withColumn("_text", text_of()))
     text = F.col("_text")
     strings = F.when(text.rlike(r"[A-Za-z0-9+/_=-]{20}"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    rows = rows.withColumn("_match", strings)
-    rows = rows.withColumn("_entropy", F.when(F.size("_match") > 0, _spans(
-        text, CANDIDATE, F.col("_match"), lambda m, i: _suspicious(m))).otherwise(F.array().cast(SPAN)))
+    rows = _with_spans(rows.withColumn("_match", strings).withColumn("_group", F.col("_match")), "entropy", CANDIDATE,
+                       _suspicious)
     inside = lambda s: F.exists(F.concat("_assign", "_access", "_hex"), lambda b: (
         b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     rows = rows.withColumn("_entropy", F.filter("_entropy", lambda s: ~inside(s)))
@@ -165,8 +170,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     tail = lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.char_length(text)))
     clean = F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", start, step, tail)).otherwise(text)
-    changes = {"text": clean}
+    rows = rows.withColumn("_clean", clean)
+    changes = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        n = F.char_length(clean).cast(docs.schema["n_chars"].dataType)
+        n = F.char_length("_clean").cast(docs.schema["n_chars"].dataType)
         changes["n_chars"] = F.when(F.size("secret_spans") > 0, n).otherwise(F.col("n_chars"))
     return rows.select(*[changes[c].alias(c) if c in changes else F.col(c) for c in docs.columns])
