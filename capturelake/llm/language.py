@@ -118,7 +118,11 @@ class Parser:
             grid[:, PAD] = np.arange(base, base + len(moves))
             self.roots.append(base)
             rows.append(grid)
-        self.moves = np.concatenate(rows) if rows else np.zeros((0, self.width), np.int32)
+        # Between phrases: every symbol begins a new one.
+        self.between = sum(map(len, rows))
+        none = np.full((1, self.width), -1, dtype=np.int32)
+        none[:, PAD] = self.between
+        self.moves = np.concatenate([*rows, none])
         self.roots = np.array(self.roots, dtype=np.int32)
 
     @staticmethod
@@ -130,18 +134,18 @@ class Parser:
 
     def phrases(self, blocks: np.ndarray) -> np.ndarray:
         """Phrases that each language needs for each block (STEP symbols, padded): languages x blocks."""
-        flat, width, roots = self.moves.ravel(), self.width, self.roots[:, None]
+        flat, width = self.moves.ravel(), self.width
         first = self.moves[self.roots]
+        first[first < 0] = self.between  # a symbol that the language lacks is a phrase of its own
         count = np.zeros((len(self.roots), len(blocks)), dtype=np.int32)
-        state = np.repeat(roots, len(blocks), axis=1)
+        state = np.full(count.shape, self.between, dtype=np.int32)
         for j in range(blocks.shape[1]):
             symbol = blocks[:, j]
             to = flat[state * width + symbol]
             ended = to < 0
             count += ended
-            again = first[:, symbol]
-            state = np.where(ended, np.where(again < 0, roots, again), to)
-        return count + 1
+            state = np.where(ended, first[:, symbol], to)
+        return count
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], list[float]]:
         names, scores = [], []
