@@ -38,7 +38,7 @@ def located(spark: SparkSession, sf: str) -> DataFrame:
     side = frames(spark, sf)
     placed = frame_matrices(attach_root(side, session_roots(side)))
     return attach(pixels(spark, sf), placed.select(
-        "frame_id", SESSION, "texture_k", "depth_width", "depth_height", "model"), by=[chunk_of("i", 1024)], keys=["frame_id"], how="inner")
+        "frame_id", SESSION, "texture_k", "depth_width", "depth_height", "model"), by=[chunk_of("i", 1024)], keys=["frame_id"])
 
 
 def world(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,9 +121,9 @@ def newest_cloud(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def views(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third depth frame of the table is also a view of its session."""
+    """Every depth frame of the table is also a view of its session."""
     side = frames(spark, sf)
-    return (attach_root(side.where("frame_id % 3 = 0"), session_roots(side))
+    return (attach_root(side, session_roots(side))
             .selectExpr(SESSION, "seq", "frame_id AS view_id", "pose", "root", "image_k"))
 
 
@@ -232,7 +232,7 @@ def rgb_sql() -> str:
 VIEWED = """framed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rk FROM model),
 pairs AS (SELECT v.session_id, v.frame_id AS view_id, f.frame_id, v.m0, v.m1, v.m2, v.m4, v.m5, v.m6, v.m8, v.m9, v.m10,
   v.m12, v.m13, v.m14, v.fx, v.fy, v.cx, v.cy, v.img_w, v.img_h
-  FROM framed v JOIN framed f ON f.session_id = v.session_id AND f.rk <= v.rk AND f.rk > v.rk - 4 WHERE v.frame_id % 3 = 0),
+  FROM framed v JOIN framed f ON f.session_id = v.session_id AND f.rk <= v.rk AND f.rk > v.rk - 4),
 cam AS (SELECT q.session_id, q.view_id, q.fx, q.fy, q.cx, q.cy, q.img_w, q.img_h,
   m0*(x-m12) + m1*(y-m13) + m2*(z-m14) AS vx, m4*(x-m12) + m5*(y-m13) + m6*(z-m14) AS vy,
   0.01371e0 - (m8*(x-m12) + m9*(y-m13) + m10*(z-m14)) AS vd FROM pairs q JOIN world w USING (frame_id))"""

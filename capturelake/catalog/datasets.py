@@ -77,8 +77,7 @@ def names(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     working = c.selectExpr("CASE c_custkey % 4 WHEN 3 THEN concat('photogrammetry_', c_custkey) "
                            "ELSE concat('capture_tmp_', c_custkey) END AS directory")
-    existing = table(spark, sf, "orders").selectExpr("concat('dataset_', o_custkey) AS directory").where(
-        "o_orderkey % 11 = 0")
+    existing = table(spark, sf, "orders").selectExpr("concat('dataset_', o_custkey) AS directory")
     return published_names(working, existing)
 
 
@@ -161,8 +160,7 @@ FROM (SELECT session_id, count(g.seq) AS n, CASE WHEN count(g.seq) = 0 THEN 'mis
         "SELECT session_id, 1 AS format_version, 'saved' AS state, frame_count, 'transforms.json' AS transforms, "
         "'frame_*.jpg' AS image_pattern FROM checked WHERE bad_frames = 0 AND frame_count > 0", "keyframes", extra=VALID)),
     "published_names": (names, """
-SELECT directory, CASE WHEN k % 4 = 3 THEN directory WHEN EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = k
-  AND o_orderkey % 11 = 0) THEN concat('dataset_', k, '_saved') ELSE concat('dataset_', k) END AS published
+SELECT directory, CASE WHEN k % 4 = 3 THEN directory WHEN EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = k) THEN concat('dataset_', k, '_saved') ELSE concat('dataset_', k) END AS published
 FROM (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 3 THEN concat('photogrammetry_', c_custkey)
   ELSE concat('capture_tmp_', c_custkey) END AS directory FROM customer)"""),
     "keyframe_documents": (keyframe_json, sql(

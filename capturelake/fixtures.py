@@ -52,7 +52,7 @@ SELECT session_id, seq, timestamp_ns + (event_id % 7)*20000000 AS timestamp_ns,
   FROM ev WHERE event_type = 'purchase' AND event_id % 12 <> 0"""),
     "depth_frames_ref": ("ev", """
 SELECT session_id, seq, timestamp_ns + (event_id % 5)*30000000 AS timestamp_ns, event_id AS frame_id
-  FROM ev WHERE event_id % 2 = 0"""),
+  FROM ev"""),
     "camera_states": ("ev", """
 SELECT session_id, seq, timestamp_ns,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE 500000 + (event_id % 40)*1000000 END AS exposure_time_ns,

@@ -30,7 +30,7 @@ def sampled_dim(n: Column, step: Column) -> Column:
 
 def scale_intrinsics(k: Column, w: Column, h: Column) -> Column:
     """Intrinsics (fx, fy, cx, cy, width, height) rescaled to another image size."""
-    sx, sy = w / k["width"], h / k["height"]
+    sx, sy = F.try_divide(w, k["width"]), F.try_divide(h, k["height"])
     return F.struct((k["fx"] * sx).alias("fx"), (k["fy"] * sy).alias("fy"),
                     (k["cx"] * sx).alias("cx"), (k["cy"] * sy).alias("cy"),
                     w.cast("int").alias("width"), h.cast("int").alias("height"))
@@ -39,7 +39,7 @@ def scale_intrinsics(k: Column, w: Column, h: Column) -> Column:
 def unproject(x: Column, y: Column, depth_mm: Column, k: Column) -> tuple[Column, Column, Column]:
     """Pixel and millimetres to camera-local metres, camera looking along −Z."""
     d = depth_mm / F.lit(1000.0)
-    return d * (x - k["cx"]) / k["fx"], d * (k["cy"] - y) / k["fy"], -d
+    return F.try_divide(d * (x - k["cx"]), k["fx"]), F.try_divide(d * (k["cy"] - y), k["fy"]), -d
 
 
 def norm_confidence(b: Column) -> Column:
@@ -83,8 +83,8 @@ def pixel_count(w: Column, h: Column) -> Column:
 
 def is_four_by_three(w: Column, h: Column) -> Column:
     """I16: aspect within 0.04 of 4:3 in either orientation."""
-    ratio = F.greatest(w, h).cast("double") / F.least(w, h)
-    return F.abs(ratio - F.lit(4.0) / F.lit(3.0)) < F.lit(0.04)
+    ratio = F.try_divide(F.greatest(w, h).cast("double"), F.least(w, h))
+    return F.coalesce(F.abs(ratio - F.lit(4.0) / F.lit(3.0)) < F.lit(0.04), F.lit(False))
 
 
 def megapixels(w: Column, h: Column) -> Column:

@@ -44,13 +44,13 @@ def plan_exposure(state: dict[str, Column], caps: dict[str, Column], policy: Pol
     product = state["exposure_time_ns"].cast("double") * state["iso"].cast("double")
 
     first = _clamp(F.lit(TARGET_EXPOSURE_NS).cast("long"), lo_e, hi_e)
-    wanted_iso = F.ceil(product / first)
-    needed = F.ceil(product / hi_i)
+    wanted_iso = F.ceil(F.try_divide(product, first))
+    needed = F.ceil(F.try_divide(product, hi_i))
     below, above = wanted_iso < lo_i, wanted_iso > hi_i
-    exposure = (F.when(below, _clamp(java_round(product / lo_i), lo_e, hi_e))
+    exposure = (F.when(below, _clamp(java_round(F.try_divide(product, lo_i)), lo_e, hi_e))
                 .when(above, _clamp(needed, lo_e, hi_e))
                 .otherwise(first))
-    iso = _clamp(java_round(product / exposure), lo_i, hi_i)
+    iso = _clamp(java_round(F.try_divide(product, exposure)), lo_i, hi_i)
 
     af_ok = F.coalesce(state["af_state"].isin(0, 2, 4), threshold(policy, "plan_null_af_ok"))
     missing = state["exposure_time_ns"].isNull() | state["iso"].isNull() | state["focus_distance"].isNull()

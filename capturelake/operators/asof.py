@@ -67,9 +67,8 @@ def nearest(images: DataFrame, samples: dict[str, tuple[DataFrame, int]], cell_n
       ordered in groups of some seconds, i.e. a few thousand cells. Cells near a group's
       edge are seen by the neighbouring group as well.
     """
-    if any(2 * (tolerance + cell_ns) >= reach_ns for _, tolerance in samples.values()):
-        raise ValueError("the reach must be wider than twice each tolerance")
-    reach = reach_ns // cell_ns
+    # A group is wider than twice each tolerance, so that a sample is seen by two groups at most.
+    reach = max(reach_ns, *[2 * (tolerance + cell_ns) + 1 for _, tolerance in samples.values()]) // cell_ns + 1
     cell = chunk_of("timestamp_ns", cell_ns).alias("_cell")
     inside = images.select(SESSION, cell, "timestamp_ns", F.lit(1).alias("_kind"),
                            F.struct(*images.columns).alias("_image"))
@@ -139,15 +138,20 @@ def finalize_seq(images: DataFrame, poses: DataFrame, cell_ns: int = CELL_NS) ->
 
 
 def arrivals_before(rows: DataFrame, samples: dict[str, DataFrame], width: int = SEQ_CHUNK) -> DataFrame:
-    """Adds ``<name>_rank`` per kind: how many samples had arrived at the row's ``at_seq`` (0 where null)."""
-    asks = rows.select(SESSION, F.coalesce("at_seq", F.lit(-1)).alias("seq"), F.lit(1).alias("_kind"),
-                       F.struct(*rows.columns).alias("_row"))
+    """Adds ``<name>_rank`` per kind: how many samples had arrived at the row's ``at_seq`` (0 where null).
+
+    Each arrival that is asked for is ranked once, so a chunk holds two rows per arrival at most;
+    the ranks then go to the rows, many of which may share an arrival or wait for one.
+    """
+    asks = rows.where("at_seq IS NOT NULL").select(SESSION, F.col("at_seq").alias("seq"), F.lit(1).alias("_kind")).distinct()
     for name, table in samples.items():
         asks = asks.unionByName(table.select(SESSION, "seq", F.lit(0).alias("_kind"), F.lit(name).alias("_name")),
                                 allowMissingColumns=True)
     counts = [Running(f"{n}_rank", "sum", F.when(F.col("_name") == n, 1).otherwise(0)) for n in samples]
-    ranked = running(asks, counts, order=("seq", "_kind"), width=width)
-    return ranked.where(F.col("_kind") == 1).select("_row.*", *[f"{n}_rank" for n in samples])
+    ranked = running(asks, counts, order=("seq", "_kind"), width=width).where(F.col("_kind") == 1).select(
+        SESSION, F.col("seq").alias("at_seq"), *[f"{n}_rank" for n in samples])
+    found = attach(rows, ranked, by=["seq"], keys=(SESSION, "at_seq"))
+    return found.withColumns({f"{n}_rank": F.coalesce(f"{n}_rank", F.lit(0)) for n in samples})
 
 
 def blocks_of(samples: DataFrame, n: int, width: int = SEQ_CHUNK) -> DataFrame:
@@ -181,8 +185,9 @@ def nearest_retained(images: DataFrame, samples: dict[str, tuple[DataFrame, int,
         top = chunk_of(rank - 1, n)
         sides = {"_newer": top, "_older": top - 1}
         for side, block in sides.items():
-            rows = rows.withColumn("_block", block).join(
-                held.withColumnRenamed("_held", side), [SESSION, "_block"], "left").drop("_block")
+            # Many images may ask for one block: they are spread over salts. Without arrivals there is none to ask for.
+            rows = attach(rows.withColumn("_block", F.when(rank > 0, block)), held.withColumnRenamed("_held", side),
+                          by=["seq"], keys=(SESSION, "_block")).drop("_block")
         hit = F.col("_best.d") <= tolerance
         rows = rows.withColumn("_best", _closest_held(list(sides), rank, n)).withColumns({
             f"{name}_timestamp_ns": F.when(hit, F.col("_best.timestamp_ns")),

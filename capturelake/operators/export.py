@@ -38,16 +38,24 @@ def order_frames(keyframes: DataFrame) -> DataFrame:
     return keyframes.orderBy(SESSION, F.col("capture_index").asc_nulls_last(), F.col("jpeg_sensor_timestamp_ns"))
 
 
-def _short(array: Column, size: int) -> Column:
-    return array.isNull() | (F.size(array) < size)
+def _unreadable(array: Column, size: int) -> Column:
+    """The array lacks one of its first ``size`` values, or one of them is no finite number."""
+    def bad(x: Column) -> Column:
+        v = x.cast("double")
+        return v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+
+    return F.coalesce((F.size(array) < size) | F.exists(F.slice(array, 1, size), bad), F.lit(True))
 
 
 def frame_invalid() -> Column:
-    """A required field is missing or the transform does not have 16 values."""
+    """A required field is missing, a number is null or not finite, a dimension is zero, or the transform does
+    not have 16 values."""
     k = F.col("arcore_image_intrinsics")
     missing = [F.col(c).isNull() for c in REQUIRED]
-    bad = (_short(k["focal_length_px"], 2) | _short(k["principal_point_px"], 2) | _short(k["image_dimensions"], 2)
-           | F.coalesce(F.size("world_from_camera_column_major") != 16, F.lit(True)))
+    matrix = F.col("world_from_camera_column_major")
+    bad = (_unreadable(k["focal_length_px"], 2) | _unreadable(k["principal_point_px"], 2)
+           | _unreadable(k["image_dimensions"], 2) | F.exists(F.slice(k["image_dimensions"], 1, 2), lambda d: d == 0)
+           | F.coalesce(F.size(matrix) != 16, F.lit(True)) | _unreadable(matrix, 16))
     for m in missing:
         bad = bad | m
     return F.coalesce(bad, F.lit(True))
@@ -67,8 +75,8 @@ def validate_sessions(keyframes: DataFrame, sessions: DataFrame) -> DataFrame:
 def transform_frames(keyframes: DataFrame) -> DataFrame:
     """One row per frame: capture_index and the ``frame`` entry of its session's document."""
     k = F.col("arcore_image_intrinsics")
-    sx = F.col("jpeg_width") / k["image_dimensions"][0]
-    sy = F.col("jpeg_height") / k["image_dimensions"][1]
+    sx = F.try_divide(F.col("jpeg_width"), F.get(k["image_dimensions"], F.lit(0)))
+    sy = F.try_divide(F.col("jpeg_height"), F.get(k["image_dimensions"], F.lit(1)))
     frame = F.struct(
         F.col("image").alias("file_path"), F.coalesce("point_cloud", F.lit("")).alias("depth_point_cloud_path"),
         F.col("jpeg_width").alias("w"), F.col("jpeg_height").alias("h"),
@@ -134,7 +142,7 @@ def published_names(sessions: DataFrame, existing: DataFrame, name: str = "direc
     names stay.
     """
     working = F.col(name).startswith("capture_tmp_")
-    target = F.concat(F.lit("dataset_"), F.substring(F.col(name), len("capture_tmp_") + 1, 1 << 20))
+    target = F.concat(F.lit("dataset_"), F.col(name).substr(F.lit(len("capture_tmp_") + 1), F.length(name)))
     taken = existing.select(F.col(name).alias("_target")).distinct().withColumn("_taken", F.lit(True))
     joined = sessions.withColumn("_target", F.when(working, target)).join(taken, "_target", "left")
     final = (F.when(F.col("_target").isNull(), F.col(name))

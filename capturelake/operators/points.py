@@ -119,13 +119,14 @@ def unproject_pixels(pixels: DataFrame, intrinsics: DataFrame | None = None, lim
                      sampled: bool = False, pad: bool = False) -> DataFrame:
     """H2: camera-local x_m, y_m, z_m and confidence of every sampled pixel with depth.
 
+    Pixels whose frame is missing from ``intrinsics`` keep their row, with null positions.
     Pixels carry (or get, by frame, from ``intrinsics``) ``texture_k``, ``depth_width`` and
     ``depth_height``. ``sampled`` says the grid has been applied already; ``pad`` keeps
     pixels without depth, which land on the camera itself.
     """
     rows = pixels
     if intrinsics is not None:
-        rows = attach(pixels, intrinsics, by=[chunk_of("i", 1024)], keys=[c for c in FRAME if c in pixels.columns], how="inner")
+        rows = attach(pixels, intrinsics, by=[chunk_of("i", 1024)], keys=[c for c in FRAME if c in pixels.columns])
     rows = rows if pad else valid_depth(rows)
     if not sampled:
         rows = grid_subsample(rows, F.col("depth_width"), F.col("depth_height"), limit)
@@ -172,9 +173,9 @@ def world_points(points: DataFrame, frames: DataFrame | None = None, keys: Seque
     """H4: x, y, z of every point in its session's root coordinates.
 
     ``frames`` (with ``model``, see ``frame_matrices``) joins by frame; points that carry
-    ``model`` already need no join.
+    ``model`` already need no join. Points of a frame that is missing keep their row, with nulls.
     """
-    rows = points if frames is None else attach(points, frames, by=[chunk_of("i", 1024)], keys=keys, how="inner")
+    rows = points if frames is None else attach(points, frames, by=[chunk_of("i", 1024)], keys=keys)
     x, y, z = apply_matrix(F.col("model"), F.col("x_m"), F.col("y_m"), F.col("z_m"))
     return rows.withColumns({"x": x, "y": y, "z": z}).drop("model")
 
@@ -211,6 +212,9 @@ def view_frames(views: DataFrame, depth: DataFrame, n: int = DISPLAY_FRAMES, wid
             .select("_view.*", "frame_id"))
 
 
+SHOWN_SALTS = 8
+
+
 def project_points(points: DataFrame, views: DataFrame, depth: DataFrame, n: int = DISPLAY_FRAMES,
                    width: int = SEQ_CHUNK) -> DataFrame:
     """H6: points seen per view with pixel position u, v and depth.
@@ -222,7 +226,10 @@ def project_points(points: DataFrame, views: DataFrame, depth: DataFrame, n: int
     placed_views = with_pose(views, "_inverse", inverse_parts(parts(F.col("pose"))))
     shown = view_frames(placed_views.select(SESSION, "seq", "view_id", "image_k", pose_matrix(F.col("_inverse")).alias("_m")),
                         depth, n, width)
-    rows = points.join(shown, list(FRAME))
+    # A frame may hold any number of points, and a view a few frames: points are dealt to salts, views go to each.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SHOWN_SALTS - 1)))
+    rows = (points.withColumn("_salt", F.pmod(F.xxhash64("x", "y", "z"), F.lit(SHOWN_SALTS)).cast("int"))
+            .join(shown.withColumn("_salt", salts), [*FRAME, "_salt"]).drop("_salt"))
     x, y, z = apply_matrix(F.col("_m"), F.col("x"), F.col("y"), F.col("z"))
     placed = rows.withColumns({"_cx": x, "_cy": y, "depth_m": -z})
     ahead = placed.where((F.col("depth_m") >= NEAR) & (F.col("depth_m") <= FAR))

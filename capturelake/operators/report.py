@@ -18,18 +18,22 @@ def depth_frames_held(depth: DataFrame, n: int = DISPLAY_FRAMES) -> DataFrame:
 
 
 def capture_report(decisions: DataFrame, keyframes: DataFrame, depth: DataFrame,
-                   finalized: DataFrame | None = None) -> DataFrame:
+                   finalized: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
     """Per session the frames per decision, the last decision, saved keyframes and depth frames held.
 
-    Each input is reduced to one row per session (map-side first) before the joins.
+    Each input is reduced to one row per session (map-side first) before the joins. A session
+    counts that occurs in any input or in ``sessions``; without frames its decision is null.
     ``finalized`` lists the saved sessions.
     """
     frames = decisions.groupBy(SESSION).agg(
         F.count("*").alias("frames"), F.max_by("decision", "seq").alias("last_decision"),
         *[F.count_if(F.col("decision") == d).alias(f"n_{d}") for d in DECISIONS])
     saved = keyframes.groupBy(SESSION).agg(F.count_if(F.col("outcome") == "saved").alias("keyframes"))
-    report = (frames.join(saved, SESSION, "left").join(depth_frames_held(depth), SESSION, "left")
-              .na.fill(0, ["keyframes", "depth_frames"]))
+    report = frames.join(saved, SESSION, "full").join(depth_frames_held(depth), SESSION, "full")
+    for more in (finalized, sessions):
+        if more is not None:
+            report = report.join(more.select(SESSION).distinct(), SESSION, "full")
+    report = report.na.fill(0, ["frames", "keyframes", "depth_frames", *[f"n_{d}" for d in DECISIONS]])
     if finalized is None:
         report = report.withColumn("finalized", F.lit(False))
     else:

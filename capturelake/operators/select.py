@@ -23,6 +23,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ CLEARING = ("photo_arrived", "request_failed", "result_without_timestamp")
 POSE = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
 REQUEST = ("seq", "timestamp_ns", *POSE)
 THRESHOLDS = ("min_interval_ns", "force_after_ns", "min_translation_m", "min_rotation_deg")
+#: Stands for "none yet" in long columns: below every arrival number and every clock.
+NEVER = -(1 << 63)
 _TYPES = {"seq": "long", "timestamp_ns": "long", **dict.fromkeys(POSE, "double")}
 
 
@@ -69,16 +72,101 @@ def _rows(pdf: pd.DataFrame, limits: tuple | None) -> Iterator[tuple]:
     """(first-of-chunk, block, clear, limits, request tuple) per frame of a batch."""
     first = (pdf["_n"] == 1).tolist()
     block = pdf["_block"].tolist()
-    clear = [None if v < 0 else v for v in pdf["_clear"].tolist()]
+    clear = [None if v == NEVER else v for v in pdf["_clear"].tolist()]
     request = zip(*[pdf[c].tolist() for c in REQUEST])
     bounds = [limits] * len(pdf) if limits else zip(*[pdf[c].tolist() for c in THRESHOLDS])
     return zip(first, block, clear, bounds, request)
 
 
+def _forward(pdf: pd.DataFrame) -> bool:
+    """Whether clock and clearing arrivals never go back and every pose is known, which the binary search needs."""
+    ts, clear = pdf["timestamp_ns"].to_numpy(), pdf["_clear"].to_numpy()
+    return bool((ts[1:] >= ts[:-1]).all() and (clear[1:] >= clear[:-1]).all() and pdf[list(POSE)].notna().all(axis=None))
+
+
+def _jump(pdf: pd.DataFrame, last: tuple | None, tracked: bool, limits: tuple) -> tuple[np.ndarray, tuple | None]:
+    """Decisions for frames of one chunk whose clock never goes back, from request to request.
+
+    Frames that are in flight or too early after a request are found by binary search; one step is
+    taken per request and per frame that could follow it, not per frame.
+    """
+    n = len(pdf)
+    seq, ts, clear = (pdf[c].to_numpy() for c in ("seq", "timestamp_ns", "_clear"))
+    block = pdf["_block"].to_numpy(dtype=object)
+    free = np.array([b is None for b in block], dtype=bool)
+    places = np.flatnonzero(free)
+    poses = pdf[list(POSE)].to_numpy()
+    out = block.copy()
+    interval, force, translation, rotation = limits
+    at = 0
+    while at < n:
+        if last is not None:
+            ready = at
+            if tracked:
+                ready = max(at, int(np.searchsorted(clear, last[0], side="right")))
+                out[at:ready] = "in_flight"
+            begin = max(ready, int(np.searchsorted(ts, last[1] + math.ceil(interval))))
+            out[ready:begin] = "interval"
+            due = max(begin, int(np.searchsorted(ts, last[1] + math.ceil(force))))
+            at = _viewpoint(out, poses, last, begin, due, translation, rotation, free)
+            if at is None:
+                k = int(np.searchsorted(places, due))
+                at = int(places[k]) if k < len(places) else n
+        else:
+            k = int(np.searchsorted(places, at))
+            at = int(places[k]) if k < len(places) else n
+        if at < n:
+            out[at] = "requested"
+            last = (int(seq[at]), int(ts[at]), *poses[at].tolist())
+            at += 1
+    out[block == "capture_stopped"] = "capture_stopped"
+    return out, last
+
+
+def _viewpoint(out: np.ndarray, poses: np.ndarray, last: tuple, begin: int, due: int, translation: float,
+               rotation: float, free: np.ndarray) -> int | None:
+    """First unblocked frame in begin..due that moved enough; those before it that did not are marked."""
+    step = 16
+    while begin < due:
+        end = min(due, begin + step)
+        part = poses[begin:end]
+        path = np.sqrt(((part[:, :3] - last[2:5]) ** 2).sum(axis=1))
+        w = np.minimum(1.0, np.abs(part[:, 3:] @ np.array(last[5:9])))
+        angle = np.degrees(2.0 * np.arccos(w))
+        moved = (path >= translation) | (angle >= rotation)
+        # Next to a threshold the last digit counts: there the frame is tested as the fold tests it.
+        close = (np.abs(path - translation) < 1e-9) | (np.abs(angle - rotation) < 1e-6)
+        for k in np.flatnonzero(close).tolist():
+            moved[k] = refuse(last, (0, last[1], *part[k].tolist()), None, False, (0, math.inf, translation, rotation)) is None
+        hits = np.flatnonzero(moved & free[begin:end])
+        stop = begin + int(hits[0]) if len(hits) else end
+        still = np.flatnonzero(~moved[:stop - begin]) + begin
+        out[still] = "viewpoint"
+        if len(hits):
+            return stop
+        begin, step = end, 4 * step
+    return None
+
+
 def _decide(tracked: bool, limits: tuple | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
         for pdf in batches:
+            if limits and not pdf.empty:
+                parts = []
+                heads = np.flatnonzero(pdf["_n"].to_numpy() == 1)
+                edges = np.unique(np.concatenate([[0], heads, [len(pdf)]]))
+                if all(_forward(pdf.iloc[a:b]) for a, b in zip(edges, edges[1:])):
+                    for a, b in zip(edges, edges[1:]):
+                        part = pdf.iloc[a:b]
+                        if part["_n"].iat[0] == 1:
+                            last = (tuple(part[f"_e_{c}"].iat[0].item() for c in REQUEST)
+                                    if part["_e_known"].iat[0] else None)
+                        decisions, last = _jump(part, last, tracked, limits)
+                        parts.append(decisions)
+                    yield pd.DataFrame({SESSION: pdf[SESSION], "seq": pdf["seq"], "timestamp_ns": pdf["timestamp_ns"],
+                                        "decision": np.concatenate(parts)})
+                    continue
             entries = zip(*[pdf[f"_e_{c}"].tolist() for c in REQUEST])
             known = pdf["_e_known"].tolist()
             decisions = []
@@ -173,9 +261,9 @@ def _head_folds(tracked: bool, limits: tuple | None, chunk: str) -> Callable:
                 cleared = cleared or (clear is not None and clear > clear0)
                 if open_plain or (open_flight and cleared):
                     merged.append(len(heads))
-                    heads.append((row, -1 if clear is None else clear, bounds))
-                    # -1 marks "no frame before this chunk", so anything can come first
-                    forced = seen < 0 or row[1] - seen >= bounds[1]
+                    heads.append((row, NEVER if clear is None else clear, bounds))
+                    # Without a frame before this chunk anything can come first.
+                    forced = seen == NEVER or row[1] - seen >= bounds[1]
                     open_plain = open_plain and not forced
                     open_flight = open_flight and not (forced and cleared)
                 if merged:
@@ -208,7 +296,7 @@ def _walk(tracked: bool, chunk: str) -> Callable[[Iterator[pd.DataFrame]], Itera
                     entry = None
                 if first or (session, at) != (s, c):
                     session, at, found = s, c, None
-                if found is None and refuse(entry, head, None if clear < 0 else clear, tracked, limits) is None:
+                if found is None and refuse(entry, head, None if clear == NEVER else clear, tracked, limits) is None:
                     found = end
             if out:
                 yield pd.DataFrame(out, columns=columns)
@@ -233,7 +321,7 @@ def block_reason(policy: Policy | str, exposure: bool = False) -> Column:
 
 
 def with_history(frames: DataFrame, controls: DataFrame | None, width: int) -> DataFrame:
-    """Adds motion, ``enabled``, ``_clear`` (latest arrival that ended a request, −1 if none) and the frame's
+    """Adds motion, ``enabled``, ``_clear`` (latest arrival that ended a request, NEVER if none) and the frame's
     position ``_at`` in its session, in one pass."""
     rows = frames.select(SESSION, "seq", F.lit(1).alias("_rank"), F.struct("pose", "timestamp_ns").alias("_now"),
                          F.struct(*[c for c in frames.columns if c not in (SESSION, "seq")]).alias("_row"))
@@ -246,9 +334,9 @@ def with_history(frames: DataFrame, controls: DataFrame | None, width: int) -> D
         rows = rows.unionByName(marks, allowMissingColumns=True)
         specs += [Running("_enabled", "last", F.col("_on")), Running("_cleared", "last", F.col("_ended"))]
     seen = running(rows, specs, order=("seq", "_rank"), width=width).where(F.col("_rank") == 1)
-    enabled, clear = ("_enabled", "_cleared") if controls is not None else (F.lit(True), F.lit(-1))
+    enabled, clear = ("_enabled", "_cleared") if controls is not None else (F.lit(True), F.lit(NEVER))
     return seen.select(SESSION, "seq", "_row.*", "_prev", "_at", F.coalesce(enabled, F.lit(True)).alias("enabled"),
-                       F.coalesce(clear, F.lit(-1)).cast("long").alias("_clear")).withColumns(speeds("_prev"))
+                       F.coalesce(clear, F.lit(NEVER)).cast("long").alias("_clear")).withColumns(speeds("_prev"))
 
 
 def select_keyframes(frames: DataFrame, policy: Policy | str, controls: DataFrame | None = None,
@@ -276,8 +364,8 @@ def select_keyframes(frames: DataFrame, policy: Policy | str, controls: DataFram
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     chunks = per_chunk.select(
         SESSION, chunk, F.lead(chunk).over(order).isNotNull().alias("_more"),
-        F.coalesce(F.max("_max").over(earlier), F.lit(-1)).alias("_before_ns"),
-        F.coalesce(F.max("_cleared").over(earlier), F.lit(-1)).alias("_clear_before"))
+        F.coalesce(F.max("_max").over(earlier), F.lit(NEVER)).alias("_before_ns"),
+        F.coalesce(F.max("_cleared").over(earlier), F.lit(NEVER)).alias("_clear_before"))
     arrivals = F.row_number().over(Window.partitionBy(SESSION, chunk).orderBy("seq")).alias("_n")
 
     bounds = ", ".join(f"_h_{t} double" for t in THRESHOLDS)

@@ -63,23 +63,27 @@ def with_poses(keyframes: DataFrame, poses: DataFrame) -> DataFrame:
     """Adds pose and intrinsics of the matched frame; the key (session, arrival) is unique."""
     extra = [c for c in poses.columns if c in ("pose", "image_k", "texture_k")]
     side = poses.select(SESSION, F.col("seq").alias("pose_seq"), *extra)
-    return keyframes.join(side, [SESSION, "pose_seq"], "left")
+    return attach(keyframes, side, by=["timestamp_ns"], keys=(SESSION, "pose_seq"))
 
 
 def rejected_images(images: DataFrame, keyframes: DataFrame) -> DataFrame:
     """Images that produced no keyframe, with their outcome."""
-    saved = keyframes.where(F.col("outcome") == "saved").select(*STAMP)
-    reasons = keyframes.select(*STAMP, "outcome")
-    return images.join(saved, STAMP, "left_anti").join(reasons, STAMP, "left")
+    found = attach(images, keyframes.select(*STAMP, "outcome"), by=["seq"], keys=STAMP)
+    return found.where(F.col("outcome").isNull() | (F.col("outcome") != "saved"))
+
+
+def _known(images: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Images with ``_known`` where metadata has their time; any number of images may share one."""
+    return attach(images, metadata.select(*STAMP).distinct().withColumn("_known", F.lit(True)), by=["seq"], keys=STAMP)
 
 
 def unmatched_images(images: DataFrame, metadata: DataFrame) -> DataFrame:
     """Images without metadata."""
-    return images.join(metadata.select(*STAMP), STAMP, "left_anti")
+    return _known(images, metadata).where("_known IS NULL").drop("_known")
 
 
 def matched_images(images: DataFrame, metadata: DataFrame) -> DataFrame:
-    return images.join(metadata.select(*STAMP), STAMP, "left_semi")
+    return _known(images, metadata).where("_known").drop("_known")
 
 
 def evict_metadata(metadata: DataFrame, poses: DataFrame, policy: Policy = DATASET,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +29,14 @@ def build_session(app: str = "capturelake", master: str | None = None, **conf) -
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the cluster; a temporary one only where none is named."""
+    """Shared checkpoint folder of the cluster; a temporary one only in local mode without one named."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         current = held.get() if held.isDefined() else None
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         current = tempfile.mkdtemp(prefix="capturelake-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
     elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -40,6 +44,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per context; they need no path to its folder then."""
+    context = spark.sparkContext
+    if getattr(context, "_capturelake_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    held = os.path.join(tempfile.mkdtemp(prefix="capturelake-zip-"), "capturelake.zip")
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    context.addPyFile(held)
+    context._capturelake_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A table several later branches read, computed once and kept in the shared checkpoint folder.
 

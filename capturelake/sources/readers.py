@@ -92,12 +92,15 @@ def read_session_cameras(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """Photos with index and timestamp from their names; the bytes are read only on request."""
+    """Photos with index and timestamp from their names; the bytes are read only on request.
+
+    A photo whose name has no index and timestamp keeps its row, with nulls there.
+    """
     files = _files(spark, "frame_*.jpg").format("binaryFile").load(root)
     name = r"frame_(\d+)_(\d+)\.jpg$"
     columns = [_session(F.col("path")).alias(SESSION),
-               F.regexp_extract("path", name, 1).cast("int").alias("capture_index"),
-               F.regexp_extract("path", name, 2).cast("long").alias("timestamp_ns"), "path", "length"]
+               F.regexp_extract("path", name, 1).try_cast("int").alias("capture_index"),
+               F.regexp_extract("path", name, 2).try_cast("long").alias("timestamp_ns"), "path", "length"]
     return files.select(*columns, *(["content"] if content else []))
 
 

@@ -153,9 +153,9 @@ def _write_slabs(rows: DataFrame, root: str, label: str, slab: int, encode: Call
         "*", F.count("*").over(unit).alias("_count"), F.row_number().over(unit.orderBy("position")).alias("_n"))
     parts = ordered.mapInPandas(
         _piece_writer(folder, encode, head, separator, tail),
-        "session_id string, file string, slab long, piece string, items long, stamp long, head long")
+        "session_id string, file string, slab long, piece string, items long, stamp long, head long, size long")
     listed = parts.groupBy(SESSION, "file").agg(
-        F.array_sort(F.collect_list(F.struct("slab", "piece", "head"))).alias("parts"),
+        F.array_sort(F.collect_list(F.struct("slab", "piece", "head", "size"))).alias("parts"),
         F.sum("items").alias("items"), F.min("stamp").alias("stamp"))
     manifest = _store(listed.mapInPandas(_piece_joiner(root, folder, head, separator, tail), MANIFEST), root, label)
     fs, base = open_root(folder)
@@ -187,10 +187,11 @@ def _piece_writer(folder: str, encode: Callable[[pd.DataFrame], bytes], head: Ca
                 out.write(encode(run))
                 if run["_n"].iat[-1] == first["_count"]:
                     out.write(tail)
+                    size = out.tell()
                     out.close()
                     done.append((first[SESSION], first["file"], first["_slab"], piece, first["_count"],
-                                 first["frame_ts_ns"], len(start)))
-            yield pd.DataFrame(done, columns=[SESSION, "file", "slab", "piece", "items", "stamp", "head"])
+                                 first["frame_ts_ns"], len(start), size))
+            yield pd.DataFrame(done, columns=[SESSION, "file", "slab", "piece", "items", "stamp", "head", "size"])
     return write
 
 
@@ -205,9 +206,11 @@ def _piece_joiner(root: str, folder: str, head: Callable[[int, int], bytes], sep
                 final, temporary = _target(fs, base, session, name)
                 source = f"{held}/{parts[0]['piece']}"
                 if len(parts) == 1:
-                    # Gone only if an earlier attempt of this task renamed it.
                     if fs.get_file_info(source).type == pafs.FileType.File:
                         fs.move(source, final)
+                    elif fs.get_file_info(final).size != parts[0]["size"]:
+                        # Otherwise an earlier attempt of this task renamed it.
+                        raise FileNotFoundError(f"the piece of {session}/{name} is gone and the file does not have its size")
                 else:
                     with fs.open_output_stream(temporary) as out:
                         out.write(head(int(stamp), int(items)))
@@ -246,11 +249,15 @@ def write_transforms(frames: DataFrame, root: str, source: str = "capturelake")
     return write_session_files(lines, root, "transforms.json", head, "\n]}\n", ",\n")
 
 
+PUBLISHED = "session_id string, file string, items long, bytes long, status string"
+
+
 def publish_datasets(sessions: DataFrame, root: str) -> DataFrame:
     """Marks and renames capture_tmp_X to dataset_X (dataset_X_saved if that exists), per session in its task.
 
-    ``sessions`` has session_id = the directory name. A session that was renamed already by
-    an earlier attempt is reported, not renamed again; other names stay in place.
+    ``sessions`` has session_id = the directory name; other names stay in place. The status is
+    published; already (an earlier attempt renamed it, which a marker in the target proves); taken (both
+    targets exist, so the working directory stays, marked); or missing (there is no such directory).
     """
     def publish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = open_root(root)
@@ -258,19 +265,36 @@ def publish_datasets(sessions: DataFrame, root: str) -> DataFrame:
         def there(name: str) -> bool:
             return fs.get_file_info(f"{base}/{name}").type == pafs.FileType.Directory
 
+        def came_from(target: str, name: str) -> bool:
+            marker = f"{base}/{target}/.published_from"
+            if fs.get_file_info(marker).type != pafs.FileType.File:
+                return False
+            with fs.open_input_file(marker) as held:
+                return held.read().decode("utf-8") == name
+
+        def put(path: str, text: str) -> None:
+            with fs.open_output_stream(f"{base}/{path}") as out:
+                out.write(text.encode("utf-8"))
+
         for pdf in batches:
             done = []
             for name in pdf[SESSION]:
                 plain = name.replace("capture_tmp_", "dataset_", 1) if name.startswith("capture_tmp_") else name
+                targets = [plain] if plain == name else [plain, f"{plain}_saved"]
                 if there(name):
-                    with fs.open_output_stream(f"{base}/{name}/.saved") as out:
-                        out.write(b"saved\n")
-                    final = f"{plain}_saved" if plain != name and there(plain) else plain
+                    free = [t for t in targets if t == name or not there(t)]
+                    final, status = (free[0], "published") if free else (name, "taken")
+                    put(f"{name}/.saved", "saved\n")
                     if final != name:
+                        put(f"{name}/.published_from", name)
                         fs.move(f"{base}/{name}", f"{base}/{final}")
                 else:
-                    final = f"{plain}_saved" if there(f"{plain}_saved") else plain
-                done.append((name, final, 1, 0))
-            yield pd.DataFrame(done, columns=[SESSION, "file", "items", "bytes"])
+                    earlier = [t for t in targets if came_from(t, name)]
+                    final, status = (earlier[-1], "already") if earlier else (None, "missing")
+                done.append((name, final, int(status != "missing"), 0, status))
+            yield pd.DataFrame(done, columns=[SESSION, "file", "items", "bytes", "status"])
 
-    return _store(sessions.select(SESSION).distinct().mapInPandas(publish, MANIFEST), root, "published")
+    manifest = sessions.select(SESSION).distinct().mapInPandas(publish, PUBLISHED)
+    where = f"{root}/_manifests/published"
+    manifest.write.mode("overwrite").parquet(where)
+    return manifest.sparkSession.read.schema(PUBLISHED).parquet(where)
