@@ -103,6 +103,43 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
+def _op8_sql() -> str:
+    """Spans from matches and the gaps between them; entropies window by window."""
+    quote = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+
+    def matched(kind: str, pattern: str, group: int) -> str:
+        return (f"regexp_extract_all(text, {quote(pattern)}) AS m_{kind}, string_split_regex(text, {quote(pattern)}) AS g_{kind}, "
+                f"regexp_extract_all(text, {quote(pattern)}, {group}) AS c_{kind}")
+
+    def spans(kind: str, rank: int, test: str) -> str:
+        before = f"list_sum([length(y) FOR y IN g_{kind}[1:i]]) + coalesce(list_sum([length(y) FOR y IN m_{kind}[1:i - 1]]), 0)"
+        places = f"[{{'i': i, 'a': CAST({before} AS BIGINT)}} FOR i IN range(1, len(m_{kind}) + 1)]"
+        span = f"{{'a': x.a, 'rank': {rank}, 'kind': '{kind}', 'b': x.a + length(m_{kind}[x.i])}}"
+        return f"[{span} FOR x IN {places} IF {test}] AS s_{kind}"
+
+    kinds = {kind: (pattern, group, least) for kind, pattern, group, least in secret_scan.BASE}
+    allowed = " OR ".join(f"regexp_matches(c, {quote(p)})" for p in secret_scan.ALLOWED)
+    size = secret_scan.WINDOW
+    window = (f"list_max([-list_sum([n / {size}.0 * log2(n / {size}.0) FOR n IN [length(w) - length(replace(w, ch, '')) "
+              f"FOR ch IN list_distinct(string_split(w, ''))]]) FOR w IN [c[i:i + {size - 1}] FOR i IN range(1, length(c) - {size - 2})]])")
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT *, {", ".join(matched(k, *v[:2]) for k, v in kinds.items())}, {matched("entropy", secret_scan.CANDIDATE, 0)} FROM t),
+e AS (SELECT *, [CASE WHEN {allowed} THEN false ELSE {window} >= CASE WHEN regexp_matches(c, '^[0-9a-fA-F]+$')
+        THEN {secret_scan.HEX_BITS} ELSE {secret_scan.BASE64_BITS} END END FOR c IN c_entropy] AS high FROM m),
+s AS (SELECT *, {", ".join(spans(k, r, f"length(c_{k}[x.i]) >= {v[2]}") for r, (k, v) in enumerate(kinds.items()))},
+        {spans("entropy", 3, "high[x.i]")} FROM e),
+f AS (SELECT doc_id, s_assign, s_access, s_hex, list_sort(s_assign || s_access || s_hex) AS base,
+        [x FOR x IN s_entropy IF len([y FOR y IN s_assign || s_access || s_hex IF y.a <= x.a AND x.b <= y.b]) = 0] AS more FROM s)
+SELECT doc_id, len(s_assign) AS n_assign, len(s_access) AS n_access, len(s_hex) AS n_hex,
+       sha256(array_to_string([concat(x.kind, ':', x.a, ':', x.b) FOR x IN base], ',')) AS base_sha256,
+       array_to_string([concat(x.kind, ':', x.a, ':', x.b) FOR x IN list_sort(base || more)], ',') AS spans
+FROM f
+"""
+
+
+OP8_SQL = _op8_sql()
+
 OP10_SQL = """
 WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all(
@@ -131,7 +168,7 @@ QUERIES = {
     "op5_substring_dedup": (op5_substring_dedup, OP5_SQL),
     "op6_quality": (op6_quality, None),
     "op7_topk": (op7_topk, OP7_SQL),
-    "op8_secret_scan": (op8_secret_scan, None),
+    "op8_secret_scan": (op8_secret_scan, OP8_SQL),
     "op9_language": (op9_language, None),
     "op10_ngram_join": (op10_ngram_join, OP10_SQL),
 }

@@ -76,3 +76,21 @@ def test_no_python_in_the_plan(documents):
     df = redact(documents([(1, "x")]))
     plan = df._jdf.queryExecution().executedPlan().toString() + scan_digest(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sql_gives_the_same_spans(documents):
+    import duckdb
+    import pandas as pd
+
+    from capturelake.llm.queries import OP8_SQL
+
+    draw = random.Random(8)
+    runs = ["".join(draw.choice(ALPHABET[:draw.choice([16, 36, 62, 66])]) for _ in range(draw.randint(15, 50))) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts() + [f"é {a}, {b}" for a, b in zip(runs, runs[1:], strict=False)])] + [(9000, None)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    want = sorted(con.execute(OP8_SQL).df()[names].itertuples(index=False, name=None))
+    got = sorted(tuple(r[n] for n in names) for r in scan_digest(documents(rows)).collect())
+    assert got == want
+    assert sum("entropy" in r[-1] for r in got) > 30
