@@ -50,6 +50,19 @@ def validated(spark: SparkSession, sf: str) -> DataFrame:
     return validate_sessions(documents(spark, sf), sessions(spark, sf))
 
 
+def validated_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of every order, some with nulls inside arrays, zero dimensions or numbers that are not finite."""
+    key, k = F.regexp_extract("image", r"(\d+)", 1).cast("long"), "arcore_image_intrinsics"
+    odd = documents(spark, sf).withColumn(k, F.struct(
+        F.transform(f"{k}.focal_length_px", lambda v, i: F.when(~((key % 13 == 0) & (i == 1)), v)).alias("focal_length_px"),
+        F.transform(f"{k}.principal_point_px", lambda v, i: F.when((key % 29 == 0) & (i == 0), F.lit(float("nan"))).otherwise(v))
+        .alias("principal_point_px"),
+        F.transform(f"{k}.image_dimensions", lambda v, i: F.when((key % 17 == 0) & (i == 0), 0).otherwise(v)).alias("image_dimensions")))
+    odd = odd.withColumn("world_from_camera_column_major", F.transform(
+        "world_from_camera_column_major", lambda v, i: F.when(~((key % 19 == 0) & (i == 7)), v)))
+    return validate_sessions(odd, sessions(spark, sf))
+
+
 def ordered(spark: SparkSession, sf: str) -> DataFrame:
     """Frames in document order with their position, positions being running counts."""
     rows = order_frames(documents(spark, sf)).withColumn(
@@ -144,6 +157,11 @@ QUERIES = {
     "validate_sessions": (validated, sql(
         "SELECT session_id, frame_count, bad_frames, CASE WHEN frame_count = 0 THEN 'no captured keyframes' "
         "WHEN bad_frames > 0 THEN 'finalize failed' ELSE 'ok' END AS status FROM checked", "keyframes", extra=VALID)),
+    "validate_documents_nulls": (validated_nulls, sql(
+        "SELECT session_id, frame_count, bad_frames, CASE WHEN frame_count = 0 THEN 'no captured keyframes' "
+        "WHEN bad_frames > 0 THEN 'finalize failed' ELSE 'ok' END AS status FROM (SELECT session_id, count(k.seq) AS frame_count, "
+        f"count(k.seq) FILTER (({BAD}) OR k.seq % 13 = 0 OR k.seq % 17 = 0 OR k.seq % 19 = 0 OR k.seq % 29 = 0) AS bad_frames "
+        "FROM sess LEFT JOIN keyframes k USING (session_id) GROUP BY session_id)", "keyframes", extra=VALID)),
     "order_frames": (ordered, sql(
         "SELECT session_id, image, capture_index, row_number() OVER (PARTITION BY session_id ORDER BY capture_index NULLS LAST, "
         "timestamp_ns) AS position FROM keyframes", "keyframes")),

@@ -15,7 +15,7 @@ from capturelake.operators.gates import (capture_enabled, is_focused, is_frame_s
 from capturelake.operators.motion import (attach_root, last_n, latest_camera_state, motion, new_depth_only,
                                           root_relative, session_roots, time_since_last)
 from capturelake.operators.select import select_keyframes
-from capturelake.plans.chunks import Running, running
+from capturelake.plans.chunks import SEQ_CHUNK, Running, running
 from capturelake.plans.exposure import exposure_plan
 from capturelake.functions.imaging import is_four_by_three, megapixels, pixel_count, session_name
 from capturelake.policies import DATASET, HIGHRES_GENERIC, HIGHRES_PIXEL10A, PHOTO_GENERIC, Policy, resolve_policy
@@ -67,13 +67,13 @@ def enabled_frames(spark: SparkSession, sf: str) -> DataFrame:
     return capture_enabled(tracking(spark, sf), table(spark, sf, "control_events")).select(*KEY, "enabled")
 
 
-def frame_motion(spark: SparkSession, sf: str) -> DataFrame:
-    return motion(tracking(spark, sf)).select(*KEY, r("linear_mps", 5).alias("linear_mps"),
+def frame_motion(spark: SparkSession, sf: str, width: int = SEQ_CHUNK) -> DataFrame:
+    return motion(tracking(spark, sf), width).select(*KEY, r("linear_mps", 5).alias("linear_mps"),
                                               r("angular_dps", 3).alias("angular_dps"))
 
 
-def camera_state(spark: SparkSession, sf: str) -> DataFrame:
-    return latest_camera_state(table(spark, sf, "camera_states")).select(
+def camera_state(spark: SparkSession, sf: str, width: int = SEQ_CHUNK) -> DataFrame:
+    return latest_camera_state(table(spark, sf, "camera_states"), width=width).select(
         *KEY, "exposure_time_ns", "iso", "focus_distance", "af_state", "lens_state")
 
 
@@ -96,12 +96,12 @@ def repeated_depth(spark: SparkSession, sf: str) -> DataFrame:
         "timestamp_ns", F.expr("timestamp_ns - timestamp_ns % 500000000"))
 
 
-def newest_depth(spark: SparkSession, sf: str) -> DataFrame:
-    return last_n(table(spark, sf, "depth_frames_ref"), 24).select(*KEY, "frame_id")
+def newest_depth(spark: SparkSession, sf: str, width: int = SEQ_CHUNK) -> DataFrame:
+    return last_n(table(spark, sf, "depth_frames_ref"), 24, width=width).select(*KEY, "frame_id")
 
 
-def decided(spark: SparkSession, sf: str, policy: Policy, controls: bool = False) -> DataFrame:
-    return select_keyframes(tracking(spark, sf), policy, table(spark, sf, "control_events") if controls else None)
+def decided(spark: SparkSession, sf: str, policy: Policy, controls: bool = False, width: int = SEQ_CHUNK) -> DataFrame:
+    return select_keyframes(tracking(spark, sf), policy, table(spark, sf, "control_events") if controls else None, width)
 
 
 def since_last(spark: SparkSession, sf: str) -> DataFrame:
@@ -385,3 +385,11 @@ FROM (SELECT *, CASE WHEN profile = 'dataset' THEN 'any' WHEN c_custkey % 5 <> 0
         + ", ".join(rq(e, f"up{i}") for i, e in enumerate(sql_rotate("", ("0", "1", "0"))))
         + " FROM depth_frames_meta", "depth_frames_meta")),
 }
+
+# The same over chunks far narrower than a session, so that carries over chunks and the walk over heads take part.
+QUERIES |= {f"{name}_chunked": (query, QUERIES[name][1]) for name, query in {
+    "frame_motion": lambda s, d: frame_motion(s, d, 64),
+    "latest_camera_state": lambda s, d: camera_state(s, d, 64),
+    "newest_depth_frames": lambda s, d: newest_depth(s, d, 13),
+    "select_keyframes": lambda s, d: decided(s, d, DATASET, width=13),
+    "select_keyframes_with_controls": lambda s, d: decided(s, d, DATASET, True, width=13)}.items()}

@@ -14,6 +14,7 @@ from capturelake.operators.export import session_ready
 from capturelake.operators.report import DECISIONS, capture_report, depth_frames_held
 from capturelake.plans.assemble import (assemble_keyframes, evict_metadata, matched_images, rejected_images,
                                         unmatched_images)
+from capturelake.plans.chunks import SEQ_CHUNK
 from capturelake.policies import DATASET, HIGHRES_GENERIC, Policy
 from capturelake.session import cut
 
@@ -60,9 +61,10 @@ def held(spark: SparkSession, sf: str) -> DataFrame:
     return retained(frames, images, DATASET.depth_buffer)
 
 
-def assembled(spark: SparkSession, sf: str, policy: Policy = DATASET, mode: str = "nearest") -> DataFrame:
+def assembled(spark: SparkSession, sf: str, policy: Policy = DATASET, mode: str = "nearest",
+              width: int = SEQ_CHUNK) -> DataFrame:
     images, meta, frames, depth = tables(spark, sf)
-    rows = assemble_keyframes(images, meta, frames, depth, policy, mode)
+    rows = assemble_keyframes(images, meta, frames, depth, policy, mode, width=width)
     depth_columns = ["depth_seq", "depth_delta_ns"] if policy.depth_tolerance_ns else []
     return rows.select(*KEY, "outcome", "capture_index", "pose_seq", "pose_delta_ns", *depth_columns)
 
@@ -103,6 +105,14 @@ def report(spark: SparkSession, sf: str) -> DataFrame:
     return capture_report(decided(spark, sf, DATASET), kf, depth)
 
 
+def report_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer is a session, with or without frames; every third one is finished."""
+    images, meta, frames, depth = tables(spark, sf)
+    every = table(spark, sf, "customer").selectExpr("c_custkey", "concat('s', lpad(cast(c_custkey AS string), 6, '0')) AS session_id")
+    return capture_report(decided(spark, sf, DATASET), assemble_keyframes(images, meta, frames, depth), depth,
+                          every.where("c_custkey % 3 = 0"), every)
+
+
 def displayed(spark: SparkSession, sf: str) -> DataFrame:
     return depth_frames_held(table(spark, sf, "depth_frames_ref"), 30)
 
@@ -155,6 +165,28 @@ NEAREST = ", ".join((TRACKED, near_sql("near_pose", "tracked", 75_000_000),
                      near_sql("near_depth", "depth_frames_ref", 250_000_000), rows_sql(4_000_000, 3200, True)))
 OUT = "session_id, seq, timestamp_ns, outcome, capture_index, pose_seq, pose_delta_ns"
 
+CAUSAL_SQL = sql(
+        f"SELECT {OUT}, depth_seq, depth_delta_ns FROM kf", *PHOTO_TABLES, extra=", ".join((
+            TRACKED, FINAL, held_sql("held_pose", "tracked", 75_000_000, 180),
+            held_sql("held_depth", "depth_frames_ref", 250_000_000, 24),
+            *(f"near_{k} AS (SELECT h.* FROM held_{k} h JOIN images i ON i.session_id = h.session_id AND i.seq = h.seq "
+              f"WHERE abs(h.s_ts - i.timestamp_ns) <= {t})" for k, t in (("pose", 75_000_000), ("depth", 250_000_000))),
+            rows_sql(4_000_000, 3200, True))))
+
+
+def report_sql(finalized: str, more: str) -> str:
+    counts = ", ".join(f"count(*) FILTER (decision = '{d}') AS n_{d}" for d in DECISIONS)
+    return sql(f"""
+SELECT session_id, coalesce(frames, 0) AS frames, last_decision, {', '.join(f'coalesce(n_{d}, 0) AS n_{d}' for d in DECISIONS)},
+  coalesce(keyframes, 0) AS keyframes, coalesce(depth_frames, 0) AS depth_frames, {finalized} AS finalized,
+  concat('Raw depth: ', coalesce(depth_frames, 0), ' / keyframes: ', coalesce(keyframes, 0), ' / ',
+         CASE WHEN {finalized} THEN 'saved' ELSE 'capturing' END) AS status
+FROM (SELECT session_id, count(*) AS frames, arg_max(decision, seq) AS last_decision, {counts} FROM decisions GROUP BY session_id)
+FULL JOIN (SELECT session_id, count(*) FILTER (outcome = 'saved') AS keyframes FROM kf GROUP BY session_id) USING (session_id)
+FULL JOIN (SELECT session_id, least(count(*), 60) AS depth_frames FROM depth_frames_ref GROUP BY session_id) USING (session_id)
+{more}""", *PHOTO_TABLES, extra=fold_sql(DATASET, False) + ", " + NEAREST.replace(TRACKED + ", ", ""), recursive=True)
+
+
 QUERIES = {
     "match_metadata": (metadata, sql(
         "SELECT i.session_id, i.seq, i.timestamp_ns, m.seq AS meta_seq, exposure_time_ns, iso FROM images i "
@@ -183,13 +215,7 @@ QUERIES = {
     "assemble_keyframes_highres": (lambda s, d: assembled(s, d, HIGHRES_GENERIC), sql(
         f"SELECT {OUT} FROM kf", *PHOTO_TABLES,
         extra=", ".join((TRACKED, near_sql("near_pose", "tracked", 50_000_000), rows_sql(3_333_333, 1600, False))))),
-    "assemble_keyframes_causal": (lambda s, d: assembled(s, d, DATASET, "causal"), sql(
-        f"SELECT {OUT}, depth_seq, depth_delta_ns FROM kf", *PHOTO_TABLES, extra=", ".join((
-            TRACKED, FINAL, held_sql("held_pose", "tracked", 75_000_000, 180),
-            held_sql("held_depth", "depth_frames_ref", 250_000_000, 24),
-            *(f"near_{k} AS (SELECT h.* FROM held_{k} h JOIN images i ON i.session_id = h.session_id AND i.seq = h.seq "
-              f"WHERE abs(h.s_ts - i.timestamp_ns) <= {t})" for k, t in (("pose", 75_000_000), ("depth", 250_000_000))),
-            rows_sql(4_000_000, 3200, True))))),
+    "assemble_keyframes_causal": (lambda s, d: assembled(s, d, DATASET, "causal"), CAUSAL_SQL),
     "outcome_counts": (outcome_counts, sql(
         f"SELECT session_id, outcome, count(*) AS images, {rq('avg(abs(pose_delta_ns))/1e6', 'mean_pose_delta_ms', 4)} "
         "FROM kf GROUP BY session_id, outcome", *PHOTO_TABLES, extra=NEAREST)),
@@ -207,15 +233,10 @@ LEFT JOIN (SELECT session_id, count(*) AS held FROM still_metadata GROUP BY sess
 LEFT JOIN (SELECT session_id, arg_min(timestamp_ns, seq) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY session_id
   ORDER BY seq DESC) AS rn FROM tracked) WHERE rn <= 20 GROUP BY session_id) o USING (session_id)
 WHERE NOT (held > 8 AND coalesce(m.timestamp_ns < oldest - 50000000, false))""", "still_metadata", "poses", extra=TRACKED)),
-    "capture_report": (report, sql(f"""
-SELECT session_id, frames, last_decision, {', '.join(f'n_{d}' for d in DECISIONS)}, coalesce(keyframes, 0) AS keyframes,
-  coalesce(depth_frames, 0) AS depth_frames, false AS finalized,
-  concat('Raw depth: ', coalesce(depth_frames, 0), ' / keyframes: ', coalesce(keyframes, 0), ' / capturing') AS status
-FROM (SELECT session_id, count(*) AS frames, arg_max(decision, seq) AS last_decision, {', '.join(
-    f"count(*) FILTER (decision = '{d}') AS n_{d}" for d in DECISIONS)} FROM decisions GROUP BY session_id)
-LEFT JOIN (SELECT session_id, count(*) FILTER (outcome = 'saved') AS keyframes FROM kf GROUP BY session_id) USING (session_id)
-LEFT JOIN (SELECT session_id, least(count(*), 60) AS depth_frames FROM depth_frames_ref GROUP BY session_id) USING (session_id)""",
-        *PHOTO_TABLES, extra=fold_sql(DATASET, False) + ", " + NEAREST.replace(TRACKED + ", ", ""), recursive=True)),
+    "capture_report": (report, report_sql("false", "")),
+    "capture_report_all": (report_all, report_sql("coalesce(ck % 3 = 0, false)", """FULL JOIN (SELECT c_custkey AS ck,
+  concat('s', lpad(cast(c_custkey AS varchar), 6, '0')) AS session_id FROM customer) USING (session_id)""")),
+    "assemble_keyframes_causal_chunked": (lambda s, d: assembled(s, d, DATASET, "causal", 13), CAUSAL_SQL),
     "depth_frames_held": (displayed, sql(
         "SELECT session_id, least(count(*), 30) AS depth_frames FROM depth_frames_ref GROUP BY session_id",
         "depth_frames_ref")),
