@@ -81,13 +81,50 @@ def test_depth_and_state_streams(spark):
 
 
 def test_metadata_buffer_is_bounded():
-    from capturelake.streaming.assemble_stream import _arrive
-    held = {"pose": [(1000 * MS, 0)], "depth": [], "image": {}, "metadata": {}}
+    from capturelake.streaming.assemble_stream import _arrive, _freeze, _thaw
+    held = _thaw(None)
+    _arrive(held, "pose", 0, 1000 * MS, None, DATASET)
     for i in range(13):
         _arrive(held, "metadata", i, i * MS, True, DATASET)
     assert not held["metadata"]
     _arrive(held, "metadata", 99, 990 * MS, True, DATASET)
-    assert list(held["metadata"]) == [str(990 * MS)]
+    assert list(held["metadata"]) == [990 * MS] and _thaw(_freeze(held)) == held
     for i in range(200):
         _arrive(held, "pose", i, i, None, DATASET)
     assert len(held["pose"]) == DATASET.pose_buffer and META
+
+
+def test_pending_photos_cost_linear_time():
+    import time
+
+    from capturelake.streaming.assemble_stream import _arrive, _finalize, _thaw
+
+    def run(n):
+        held, start = _thaw(None), time.process_time()
+        _arrive(held, "pose", 0, 0, None, DATASET)
+        for i in range(n):  # all wait for a later pose
+            _arrive(held, "image", i, 10**9 + i, None, DATASET)
+            _finalize("s", held, DATASET, False)
+        took = time.process_time() - start
+        return took, len(held["image"])
+
+    (small, _), (large, pending) = run(2_000), run(20_000)
+    assert pending == 20_000 and large < 60 * small + 1
+
+
+@pytest.mark.parametrize("build", [stream_dedup_depth, stream_latest_camera_state])
+def test_idle_sessions_lose_their_state(spark, tmp_path, build):
+    rows = [("s", 1, 5, 1), ("s", 2, 5, 2), ("z", 9000, 5, 9000), ("z", 9001, 5, 9001), ("s", 9500, 5, 9500)]
+    events = spark.createDataFrame(rows, "session_id string, seq long, timestamp_ns long, t long").selectExpr(
+        "session_id", "seq", "timestamp_ns", "timestamp_seconds(t) AS event_time", "CASE WHEN seq = 1 THEN 7L END AS exposure_time_ns",
+        "cast(NULL AS int) AS iso", "cast(NULL AS float) AS focus_distance", "cast(NULL AS int) AS af_state", "cast(NULL AS int) AS lens_state")
+    where, out, ckpt = (f"{tmp_path}/{n}" for n in ("events", "out", "ckpt"))
+    for part in ("seq < 9000", "seq = 9000", "seq = 9001", "seq = 9500"):
+        events.where(part).write.mode("append").parquet(where)
+        stream = build(spark.readStream.schema(events.schema).parquet(where), idle="10 seconds")
+        stream_write_keyframes(stream, out, ckpt).awaitTermination()
+    got = spark.read.schema(stream.schema).parquet(out).orderBy("seq").collect()
+    if build is stream_dedup_depth:
+        assert [r.seq for r in got] == [1, 9000, 9500]  # a state that had stayed would drop 9500
+    else:
+        assert [(r.seq, r.exposure_time_ns) for r in got] == [(1, 7), (2, 7), (9000, None), (9001, None), (9500, None)]
