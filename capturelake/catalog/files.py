@@ -11,15 +11,17 @@ from capturelake.catalog.clouds import LOCAL, MODEL, PX, binary_frames, decoded_
 from capturelake.catalog.common import intrinsics, r, rq, sql, sql_matrix
 from capturelake.catalog.datasets import ROOTED, SAVED, VALID, documents, saved_keyframes, sessions
 from capturelake.catalog.frames import decisions_sql, photo_frames
-from capturelake.catalog.photos import NEAREST, PHOTO_TABLES
+from capturelake.catalog.photos import NEAREST, PHOTO_TABLES, tables
 from capturelake.fixtures import table
 from capturelake.functions.pose import pose
 from capturelake.operators.export import (build_manifests, build_transforms, photo_documents, prepare_jobs,
                                           session_documents, validate_sessions)
-from capturelake.operators.motion import motion
+from capturelake.operators.motion import attach_root, motion, root_relative, session_roots
 from capturelake.operators.points import explode_depth_frames
 from capturelake.operators.select import select_keyframes
+from capturelake.plans.assemble import assemble_keyframes, with_poses
 from capturelake.plans.chunks import SESSION
+from capturelake.plans.commit import commit_keyframes
 from capturelake.policies import DATASET, PHOTO_GENERIC
 from capturelake.session import checkpoint_dir
 from capturelake.sources import readers, writers
@@ -96,6 +98,28 @@ def published_files(spark: SparkSession, sf: str) -> DataFrame:
     return writers.publish_datasets(working, root).select(SESSION, F.col("file").alias("published"))
 
 
+def dataset_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Photos to published datasets, read back: documents, point files, transforms and trajectory meet by name."""
+    root = shared_folder(spark)
+    images, meta, frames, depth = tables(spark, sf)
+    based = root_relative(attach_root(frames, session_roots(frames)))
+    keyframes = with_poses(assemble_keyframes(images, meta, frames, depth), based)
+    points = depth.select(SESSION, F.col("seq").alias("depth_seq"), "frame_id", F.explode(F.expr("sequence(0L, frame_id % 3)")).alias("i")).select(
+        SESSION, "depth_seq", "i", (F.col("i") * 0.5).alias("x"), F.expr("(frame_id % 100) / 128D").alias("y"), F.lit(-1.0).alias("z"),
+        F.col("i").alias("red"), F.lit(2).alias("green"), F.lit(3).alias("blue"), F.lit(1.0).alias("confidence"))
+    photos = images.select(SESSION, "timestamp_ns", F.lit("photo").cast("binary").alias("content"))
+    commit_keyframes(keyframes, points, root, photos, requested_at_ms=1_700_000_000_000)
+    docs = readers.read_keyframes(spark, root).select(
+        SESSION, "capture_index", "image", "point_count", F.regexp_replace("file_name", r"\.json$", "").alias("frame"))
+    clouds = readers.read_point_clouds(spark, root).groupBy(SESSION, "frame").agg(
+        F.count("*").alias("cloud_points"), r(F.sum(F.col("y").cast("double")), 4).alias("sum_y"))
+    listed = readers.read_transforms(spark, root).select(SESSION, "capture_index", F.col("file_path").alias("listed_as"))
+    track = readers.read_trajectory(spark, root).select(SESSION, F.col("index").alias("capture_index"), F.col("image").alias("tracked_as"))
+    shots = readers.read_images(spark, root).select(SESSION, "capture_index", F.col("length").alias("photo_bytes"))
+    return (docs.join(clouds, [SESSION, "frame"], "left").drop("frame").join(listed, [SESSION, "capture_index"], "left")
+            .join(track, [SESSION, "capture_index"], "left").join(shots, [SESSION, "capture_index"], "left"))
+
+
 def session_camera_files(spark: SparkSession, sf: str) -> DataFrame:
     root = shared_folder(spark)
     cameras = table(spark, sf, "customer").selectExpr(
@@ -207,6 +231,11 @@ QUERIES = {
         "SELECT concat('capture_tmp_', session_id) AS session_id, CASE WHEN right(session_id, 1) IN ('0','2','4','6','8') "
         "THEN concat('dataset_', session_id, '_saved') ELSE concat('dataset_', session_id) END AS published "
         "FROM checked WHERE bad_frames = 0 AND frame_count > 0", "keyframes", extra=VALID)),
+    "dataset_files": (dataset_files, sql(
+        f"SELECT concat('dataset_', k.session_id) AS session_id, capture_index, {IMAGE} AS image, cast(k.depth_seq % 3 + 1 AS int) AS point_count, "
+        f"cast(k.depth_seq % 3 + 1 AS bigint) AS cloud_points, {rq('(k.depth_seq % 3 + 1) * ((k.depth_seq % 100) / 128e0)', 'sum_y', 4)}, "
+        f"{IMAGE} AS listed_as, {IMAGE} AS tracked_as, cast(5 AS bigint) AS photo_bytes FROM kf k WHERE outcome = 'saved'",
+        *PHOTO_TABLES, extra=NEAREST)),
     "session_camera_files": (session_camera_files, """
 SELECT concat('s', lpad(cast(c_custkey AS varchar), 6, '0')) AS session_id,
   CASE WHEN c_custkey % 2 = 0 THEN 'Pixel 10a' ELSE 'Pixel 9' END AS model, cast(c_custkey % 3 AS varchar) AS camera_id,
