@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.operators.asof import (REACH_NS, STAMP, finalize_seq, latest_by_timestamp, match_metadata, nearest,
+from capturelake.operators.asof import (REACH_NS, STAMP, arrivals_before, finalize_seq, latest_by_timestamp, match_metadata, nearest,
                                         nearest_retained, pose_ready)
 from capturelake.operators.gates import is_still_sharp
 from capturelake.operators.motion import last_n
@@ -30,7 +34,8 @@ def assemble_keyframes(images: DataFrame, metadata: DataFrame, poses: DataFrame,
     ``poses`` are tracking frames only. Outcomes in order: pending_metadata, pending_pose,
     rejected_quality, rejected_pose, rejected_depth, saved; a profile without a depth
     tolerance has no depth stage. ``mode='causal'`` looks only at the newest arrivals held
-    when the image could first be finalised; ``'nearest'`` looks at the whole session.
+    when the image could first be finalised, and a photo whose metadata was evicted before stays
+    pending; ``'nearest'`` looks at the whole session.
     """
     with_depth = depth is not None and policy.depth_tolerance_ns is not None
     base = pose_ready(match_metadata(images, metadata), poses)
@@ -43,7 +48,13 @@ def assemble_keyframes(images: DataFrame, metadata: DataFrame, poses: DataFrame,
         samples = {"pose": (poses, policy.pose_tolerance_ns, policy.pose_buffer)}
         if with_depth:
             samples["depth"] = (depth, policy.depth_tolerance_ns, policy.depth_buffer)
-        matched = nearest_retained(cut(finalize_seq(base, poses, cell_ns)), samples, width)
+        final = cut(finalize_seq(base, poses, cell_ns))
+        gone = evicted_images(final, metadata, poses, policy, width).withColumn("_gone", F.lit(True))
+        # Written once: the look-ups of every kind read it several times.
+        kept = cut(attach(final, gone, by=["seq"], keys=STAMP).withColumns({
+            "meta": F.when(F.col("_gone").isNull(), F.col("meta")),
+            "finalize_seq": F.when(F.col("_gone").isNull(), F.col("finalize_seq"))}).drop("_gone"))
+        matched = nearest_retained(kept, samples, width)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     outcome = (F.when(F.col("meta").isNull(), "pending_metadata")
@@ -59,6 +70,55 @@ def assemble_keyframes(images: DataFrame, metadata: DataFrame, poses: DataFrame,
     return assign_capture_index(cut(rows), cell_ns)
 
 
+#: Stands for "no pose held yet".
+NO_POSE = -(1 << 63)
+
+
+def evicted_images(images: DataFrame, metadata: DataFrame, poses: DataFrame, policy: Policy = DATASET,
+                   width: int = SEQ_CHUNK) -> DataFrame:
+    """G5 as it happens: (session_id, timestamp_ns) of photos whose metadata was gone when they could be finalised.
+
+    ``images`` carry ``finalize_seq``. At each metadata arrival beyond the buffer, entries older than the oldest
+    held pose (less the tolerance) go; a photo that is finalised takes its entry out. The oldest held pose
+    of an arrival is found by its rank; the fold then runs over metadata and photos alone, in arrival order,
+    and holds the entries that wait.
+    """
+    n = policy.pose_buffer
+    ranked = arrivals_before(metadata.select(*STAMP, "seq", F.col("seq").alias("at_seq")), {"pose": poses}, width)
+    numbered = running(poses.select(SESSION, "seq", F.col("timestamp_ns").alias("_oldest")),
+                       [Running("_rank", "sum", F.lit(1))], width=width).drop("seq")
+    first = ranked.withColumn("_rank", F.when(F.col("pose_rank") > 0, F.greatest(F.lit(1), F.col("pose_rank") - n + 1)))
+    arrivals = attach(first, numbered, by=["seq"], keys=(SESSION, "_rank")).select(
+        SESSION, "seq", F.lit(0).alias("kind"), "timestamp_ns", F.coalesce("_oldest", F.lit(NO_POSE)).alias("oldest"))
+    ends = images.where("finalize_seq IS NOT NULL").select(
+        SESSION, F.col("finalize_seq").alias("seq"), F.lit(1).alias("kind"), "timestamp_ns", F.lit(NO_POSE).alias("oldest"))
+    buffer, tolerance = policy.metadata_buffer, policy.pose_tolerance_ns
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, order = None, set(), []
+        for pdf in batches:
+            gone = []
+            for session, kind, ts, oldest in zip(*[pdf[c].tolist() for c in (SESSION, "kind", "timestamp_ns", "oldest")]):
+                if session != at:
+                    at, held, order = session, set(), []
+                if kind:
+                    if ts in held:
+                        held.remove(ts)
+                    else:
+                        gone.append((session, ts))
+                    continue
+                if ts not in held:
+                    held.add(ts)
+                    heappush(order, ts)
+                if oldest != NO_POSE and len(held) > buffer:
+                    while order and order[0] < oldest - tolerance:
+                        held.discard(heappop(order))
+            yield pd.DataFrame(gone, columns=STAMP)
+
+    events = arrivals.unionByName(ends).repartition(SESSION).sortWithinPartitions(SESSION, "seq", "kind", "timestamp_ns")
+    return events.mapInPandas(fold, "session_id string, timestamp_ns long")
+
+
 def with_poses(keyframes: DataFrame, poses: DataFrame) -> DataFrame:
     """Adds pose and intrinsics of the matched frame; the key (session, arrival) is unique."""
     extra = [c for c in poses.columns if c in ("pose", "image_k", "texture_k")]

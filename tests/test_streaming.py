@@ -54,6 +54,30 @@ def test_assembly_equals_causal_batch(spark, batches):
     assert saved and all(got[k] == want[k] for k in saved)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_batch_evicts_metadata_as_the_stream_does(spark, seed):
+    from dataclasses import replace
+
+    policy = replace(DATASET, metadata_buffer=4, pose_buffer=6, depth_buffer=5)
+    rng = random.Random(seed)
+    images, stills, poses, depth = [], [], [], []
+    for q in range(0, 1200, 4):
+        ts = 30 * MS * q
+        poses.append(("s", q, ts))
+        depth.append(("s", q + 1, ts - rng.randint(0, 90) * MS))
+        if rng.random() < 0.4:
+            shot = ts + rng.randint(-50, 50) * MS
+            stills.append(("s", q + 2, shot, 10**6))
+            images.append(("s", q + 3 + 4 * rng.choice((0, 0, 1, 5, 20, 60)), shot))  # some photos come late
+    tables = stamps(spark, images), meta(spark, stills), stamps(spark, poses), stamps(spark, depth)
+    out = replay(spark, assembly_events(*tables, policy), lambda e: stream_assemble_keyframes(e, policy), 3)
+    batch = assemble_keyframes(*tables, policy=policy, mode="causal", width=16)
+    got = {r.timestamp_ns: r.outcome for r in out.collect()}
+    want = {r.timestamp_ns: r.outcome for r in batch.collect()}
+    assert got == {k: v for k, v in want.items() if not v.startswith("pending")}
+    assert sum(v == "pending_metadata" for v in want.values()) > 10 < len(got)
+
+
 def test_idle_sessions_leave_as_pending(spark, tmp_path):
     clock = F.timestamp_seconds(F.col("seq"))
     tables = [t.withColumn("event_time", clock) for t in (
