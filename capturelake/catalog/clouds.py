@@ -162,8 +162,13 @@ def _byte(name: str, at: str) -> str:
 
 
 def binary_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Depth frames with planes; some orders miss one of the three images."""
-    return table(spark, sf, "orders").selectExpr(
+    """Depth frames with planes; some orders miss one of the three images.
+
+    The keys are dealt out first: planes are made and decoded by every core, whatever the files of the table.
+    """
+    keys = table(spark, sf, "orders").select("o_custkey", "o_orderkey").repartition(
+        spark.sparkContext.defaultParallelism, "o_orderkey")
+    return keys.selectExpr(
         "concat('s', lpad(cast(o_custkey AS string), 6, '0')) AS session_id", "o_orderkey AS frame_id",
         "o_orderkey AS seq", f"{W} AS width", f"{H} AS height",
         f"CASE WHEN o_orderkey % 13 <> 0 THEN {_plane('d', W * H * 2)} END AS depth16",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from capturelake.functions.pose import (parts, relative_parts, rotation_degrees, translation_distance,
                                         with_pose)
 from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, attach, chunk_of, pick, running
+from capturelake.session import cut
 
 CAMERA_FIELDS = ("exposure_time_ns", "iso", "focus_distance", "af_state", "lens_state")
 
@@ -76,6 +77,7 @@ def time_since_last(frames: DataFrame, width: int = SEQ_CHUNK) -> DataFrame:
     specs = [Running("_frame", "last", F.col("timestamp_ns"), inclusive=False)]
     out = {"since_frame_ns": F.col("timestamp_ns") - F.col("_frame")}
     if "decision" in frames.columns:
+        frames = cut(frames)  # decisions come from a selection, which would run for each use
         asked = F.when(F.col("decision") == "requested", F.col("timestamp_ns"))
         specs.append(Running("_request", "last", asked, inclusive=False))
         out["since_request_ns"] = F.col("timestamp_ns") - F.col("_request")

@@ -10,6 +10,7 @@ from capturelake.functions.planning import contains, lock_focus, manual_sensor_s
 from capturelake.operators.motion import CAMERA_FIELDS
 from capturelake.plans.chunks import SEQ_CHUNK, SESSION, Running, attach, running
 from capturelake.policies import DATASET, Policy
+from capturelake.session import cut
 
 
 def state_at(requests: DataFrame, states: DataFrame, width: int = SEQ_CHUNK) -> DataFrame:
@@ -30,6 +31,8 @@ def exposure_plan(requests: DataFrame, states: DataFrame, caps: DataFrame, polic
     ``requests`` carry ``key``; ``caps`` has one row per key: exposure_min/max, iso_min/max,
     min_focus_distance, capabilities, ois_modes, sensor_orientation.
     """
+    # Written once: a selection that requests come from would run again for every use below.
+    requests = cut(requests)
     # One camera may take most of the requests.
     rows = attach(state_at(requests, states, width), caps, by=[SESSION, "seq"], keys=[key])
     plan = plan_exposure({c: F.col(c) for c in CAMERA_FIELDS}, {
