@@ -70,9 +70,11 @@ def test_tolerance_is_inclusive(spark):
     assert rows_of(nearest_pose(images, poses, 75 * MS), "seq", "pose_seq") == [(0, 2), (1, None)]
 
 
-def test_wide_tolerance_needs_a_wider_chunk(spark):
-    with pytest.raises(ValueError):
-        nearest_pose(stamps(spark, []), stamps(spark, []), 100, 10, 200)
+def test_a_tolerance_wider_than_the_reach_widens_it(spark):
+    images, poses = unique(random_stamps(8, 80)), random_stamps(58, 40)
+    want = closest(images, poses, 900 * MS)
+    got = nearest_pose(stamps(spark, images), stamps(spark, poses), 900 * MS, 7 * MS, 200 * MS).collect()
+    assert {(r.session_id, r.seq): (r.pose_timestamp_ns, r.pose_seq) if r.pose_seq is not None else None for r in got} == want
 
 
 def test_copies_of_one_timestamp_collapse(spark):
