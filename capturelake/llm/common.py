@@ -56,6 +56,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     return found.select(*rows.columns, *[F.col(f"_group.{c}").alias(c) for c in values])
 
 
+def tidy(run):
+    """The task function, giving back what its worker no longer uses: workers serve one task after another."""
+    def go(batches):
+        import ctypes
+        import ctypes.util
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    return go
+
+
 def utf8(column) -> tuple:
     """Bytes and offsets of an Arrow string column without nulls, as numpy arrays over its own buffers."""
     import numpy as np

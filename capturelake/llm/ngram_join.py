@@ -33,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import join_groups, slices, text_of, utf8, working_table
+from capturelake.llm.common import join_groups, slices, text_of, tidy, utf8, working_table
 from capturelake.llm.components import components
 from capturelake.llm.words import mixed, shingle_hashes, word_hashes
 
 SHINGLE = 5
-SLICE = 1 << 24
-BLOCK, PIVOTS = 512, 8
+SLICE = 1 << 22
+#: A block has about BLOCK sets and SHINGLES shingles at most (or one larger set).
+BLOCK, SHINGLES, PIVOTS = 512, 1 << 18, 8
 #: Document frequencies count up to here; more frequent shingles tie.
 FREQUENT = 1 << 16
 #: Weight of a binary probe against a step of the heap, in DivideSkip's rule for the number of long lists.
@@ -94,7 +95,7 @@ def described(docs: DataFrame, k: int) -> DataFrame:
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_key(s) for s in sets], pa.int64())], names=["doc_id", "n", "key"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, key long")
 
 
 def shared_prefixes(docs: DataFrame, k: int) -> DataFrame:
@@ -164,9 +165,9 @@ def shared_prefixes(docs: DataFrame, k: int) -> DataFrame:
         yield from given
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(prefixes, "h long, key long, n long")
+    rows = docs.mapInArrow(tidy(prefixes), "h long, key long, n long")
     return (rows.repartition(parts, "h").sortWithinPartitions("h", "key")
-            .mapInArrow(shared, "key long, n long, h long, df long"))
+            .mapInArrow(tidy(shared), "key long, n long, h long, df long"))
 
 
 def families(docs: DataFrame, k: int) -> DataFrame:
@@ -362,12 +363,15 @@ def by_block(rows: DataFrame, flag: str, work) -> DataFrame:
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.select("family", "block", "key", flag, "shingles").repartition(parts, "family", "block")
-            .sortWithinPartitions("family", "block", "key").mapInArrow(run, LINK))
+            .sortWithinPartitions("family", "block", "key").mapInArrow(tidy(run), LINK))
 
 
 def family_links(members: DataFrame) -> DataFrame:
-    """(a, b): links by key that connect what is connected; members: (family, size, key, shingles), a working table."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    """(a, b): links by key that connect what is connected; members: (family, size, weight, key, shingles), a working table.
+
+    size and weight: the sets of the family and the shingles of all of them.
+    """
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / SHINGLES)).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     large = members.where("blocks > 1")
     # The same few sets go to every block of a large family.
@@ -415,11 +419,13 @@ def link_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document: the least doc_id reachable by links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     base = working_table(described(docs, k))
-    classes = base.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("uses"))
+    classes = base.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"),
+                                                     F.count("*").alias("uses"))
     family = working_table(families(docs, k))
-    sizes = family.groupBy("root").agg(F.count("*").alias("size"))
-    wanted = (join_groups(family, sizes, ["root"], "size").withColumnRenamed("id", "key")
-              .join(classes, "key").select("key", F.col("root").alias("family"), "size", F.col("least").alias("_rep")))
+    sets = working_table(family.withColumnRenamed("id", "key").join(classes, "key").select("key", "root", "n", "least"))
+    sizes = sets.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    wanted = join_groups(sets, sizes, ["root"], "size").select(
+        "key", F.col("root").alias("family"), "size", "weight", F.col("least").alias("_rep"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, k):
@@ -427,13 +433,13 @@ def link_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             keep = [i for i, (s, key) in enumerate(zip(sets, keys, strict=True)) if len(s) and set_key(s) == key]
             rows = part.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(2), rows.column(3), rows.column(1),
+                [rows.column(2), rows.column(3), rows.column(4), rows.column(1),
                  pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))],
-                names=["family", "size", "key", "shingles"])
+                names=["family", "size", "weight", "key", "shingles"])
 
     members = working_table(
-        docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text", "key", "family", "size")
-        .mapInArrow(fetch, "family long, size long, key long, shingles array<long>"))
+        docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text", "key", "family", "size", "weight")
+        .mapInArrow(tidy(fetch), "family long, size long, weight long, key long, shingles array<long>"))
     roots = working_table(components(family_links(members)))
     of_root = roots.join(classes.withColumnRenamed("key", "id"), "id").groupBy("root").agg(F.min("least").alias("component"))
     of_class = (classes.join(roots.withColumnRenamed("id", "key"), "key", "left").join(of_root, "root", "left")

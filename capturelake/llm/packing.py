@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import pieces, slices, spread, text_of, utf8
+from capturelake.llm.common import pieces, slices, spread, text_of, tidy, utf8
 
 WINDOW = 2048
 END = 1
@@ -34,7 +34,7 @@ PART = 512
 #: Parts partitioned at a time; bounds memory and the length of the load vectors.
 GROUP = 3072
 #: Words whose ids a task remembers.
-MEMO = 1_000_000
+MEMO = 350_000
 #: Bytes of text encoded at a time, or one longer text.
 SLICE = 1 << 24
 
@@ -205,4 +205,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
         if held:
             yield _batch(windows(held))
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(tidy(run), SCHEMA)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capturelake.llm.common import slices, text_of, utf8
+from capturelake.llm.common import slices, text_of, tidy, utf8
 
 PASSAGE = 64
 SAMPLE = 6000
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64())],
                                              names=[*batch.schema.names, "quality_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
