@@ -279,8 +279,9 @@ def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     first = (rows.where("host <> '' and size > 0 and page_id is not null").groupBy("host", "h")
              .agg(F.min("page_id").alias("page_id")))
     order = Window.partitionBy("host").orderBy("h", "page_id")
-    chosen = (first.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample)
-              .select("host", "h", "page_id"))
+    # Written, so that its size is known: few hosts are broadcast to the pages, many are joined by a shuffle.
+    chosen = working_table(first.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample)
+                           .select("host", "h", "page_id"))
     texts = (pages.select("page_id", host().alias("host"), F.xxhash64("html").alias("h"), "html")
              .join(chosen, ["host", "h", "page_id"]).dropDuplicates(["host", "h"]))
 
