@@ -17,6 +17,7 @@ from capturelake.catalog.photos import NEAREST, PHOTO_TABLES, tables
 from capturelake.catalog.common import sql_relative
 from capturelake.plans.assemble import assemble_keyframes, with_poses
 from capturelake.plans.chunks import SESSION, Running, running
+from capturelake.session import cut
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,9 +65,9 @@ def validated_nulls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ordered(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames in document order with their position, positions being running counts."""
-    rows = order_frames(documents(spark, sf)).withColumn(
-        "_at", F.coalesce("capture_index", F.lit(1 << 60) + F.col("jpeg_sensor_timestamp_ns")))
+    """Frames in document order with their position: the count of the session's rows so far in the sorted output."""
+    rows = cut(order_frames(documents(spark, sf)).select(
+        SESSION, "image", "capture_index", F.monotonically_increasing_id().alias("_at")))
     placed = running(rows, [Running("position", "sum", F.lit(1))], order=("_at",), width=1 << 17)
     return placed.select(SESSION, "image", "capture_index", "position")
 

@@ -64,7 +64,7 @@ def validated_files(spark: SparkSession, sf: str) -> DataFrame:
 def transforms_files(spark: SparkSession, sf: str) -> DataFrame:
     root = shared_folder(spark)
     writers.write_transforms(build_transforms(documents(spark, sf)), root)
-    back = readers.read_transforms(spark, root)
+    back = readers.read_transforms(spark, root, lines=True)
     return back.select(SESSION, "camera_model", "capture_index", "file_path", r("fl_x", 5).alias("fl_x"),
                        *[r(F.col("transform_matrix")[i][3]).alias(f"m{i}3") for i in range(3)])
 
@@ -72,7 +72,7 @@ def transforms_files(spark: SparkSession, sf: str) -> DataFrame:
 def job_files(spark: SparkSession, sf: str) -> DataFrame:
     root = shared_folder(spark)
     writers.write_transforms(build_transforms(documents(spark, sf)), root)
-    frames = readers.read_transforms(spark, root)
+    frames = readers.read_transforms(spark, root, lines=True)
     writers.write_jobs(prepare_jobs(frames, sessions(spark, sf), 1_700_000_000_000), root)
     jobs = spark.read.schema("frame_count long, requested_at_unix_ms long, status string").json(f"{root}/*/3dgs_job.json")
     return jobs.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias(SESSION),
@@ -113,7 +113,7 @@ def dataset_files(spark: SparkSession, sf: str) -> DataFrame:
         SESSION, "capture_index", "image", "point_count", F.regexp_replace("file_name", r"\.json$", "").alias("frame"))
     clouds = readers.read_point_clouds(spark, root).groupBy(SESSION, "frame").agg(
         F.count("*").alias("cloud_points"), r(F.sum(F.col("y").cast("double")), 4).alias("sum_y"))
-    listed = readers.read_transforms(spark, root).select(SESSION, "capture_index", F.col("file_path").alias("listed_as"))
+    listed = readers.read_transforms(spark, root, lines=True).select(SESSION, "capture_index", F.col("file_path").alias("listed_as"))
     track = readers.read_trajectory(spark, root).select(SESSION, F.col("index").alias("capture_index"), F.col("image").alias("tracked_as"))
     shots = readers.read_images(spark, root).select(SESSION, "capture_index", F.col("length").alias("photo_bytes"))
     return (docs.join(clouds, [SESSION, "frame"], "left").drop("frame").join(listed, [SESSION, "capture_index"], "left")

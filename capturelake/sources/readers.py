@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capturelake import schemas
-from capturelake.plans.chunks import SESSION
+from capturelake.plans.chunks import SESSION, attach
+from capturelake.sources.files import open_root
 from capturelake.sources.ply import RECORD, parse_header
 
+#: Points read at a time, and bytes that hold any header.
+POINT_RANGE, HEADER_BYTES = 1 << 20, 1 << 12
 PLANES = ("depth16", "confidence", "y_plane", "u_plane", "v_plane")
 
 
@@ -38,13 +41,29 @@ def read_keyframes(spark: SparkSession, root: str) -> DataFrame:
     return _with_session(docs)
 
 
-def read_transforms(spark: SparkSession, root: str) -> DataFrame:
-    """A2: one row per frame of every transforms.json, frame fields flattened."""
+def read_transforms(spark: SparkSession, root: str, lines: bool = False) -> DataFrame:
+    """A2: one row per frame of every transforms.json, frame fields flattened.
+
+    A document of another tool is parsed whole, by one task. ``lines`` says that this library wrote the documents:
+    they hold a frame per line and are read line by line, in splits of any file.
+    """
+    if lines:
+        return _transforms_by_line(spark, root)
     docs = _files(spark, "transforms.json").schema(schemas.TRANSFORMS).option("multiLine", True).json(root)
     rows = _with_session(docs).select(SESSION, "camera_model", "coordinate_system", F.explode("frames").alias("f"))
     return rows.select(SESSION, "camera_model", "coordinate_system", "f.*")
 
 
+def _transforms_by_line(spark: SparkSession, root: str) -> DataFrame:
+    rows = _with_session(_files(spark, "transforms.json").text(root))
+    head = F.concat(F.col("value"), F.lit("]}"))  # the first line ends where the list of frames begins
+    heads = rows.where(F.col("value").rlike(r'"frames":\s*\[\s*$')).select(
+        SESSION, *[F.get_json_object(head, f"$.{c}").alias(c) for c in ("camera_model", "coordinate_system")])
+    entry = F.from_json(F.regexp_replace("value", r",\s*$", ""), schemas.TRANSFORM_FRAME)
+    frames = rows.where(F.col("value").startswith('{"file_path"')).select(SESSION, entry.alias("f"))
+    return attach(frames, heads, by=["f.timestamp_ns"]).select(SESSION, "camera_model", "coordinate_system", "f.*")
+
+
 def transforms_sessions(spark: SparkSession, root: str) -> DataFrame:
     """Sessions that have a transforms document, with its frame count."""
     docs = _files(spark, "transforms.json").schema(schemas.TRANSFORMS).option("multiLine", True).json(root)
@@ -64,19 +83,28 @@ CLOUD = T.StructType(
     + [T.StructField("confidence", T.FloatType())])
 
 
-def read_point_clouds(spark: SparkSession, root: str) -> DataFrame:
-    """A4: point rows of every PLY file; one file is decoded at a time."""
+def read_point_clouds(spark: SparkSession, root: str, records: int = POINT_RANGE) -> DataFrame:
+    """A4: point rows of every PLY file, read in ranges of ``records`` points, so that files may have any size."""
+    ranges = F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / (records * RECORD.itemsize)))
     files = _files(spark, "frame_*.ply").format("binaryFile").load(root).select(
-        _session(F.col("path")).alias(SESSION), F.regexp_extract("path", r"([^/]+)\.ply$", 1).alias("frame"), "content")
+        _session(F.col("path")).alias(SESSION), F.regexp_extract("path", r"([^/]+)\.ply$", 1).alias("frame"), "path",
+        F.explode(ranges).alias("range"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for session, frame, content in zip(*[batch.column(i) for i in range(3)]):
-                data = content.as_py()
-                start, count, stamp = parse_header(data)
-                points = np.frombuffer(data, dtype=RECORD, count=count, offset=start)
-                columns = [pa.array([session.as_py()] * count, pa.string()), pa.array([frame.as_py()] * count, pa.string()),
-                           pa.array(np.full(count, stamp, dtype=np.int64)), pa.array(np.arange(count, dtype=np.int64))]
+            for session, frame, path, part in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                fs, place = open_root(path)
+                with fs.open_input_file(place) as source:
+                    start, total, stamp = parse_header(source.read(HEADER_BYTES))
+                    count = max(0, min(records, total - part * records))
+                    source.seek(start + part * records * RECORD.itemsize)
+                    data = source.read(count * RECORD.itemsize)
+                if not count:
+                    continue
+                points = np.frombuffer(data, dtype=RECORD, count=count)
+                columns = [pa.array([session] * count, pa.string()), pa.array([frame] * count, pa.string()),
+                           pa.array(np.full(count, stamp, dtype=np.int64)),
+                           pa.array(np.arange(part * records, part * records + count, dtype=np.int64))]
                 columns += [pa.array(np.ascontiguousarray(points[c])) for c in "xyz"]
                 columns += [pa.array(points[c].astype(np.int16)) for c in ("red", "green", "blue")]
                 columns.append(pa.array(np.ascontiguousarray(points["confidence"])))

@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from capturelake.operators.export import trajectory_lines, transforms_head
 from capturelake.plans.chunks import SESSION, chunk_of
+from capturelake.sources.files import open_root
 from capturelake.sources.ply import RECORD, header
 
 MANIFEST = "session_id string, file string, items long, bytes long"
@@ -29,12 +30,6 @@ LINE_SLAB = 1 << 17
 TRAJECTORY_HEADER = "index,image,point_cloud,image_timestamp_ns,pose_timestamp_ns,tx,ty,tz,qx,qy,qz,qw\n"
 
 
-def open_root(root: str) -> tuple[pafs.FileSystem, str]:
-    if root.startswith("file:/") and not root.startswith("file://"):
-        root = root[len("file:"):]
-    return pafs.FileSystem.from_uri(root)
-
-
 def _target(fs: pafs.FileSystem, base: str, session: str, name: str) -> tuple[str, str]:
     """Final and temporary path of a session's file, its directory created."""
     folder = f"{base}/{session}"

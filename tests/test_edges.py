@@ -168,3 +168,23 @@ def test_a_cluster_must_name_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         sessions.checkpoint_dir(Session)
+
+
+def test_transforms_by_line_are_those_of_the_whole_document(spark, tmp_path):
+    docs = spark.createDataFrame([(s, i, f"frame_{i}.jpg", None, 4000, 3000, i, ([500.0, 501.0], [320.0, 240.0], [640, 480]),
+                                   [float(j) for j in range(16)]) for s in ("a", "b") for i in range(1, 40)], DOCUMENT)
+    writers.write_transforms(build_transforms(docs), str(tmp_path), "x, y")
+    whole = sorted(map(str, readers.read_transforms(spark, str(tmp_path)).collect()))
+    assert len(whole) == 78
+    assert sorted(map(str, readers.read_transforms(spark, str(tmp_path), lines=True).collect())) == whole
+
+
+@pytest.mark.parametrize("records", [1, 7, 50, 1 << 20])
+def test_point_files_are_read_in_ranges(spark, tmp_path, records):
+    points = spark.range(50).selectExpr(
+        "'s' AS session_id", "'frame_000001_5' AS frame", "5L AS frame_ts_ns", "id AS i", "id * 0.5D AS x", "1.0D AS y", "2.0D AS z",
+        "id AS red", "2 AS green", "3 AS blue", "0.5D AS confidence")
+    writers.write_point_clouds(points, str(tmp_path))
+    back = readers.read_point_clouds(spark, str(tmp_path), records).orderBy("i").collect()
+    assert [(r.session_id, r.frame, r.frame_ts_ns, r.i, r.x, r.red) for r in back] == [
+        ("s", "frame_000001_5", 5, i, i * 0.5, i) for i in range(50)]
