@@ -32,9 +32,9 @@ END = 1
 #: A remainder is cut into parts of at most PART ids, so that windows can be filled evenly.
 PART = 512
 #: Parts partitioned at a time; bounds memory and the length of the load vectors.
-GROUP = 3072
+GROUP = 1536
 #: Words whose ids a task remembers.
-MEMO = 350_000
+MEMO = 300_000
 #: Bytes of text encoded at a time, or one longer text.
 SLICE = 1 << 24
 
@@ -97,6 +97,11 @@ def fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)").fullmatch
 
 
+#: Byte-level vocabularies write bytes that are no visible Latin-1 character as code points from 256 on.
+HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTES = {b: 256 + i for i, b in enumerate(HIDDEN)}
+
+
 class WordIds(dict):
     """Ids of a word as little-endian unsigned 32-bit bytes; remembers up to MEMO words and MEMO stems."""
 
@@ -105,12 +110,18 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.stems: dict[str, bytes] = {}
 
-    def _stem(self, word: str) -> bytes:
+    def _stem(self, word: str, letters: bool = False) -> bytes:
+        """Ids of a word; one of lower-case letters is a single pre-token, which goes to the merges directly."""
         out = self.stems.get(word)
         if out is None:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            if letters:
+                text = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+                ids = [token.id for token in self.model.tokenize(text)]
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             if len(self.stems) >= MEMO:
                 self.stems.clear()
             self.stems[word] = out = struct.pack(f"<{len(ids)}I", *ids)
@@ -118,7 +129,7 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         plain = PLAIN(word.lower())
-        out = self._stem(plain[1]) + (self._stem(plain[2]) if plain[2] else b"") if plain else self._stem(word)
+        out = self._stem(plain[1], True) + (self._stem(plain[2]) if plain[2] else b"") if plain else self._stem(word)
         if len(self) >= MEMO:
             self.clear()
         self[word] = out
