@@ -8,8 +8,9 @@ the longest suffix that the automaton contains) tell which windows have an earli
 then added to the automaton. Maximal spans of such windows are removed.
 
 Segments whose minimizer occurs once in the corpus hold no repeated window; only hashes of them are
-moved. A segment equal to one before it is settled without the automaton, so thousands of copies of a
-passage cost no more than reading them, and the automaton grows with different text only.
+moved. Of equal segments in one batch of a map task only the first is sent to the shard; the others have an
+earlier copy for certain. A segment equal to one before it is settled without the automaton, so thousands of
+copies of a passage cost no more than reading them, and the automaton grows with different text only.
 
 The automata are not broadcast: their number grows with the corpus, and every document would pass through
 every one. The shards bring each segment to the only automaton it can match.
@@ -30,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.llm.common import slices, text_of, utf8, working_table
-from capturelake.llm.words import shingle_hashes, window_minima, word_hashes
+from capturelake.llm.words import mixed, shingle_hashes, window_minima, word_hashes
 
 WINDOW = 20
 PHRASE = 8
-SLICE = 1 << 24
+SLICE = 1 << 23
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -208,23 +209,37 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
             wanted = batch.column(2)
             for low, high in slices(offsets, SLICE):
                 part, places = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
-                texts, first, _, minimizer, begin, end, _ = segments(part, places, window, phrase)
+                texts, first, count, minimizer, begin, end, _ = segments(part, places, window, phrase)
                 chosen = wanted.slice(low, high - low)
                 sizes = np.diff(chosen.offsets.to_numpy())
                 pairs = np.repeat(np.arange(high - low), sizes) << 40 | chosen.flatten().to_numpy(zero_copy_only=False)
                 keep = np.flatnonzero(np.isin(texts << 40 | first, pairs))
                 raw = part.tobytes()
+                doc_ids, starts, m = ids[low:high][texts[keep]], first[keep], minimizer[keep]
+                content = [raw[a:b] for a, b in zip(begin[keep].tolist(), end[keep].tolist(), strict=True)]
+                held, settled = {}, np.zeros(len(keep), np.int64)
+                for i in np.lexsort((starts, doc_ids)).tolist():
+                    at = held.setdefault((int(m[i]), content[i]), i)
+                    if (doc_ids[at], starts[at]) != (doc_ids[i], starts[i]):
+                        settled[i], content[i] = count[keep[i]], b""
+                # Settled segments need no shard; they are dealt out anyhow.
+                m = np.where(settled > 0, mixed((doc_ids * 1_000_003 + starts).view(np.uint64)).view(np.int64), m)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(minimizer[keep]), pa.array(ids[low:high][texts[keep]]), pa.array(first[keep]),
-                     pa.array([raw[a:b] for a, b in zip(begin[keep].tolist(), end[keep].tolist(), strict=True)], pa.binary())],
-                    names=["m", "doc_id", "start", "content"])
+                    [pa.array(m), pa.array(doc_ids), pa.array(starts), pa.array(content, pa.binary()), pa.array(settled)],
+                    names=["m", "doc_id", "start", "content", "settled"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, key, place = Shard(window), None, None
         for batch in batches:
             ids, begins, ends = [], [], []
             m, doc_ids, starts = (x.tolist() for x in _columns(batch, "m", "doc_id", "start"))
-            for mine, doc_id, start, content in zip(m, doc_ids, starts, batch.column(3).to_pylist(), strict=True):
+            rows = zip(m, doc_ids, starts, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            for mine, doc_id, start, content, settled in rows:
+                if settled:
+                    ids.append(doc_id)
+                    begins.append(start)
+                    ends.append(start + settled - 1 + window)
+                    continue
                 if mine != key:
                     shard, key, place = Shard(window), mine, None
                 if (doc_id, start) == place:
@@ -248,7 +263,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = candidates(docs, window, phrase)
     rows = docs.join(chosen, "doc_id").select("doc_id", "text", "starts")
-    moved = rows.mapInArrow(contents, "m long, doc_id long, start long, content binary")
+    moved = rows.mapInArrow(contents, "m long, doc_id long, start long, content binary, settled long")
     return (moved.repartition(parts, "m").sortWithinPartitions("m", "doc_id", "start")
             .mapInArrow(match, "doc_id long, first long, after long"))
 
