@@ -127,6 +127,11 @@ class WordIds(dict):
             self.stems[word] = out = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
+    def forget(self) -> None:
+        """Other stages need the memory once the task is over."""
+        self.clear()
+        self.stems.clear()
+
     def __missing__(self, word: str) -> bytes:
         plain = PLAIN(word.lower())
         out = self._stem(plain[1], True) + (self._stem(plain[2]) if plain[2] else b"") if plain else self._stem(word)
@@ -156,7 +161,7 @@ _WORDS: dict[str, WordIds] = {}
 
 
 def _words(path: str) -> WordIds:
-    """One for each worker process, so that what it remembers serves several tasks."""
+    """One for each worker process: the vocabulary is read once."""
     if path not in _WORDS:
         _WORDS[path] = WordIds(path)
     return _WORDS[path]
@@ -215,5 +220,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
                 yield _batch(out)
         if held:
             yield _batch(windows(held))
+        words.forget()
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(tidy(run), SCHEMA)
