@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.operators.asof import (REACH_NS, STAMP, arrivals_before, finalize_seq, latest_by_timestamp, match_metadata, nearest,
+from capturelake.operators.asof import (REACH_NS, STAMP, finalize_seq, latest_by_timestamp, match_metadata, nearest,
                                         nearest_retained, pose_ready)
 from capturelake.operators.gates import is_still_sharp
 from capturelake.operators.motion import last_n
@@ -83,11 +83,13 @@ def evicted_images(images: DataFrame, metadata: DataFrame, poses: DataFrame, pol
     of an arrival is found by its rank; the fold then runs over metadata and photos alone, in arrival order,
     and holds the entries that wait.
     """
-    n = policy.pose_buffer
-    ranked = arrivals_before(metadata.select(*STAMP, "seq", F.col("seq").alias("at_seq")), {"pose": poses}, width)
-    numbered = running(poses.select(SESSION, "seq", F.col("timestamp_ns").alias("_oldest")),
-                       [Running("_rank", "sum", F.lit(1))], width=width).drop("seq")
-    first = ranked.withColumn("_rank", F.when(F.col("pose_rank") > 0, F.greatest(F.lit(1), F.col("pose_rank") - n + 1)))
+    # One pass numbers the poses and tells how many each metadata arrival has before it; written, as both sides read it.
+    both = poses.select(*STAMP, "seq", F.lit(0).alias("_kind")).unionByName(metadata.select(*STAMP, "seq", F.lit(1).alias("_kind")))
+    ranked = cut(running(both, [Running("_rank", "sum", F.when(F.col("_kind") == 0, 1).otherwise(0))],
+                         order=("seq", "_kind"), width=width))
+    numbered = ranked.where("_kind = 0").select(SESSION, "_rank", F.col("timestamp_ns").alias("_oldest"))
+    first = ranked.where("_kind = 1").withColumn(
+        "_rank", F.when(F.col("_rank") > 0, F.greatest(F.lit(1), F.col("_rank") - policy.pose_buffer + 1)))
     arrivals = attach(first, numbered, by=["seq"], keys=(SESSION, "_rank")).select(
         SESSION, "seq", F.lit(0).alias("kind"), "timestamp_ns", F.coalesce("_oldest", F.lit(NO_POSE)).alias("oldest"))
     ends = images.where("finalize_seq IS NOT NULL").select(
