@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from capturelake.plans.chunks import CELL_NS, SEQ_CHUNK, SESSION, Running, attach, chunk_of, running
+from capturelake.session import cut
 
 REACH_NS = 1 << 33
 STAMP = [SESSION, "timestamp_ns"]
@@ -178,8 +179,9 @@ def nearest_retained(images: DataFrame, samples: dict[str, tuple[DataFrame, int,
     arrival order, so every image reads exactly the two blocks that cover its history; no
     block exceeds n samples.
     """
-    rows = arrivals_before(images.withColumn("at_seq", F.col("finalize_seq")),
-                           {k: v[0] for k, v in samples.items()}, width).drop("at_seq")
+    # One row per image, written once: the look-ups of each block below read it twice.
+    rows = cut(arrivals_before(images.withColumn("at_seq", F.col("finalize_seq")),
+                               {k: v[0] for k, v in samples.items()}, width).drop("at_seq"))
     for name, (table, tolerance, n) in samples.items():
         held, rank = blocks_of(table, n, width), F.col(f"{name}_rank")
         top = chunk_of(rank - 1, n)
