@@ -36,7 +36,7 @@ GROUP = 1536
 #: Words whose ids a task remembers.
 MEMO = 300_000
 #: Bytes of text encoded at a time, or one longer text.
-SLICE = 1 << 24
+SLICE = 1 << 23
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long")
