@@ -7,17 +7,19 @@ wrapper: what meets a template node with that node's text goes, what lies in a s
 hold menus, adverts, forms, comments and the like by their element or class are no content either, and
 where a page has an article (or else a main) element, only slots inside it are.
 
-The wrapper of a host is fitted on a bounded sample (SAMPLE different pages, chosen by a hash of their
-content); every page is aligned and read whole. Pages of a hot host stay where they are read: its
+The wrapper of a host is fitted on a bounded sample (SAMPLE pages, chosen by a hash, with different text
+outside the elements that are never content, so that copies of an article count once); every page is
+aligned and read whole. Pages of a hot host stay where they are read: its
 wrapper is broadcast, which at most HOT_KEYS hosts can be.
 
 Defined results: null or empty html has empty text; a page without host is read with an empty wrapper,
-as are hosts with fewer than LEAST different pages; repeated rows give a row each; other columns are
+as are hosts with fewer than LEAST different texts; repeated rows give a row each; other columns are
 ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -272,12 +274,30 @@ def host() -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1))
 
 
+def body_key(page: str) -> int:
+    """64-bit hash of the text that lies outside the elements that are never content."""
+    text = main_text(page, None, {}).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def bodies(pages: DataFrame) -> DataFrame:
+    """(page_id, host, h, body) per page with a host and a text: hashes of the page and of its body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([body_key(page) for page in batch.column(3).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), keys], names=["page_id", "host", "h", "body"])
+
+    return (pages.select("page_id", host().alias("host"), F.xxhash64("html").alias("h"), "html")
+            .where("host <> '' and html <> '' and page_id is not null")
+            .mapInArrow(run, "page_id long, host string, h long, body long"))
+
+
 def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(host, wrapper as JSON, pages of the host)."""
-    rows = pages.select("page_id", host().alias("host"), F.xxhash64("html").alias("h"), F.length("html").alias("size"))
-    uses = rows.groupBy("host").agg(F.count("*").alias("uses"))
-    first = (rows.where("host <> '' and size > 0 and page_id is not null").groupBy("host", "h")
-             .agg(F.min("page_id").alias("page_id")))
+    uses = pages.groupBy(host().alias("host")).agg(F.count("*").alias("uses"))
+    first = (bodies(pages).groupBy("host", "body").agg(F.min(F.struct("h", "page_id")).alias("first"))
+             .select("host", "first.*"))
     order = Window.partitionBy("host").orderBy("h", "page_id")
     # Written, so that its size is known: few hosts are broadcast to the pages, many are joined by a shuffle.
     chosen = working_table(first.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample)

@@ -50,6 +50,18 @@ def test_text_shared_by_copies_stays_content():
     assert main_text(pages[5], wrapper, template) == "article 5"
 
 
+def test_copies_with_other_surroundings_keep_their_text(spark):
+    hosts = {"a.example.com": (10, 12, True), "b.example.com": (4, 5, True), "c.example.com": (50, 60, False)}
+    rows, want = [], {}
+    for host, (copies, n, article) in hosts.items():
+        for i in range(n):
+            text = "the same article" if i < copies else f"article {i}"
+            want[len(rows)] = text
+            rows.append((len(rows), f"http://{host}/{i}", page(i, f"<p>{text}</p>", host, article)))
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 5000 + "bottom" + "</div>" * 5000
     assert main_text(deep, None, {}) == "bottom"
