@@ -1,20 +1,21 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-The DOM trees of SAMPLE pages of each host are aligned by simple tree matching. Runs of alike siblings
-are one repeated node of the wrapper. A node whose text is the same in nearly all aligned pages is
-template; the others are slots whose text is content. Every page of the host is then aligned with the
-wrapper: what meets a template node with that node's text goes, what lies in a slot stays. Slots that
-hold menus, adverts, forms, comments and the like by their element or class are no content either, and
-where a page has an article (or else a main) element, only slots inside it are.
-
-The wrapper of a host is fitted on a bounded sample (SAMPLE pages, chosen by a hash, with different text
-outside the elements that are never content, so that copies of an article count once); every page is
-aligned and read whole. Pages of a hot host stay where they are read: its
-wrapper is broadcast, which at most HOT_KEYS hosts can be.
-
-Defined results: null or empty html has empty text; a page without host is read with an empty wrapper,
-as are hosts with fewer than LEAST different texts; repeated rows give a row each; other columns are
-ignored; an empty table gives an empty result.
+The DOM trees of all pages of a host are aligned. The wrapper is their merged tree: siblings with the
+same tag and first mark are one node, and a node that any page has is in it. A text that a node has in
+nearly all pages that have the node is template; so is one that it has in nearly all such pages of one
+layout (the sections at the top of the body). Pages count once per text outside the elements that are
+never content, so copies of an article do not make it template. Every page is then aligned with the
+wrapper by simple tree matching: what meets a template node with a text of that node goes, what lies in
+a slot stays. Slots that hold menus, adverts, forms, comments and the like by their element or class are
+no content either, and where a page has an article (or else a main) element, only slots inside it are.
+
+Texts of nodes are counted over all pages in a Spark aggregation by (host, layout, path, text); nothing
+is sampled. What is kept of a host are the nodes with template text, which is what comes to a page. Pages
+of a hot host stay where they are read: its wrapper is broadcast, which at most HOT_KEYS hosts can be.
+
+Defined results: null or empty html has empty text; a page without host is read with an empty wrapper;
+a node is template only with LEAST different page texts; repeated rows give a row each; other columns are
+ignored; an empty table gives an empty result. Paths and texts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,21 +24,25 @@ import hashlib
 import html
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.llm.common import join_groups, working_table
 
-SAMPLE, LEAST = 12, 5
+#: Different page texts below which no node is template.
+LEAST = 5
 #: Share of the aligned pages in which a template node has the same text.
 CONSTANT = 0.8
+#: Layout under which the pages of all layouts are counted together.
+ALL = 0
 #: Elements nested deeper than this lie side by side in the tree; their text stays in place.
 DEPTH = 200
+#: Rows of counts that a task hands over at once.
+ROWS = 1 << 16
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|"""
@@ -60,6 +65,8 @@ OUT_MARKS = {
     "complementary", "contentinfo", "cookie", "cookies", "disqus", "footer", "menu", "modal", "nav", "navbar",
     "navigation", "newsletter", "notice", "notices", "popup", "promo", "promotion", "recommended", "related", "replies",
     "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Elements of the first two levels of the body that tell layouts apart.
+SECTIONS = {"div", "section", "main", "article", "header"}
 HEADER_MARKS = {"header", "masthead", "site-header", "topbar"}
 
 
@@ -72,7 +79,7 @@ class Node:
 
     @property
     def children(self) -> list[Node]:
-        return [x for x in self.items if type(x) is Node]
+        return [x for x in self.items if type(x) is not str]
 
     def text(self) -> str:
         out, stack = [], [self]
@@ -166,75 +173,136 @@ def tree_match(page: Node, wrapper: Node, pairs: list[tuple[Node, Node]] | None
     return 1 + best[len(a)][len(b)]
 
 
-def generalised(node: Node) -> Node:
-    """Copy without text in which runs of alike siblings are one repeated node."""
-    out = Node(node.tag, node.marks[:1])
-    for child in node.children:
-        mine = generalised(child)
-        last = out.items[-1] if out.items else None
-        if last is not None and alike(last, mine):
-            last.many = True
-            # The repeated node has every child that one of the run has.
-            have = {(c.tag, c.marks) for c in last.items}
-            last.items += [c for c in mine.items if (c.tag, c.marks) not in have]
-        else:
-            out.items.append(mine)
-    return out
+def _walk(node: Node) -> Iterator[Node]:
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack.extend(x.children)
 
 
-def induce(pages: list[str]) -> list:
-    """Wrapper of different pages of one host: [tag, marks, repeated, template text or null, children]."""
-    trees = [parse(p) for p in pages]
-    if len(trees) < LEAST:
-        return []
-    wrapper = max((generalised(t) for t in trees), key=lambda t: sum(1 for _ in _walk(t)))
-    texts: dict[int, list[str]] = {}
-    for tree in trees:
-        pairs: list[tuple[Node, Node]] = []
-        tree_match(tree, wrapper, pairs)
-        met: dict[int, set[str]] = {}
-        for mine, theirs in pairs:
-            met.setdefault(id(theirs), set()).add(mine.text())
-        for key, found in met.items():
-            texts.setdefault(key, []).append(found.pop() if len(found) == 1 else "")
+class Slot(Node):
+    """Alike nodes of a page whose ancestors are alike too; slots below it are sorted, one per kind."""
 
-    def packed(node: Node) -> list:
-        seen = texts.get(id(node), [])
-        text, count = Counter(seen).most_common(1)[0] if seen else ("", 0)
-        constant = text if text and len(seen) >= LEAST and count >= CONSTANT * len(seen) else None
-        return [node.tag, list(node.marks), node.many, constant, [packed(c) for c in node.items]]
+    __slots__ = ("nodes",)
 
-    return packed(wrapper)
 
+def aligned(nodes: list[Node]) -> Slot:
+    """Tree of the slots of a page; trees of this form match in one order of siblings only."""
+    slot = Slot(nodes[0].tag, nodes[0].marks[:1])
+    slot.nodes = nodes
+    kinds: dict[tuple, list[Node]] = {}
+    for node in nodes:
+        for child in node.children:
+            kinds.setdefault((child.tag, child.marks[:1]), []).append(child)
+    slot.items = [aligned(kinds[kind]) for kind in sorted(kinds)]
+    return slot
 
-def _walk(node: Node) -> Iterator[Node]:
-    stack = [node]
+
+def digest(text: str) -> int:
+    """64-bit hash that is never ALL."""
+    data = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(data, "little", signed=True) or 1
+
+
+def never(node: Node) -> bool:
+    return node.tag in OUT or not OUT_MARKS.isdisjoint(node.marks)
+
+
+def main_element(root: Node) -> str | None:
+    tags = {n.tag for n in _walk(root)}
+    return next((t for t in ("article", "main") if t in tags), None)
+
+
+def layout_of(root: Node) -> int:
+    body = next((n for n in _walk(root) if n.tag == "body"), root)
+    found = set()
+    for x in body.children:
+        if x.tag in SECTIONS and not never(x):
+            found.add((x.tag, x.marks[:1]))
+            found.update((x.tag, x.marks[:1], y.tag, y.marks[:1]) for y in x.children if y.tag in SECTIONS and not never(y))
+    return digest(repr(sorted(found)))
+
+
+def node_texts(root: Node) -> Iterator[tuple[str, set[int]]]:
+    """(path, hashes of its texts) of the nodes that may hold content; the main element and what holds it are not template."""
+    inside = main_element(root)
+    stack = [(aligned([root]), "", inside is None)]
     while stack:
-        x = stack.pop()
-        yield x
-        stack.extend(x.children)
+        slot, path, taken = stack.pop()
+        if taken and slot.tag not in ("#root", "html", "body", inside):
+            texts = {x.text() for x in slot.nodes if not never(x)} - {""}
+            if texts:
+                yield path, {digest(t) for t in texts}
+        for child in slot.items:
+            if child.tag not in OUT and OUT_MARKS.isdisjoint(child.marks):
+                step = f"{path}\x02{child.tag}\x01{''.join(child.marks)}"
+                stack.append((child, step, taken or slot.tag == inside))
+
+
+def merged(rows: list[tuple[str, int, int]]) -> list:
+    """Wrapper of the template nodes (path, layout, text): [tag, marks, [[layout, text], ...], children]."""
+    root = ["#root", [], [], []]
+    nodes = {"": root}
+    for path, layout, text in sorted(rows):
+        at = ""
+        for step in path.split("\x02")[1:]:
+            above, at = nodes[at], f"{at}\x02{step}"
+            if at not in nodes:
+                tag, _, mark = step.partition("\x01")
+                nodes[at] = [tag, [mark] if mark else [], [], []]
+                above[3].append(nodes[at])
+        nodes[at][2].append([layout, text])
+    return root if rows else []
 
 
-def unpacked(form: list, template: dict[int, str]) -> Node:
-    tag, marks, many, constant, children = form
+def induce(pages: list[str]) -> list:
+    """Wrapper of the pages of one host, as ``wrappers`` finds it for many hosts."""
+    have: dict[tuple, set[int]] = {}
+    for page in pages:
+        root = parse(page)
+        body, layout = digest(content(root)), layout_of(root)
+        for path, texts in node_texts(root):
+            for text in (None, *texts):
+                for where in (ALL, layout):
+                    have.setdefault((path, where, text), set()).add(body)
+    return merged([key for key, found in have.items() if key[2] is not None and len(found) >= LEAST
+                   and len(found) >= CONSTANT * len(have[(*key[:2], None)])])
+
+
+def unpacked(form: list, template: dict[int, set[tuple[int, int]]]) -> Node | None:
+    """Tree of a wrapper; template gets the (layout, text) pairs of its template nodes."""
+    if not form:
+        return None
+    tag, marks, constant, children = form
     node = Node(tag, tuple(marks))
-    node.many = many
-    node.items = [unpacked(c, template) for c in children]
-    if constant is not None:
-        template[id(node)] = constant
+    node.items = sorted((unpacked(c, template) for c in children), key=lambda c: (c.tag, c.marks))
+    if constant:
+        template[id(node)] = {(layout, text) for layout, text in constant}
     return node
 
 
-def main_text(page: str, wrapper: Node | None, template: dict[int, str]) -> str:
+def main_text(page: str, wrapper: Node | None, template: dict[int, set[tuple[int, int]]]) -> str:
     """Blocks of the page's content slots, joined by an empty line."""
     root = parse(page)
     gone = set()
     if wrapper is not None and template:
+        layout = layout_of(root)
         pairs: list[tuple[Node, Node]] = []
-        tree_match(root, wrapper, pairs)
-        gone = {id(mine) for mine, theirs in pairs if id(theirs) in template and mine.text() == template[id(theirs)]}
-    tags = {n.tag for n in _walk(root)}
-    inside = next((t for t in ("article", "main") if t in tags), None)
+        tree_match(aligned([root]), wrapper, pairs)
+        for slot, theirs in pairs:
+            known = template.get(id(theirs))
+            if known:
+                for mine in slot.nodes:
+                    text = digest(mine.text())
+                    if (ALL, text) in known or (layout, text) in known:
+                        gone.add(id(mine))
+    return content(root, gone)
+
+
+def content(root: Node, gone: set[int] = frozenset()) -> str:
+    """Text of a page without the nodes in ``gone``."""
+    inside = main_element(root)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -255,7 +323,7 @@ def main_text(page: str, wrapper: Node | None, template: dict[int, str]) -> str:
                 line.append(x)
         elif x.tag == "br":
             line.append(" ")
-        elif x.tag in OUT or id(x) in gone or not OUT_MARKS.isdisjoint(x.marks):
+        elif never(x) or id(x) in gone:
             continue
         elif not taken and inside is None or (x.tag == "header" or not HEADER_MARKS.isdisjoint(x.marks)) and not header:
             continue
@@ -274,50 +342,61 @@ def host() -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1))
 
 
-def body_key(page: str) -> int:
-    """64-bit hash of the text that lies outside the elements that are never content."""
-    text = main_text(page, None, {}).encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-
-
-def bodies(pages: DataFrame) -> DataFrame:
-    """(page_id, host, h, body) per page with a host and a text: hashes of the page and of its body."""
+def counted(pages: DataFrame) -> DataFrame:
+    """(host, layout, path, name, text, body): texts of the nodes of every page; null text: the page has the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("path", pa.int64()), ("name", pa.string()),
+                            ("text", pa.int64()), ("body", pa.int64())])
         for batch in batches:
-            keys = pa.array([body_key(page) for page in batch.column(3).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), keys], names=["page_id", "host", "h", "body"])
-
-    return (pages.select("page_id", host().alias("host"), F.xxhash64("html").alias("h"), "html")
-            .where("host <> '' and html <> '' and page_id is not null")
-            .mapInArrow(run, "page_id long, host string, h long, body long"))
-
-
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+            rows: list[tuple] = []
+            for where, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                root = parse(page)
+                body, layout = digest(content(root)), layout_of(root)
+                for name, texts in node_texts(root):
+                    path = digest(name)
+                    rows.append((where, layout, path, name, None, body))
+                    rows += [(where, layout, path, None, text, body) for text in texts]
+                if len(rows) > ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+
+    return (pages.select(host().alias("host"), "html").where("host <> '' and html <> ''")
+            .mapInArrow(run, "host string, layout long, path long, name string, text long, body long"))
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper as JSON, pages of the host)."""
     uses = pages.groupBy(host().alias("host")).agg(F.count("*").alias("uses"))
-    first = (bodies(pages).groupBy("host", "body").agg(F.min(F.struct("h", "page_id")).alias("first"))
-             .select("host", "first.*"))
-    order = Window.partitionBy("host").orderBy("h", "page_id")
-    # Written, so that its size is known: few hosts are broadcast to the pages, many are joined by a shuffle.
-    chosen = working_table(first.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample)
-                           .select("host", "h", "page_id"))
-    texts = (pages.select("page_id", host().alias("host"), F.xxhash64("html").alias("h"), "html")
-             .join(chosen, ["host", "h", "page_id"]).dropDuplicates(["host", "h"]))
-
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("h")
-        return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [json.dumps(induce(group["html"].tolist()))]})
-
-    learned = texts.select("host", "h", "html").groupBy("host").applyInPandas(learn, "host string, wrapper string")
+    node = ["host", "layout", "path"]
+    # A page text counts once, whatever stands around it and however many pages have it.
+    once = (counted(pages).withColumn("layout", F.explode(F.array(F.lit(ALL).cast("long"), F.col("layout"))))
+            .groupBy(*node, "text", "body").agg(F.min("name").alias("name")))
+    counts = working_table(once.groupBy(*node, "text").agg(F.count("*").alias("found"), F.min("name").alias("name"))
+                           .where(F.col("found") >= LEAST))
+    whole = counts.where("text is null").select(*node, "name", F.col("found").alias("pages"))
+    constant = (counts.where("text is not null").drop("name").join(whole, node)
+                .where(F.col("found") >= CONSTANT * F.col("pages")))
+    # What holds for all layouts is not said again for each.
+    where = (constant.groupBy("host", "path", "text").agg(F.collect_set("layout").alias("layouts"), F.min("name").alias("name"))
+             .select("host", "name", "text", F.explode(
+                 F.when(F.array_contains("layouts", ALL), F.array(F.lit(ALL).cast("long"))).otherwise(F.col("layouts"))).alias("layout")))
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(group["name"], map(int, group["layout"]), map(int, group["text"]), strict=True))
+        return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [json.dumps(merged(rows))]})
+
+    learned = where.groupBy("host").applyInPandas(pack, "host string, wrapper string")
     return uses.join(learned, "host", "left").select("host", F.coalesce("wrapper", F.lit("[]")).alias("wrapper"), "uses")
 
 
-def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                          F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    learned = working_table(wrappers(pages, sample))
+    learned = working_table(wrappers(pages))
     rows = join_groups(pages.withColumn("host", host()), learned, ["host"], "uses").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +408,7 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     if len(held) > 1000:
                         held.clear()
                     template: dict[int, str] = {}
-                    packed = json.loads(form)
-                    held[form] = (unpacked(packed, template) if packed else None, template)
+                    held[form] = (unpacked(json.loads(form), template), template)
                 texts.append(main_text(page, *held[form]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],

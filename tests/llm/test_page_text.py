@@ -62,6 +62,18 @@ def test_copies_with_other_surroundings_keep_their_text(spark):
     assert got == want
 
 
+def test_fixed_lines_of_every_layout_are_template(spark):
+    def rare(i, wrapped):
+        own = f"<div class='{'alpha' if wrapped else 'beta'}'><p>story {i}</p><p>line of {'alpha' if wrapped else 'beta'}</p></div>"
+        return f"<html><body><div class='{'left' if wrapped else 'right'}'>{own}</div><p>notice {'one' if wrapped else 'two'}</p></body></html>"
+
+    rows = [(i, "http://a.example.com/", page(i, f"<p>text {i}</p>" + "<p>x</p><ul><li>y</li></ul>" * 3, article=False)) for i in range(200)]
+    rows += [(1000 + i, "http://a.example.com/", rare(i, True)) for i in range(6)]
+    rows += [(2000 + i, "http://a.example.com/", rare(i, False)) for i in range(6)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k + i] for k in (1000, 2000) for i in range(6)] == [f"story {i}" for i in range(6)] * 2
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 5000 + "bottom" + "</div>" * 5000
     assert main_text(deep, None, {}) == "bottom"
