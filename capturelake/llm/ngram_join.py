@@ -12,8 +12,11 @@ documents link when 100 * intersection >= 80 * union.
    set as query: DivideSkip merges the short inverted lists with a heap, keeps the ids that occur often
    enough to reach the threshold, and probes the long lists for these by binary search. Some sets of the
    family are in every block: sets known to be connected through them need not be compared, and
-   only sets outside the largest connected part are sought in all blocks. No link that
-   joins two parts is missed, and no pairs are listed within a group of copies.
+   only sets outside the largest connected part are sought in other blocks. Of these, a set that holds
+   too few shingles that any other set of the family has is linked with none; the others go to the
+   blocks that hold one of the rarest of these shingles, of which a linked pair must share one. They
+   pass by the index of a block in chunks of QUERIES blocks' size. No link that joins two parts is
+   missed, and no pairs are listed within a group of copies.
 
 Defined results: null text or no words: the empty set, linked with nothing; fewer words than a
 shingle: the whole sequence is one; rows that repeat a doc_id are one class with it if their text is
@@ -41,6 +44,8 @@ SHINGLE = 5
 SLICE = 1 << 22
 #: A block has about BLOCK sets and SHINGLES shingles at most (or one larger set).
 BLOCK, SHINGLES, PIVOTS = 512, 1 << 18, 8
+#: A chunk of queries has about this many times the sets and shingles of a block at most.
+QUERIES = 16
 #: Document frequencies count up to here; more frequent shingles tie.
 FREQUENT = 1 << 16
 #: Weight of a binary probe against a step of the heap, in DivideSkip's rule for the number of long lists.
@@ -327,14 +332,6 @@ def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def cross_links(held: list[np.ndarray], queries: list[np.ndarray]) -> list[tuple[int, int]]:
-    """All links (held, query) of queries with the sets of a block."""
-    index = Index()
-    for s in held:
-        index.add(s.tolist())
-    return [(j, i) for i, q in enumerate(queries) for j in index.search(q.tolist())]
-
-
 LINK = "a long, b long"
 
 
@@ -366,6 +363,68 @@ def by_block(rows: DataFrame, flag: str, work) -> DataFrame:
             .sortWithinPartitions("family", "block", "key").mapInArrow(tidy(run), LINK))
 
 
+def by_query(rows: DataFrame) -> DataFrame:
+    """(a, b): links of queries with the sets of a block, given as rows (family, block, chunk, query, key, shingles).
+
+    The sets of the block come first and are held as an index; the queries pass by it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, index, held = None, Index(), []
+        for batch in batches:
+            family, block, chunk, query, keys = (batch.column(i).to_pylist() for i in range(5))
+            lists = batch.column(5)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            pairs = []
+            for i, mine in enumerate(zip(family, block, chunk, strict=True)):
+                if mine != group:
+                    group, index, held = mine, Index(), []
+                shingles = values[ends[i]:ends[i + 1]].tolist()
+                if query[i]:
+                    pairs += [(held[j], keys[i]) for j in index.search(shingles) if held[j] != keys[i]]
+                else:
+                    index.add(shingles)
+                    held.append(keys[i])
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.select("family", "block", "chunk", "query", "key", "shingles").repartition(parts, "family", "block", "chunk")
+            .sortWithinPartitions("family", "block", "chunk", "query", "key").mapInArrow(tidy(run), LINK))
+
+
+def query_blocks(large: DataFrame, rest: DataFrame) -> DataFrame:
+    """(family, key, n, block): blocks that may hold partners of the sets ``rest`` (family, key, blocks)."""
+    wide = large.select("family", "key", "block", F.explode("shingles").alias("h"))
+    common = wide.groupBy("family", "h").agg(F.count("*").alias("uses")).where("uses > 1")
+    least = large.groupBy("family").agg(F.min(F.size("shingles")).alias("least"))
+    asked = wide.join(rest.select("family", "key"), ["family", "key"], "left_semi").select("family", "key", "h")
+    # 100 * i >= 80 * (n + m - i) with a partner of m shingles, at least 80 % of n and the least of the family.
+    sizes = (large.select("family", "key", F.size("shingles").cast("long").alias("n"))
+             .join(rest, ["family", "key"]).join(F.broadcast(least), "family")
+             .withColumn("m", F.greatest(F.expr("(4 * n + 4) div 5"), F.col("least").cast("long")))
+             .select("family", "key", "n", "blocks", F.expr("(4 * (n + m) + 8) div 9").alias("need")))
+    found = (join_groups(asked, common, ["family", "h"], "uses").groupBy("family", "key")
+             .agg(F.sort_array(F.collect_list(F.struct("uses", "h"))).alias("shared")).join(sizes, ["family", "key"])
+             .where(F.size("shared") >= F.col("need")))
+    # A partner holds ``need`` of the shared shingles, so one of the rarest of them.
+    probes = working_table(found.select("family", "key", "n", "blocks", F.explode(F.slice(
+        "shared", F.lit(1), (F.size("shared") - F.col("need") + 1).cast("int"))).alias("s"))
+        .select("family", "key", "n", "blocks", F.col("s.h").alias("h")))
+    places = (wide.join(probes.select("family", "h").distinct(), ["family", "h"], "left_semi")
+              .groupBy("family", "h").agg(F.collect_set("block").alias("at")))
+    uses = probes.groupBy("family", "h").agg(F.count("*").alias("uses"))
+    places = working_table(places.join(uses, ["family", "h"]))
+    query = ["family", "key", "n", "blocks"]
+    many = F.size("at").alias("many")
+    # Where the lists name as many blocks as there are, every block is asked.
+    total = working_table(join_groups(probes, places.select("family", "h", many, "uses"), ["family", "h"], "uses")
+                          .groupBy(*query).agg(F.sum("many").alias("total")))
+    every = total.where("total >= blocks").select("family", "key", "n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    few = probes.join(total.where("total < blocks").select("family", "key"), ["family", "key"], "left_semi")
+    some = (join_groups(few, places, ["family", "h"], "uses").select("family", "key", "n", F.explode("at").alias("block")).distinct())
+    return every.unionByName(some)
+
+
 def family_links(members: DataFrame) -> DataFrame:
     """(a, b): links by key that connect what is connected; members: (family, size, weight, key, shingles), a working table.
 
@@ -399,20 +458,17 @@ def family_links(members: DataFrame) -> DataFrame:
     counted = placed.groupBy("family", "root").agg(F.count("*").alias("uses"))
     main = counted.groupBy("family").agg(F.max_by("root", F.struct("uses", "root")).alias("main"))
     rest = working_table(placed.join(main, "family").where("root <> main").select("family", "key", "blocks"))
-    queries = (large.select("family", "key", "shingles").join(rest, ["family", "key"])
-               .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    columns = ["family", "block", "key", "shingles", "query"]
     sought = large.join(rest.select("family").distinct(), "family", "left_semi")
-    rows = sought.withColumn("query", F.lit(False)).select(columns).unionByName(
-        queries.withColumn("query", F.lit(True)).select(columns))
-
-    def across(rows: list[tuple]) -> list[tuple[int, int]]:
-        held = [(key, shingles) for key, query, shingles in rows if not query]
-        asked = [(key, shingles) for key, query, shingles in rows if query]
-        found = cross_links([x for _, x in held], [x for _, x in asked])
-        return [(held[j][0], asked[i][0]) for j, i in found if held[j][0] != asked[i][0]]
-
-    return near.unionByName(by_block(rows, "query", across))
+    asked = working_table(query_blocks(sought, rest))
+    chunks = asked.groupBy("family", "block").agg(F.greatest(
+        F.ceil(F.count("*") / (QUERIES * BLOCK)), F.ceil(F.sum("n") / (QUERIES * SHINGLES))).cast("int").alias("chunks"))
+    columns = ["family", "block", "chunk", "query", "key", "shingles"]
+    queries = (asked.join(chunks, ["family", "block"])
+               .withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(2)), F.col("chunks")).cast("int"))
+               .join(sought.select("family", "key", "shingles"), ["family", "key"]).withColumn("query", F.lit(True)))
+    held = (sought.join(chunks, ["family", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .withColumn("query", F.lit(False)))
+    return near.unionByName(by_query(held.select(columns).unionByName(queries.select(columns))))
 
 
 def link_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:

@@ -59,6 +59,39 @@ def test_classes_match_brute_force(documents, monkeypatch, seed, block):
     assert {tuple(r) for r in link_classes(documents(rows)).collect()} == brute(rows)
 
 
+def template_corpus(n, share, seed=5):
+    """Documents that share much text but do not link, and a few links among them."""
+    draw = random.Random(seed)
+    base = [f"t{i}" for i in range(share)]
+    rows = [(i, " ".join(base + [f"u{i}_{k}" for k in range(100 - share)])) for i in range(n)]
+    for i in draw.sample(range(n), 12):
+        rows.append((1000 + i, rows[i][1].replace(f"u{i}_0", "z") if share < 90 else rows[i][1]))
+    return rows
+
+
+@pytest.mark.parametrize("share", [60, 85])
+def test_groups_of_a_family_without_links_are_bounded(documents, monkeypatch, share):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "QUERIES", 2, raising=False)
+    groups = []
+
+    def watch(name):
+        real = getattr(ngram_join, name)
+
+        def run(rows, *args):
+            groups.append(rows.groupBy(*[c for c in ("family", "block", "chunk") if c in rows.columns]).count()
+                          .agg({"count": "max"}).first()[0])
+            return real(rows, *args)
+        monkeypatch.setattr(ngram_join, name, run)
+
+    watch("by_block")
+    if hasattr(ngram_join, "by_query"):
+        watch("by_query")
+    rows = template_corpus(300, share)
+    assert {tuple(r) for r in link_classes(documents(rows)).collect()} == brute(rows)
+    assert len(groups) == 2 and all((g or 0) <= 110 for g in groups)
+
+
 def test_least_document_of_each_group_stays(documents):
     rows = corpus(2, 60)
     df = documents(rows)
