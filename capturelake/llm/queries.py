@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from capturelake.llm import (
+    audit_queries,
     byte_bpe,
     exact_dedup,
     language,
@@ -171,4 +172,4 @@ QUERIES = {
     "op8_secret_scan": (op8_secret_scan, OP8_SQL),
     "op9_language": (op9_language, None),
     "op10_ngram_join": (op10_ngram_join, OP10_SQL),
-}
+} | audit_queries.QUERIES
