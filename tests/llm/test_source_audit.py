@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from capturelake.llm import source_audit
-from capturelake.llm.source_audit import divergence, term_counts
+from capturelake.llm.source_audit import divergence, kept_terms
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -62,17 +62,37 @@ def test_matches_plain_counts(spark, monkeypatch, seed, slice_bytes, tile):
     assert got == plain(rows, 5, 4)
 
 
-def test_a_term_in_several_chunks_counts_a_document_once(spark):
-    rows = [(1, "cat cat, (CAT) cat-cat", "en", "s"), (1, "cat", "en", "s"), (2, "dog " * 70_000, "en", "s")]
-    got = {r.term: (r.occurrences, r.documents) for r in term_counts(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {None: (0, 0), "cat": (6, 2), "dog": (70_000, 1)}
+def counted(spark, rows, least, **kwargs):
+    out = kept_terms(spark.createDataFrame(rows, SCHEMA).coalesce(1), least, **kwargs)
+    return {(r.g, r.term): (r.n, r.whole, r.one) for r in out.collect()}
 
 
-def test_more_documents_than_a_slice_numbers(spark, monkeypatch):
-    rows = [(i, "a b" if i % 2 else "a", "en", f"s{i % 2}") for i in range(70_000)]
-    got = {(r.source, r.term): (r.occurrences, r.documents) for r in
-           term_counts(spark.createDataFrame(rows, SCHEMA).coalesce(1)).where("term is not null").collect()}
-    assert got == {("s0", "a"): (35_000, 35_000), ("s1", "a"): (35_000, 35_000), ("s1", "b"): (35_000, 35_000)}
+def test_a_term_in_several_chunks_counts_a_document_once(spark):
+    rows = [(1, "cat cat, (CAT) cat-cat", "en", "s"), (1, "cat", "en", "s"), (2, "dog " * 70_000, "en", "s")]
+    assert sorted(v for v in counted(spark, rows, 1).values()) == [(6, 6, 1), (70_000, 70_000, 1)]
+    assert list(counted(spark, rows, 2).values()) == [(6, 6, 1)]
+    assert counted(spark, rows, 3) == {}
+
+
+def test_documents_of_many_chunk_forms_and_groups_add_up(spark):
+    """No form, group or slice has enough documents alone."""
+    forms = ["cat", "Cat,", "(cat)", "cat.", "CAT!"]
+    rows = [(i, forms[i % 5], "en", f"s{i % 3}") for i in range(10)] + [(20 + i, f"{forms[i % 5]} {forms[i % 4]}", "de", "s") for i in range(9)]
+    for size in (1 << 20, 8):
+        assert sorted(v[1:] for v in counted(spark, rows, 10, slice_bytes=size).values()) == [(10, 0), (10, 0), (10, 1)]
+
+
+def test_tasks_merge_what_they_hold(spark, monkeypatch):
+    draw = random.Random(2)
+    rows = [(i, " ".join(draw.choice(["a", "b", "B,", "c-d"]) for _ in range(20)), "en", f"s{i % 3}") for i in range(60)]
+    merge = source_audit._gathered
+    want = counted(spark, rows, 3)
+    batches = list(source_audit.Counts.added(
+        source_audit.pa.array([b"x", b"y"], source_audit.pa.large_binary()), *(source_audit.np.array(x) for x in (
+            [0, 1, 0], [0, 1, 0], [5, 6, 7], [0, 1, 0], [0, 1, 0], [1, 2, 3])), source_audit.np.array([[1, 1], [2, 2]]), 2).rows(4)) * 5
+    counts = merge(iter(batches), 2, most=10)
+    assert sorted(zip(counts.names.take(source_audit.pa.array(counts.name)).to_pylist(), counts.count.tolist(), strict=True)) == [(b"x", 60), (b"y", 30)]
+    assert counted(spark, rows, 3, slice_bytes=50) == want
 
 
 def test_empty_table_and_exact_quotients(spark):
