@@ -21,6 +21,8 @@ id is a conversation of its own. Other columns are not read.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,15 +168,12 @@ def _stretches(batches):
     """One row for every conversation of a task's sorted rows: order of its first row, end initials, cell."""
     import functools
 
-    import pandas as pd
-
     cell_of = functools.lru_cache(maxsize=4096)(leaf)
     head, run, last, illegal = None, Parse(), "", 0
 
     def out():
         packed = [{"p": p, "q": q, "cost": cost, "audit": word} for (p, q), (cost, word) in run.cell().items()]
-        return pd.DataFrame({"c": [head[0]], "first_row": [dict(zip(_ORDER[1:], head[1:5], strict=True))], "initial": [head[5]],
-                             "final": [last], "illegal": [illegal], "cells": [packed]})
+        return head[0], dict(zip(_ORDER[1:], head[1:5], strict=True)), head[5], last, illegal, packed
 
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in (*_ORDER, "initial", "fault", "copies")), strict=True):
@@ -192,12 +191,15 @@ def _stretches(batches):
         yield out()
 
 
-def _as_arrow(run, schema):
+def _as_arrow(run, schema, most: int = 2000):
+    """Rows that a task function yields, in record batches."""
     def go(batches):
         import pyarrow as pa
 
-        for frame in run(batches):
-            yield pa.RecordBatch.from_pandas(frame, schema=schema(), preserve_index=False)
+        kinds, rows = schema(), run(batches)
+        while held := list(itertools.islice(rows, most)):
+            columns = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, kinds, strict=True)], schema=kinds)
     return go
 
 
@@ -211,16 +213,12 @@ def _stretch_schema():
 
 
 def _whole(batches):
-    import pandas as pd
-
     for batch in batches:
-        out = []
         for c, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             illegal = sum(x["illegal"] for x in parts)
             illegal += sum(a["final"] + b["initial"] not in LEGAL for a, b in zip(parts, parts[1:], strict=False))
             cost, audit = least(parsed(_unpacked(x["cells"]) for x in parts))
-            out.append((c, illegal, cost, audit))
-        yield pd.DataFrame(out, columns=["c", "illegal", "cost", "audit"])
+            yield c, illegal, cost, audit
 
 
 def _whole_schema():
