@@ -120,13 +120,13 @@ def keyframe_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trajectory(spark: SparkSession, sf: str) -> DataFrame:
-    # Compared to 5 decimals, as numbers: the text carries 9.
+    # Compared as numbers, to the 9 decimals of the text.
     cells = F.split("line", ",")
     rows = trajectory_lines(saved_keyframes(spark, sf)).withColumn("c", cells)
     return rows.select(
         SESSION, F.col("c")[0].cast("int").alias("index"), F.col("c")[1].alias("image"), F.col("c")[2].alias("point_cloud"),
         F.col("c")[4].cast("long").alias("pose_timestamp_ns"),
-        *[r(F.col("c")[5 + i].cast("double"), 5).alias(n) for i, n in enumerate(("tx", "ty", "tz"))],
+        *[r(F.col("c")[5 + i].cast("double"), 9).alias(n) for i, n in enumerate(("tx", "ty", "tz"))],
         F.size("c").alias("cells"))
 
 
@@ -191,7 +191,7 @@ FROM (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 3 THEN concat('photogrammet
     "trajectory_lines": (trajectory, sql(
         "SELECT k.session_id, capture_index AS index, format('frame_{:06d}_{}.jpg', capture_index, k.timestamp_ns) AS image, "
         "format('frame_{:06d}_{}.ply', capture_index, k.timestamp_ns) AS point_cloud, p.timestamp_ns AS pose_timestamp_ns, "
-        f"{rq('p.tx', 'tx', 5)}, {rq('p.ty', 'ty', 5)}, {rq('p.tz', 'tz', 5)}, 12 AS cells FROM {SAVED} "
+        f"{rq('p.tx', 'tx', 9)}, {rq('p.ty', 'ty', 9)}, {rq('p.tz', 'tz', 9)}, 12 AS cells FROM {SAVED} "
         "WHERE outcome = 'saved'", *PHOTO_TABLES, extra=f"{NEAREST}, {ROOTED}")),
     "frame_names": (frame_names, sql(
         "SELECT session_id, seq, CASE WHEN capture_index IS NULL THEN format('frame_  null_{}', timestamp_ns) "

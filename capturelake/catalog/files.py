@@ -83,7 +83,7 @@ def trajectory_files(spark: SparkSession, sf: str) -> DataFrame:
     root = shared_folder(spark)
     writers.write_trajectory(saved_keyframes(spark, sf), root)
     return readers.read_trajectory(spark, root).select(
-        SESSION, "index", "image", "pose_timestamp_ns", *[r(c, 5).alias(c) for c in ("tx", "ty", "tz")])
+        SESSION, "index", "image", "pose_timestamp_ns", *[r(c, 9).alias(c) for c in ("tx", "ty", "tz")])
 
 
 def published_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,7 +225,7 @@ QUERIES = {
         "GROUP BY session_id HAVING count(*) >= 8", "keyframes", extra=f"{OK}, {VALID}")),
     "trajectory_files": (trajectory_files, sql(
         f"SELECT k.session_id, capture_index AS index, {IMAGE} AS image, p.timestamp_ns AS pose_timestamp_ns, "
-        f"{rq('p.tx', 'tx', 5)}, {rq('p.ty', 'ty', 5)}, {rq('p.tz', 'tz', 5)} FROM {SAVED} WHERE outcome = 'saved'",
+        f"{rq('p.tx', 'tx', 9)}, {rq('p.ty', 'ty', 9)}, {rq('p.tz', 'tz', 9)} FROM {SAVED} WHERE outcome = 'saved'",
         *PHOTO_TABLES, extra=f"{NEAREST}, {ROOTED}")),
     "published_files": (published_files, sql(
         "SELECT concat('capture_tmp_', session_id) AS session_id, CASE WHEN right(session_id, 1) IN ('0','2','4','6','8') "
