@@ -33,8 +33,8 @@ END = 1
 PART = 512
 #: Parts partitioned at a time; bounds memory and the length of the load vectors.
 GROUP = 1536
-#: Words whose ids a task remembers.
-MEMO = 300_000
+#: Bytes of pieces and their ids that a worker remembers from task to task; an idle worker ends and frees them.
+MEMO = 1 << 27
 #: Bytes of text encoded at a time, or one longer text.
 SLICE = 1 << 23
 
@@ -93,8 +93,14 @@ def fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
         windows += 1 + windows // 500
 
 
-#: Letters and then marks: two pre-tokens or more, so letters and marks are encoded apart.
-PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)").fullmatch
+#: Kinds of bytes. Words without ODD bytes consist of pre-tokens that are cut by kind: runs of letters, single digits, runs of
+#: marks. Apostrophes, control characters and what is beyond Latin-1 letters are odd.
+GAP, LETTER, DIGIT, MARK, ODD = range(5)
+KIND = np.full(256, ODD, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]] = GAP
+KIND[[c for c in range(33, 127) if c != 39]] = MARK
+KIND[48:58] = DIGIT
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
 
 
 #: Byte-level vocabularies write bytes that are no visible Latin-1 character as code points from 256 on.
@@ -102,57 +108,105 @@ HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >
 BYTES = {b: 256 + i for i, b in enumerate(HIDDEN)}
 
 
-class WordIds(dict):
-    """Ids of a word as little-endian unsigned 32-bit bytes; remembers up to MEMO words and MEMO stems."""
+#: Pieces of letters only, some of them beyond ASCII.
+LATIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
-    def __init__(self, path: str):
-        super().__init__()
+
+def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(number of the distinct piece of every piece, distinct pieces, byte where each begins) of texts.
+
+    Words without odd bytes are lower-cased and cut into pre-tokens; others stay whole, as they are.
+    """
+    kind = KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    lead = lead[(second != 0x97) & (second != 0xB7)]  # the signs of times and division
+    kind[lead] = kind[lead + 1] = LETTER
+    solid = kind != GAP
+    cut = solid.copy()
+    cut[1:] &= ~solid[:-1]
+    begins = offsets[:-1][offsets[:-1] < len(data)]
+    cut[begins] = solid[begins]
+    words = np.flatnonzero(cut)
+    odd = np.logical_or.reduceat(kind == ODD, words) if len(words) else np.zeros(0, bool)
+    plain = solid
+    if odd.any():
+        plain = np.repeat(np.append(True, ~odd), np.diff(np.concatenate([[0], words, [len(data)]]))) & solid
+    inner = kind == DIGIT
+    inner[1:] |= kind[1:] != kind[:-1]
+    cut |= inner & plain
+    low = data.copy()
+    low[((data >= 65) & (data <= 90)) & plain] += 32
+    upper = lead[(data[lead + 1] <= 0x9E) & plain[lead]] + 1
+    low[upper] += 32
+    starts = np.flatnonzero(cut)
+    which, distinct = pieces(low[solid], np.cumsum(solid)[starts] - 1)
+    return which, distinct, starts
+
+
+class Recent:
+    """Ids by word, the latest ones within ``most`` bytes: of two generations the older one goes as a whole.
+
+    A word asked for again moves to the newer one.
+    """
+
+    #: Bytes of a dictionary place and two objects, besides their contents.
+    EACH = 200
+
+    def __init__(self, most: int):
+        self.half = self.room = most // 2
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, word: str) -> bytes | None:
+        ids = self.new.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is not None:
+                self.put(word, ids)
+        return ids
+
+    def put(self, word: str, ids: bytes) -> None:
+        size = self.EACH + 2 * len(word) + len(ids)
+        if size > self.room:
+            self.old, self.new, self.room = self.new, {}, self.half
+        if size <= self.room:
+            self.new[word] = ids
+            self.room -= size
+
+
+class WordIds:
+    """Ids of words as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.stems: dict[str, bytes] = {}
+        self.memo = Recent(memo)
 
-    def _stem(self, word: str, letters: bool = False) -> bytes:
-        """Ids of a word; one of lower-case letters is a single pre-token, which goes to the merges directly."""
-        out = self.stems.get(word)
+    def of(self, piece: str) -> bytes:
+        """Ids of a pre-token in lower case, which goes to the merges directly, or of a word with odd characters."""
+        out = self.memo.get(piece)
         if out is None:
-            if letters:
-                text = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
-                ids = [token.id for token in self.model.tokenize(text)]
+            if piece.isascii() and "'" not in piece and piece.isprintable():
+                ids = [token.id for token in self.model.tokenize(piece)]
+            elif LATIN(piece):
+                ids = [token.id for token in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTES))]
             else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            if len(self.stems) >= MEMO:
-                self.stems.clear()
-            self.stems[word] = out = struct.pack(f"<{len(ids)}I", *ids)
-        return out
-
-    def forget(self) -> None:
-        """Other stages need the memory once the task is over."""
-        self.clear()
-        self.stems.clear()
-
-    def __missing__(self, word: str) -> bytes:
-        plain = PLAIN(word.lower())
-        out = self._stem(plain[1], True) + (self._stem(plain[2]) if plain[2] else b"") if plain else self._stem(word)
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = out
+                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}I", *ids)
+            self.memo.put(piece, out)
         return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids end).
 
-        The tokenizer never joins text across ASCII white space, so the distinct words of the texts are
-        encoded one by one and put in place by number.
+        The tokenizer never joins text across ASCII white space or pre-tokens, so the distinct pieces of the texts
+        are encoded one by one and put in place by number.
         """
-        gap = (data == 32) | ((data >= 9) & (data <= 13))
-        cut = ~gap
-        cut[1:] &= gap[:-1]
-        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
-        starts = np.flatnonzero(cut)
-        which, words = pieces(data, starts)
-        ids, ends = spread(which, [self[w.strip(" \t\n\x0b\x0c\r")] for w in words])
+        which, distinct, starts = cut_pieces(data, offsets)
+        ids, ends = spread(which, [self.of(w) for w in distinct])
         ends = np.concatenate([[0], ends])
         return ids, ends[np.searchsorted(starts, offsets[1:])]
 
@@ -220,6 +274,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
                 yield _batch(out)
         if held:
             yield _batch(windows(held))
-        words.forget()
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(tidy(run), SCHEMA)

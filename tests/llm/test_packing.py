@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from capturelake.llm.packing import differencing, fit, pack
+from capturelake.llm.packing import Recent, WordIds, differencing, fit, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -59,3 +59,29 @@ def test_differencing_small_cases():
     assert sorted(np.bincount(differencing(np.array([8, 7, 6, 5, 4]), 2), weights=[8, 7, 6, 5, 4])) == [14, 16]
     assert differencing(np.array([5]), 1).tolist() == [0]
     assert np.bincount(fit(np.full(7, 1500), 2048)).max() == 1
+
+
+def test_words_as_the_tokenizer_has_them():
+    """Runs of letters, digits and marks, contractions, capitals, other scripts: word by word and as one text."""
+    draw = np.random.default_rng(1)
+    parts = ["a", "Zu", "é", "É", "ß", "ÿ", "÷", "×", "1", "23", ".", ",%", "$$$", "'s", "'", "'LL", "-", "_", "\\", "^", "`", "[", "K", "ſ", "İ", "é", "λ",
+             "日本", " ", " ", "\x01", "ﬁ", "²", "ª", "\U0001f600"]
+    texts = [" ".join("".join(draw.choice(parts, draw.integers(1, 5))) for _ in range(draw.integers(1, 12))) for _ in range(1500)]
+    words, tokenizer = WordIds(PATH, memo=40_000), Tokenizer.from_file(PATH)
+    for _ in range(2):
+        data = [t.encode() for t in texts]
+        ids, ends = words.encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+        got = np.split(ids, ends[:-1])
+        assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_remembered_ids_stay_within_their_bytes():
+    memo = Recent(50_000)
+    for i in range(2000):
+        memo.put(f"w{i}", bytes(8))
+        assert memo.get("w0") is None or i < 500 or memo.get("w0") == bytes(8)
+        memo.get("w5")
+    assert memo.get("w5") == memo.get("w1999") == bytes(8) and memo.get("w600") is None
+    assert Recent.EACH * (len(memo.new) + len(memo.old)) <= 50_000
+    memo.put("x" * 100_000, b"")
+    assert memo.get("x" * 100_000) is None
