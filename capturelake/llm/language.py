@@ -2,12 +2,15 @@
 
 For each language a suffix automaton of labelled text recognises every substring of that text. A
 document is parsed greedily: each phrase is the longest match of what follows in the automaton. The
-language that needs the fewest phrases per character wins.
+language that needs the fewest phrases per character wins; a letter that a language lacks costs it two, as it has to be
+announced and then spelled.
 
 The automata are learned from a bounded sample: of each language PIECES pieces of PIECE characters,
-chosen by a hash of the document id, at a place in the document also chosen by hash. Every text is then
-parsed whole, in blocks of STEP characters that are advanced together, one character a step; a
-phrase ends with its block.
+chosen by a hash of the document id, at a place in the document also chosen by hash. Every learned letter has
+its own symbol. Every text is then parsed whole, in blocks of STEP characters that are advanced together, one
+character a step. A block is first parsed as if a phrase began with it; then it is parsed again from the state
+in which the block before it ends, until both parses are in the same state, as they soon are. Where they do
+not meet within the block, the next block follows in one more round, so the phrases are those of one greedy parse.
 
 Defined results: ``und`` with score 0 if a text is null or has no letter, or if there is no labelled
 text at all; ties go to the language first in alphabetical order; repeated rows give a row each; other
@@ -31,8 +34,8 @@ from capturelake.llm.common import slices, text_of, utf8
 PIECES, PIECE = 160, 250
 STEP = 256
 SLICE = 1 << 21
-#: Letters an automaton tells apart; all others are one symbol that no phrase contains.
-LETTERS = 90
+#: The most frequent letters have a column in the table of transitions; those of the others are looked up by key.
+COLUMNS = 90
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 SPACE, OTHER, PAD = 0, 1, 2
 
@@ -94,36 +97,43 @@ class Parser:
             for part in parts:
                 for code, n in zip(*np.unique(part[part > 0], return_counts=True), strict=True):
                     counts[int(code)] = counts.get(int(code), 0) + int(n)
-        letters = sorted(counts, key=lambda code: (-counts[code], code))[:LETTERS]
-        self.symbol = np.where(table > 0, OTHER, SPACE).astype(np.uint8)
-        number = {code: i + PAD + 1 for i, code in enumerate(letters)}
-        of_letter = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
-        of_letter[list(number)] = list(number.values())
-        self.symbol = np.where(table > 0, of_letter[table], self.symbol)
-        self.width = len(letters) + PAD + 1
-        rows, self.roots = [], []
-        for name in self.languages:
-            # Symbol -1 stands between pieces: no document contains it, so no match reaches over it.
+        letters = sorted(counts, key=lambda code: (-counts[code], code))
+        of_letter = np.full(sys.maxunicode + 1, OTHER, dtype=np.int32)
+        of_letter[letters] = np.arange(len(letters)) + PAD + 1
+        self.symbol = np.where(table > 0, of_letter[table], SPACE).astype(np.int32)
+        self.symbols = len(letters) + PAD + 1
+        self.width = min(self.symbols, COLUMNS + PAD + 1)
+        rows, rare, self.roots, base = [], [], [], 0
+        self.first = np.full((len(self.languages), self.symbols), -1, dtype=np.int32)
+        for i, name in enumerate(self.languages):
+            # Symbol -1 stands between pieces: no document contains it, so no match reaches over it. No automaton has OTHER.
             chain: list[int] = []
             for part in coded[name]:
                 chain += self._dense(np.where(part > 0, of_letter[part], SPACE)).tolist() + [-1]
-            base = sum(map(len, rows))
-            grid = np.full((0, self.width), -1, dtype=np.int32)
             moves = suffix_automaton(chain)
             grid = np.full((len(moves), self.width), -1, dtype=np.int32)
             for state, out in enumerate(moves):
                 for c, to in out.items():
-                    if c >= 0:
+                    if c >= self.width:
+                        rare.append(((base + state) * self.symbols + c, base + to))
+                    elif c >= 0:
                         grid[state, c] = base + to
+            for c, to in moves[0].items():
+                if c >= 0:
+                    self.first[i, c] = base + to
             grid[:, PAD] = np.arange(base, base + len(moves))
             self.roots.append(base)
             rows.append(grid)
-        # Between phrases: every symbol begins a new one.
-        self.between = sum(map(len, rows))
+            base += len(moves)
+        # Between phrases: every symbol begins a new one, and one that the language lacks is a phrase of its own.
+        self.between = base
+        self.first[self.first < 0] = base
         none = np.full((1, self.width), -1, dtype=np.int32)
-        none[:, PAD] = self.between
+        none[:, PAD] = base
         self.moves = np.concatenate([*rows, none])
         self.roots = np.array(self.roots, dtype=np.int32)
+        found = np.array(sorted(rare), dtype=np.int64).reshape(-1, 2)
+        self.rare, self.rare_to = found[:, 0].copy(), found[:, 1].astype(np.int32)
 
     @staticmethod
     def _dense(symbols: np.ndarray) -> np.ndarray:
@@ -132,20 +142,70 @@ class Parser:
         keep[1:] |= symbols[:-1] != SPACE
         return symbols[keep]
 
-    def phrases(self, blocks: np.ndarray) -> np.ndarray:
-        """Phrases that each language needs for each block (STEP symbols, padded): languages x blocks."""
-        flat, width = self.moves.ravel(), self.width
-        first = self.moves[self.roots]
-        first[first < 0] = self.between  # a symbol that the language lacks is a phrase of its own
-        count = np.zeros((len(self.roots), len(blocks)), dtype=np.int32)
+    def _next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The state after ``symbol``, below 0 where the phrase ends before it."""
+        if self.symbols == self.width:
+            return self.moves.ravel()[state * self.width + symbol]
+        symbol = np.broadcast_to(symbol, state.shape)
+        seldom = symbol >= self.width
+        to = self.moves.ravel()[state * self.width + np.where(seldom, OTHER, symbol)]
+        if len(self.rare) and seldom.any():
+            key = state[seldom].astype(np.int64) * self.symbols + symbol[seldom]
+            at = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+            to[seldom] = np.where(self.rare[at] == key, self.rare_to[at], -1)
+        return to
+
+    def phrases(self, blocks: np.ndarray, follows: np.ndarray | None = None) -> np.ndarray:
+        """Phrases that begin in each block (STEP symbols, padded), for each language: languages x blocks.
+
+        ``follows`` tells the blocks that continue the block before them; without it none does.
+        """
+        languages, steps = len(self.roots), blocks.shape[1]
+        count = np.zeros((languages, len(blocks)), dtype=np.int32)
         state = np.full(count.shape, self.between, dtype=np.int32)
-        for j in range(blocks.shape[1]):
+        again = follows is not None and bool(follows.any())
+        states = np.empty((steps if again else 0, *count.shape), np.int32)
+        begun = np.empty(states.shape, bool)
+        for j in range(steps):
             symbol = blocks[:, j]
-            to = flat[state * width + symbol]
+            to = self._next(state, symbol)
             ended = to < 0
             count += ended
-            state = np.where(ended, first[:, symbol], to)
-        return count
+            state = np.where(ended, self.first[:, symbol], to)
+            if again:
+                states[j], begun[j] = state, ended
+        if not again:
+            return count
+        out, last, change = state, np.full(count.shape, self.between, np.int32), np.zeros_like(count)
+        active = np.flatnonzero(follows)
+        language, block = (x.ravel() for x in np.meshgrid(np.arange(languages), active, indexing="ij"))
+        while True:
+            # Only parses that enter a block otherwise than they did before.
+            enters = out[language, block - 1]
+            new = enters != last[language, block]
+            language, block, enters = language[new], block[new], enters[new]
+            if not len(block):
+                return count + change
+            last[language, block] = enters
+            run, at, difference = enters, np.arange(len(block)), np.zeros(len(block), np.int32)
+            leaves = states[steps - 1][language, block]
+            for j in range(steps):
+                symbol = blocks[block[at], j]
+                to = self._next(run, symbol)
+                ended = to < 0
+                difference[at] += ended.astype(np.int32) - begun[j][language[at], block[at]]
+                run = np.where(ended, self.first[language[at], symbol], to)
+                apart = run != states[j][language[at], block[at]]
+                at, run = at[apart], run[apart]
+                if not len(at):
+                    break
+            leaves[at] = run
+            change[language, block] = difference
+            out[language, block] = leaves
+            block = block + 1
+            on = block < len(blocks)
+            on[on] = follows[block[on]]
+            language, block = language[on], block[on]
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], list[float]]:
         names, scores = [], []
@@ -178,12 +238,17 @@ class Parser:
         symbols = symbols[keep]
         per = -(-size // STEP)
         first = np.concatenate([[0], np.cumsum(per)])
-        blocks = np.full((int(first[-1]), STEP), PAD, dtype=np.uint8)
+        blocks = np.full((int(first[-1]), STEP), PAD, dtype=np.int32)
         within = np.arange(len(symbols)) - np.repeat(begin[:-1], size)
         blocks[np.repeat(first[:-1], size) + within // STEP, within % STEP] = symbols
-        phrases = self.phrases(blocks) if len(blocks) else np.zeros((len(self.roots), 0), np.int32)
+        follows = np.ones(len(blocks), bool)
+        follows[first[:-1][per > 0]] = False
+        phrases = self.phrases(blocks, follows) if len(blocks) else np.zeros((len(self.roots), 0), np.int32)
         running = np.concatenate([np.zeros((len(self.roots), 1), np.int64), np.cumsum(phrases, axis=1, dtype=np.int64)], 1)
         needed = running[:, first[1:]] - running[:, first[:-1]]
+        for i, lacks in enumerate(self.first == self.between):
+            missing = np.flatnonzero(lacks[symbols])
+            needed[i] += np.bincount(np.searchsorted(begin, missing, side="right") - 1, minlength=n)
         best = np.argmin(needed, axis=0)
         out = []
         for i in range(n):

@@ -57,6 +57,61 @@ def test_phrases_are_greedy_longest_matches():
     assert SPACE == 0
 
 
+def greedy(parser, sources, symbols):
+    """Phrases of one parse from left to right, by looking at every substring."""
+    held = ["".join(map(chr, parser._dense(parser.symbol[np.frombuffer(t.encode("utf-32-le"), np.uint32)]))) for t in sources]
+    text, at, n = "".join(map(chr, symbols)), 0, 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and any(text[at:at + size + 1] in h for h in held):
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
+def test_phrases_go_over_blocks_and_texts_do_not():
+    """Periodic and long shared stretches, whose phrases are longer than a block, besides ordinary text."""
+    draw = random.Random(4)
+    long_a, long_b = "ab" * 700 + "c" + "ab" * 300, text("aa", 1, 500)
+    sources = {"aa": [long_a, long_b], "bb": ["xyz zyx", text("bb", 3, 300)]}
+    parser = Parser(sources)
+    texts = [long_a[3:] + "q" + long_a[:900], long_b[7:2000] * 2, text("aa", 2, 900), text("bb", 4, 40) + "x" * 700, "ba" * 1200, "", "xyz", "日" * 600]
+    texts += ["".join(draw.choice([long_a[:draw.randrange(600)], long_b[:draw.randrange(900)], "q", "xyz"]) for _ in range(6)) for _ in range(12)]
+    data, offsets = utf8(pa.array(texts))
+    calls, plain = [], parser.phrases
+
+    def watched(blocks, follows):
+        out = plain(blocks, follows)
+        calls.append((out, follows))
+        return out
+
+    parser.phrases = watched
+    parser.predict(data, offsets)
+    (out, follows), = calls
+    start = np.flatnonzero(~follows)
+    got = np.add.reduceat(out, start, axis=1)
+    shown = [t for t in texts if t]
+    assert got.shape == (2, len(shown)) and follows.sum() > 20
+    for i, t in enumerate(shown):
+        symbols = parser._dense(parser.symbol[np.frombuffer(t.encode("utf-32-le"), np.uint32)]).tolist()
+        assert [greedy(parser, sources[name], symbols) for name in ("aa", "bb")] == got[:, i].tolist()
+
+
+def test_languages_that_differ_in_rare_letters_only():
+    """120 common letters are shared; each language has 1,000 letters of its own, each of them rare."""
+    shared, own = [chr(0x4E00 + i) for i in range(120)], {"x": [chr(0x5000 + i) for i in range(1000)], "y": [chr(0x6000 + i) for i in range(1000)]}
+
+    def made(lang, seed, n):
+        draw = random.Random(f"{lang}{seed}")
+        return "".join(draw.choice(own[lang]) if draw.random() < 0.3 else draw.choice(shared) for _ in range(n))
+
+    parser = Parser({lang: [made(lang, i, 250) for i in range(60)] for lang in own})
+    assert parser.symbols > 2000 > parser.width
+    rows = [(lang, made(lang, 1000 + i, 120)) for lang in own for i in range(100)]
+    names, _ = parser.predict(*utf8(pa.array([t for _, t in rows])))
+    assert sum(a == b for a, (b, _) in zip(names, rows, strict=True)) >= 198
+
+
 def test_held_out_documents_are_recognised(documents):
     rows = [(i, text(lang, i), lang) for lang in MORPHEMES for i in range(300 * (ord(lang[0]) - 97), 300 * (ord(lang[0]) - 97) + 80)]
     rows += [(5000, None, "aa"), (5001, "123 ... !", "aa"), (5002, "", None), (5003, "日本語", None), (None, text("bb", 1), "bb"),
