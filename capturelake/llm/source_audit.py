@@ -43,9 +43,9 @@ LEAST_DOCUMENTS = 10
 SCALE = 1_000_000_000
 TOP = 10
 #: Bytes of text of one slice.
-SLICE = 1 << 24
+SLICE = 1 << 23
 #: Bytes that a task holds before it merges them.
-HELD = 1 << 27
+HELD = 1 << 25
 #: Sources and terms of one tile.
 TILE_SOURCES, TILE_TERMS = 32, 1 << 14
 
