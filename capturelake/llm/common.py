@@ -30,6 +30,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns c0, c1, ... so that no name which an operator adds can be a user's, and the new name of each.
+
+    ``toDF(*docs.columns)`` on these columns gives the old names back.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else.
 

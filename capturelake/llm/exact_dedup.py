@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import ascii_lower, join_groups, text_of, working_table
+from capturelake.llm.common import ascii_lower, join_groups, renamed, text_of, working_table
 
 BLOCK = 4096
 KEY = ["doc_id", "text_sha256"]
@@ -86,10 +86,9 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The documents that stay, with all their columns; a repeated row stays once."""
-    kept = exact_dedup(docs, block).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(ascii_lower(text_of()).cast("binary"), 256)
-    rows = docs.withColumn("_sha256", sha)
-    return (rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_sha")), "left_semi")
-            .dropDuplicates(["doc_id", "_sha256"]).select(*docs.columns))
+    """The documents that stay, with all their columns, whatever their names; a repeated row stays once."""
+    kept = exact_dedup(docs, block).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("kept_sha"))
+    rows, at = renamed(docs)
+    rows = rows.withColumn("sha", F.sha2(ascii_lower(text_of(at["text"])).cast("binary"), 256))
+    found = rows.join(kept, F.col(at["doc_id"]).eqNullSafe(F.col("id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    return found.dropDuplicates([at["doc_id"], "sha"]).select(*at.values()).toDF(*docs.columns)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import join_groups, slices, text_of, tidy, utf8, working_table
+from capturelake.llm.common import join_groups, renamed, slices, text_of, tidy, utf8, working_table
 from capturelake.llm.components import components
 from capturelake.llm.words import mixed, shingle_hashes, word_hashes
 
@@ -507,9 +507,9 @@ def link_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The documents of least id of each group, with all their columns; a repeated row stays once."""
+    """The documents of least id of each group, with all their columns, whatever their names; a repeated row stays once."""
     kept = link_classes(docs, k).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    return (rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-            .dropDuplicates(["doc_id", "_hash"]).select(*docs.columns))
+        F.col("doc_id").alias("id")).distinct()
+    rows, at = renamed(docs)
+    found = rows.withColumn("hash", F.xxhash64(at["text"])).join(kept, F.col(at["doc_id"]).eqNullSafe(F.col("id")), "left_semi")
+    return found.dropDuplicates([at["doc_id"], "hash"]).select(*at.values()).toDF(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capturelake.llm.common import slices, text_of, tidy, utf8
+from capturelake.llm.common import renamed, slices, text_of, tidy, utf8
 
 PASSAGE = 64
 SAMPLE = 6000
@@ -214,5 +214,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that are not rejected, with all their columns unchanged."""
-    return score(docs, learn(docs, labels, sample)).where("quality_score >= 0.5").select(*docs.columns)
+    """The documents that are not rejected, with all their columns unchanged, whatever their names."""
+    rows, at = renamed(docs)
+    scored = score(rows.withColumnRenamed(at["text"], "text"), learn(docs.select("doc_id", "text"), labels, sample))
+    return scored.where("quality_score >= 0.5").drop("quality_score").toDF(*docs.columns)

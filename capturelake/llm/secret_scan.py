@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import text_of
+from capturelake.llm.common import renamed, text_of
 
 # Fixed values of the contract: kind, pattern (Java), least length of the group that counts.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -123,8 +123,18 @@ def _suspicious(string: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """All columns and ``secret_spans``: array of (start, rank, kind, end), sorted; ranks follow the kinds as listed."""
-    rows = _base_spans(docs.withColumn("_text", text_of()))
+    """All columns and ``secret_spans``: array of (start, rank, kind, end), sorted; ranks follow the kinds as listed.
+
+    A column ``secret_spans`` of the table gives way to it.
+    """
+    docs = docs.drop("secret_spans")
+    return _scanned(docs)[0].toDF(*docs.columns, "secret_spans")
+
+
+def _scanned(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with their columns renamed and ``secret_spans`` at the end, and the new name of every column."""
+    rows, at = renamed(docs)
+    rows = _base_spans(rows.withColumn("_text", text_of(at["text"])))
     text = F.col("_text")
     strings = F.when(text.rlike(r"[A-Za-z0-9+/_=-]{20}"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
     rows = _with_spans(rows.withColumn("_match", strings).withColumn("_group", F.col("_match")), "entropy", CANDIDATE,
@@ -138,7 +148,7 @@ def scan(docs: DataFrame) -> DataFrame:
             s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
     kinds = [ranked(rank, kind) for rank, kind in enumerate(("assign", "access", "hex", "entropy"))]
-    return rows.select(*docs.columns, F.array_sort(F.concat(*kinds)).alias("secret_spans"))
+    return rows.select(*at.values(), F.array_sort(F.concat(*kinds)).alias("secret_spans")), at
 
 
 def joined(spans: Column) -> Column:
@@ -158,8 +168,8 @@ def scan_digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by the mark and n_chars counted anew; texts without a span are unchanged."""
-    rows = scan(docs)
-    text = F.col("text")
+    rows, at = _scanned(docs)
+    text = F.col(at["text"])
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -170,9 +180,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     tail = lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.char_length(text)))
     clean = F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", start, step, tail)).otherwise(text)
-    rows = rows.withColumn("_clean", clean)
-    changes = {"text": F.col("_clean")}
-    if "n_chars" in docs.columns:
-        n = F.char_length("_clean").cast(docs.schema["n_chars"].dataType)
-        changes["n_chars"] = F.when(F.size("secret_spans") > 0, n).otherwise(F.col("n_chars"))
-    return rows.select(*[changes[c].alias(c) if c in changes else F.col(c) for c in docs.columns])
+    rows = rows.withColumn("clean", clean)
+    changes = {"text": F.col("clean")}
+    if "n_chars" in at:
+        n = F.char_length("clean").cast(docs.schema["n_chars"].dataType)
+        changes["n_chars"] = F.when(F.size("secret_spans") > 0, n).otherwise(F.col(at["n_chars"]))
+    return rows.select(*[changes.get(c, F.col(name)) for c, name in at.items()]).toDF(*docs.columns)

@@ -5,6 +5,7 @@ import zlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -62,3 +63,21 @@ def test_stages_keep_the_columns_and_rows_of_clean_documents(spark, tables):
         assert stage(spark, docs.limit(0), path).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "exact dedup", "n-gram Jaccard join", "secret scans", "packing"]
+
+
+def test_columns_with_the_names_that_operators_use(spark, tables):
+    """Every stage but the last gives all columns back as they were."""
+    path, _ = tables
+    names = ("_id", "_sha", "_sha256", "_hash", "_text", "_match", "_group", "_clean", "_assign", "_entropy", "secret_spans", "quality_score",
+             "id", "sha", "hash", "clean", "c0", "c1", "kept", "a.b", "key")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    plain = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain[name] = {tuple(r) for r in stage(spark, docs, path).collect()}
+    more = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, path)
+        assert out.columns == more.columns
+        rows = [tuple(r) for r in out.collect()]
+        assert {r[:5] for r in rows} == plain[name]
+        assert all(r[5:] == tuple(f"{n} {r[0]}" for n in names) for r in rows)
