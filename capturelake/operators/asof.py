@@ -120,9 +120,11 @@ def nearest_pose(images: DataFrame, poses: DataFrame, tolerance_ns: int, cell_ns
     return nearest(latest_by_timestamp(images), {"pose": (poses, tolerance_ns)}, cell_ns, reach_ns)
 
 
-def finalize_seq(images: DataFrame, poses: DataFrame, cell_ns: int = CELL_NS) -> DataFrame:
+def finalize_seq(images: DataFrame, poses: DataFrame, cell_ns: int = CELL_NS, first_pose: str | None = None) -> DataFrame:
     """Adds ``finalize_seq``: the arrival at which image, metadata and a late enough pose are all there.
 
+    With ``first_pose`` the arrival of the first late enough pose stays as a column of that name.
+
     Images carry ``meta`` (see ``match_metadata``); null while any of the three is missing.
     The first arrival among poses not older than the image is a running minimum from the
     session's end.
@@ -134,8 +136,8 @@ def finalize_seq(images: DataFrame, poses: DataFrame, cell_ns: int = CELL_NS) ->
                    order=("timestamp_ns", "_kind"), width=cell_ns, reverse=True)
     done = F.when(F.col("meta").isNotNull() & F.col("_first_pose").isNotNull(),
                   F.greatest("seq", "meta.seq", "_first_pose"))
-    return (scan.where(F.col("_kind") == 0).select("_image.*", "_first_pose")
-            .withColumn("finalize_seq", done).drop("_first_pose"))
+    found = scan.where(F.col("_kind") == 0).select("_image.*", "_first_pose").withColumn("finalize_seq", done)
+    return found.withColumnRenamed("_first_pose", first_pose) if first_pose else found.drop("_first_pose")
 
 
 def arrivals_before(rows: DataFrame, samples: dict[str, DataFrame], width: int = SEQ_CHUNK) -> DataFrame:

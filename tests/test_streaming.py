@@ -78,6 +78,35 @@ def test_batch_evicts_metadata_as_the_stream_does(spark, seed):
     assert sum(v == "pending_metadata" for v in want.values()) > 10 < len(got)
 
 
+def test_eviction_in_chunks_equals_one_fold(spark):
+    """One session with most rows, cut into chunks; what a chunk holds in the end reaches the next ones."""
+    from dataclasses import replace
+
+    from capturelake.operators.asof import finalize_seq, match_metadata, pose_ready
+    from capturelake.plans.assemble import evicted_images, late_sessions
+
+    policy = replace(DATASET, metadata_buffer=4, pose_buffer=6)
+    rng = random.Random(8)
+    images, stills, poses = [], [], []
+    for name, n in (("hot", 1600), ("a", 200), ("quiet", 200)):
+        for q in range(0, n, 4):
+            ts = 30 * MS * q
+            poses.append((name, q, ts))
+            if rng.random() < 0.4:
+                shot = ts + rng.randint(-50, 20) * MS
+                stills.append((name, q + 2, shot, 10**6))
+                late = 0 if name == "quiet" else rng.choice((0, 0, 1, 5, 20, 60))
+                if rng.random() < 0.8:
+                    images.append((name, q + 3 + 4 * late, shot))
+    images, stills, poses = stamps(spark, images), meta(spark, stills), stamps(spark, poses)
+    final = finalize_seq(pose_ready(match_metadata(images, stills), poses), poses, first_pose="_first_pose").cache()
+    late = late_sessions(final, poses, policy)
+    assert {r.session_id for r in late.collect()} == {"hot", "a"}
+    whole = sorted(map(tuple, evicted_images(final, stills, poses, policy).collect()))
+    cut_up = sorted(map(tuple, evicted_images(final, stills, poses, policy, sessions=late, stretch=500).collect()))
+    assert cut_up == whole and len(whole) > 20
+
+
 def test_idle_sessions_leave_as_pending(spark, tmp_path):
     clock = F.timestamp_seconds(F.col("seq"))
     tables = [t.withColumn("event_time", clock) for t in (
