@@ -181,3 +181,77 @@ def test_idle_sessions_lose_their_state(spark, tmp_path, build):
         assert [r.seq for r in got] == [1, 9000, 9500]  # a state that had stayed would drop 9500
     else:
         assert [(r.seq, r.exposure_time_ns) for r in got] == [(1, 7), (2, 7), (9000, None), (9001, None), (9500, None)]
+
+
+def sink_fixture(spark, tmp_path):
+    """Outcome rows of three sessions as a stream's batches, and what describes them."""
+    from capturelake.streaming.assemble_stream import RESULT
+    from capturelake.streaming.document_sink import described
+
+    shots = [(name, 10 * i, 1000 * MS + 40 * MS * i) for name in ("a", "b") for i in range(6)]
+    images = stamps(spark, shots).withColumns({"jpeg_width": F.lit(4000), "jpeg_height": F.lit(3000)})
+    stills = meta(spark, [(s, q + 1, ts, 10**6) for s, q, ts in shots])
+    k = F.struct(*[F.lit(1.0).alias(n) for n in ("fx", "fy", "cx", "cy")], F.lit(4).alias("width"), F.lit(3).alias("height"))
+    pose = F.struct(*[F.lit(float(n == "qw")).alias(n) for n in ("tx", "ty", "tz", "qx", "qy", "qz", "qw")])
+    poses = stamps(spark, [(s, q + 2, ts + MS) for s, q, ts in shots]).withColumns({"pose": pose, "image_k": k, "texture_k": k})
+    rows = [(s, q, ts, "saved" if q != 30 else "rejected_pose", q + 2, MS, q + 3, -MS,
+             None if q == 30 else q // 10 + 1 - (q > 30)) for s, q, ts in shots]
+    return spark.createDataFrame(rows, RESULT), described(images, stills, poses), str(tmp_path)
+
+
+def committed(spark, root):
+    from capturelake.streaming.document_sink import committed_keyframes
+
+    return sorted((r.session_id, r.capture_index, r.image) for r in committed_keyframes(spark, root).collect())
+
+
+def test_a_batch_that_runs_again_writes_nothing(spark, tmp_path):
+    from capturelake.streaming.document_sink import commit_batch, ledger, write_committed_trajectory
+
+    rows, describe, root = sink_fixture(spark, tmp_path)
+    first, second = rows.where("seq < 30"), rows.where("seq >= 20")  # the second one holds photos of the first again
+    commit_batch(first, 0, describe, root)
+    once = committed(spark, root)
+    commit_batch(first, 0, describe, root)
+    assert committed(spark, root) == once and ledger(spark, root).count() == 6
+    commit_batch(second, 1, describe, root)
+    commit_batch(rows.where("outcome <> 'saved'"), 2, describe, root)
+    commit_batch(rows.limit(0), 3, describe, root)
+    every = committed(spark, root)
+    assert [r[1] for r in every] == [1, 2, 3, 4, 5] * 2 and set(once) < set(every)
+    assert ledger(spark, root).count() == 10
+    write_committed_trajectory(spark, root).count()
+    lines = spark.read.text(f"{root}/a/camera_trajectory.csv").collect()
+    assert [x.value.split(",")[0] for x in lines] == ["index", "1", "2", "3", "4", "5"]
+
+
+def test_a_batch_that_stops_before_its_entry_is_repeated(spark, tmp_path, monkeypatch):
+    from capturelake.streaming import document_sink
+
+    rows, describe, root = sink_fixture(spark, tmp_path)
+
+    def stop(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(document_sink, "trajectory_lines", stop)
+        with pytest.raises(OSError, match="lost"):
+            document_sink.commit_batch(rows, 0, describe, root)
+    assert committed(spark, root) == []  # the files are there, but no entry names them
+    document_sink.commit_batch(rows, 0, describe, root)
+    assert len(committed(spark, root)) == 10
+
+
+def test_a_lost_checkpoint_does_not_repeat_documents(spark, tmp_path):
+    from capturelake.streaming.document_sink import ledger, stream_write_documents
+
+    rows, describe, root = sink_fixture(spark, tmp_path / "out")
+    where = f"{tmp_path}/rows"
+    rows.where("seq < 30").write.mode("append").parquet(where)
+    source = lambda: spark.readStream.schema(rows.schema).parquet(where)
+    stream_write_documents(source(), describe, root, f"{tmp_path}/ckpt1").awaitTermination()
+    assert ledger(spark, root).count() == 6
+    rows.where("seq >= 30").write.mode("append").parquet(where)
+    stream_write_documents(source(), describe, root, f"{tmp_path}/ckpt2").awaitTermination()
+    keys = [(r.session_id, r.timestamp_ns, r.capture_index) for r in ledger(spark, root).collect()]
+    assert len(keys) == len(set(keys)) == 10 == len(committed(spark, root))
