@@ -47,21 +47,59 @@ ALLOWED = (
 SPAN = "array<struct<start:int,end:int>>"
 
 
+#: Items of an array that are folded at a time: the copy of a growing array costs no more than this.
+STRETCH = 128
+
+
+def _running(items: Column, zero: Column, carry, emit, kind: str) -> Column:
+    """The arrays emit(carry before an item, item) of all items, joined, in time that is linear in the items.
+
+    A long array is cut into stretches: one fold finds the carry before each, others emit within the stretches.
+    """
+    def folded(part: Column, start: Column) -> Column:
+        first = F.struct(start.alias("carry"), F.array().cast(kind).alias("out"))
+        return F.aggregate(part, first, lambda acc, x: F.struct(
+            carry(acc["carry"], x).alias("carry"), F.concat(acc["out"], emit(acc["carry"], x)).alias("out")), lambda acc: acc["out"])
+
+    def bound(held: Column) -> Column:
+        last = F.floor((F.size(held) - 1) / STRETCH).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(held, i * STRETCH + 1, STRETCH))
+        first = F.struct(zero.alias("carry"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(parts, first, lambda acc, part: F.struct(
+            F.aggregate(part, acc["carry"], carry).alias("carry"), F.concat(acc["out"], F.array(acc["carry"])).alias("out")), lambda acc: acc["out"])
+        zipped = F.arrays_zip(parts.alias("part"), starts.alias("start"))
+        return F.when(F.size(held) > STRETCH, F.flatten(F.transform(zipped, lambda z: folded(z["part"], z["start"])))).otherwise(
+            folded(held, zero))
+
+    return F.transform(F.array(items), bound)[0]  # a lambda's variable is computed once, an expression for each item
+
+
 def _spans(text: Column, pattern: str, matches: Column, groups: Column, keep) -> Column:
     """Spans of the matches whose group keep() accepts; the gaps between them come from splitting at the pattern."""
     # Zipped, so that the text is split once and not for each match; the gap behind the last match has none.
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), groups.alias("group"))
     sizes = F.transform(F.slice(rows, F.lit(1), F.size(matches)), lambda x: F.struct(
         F.char_length(x["gap"]).alias("gap"), F.char_length(x["match"]).alias("size"), keep(x["group"]).alias("keep")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["size"]
-        span = F.struct(begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["keep"], F.concat(acc["out"], F.array(span)))
-                        .otherwise(acc["out"]).alias("out"))
+    def emit(at: Column, x: Column) -> Column:
+        span = F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"))
+        return F.when(x["keep"], F.array(span)).otherwise(F.array().cast(SPAN))
+
+    return _running(sizes, F.lit(0), lambda at, x: at + x["gap"] + x["size"], emit, SPAN)
+
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+def _outside(spans: Column, base: Column) -> Column:
+    """The spans that lie in none of the base spans: those that end after all base spans which begin no later."""
+    def marked(these: Column, kind: int) -> Column:
+        return F.transform(these, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
+
+    def emit(reach: Column, x: Column) -> Column:
+        span = F.struct(x["start"].alias("start"), x["end"].alias("end"))
+        return F.when((x["kind"] == 1) & (x["end"] > reach), F.array(span)).otherwise(F.array().cast(SPAN))
+
+    both = F.array_sort(F.concat(marked(base, 0), marked(spans, 1)))
+    found = _running(both, F.lit(-1), lambda reach, x: F.when(x["kind"] == 0, F.greatest(reach, x["end"])).otherwise(reach), emit, SPAN)
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), found).otherwise(spans)
 
 
 def _at_least(least: int):
@@ -95,7 +133,6 @@ def window_entropy(string: Column, window: int = WINDOW) -> Column:
     table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
     zero = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
     start = F.struct(zero.alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(string, i, F.lit(1)))
 
     def step(acc: Column, x: Column) -> Column:
         enters, leaves, i = x["enters"], x["leaves"], x["i"]
@@ -108,10 +145,14 @@ def window_entropy(string: Column, window: int = WINDOW) -> Column:
         return F.struct(F.transform(gone, lambda c, j: F.when(j == enters, c + 1).otherwise(c)).alias("n"),
                         total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
 
-    moves = F.transform(F.sequence(F.lit(1), F.char_length(string)), lambda i: F.struct(
-        i.alias("i"), place(i).alias("enters"),
-        F.when(i > window, place(i - window)).otherwise(0).alias("leaves")))
-    return F.when(F.char_length(string) >= window, F.aggregate(moves, start, step, lambda acc: acc["best"])).otherwise(0.0)
+    def best(places: Column) -> Column:
+        moves = F.transform(places, lambda place, i: F.struct(
+            (i + 1).alias("i"), place.alias("enters"), F.when(i >= window, F.get(places, i - window)).otherwise(0).alias("leaves")))
+        return F.aggregate(moves, start, step, lambda acc: acc["best"])
+
+    # The characters are numbered once; taking them out of the string one by one would walk it from its start each time.
+    places = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return F.when(F.char_length(string) >= window, F.transform(F.array(places), best)[0]).otherwise(0.0)
 
 
 def _suspicious(string: Column) -> Column:
@@ -139,9 +180,7 @@ def _scanned(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     strings = F.when(text.rlike(r"[A-Za-z0-9+/_=-]{20}"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
     rows = _with_spans(rows.withColumn("_match", strings).withColumn("_group", F.col("_match")), "entropy", CANDIDATE,
                        _suspicious)
-    inside = lambda s: F.exists(F.concat("_assign", "_access", "_hex"), lambda b: (
-        b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    rows = rows.withColumn("_entropy", F.filter("_entropy", lambda s: ~inside(s)))
+    rows = rows.withColumn("_entropy", _outside(F.col("_entropy"), F.concat("_assign", "_access", "_hex")))
 
     def ranked(rank: int, kind: str) -> Column:
         return F.transform(f"_{kind}", lambda s: F.struct(

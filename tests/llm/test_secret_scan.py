@@ -94,3 +94,29 @@ def test_sql_gives_the_same_spans(documents):
     got = sorted(tuple(r[n] for n in names) for r in scan_digest(documents(rows)).collect())
     assert got == want
     assert sum("entropy" in r[-1] for r in got) > 30
+
+
+def test_long_candidates_and_texts_with_very_many_spans_in_linear_time(spark):
+    """A megabyte of keys, and one string of many thousand characters; each is a matter of seconds."""
+    import base64
+    import hashlib
+    import time
+
+    from pyspark.sql import functions as F
+
+    from capturelake.llm.secret_scan import scan
+
+    keys = [hashlib.md5(str(i).encode()).hexdigest() for i in range(30_000)]
+    odd = [base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode()[:24] for i in range(4000)]
+    odd = [x for x in odd if len(set(x[:20])) >= 15 and any(c.isdigit() for c in x) and any(c.isalpha() for c in x)][:2000]
+    one = "".join(hashlib.sha256(str(i).encode()).hexdigest().upper() + "x" for i in range(800))
+    df = spark.createDataFrame([(1, " ".join(keys)), (2, " | ".join(odd) + " token=abcdefg " + " ".join(keys[:300])), (3, one)], "doc_id long, text string")
+    start = time.time()
+    found = {r.doc_id: r.secret_spans for r in scan(df.repartition(3)).select("doc_id", "secret_spans").collect()}
+    took = time.time() - start
+    assert [(s.start, s.end) for s in found[1]] == [(33 * i, 33 * i + 32) for i in range(30_000)]
+    assert {s.kind for s in found[1]} == {"hex"} and [s.kind for s in found[2]].count("hex") == 300
+    assert [(s.start, s.end) for s in found[2] if s.kind == "entropy"] == [(27 * i, 27 * i + 24) for i in range(2000)]
+    assert [(s.start, s.end) for s in found[3] if s.kind == "entropy"] == [(0, len(one))]
+    assert took < 120
+    assert df.select(F.max(F.length("text"))).first()[0] > 900_000
