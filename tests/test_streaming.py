@@ -133,38 +133,181 @@ def test_depth_and_state_streams(spark):
     assert rows_of(got, *columns) == rows_of(latest_camera_state(states), *columns)
 
 
+def arrivals(kind, pairs, sharp=True):
+    from capturelake.streaming.assembly_state import Arrival
+    return [Arrival(seq, kind, ts, sharp, 0) for seq, ts in pairs]
+
+
 def test_metadata_buffer_is_bounded():
-    from capturelake.streaming.assemble_stream import _arrive, _freeze, _thaw
-    held = _thaw(None)
-    _arrive(held, "pose", 0, 1000 * MS, None, DATASET)
-    for i in range(13):
-        _arrive(held, "metadata", i, i * MS, True, DATASET)
-    assert not held["metadata"]
-    _arrive(held, "metadata", 99, 990 * MS, True, DATASET)
-    assert list(held["metadata"]) == [990 * MS] and _thaw(_freeze(held)) == held
-    for i in range(200):
-        _arrive(held, "pose", i, i, None, DATASET)
-    assert len(held["pose"]) == DATASET.pose_buffer and META
+    from capturelake.streaming.assembly_state import Assembly
+    held = Assembly("s", DATASET)
+    held.handle(arrivals("pose", [(0, 1000 * MS)]) + arrivals("metadata", [(i, i * MS) for i in range(13)]))
+    assert not held.stills
+    held.handle(arrivals("metadata", [(99, 990 * MS)]))
+    assert list(held.stills) == [990 * MS]
+    held.handle(arrivals("pose", [(i, i) for i in range(200)]))
+    assert len(held.poses.held) == len(held.entries["poses"].new) == DATASET.pose_buffer and META
 
 
 def test_pending_photos_cost_linear_time():
     import time
 
-    from capturelake.streaming.assemble_stream import _arrive, _finalize, _thaw
+    from capturelake.streaming.assembly_state import Assembly
 
     def run(n):
-        held, start = _thaw(None), time.process_time()
-        _arrive(held, "pose", 0, 0, None, DATASET)
-        for i in range(n):  # all wait for a later pose
-            _arrive(held, "image", i, 10**9 + i, None, DATASET)
-            _finalize("s", held, DATASET, False)
-        took = time.process_time() - start
-        return took, len(held["image"])
+        held, start = Assembly("s", DATASET), time.process_time()
+        held.handle(arrivals("pose", [(0, 0)]) + arrivals("image", [(i + 1, 10**9 + i) for i in range(n)]))  # all wait
+        return time.process_time() - start, len(held.photos.new)
 
     (small, _), (large, pending) = run(2_000), run(20_000)
     assert pending == 20_000 and large < 60 * small + 1
 
 
+class Store(dict):
+    """A map state that counts what is asked of it."""
+
+    writes = reads = 0
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.get(key)
+
+    def containsKey(self, key):
+        return key in self
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.writes += 1
+        del self[key]
+
+    def iterator(self):
+        self.reads += len(self)
+        return iter(list(self.items()))
+
+
+class Value:
+    held = None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+def stores():
+    from capturelake.streaming.assembly_state import LAYOUT
+    return {"progress": Value()} | {name: Store() for name in LAYOUT}
+
+
+def test_a_batch_writes_what_arrived_and_not_what_is_held():
+    from capturelake.streaming.assembly_state import Assembly
+
+    kept = stores()
+    first = Assembly("s", DATASET, handle=kept)
+    first.handle(arrivals("pose", [(i, i) for i in range(500)]) + arrivals("image", [(1000 + i, 10**9 + i) for i in range(5000)]))
+    first.store()
+    assert len(kept["photos"]) == 5000 and len(kept["poses"]) == DATASET.pose_buffer
+    read = kept["photos"].reads
+    second = Assembly("s", DATASET, handle=kept)
+    rows = second.handle(arrivals("metadata", [(9000, 10**9 + 7)]) + arrivals("pose", [(9001, 10**9 + 20)]))
+    assert [r[1:4] for r in rows] == [(1007, 10**9 + 7, "saved" if DATASET.depth_tolerance_ns is None else "rejected_depth")]
+    assert second.store() == 2  # the pose came, the photo left, its metadata was never written
+    assert kept["photos"].reads - read == 1 and len(kept["photos"]) == 4999
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_state_does_not_depend_on_the_batches(seed):
+    """Whatever the cuts: same rows, same entries; a repeated photo time and evicted metadata among them."""
+    from dataclasses import replace
+
+    from capturelake.streaming.assembly_state import Arrival, Assembly
+
+    policy = replace(DATASET, metadata_buffer=4, pose_buffer=6, depth_buffer=5)
+    rng = random.Random(seed)
+    flow = [Arrival(q, rng.choice(("pose", "depth", "image", "metadata")), (30 * q + rng.randrange(-90, 90)) // 40 * 40 * MS,
+                    rng.random() < 0.8, 0) for q in range(900)]
+
+    def run(sizes):
+        kept, rows, at = stores(), [], 0
+        while at < len(flow):
+            n = rng.choice(sizes)
+            held = Assembly("s", policy, handle=kept)
+            rows += held.handle(flow[at:at + n])
+            held.store()
+            at += n
+        return rows, {k: dict(v) for k, v in kept.items() if k != "progress"}, kept["progress"].held
+
+    whole = run([900])
+    assert len(whole[0]) > 20 and run([1]) == whole and run([1, 7, 50]) == whole
+
+
+def test_late_arrivals_wait_and_what_is_later_still_leaves():
+    from capturelake.streaming.assembly_state import Arrival, Assembly
+
+    kept = stores()
+
+    def batch(*pairs):
+        held = Assembly("s", DATASET, lateness=5, handle=kept)
+        now, late = held.ordered([Arrival(q, k, q * MS, True, 0) for q, k in pairs])
+        held.store()
+        return [a.seq for a in now], [r[1:4] for r in late]
+
+    assert batch((3, "pose"), (1, "pose")) == ([], [])
+    assert batch((2, "image"), (7, "pose"), (7, "pose")) == ([1, 2], [])
+    assert batch((2, "image"), (4, "depth")) == ([], [(2, 2 * MS, "late")])
+    assert len(kept["waiting"]) == 3
+    assert batch((9, "end")) == ([3, 4, 7], []) and not kept["waiting"]
+    assert batch((8, "pose"), (12, "pose")) == ([], [(8, 8 * MS, "late")])
+    assert batch() == ([], [])
+
+
+@pytest.mark.parametrize("batches", [2, 5])
+def test_swapped_batches_give_the_batch_result(spark, tmp_path, batches):
+    from capturelake.catalog.streams import replay_swapped
+    from capturelake.streaming.assemble_stream import session_ends
+
+    rng = random.Random(batches)
+    images, stills, poses, depth, clock = [], [], [], [], 0
+    for q in range(0, 800, 8):
+        clock += rng.randint(10, 60) * MS
+        poses.append(("s", q, clock))
+        depth.append(("s", q + 1, clock - rng.randint(0, 90) * MS))
+        if rng.random() < 0.4:
+            ts = clock + rng.randint(-150, 50) * MS
+            images.append(("s", q + 2, ts))
+            stills.append(("s", q + 3, ts, 10**6))
+    tables = stamps(spark, images), meta(spark, stills), stamps(spark, poses), stamps(spark, depth)
+    events = assembly_events(*tables)
+    out = replay_swapped(spark, events, session_ends(events), batches).collect()
+    batch = assemble_keyframes(*tables, mode="causal").where("outcome NOT LIKE 'pending%'").collect()
+    columns = ("timestamp_ns", "outcome", "pose_seq", "depth_seq")
+    got = {r.timestamp_ns: tuple(r[c] for c in columns) for r in out if r.outcome != "late"}
+    assert got.keys() == {r.timestamp_ns for r in batch}
+    assert all(got[r.timestamp_ns] == tuple(r[c] for c in columns) for r in batch if r.outcome == "saved")
+    late = [r.seq for r in out if r.outcome == "late"]
+    assert late and all(q % 11 == 0 for q in late)
+
+
+def test_photos_without_metadata_leave_after_their_patience(spark, tmp_path):
+    clock = F.timestamp_seconds(F.col("seq"))
+    tables = [t.withColumn("event_time", clock) for t in (
+        stamps(spark, [("s", 10, 100), ("s", 900, 700)]), meta(spark, [("s", 920, 700)]),
+        stamps(spark, [("s", 5, 50), ("s", 60, 300), ("s", 930, 800)]), stamps(spark, [("s", 6, 60)]))]
+    events = assembly_events(*tables)
+    where, out, ckpt = (f"{tmp_path}/{n}" for n in ("events", "out", "ckpt"))
+    for part in (events.where("seq < 900"), events.where("seq = 900"), events.where("seq > 900")):
+        part.write.mode("append").parquet(where)
+        stream = stream_assemble_keyframes(spark.readStream.schema(events.schema).parquet(where), idle="10 seconds", patience_ms=60_000)
+        stream_write_keyframes(stream, out, ckpt).awaitTermination()
+    assert rows_of(spark.read.schema(stream.schema).parquet(out), "seq", "outcome") == [(10, "pending_metadata"), (900, "saved")]
+    with pytest.raises(ValueError, match="idle"):
+        stream_assemble_keyframes(spark.readStream.schema(events.schema).parquet(where), patience_ms=1)
+
+
 @pytest.mark.parametrize("build", [stream_dedup_depth, stream_latest_camera_state])
 def test_idle_sessions_lose_their_state(spark, tmp_path, build):
     rows = [("s", 1, 5, 1), ("s", 2, 5, 2), ("z", 9000, 5, 9000), ("z", 9001, 5, 9001), ("s", 9500, 5, 9500)]
