@@ -16,6 +16,7 @@ from capturelake.operators.points import (color_pixels, color_position, explode_
                                           unproject_pixels, view_frames, world_points, zip_arrays,
                                           zip_points_colors)
 from capturelake.plans.chunks import SESSION, attach, chunk_of
+from capturelake.policies import DISPLAY_FRAMES
 from capturelake.sources.readers import complete_depth_frames
 
 GRID = 2000
@@ -114,9 +115,9 @@ def zipped_arrays(spark: SparkSession, sf: str) -> DataFrame:
                         F.col("z.color.yy").alias("yy"))
 
 
-def newest_cloud(spark: SparkSession, sf: str) -> DataFrame:
+def newest_cloud(spark: SparkSession, sf: str, n: int = DISPLAY_FRAMES) -> DataFrame:
     depth = frames(spark, sf).select(SESSION, "frame_id", "seq")
-    return session_cloud(world(spark, sf), depth, 5).groupBy(SESSION).agg(
+    return session_cloud(world(spark, sf), depth, n).groupBy(SESSION).agg(
         F.count("*").alias("points"), F.countDistinct("frame_id").alias("frames"), r(F.min("z"), 4).alias("min_z"))
 
 
@@ -127,18 +128,18 @@ def views(spark: SparkSession, sf: str) -> DataFrame:
             .selectExpr(SESSION, "seq", "frame_id AS view_id", "pose", "root", "image_k"))
 
 
-def projected(spark: SparkSession, sf: str) -> DataFrame:
+def projected(spark: SparkSession, sf: str, n: int = DISPLAY_FRAMES) -> DataFrame:
     depth = frames(spark, sf).select(SESSION, "frame_id", "seq")
     # Set back a little, so that no point lies exactly on the near plane.
     back = [F.lit(v) for v in (0.0, 0.0, SET_BACK, 0.0, 0.0, 0.0, 1.0)]
     moved = with_pose(root_relative(views(spark, sf)), "pose", compose_parts(parts(F.col("pose")), back))
-    seen = project_points(world(spark, sf), moved, depth, 4)
+    seen = project_points(world(spark, sf), moved, depth, n)
     return points_per_view(seen).withColumn("nearest_m", r("nearest_m", 4))
 
 
-def shown(spark: SparkSession, sf: str) -> DataFrame:
+def shown(spark: SparkSession, sf: str, n: int = DISPLAY_FRAMES) -> DataFrame:
     depth = frames(spark, sf).select(SESSION, "frame_id", "seq")
-    return view_frames(views(spark, sf), depth, 4).select(SESSION, "view_id", "frame_id")
+    return view_frames(views(spark, sf), depth, n).select(SESSION, "view_id", "frame_id")
 
 
 # Binary frames of 8x6 depth pixels: planes are digests of the order key, with extra zero digits in the depth.
@@ -234,14 +235,36 @@ def rgb_sql() -> str:
                      for n, t in tones.items())
 
 
-VIEWED = """framed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rk FROM model),
+def viewed_sql(n: int) -> str:
+    return f"""framed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rk FROM model),
 pairs AS (SELECT v.session_id, v.frame_id AS view_id, f.frame_id, v.m0, v.m1, v.m2, v.m4, v.m5, v.m6, v.m8, v.m9, v.m10,
   v.m12, v.m13, v.m14, v.fx, v.fy, v.cx, v.cy, v.img_w, v.img_h
-  FROM framed v JOIN framed f ON f.session_id = v.session_id AND f.rk <= v.rk AND f.rk > v.rk - 4),
+  FROM framed v JOIN framed f ON f.session_id = v.session_id AND f.rk <= v.rk AND f.rk > v.rk - {n}),
 cam AS (SELECT q.session_id, q.view_id, q.fx, q.fy, q.cx, q.cy, q.img_w, q.img_h,
   m0*(x-m12) + m1*(y-m13) + m2*(z-m14) AS vx, m4*(x-m12) + m5*(y-m13) + m6*(z-m14) AS vy,
   0.01371e0 - (m8*(x-m12) + m9*(y-m13) + m10*(z-m14)) AS vd FROM pairs q JOIN world w USING (frame_id))"""
 
+
+def newest_cloud_sql(n: int) -> str:
+    return sql(
+        f"SELECT session_id, count(*) AS points, count(DISTINCT frame_id) AS frames, {rq('min(z)', 'min_z', 4)} FROM world JOIN "
+        "(SELECT frame_id FROM (SELECT frame_id, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS rn "
+        f"FROM depth_frames_meta) WHERE rn <= {n}) USING (frame_id) WHERE conf >= 0.1 GROUP BY session_id",
+        "depth_pixels", "depth_frames_meta", extra=f"{LOCAL}, {MODEL}")
+
+
+def shown_sql(n: int) -> str:
+    return sql("SELECT session_id, view_id, frame_id FROM pairs", "depth_frames_meta",
+               "depth_pixels", extra=f"{LOCAL}, {MODEL}, {viewed_sql(n)}")
+
+
+def projected_sql(n: int) -> str:
+    return sql(
+        f"SELECT session_id, view_id, count(*) AS points_seen, {rq('min(vd)', 'nearest_m', 4)} FROM cam WHERE vd >= 0.1 AND vd <= 100 "
+        "AND cx + fx*vx/vd >= 0 AND cx + fx*vx/vd < img_w AND cy - fy*vy/vd >= 0 AND cy - fy*vy/vd < img_h "
+        "GROUP BY session_id, view_id", "depth_pixels", "depth_frames_meta", extra=f"{LOCAL}, {MODEL}, {viewed_sql(n)}")
+
+
 QUERIES = {
     "complete_depth_frames": (whole_frames,
         f"SELECT concat('s', lpad(cast(o_custkey AS varchar), 6, '0')) AS session_id, o_orderkey AS frame_id, {W * H * 2} AS depth_bytes, "
@@ -275,18 +298,12 @@ QUERIES = {
     "zip_arrays": (zipped_arrays, sql(
         "SELECT p.frame_id, p.i, p.depth_mm, c.yy FROM depth_pixels p JOIN (SELECT *, row_number() OVER (PARTITION BY frame_id "
         "ORDER BY i) AS rk FROM depth_pixels WHERE i % 3 <> 0) c ON c.frame_id = p.frame_id AND c.rk = p.i", "depth_pixels")),
-    "session_cloud": (newest_cloud, sql(
-        f"SELECT session_id, count(*) AS points, count(DISTINCT frame_id) AS frames, {rq('min(z)', 'min_z', 4)} FROM world JOIN "
-        "(SELECT frame_id FROM (SELECT frame_id, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS rn "
-        "FROM depth_frames_meta) WHERE rn <= 5) USING (frame_id) WHERE conf >= 0.1 GROUP BY session_id",
-        "depth_pixels", "depth_frames_meta", extra=f"{LOCAL}, {MODEL}")),
-    "view_frames": (shown, sql(
-        "SELECT session_id, view_id, frame_id FROM pairs", "depth_frames_meta",
-        "depth_pixels", extra=f"{LOCAL}, {MODEL}, {VIEWED}")),
-    "project_points": (projected, sql(
-        f"SELECT session_id, view_id, count(*) AS points_seen, {rq('min(vd)', 'nearest_m', 4)} FROM cam WHERE vd >= 0.1 AND vd <= 100 "
-        "AND cx + fx*vx/vd >= 0 AND cx + fx*vx/vd < img_w AND cy - fy*vy/vd >= 0 AND cy - fy*vy/vd < img_h "
-        "GROUP BY session_id, view_id", "depth_pixels", "depth_frames_meta", extra=f"{LOCAL}, {MODEL}, {VIEWED}")),
+    "session_cloud": (newest_cloud, newest_cloud_sql(DISPLAY_FRAMES)),
+    "session_cloud_narrow": (lambda s, d: newest_cloud(s, d, 5), newest_cloud_sql(5)),
+    "view_frames": (shown, shown_sql(DISPLAY_FRAMES)),
+    "view_frames_narrow": (lambda s, d: shown(s, d, 4), shown_sql(4)),
+    "project_points": (projected, projected_sql(DISPLAY_FRAMES)),
+    "project_points_narrow": (lambda s, d: projected(s, d, 4), projected_sql(4)),
     "explode_depth_frames": (decoded, decoded_sql()),
     "padded_point_counts": (decoded_padded,
         "SELECT concat('s', lpad(cast(o_custkey AS varchar), 6, '0')) AS session_id, o_orderkey AS frame_id, cast(12 AS bigint) AS point_count "

@@ -14,11 +14,12 @@ from capturelake.operators.gates import (capture_enabled, is_focused, is_frame_s
                                          is_still_sharp, viewpoint_changed)
 from capturelake.operators.motion import (attach_root, last_n, latest_camera_state, motion, new_depth_only,
                                           root_relative, session_roots, time_since_last)
+from capturelake.operators.report import recent_log_lines
 from capturelake.operators.select import select_keyframes
 from capturelake.plans.chunks import SEQ_CHUNK, Running, running
 from capturelake.plans.exposure import exposure_plan
 from capturelake.functions.imaging import is_four_by_three, megapixels, pixel_count, session_name
-from capturelake.policies import DATASET, HIGHRES_GENERIC, HIGHRES_PIXEL10A, PHOTO_GENERIC, Policy, resolve_policy
+from capturelake.policies import DATASET, HIGHRES_GENERIC, HIGHRES_PIXEL10A, LOG_LINES, PHOTO_GENERIC, Policy, resolve_policy
 
 KEY = ("session_id", "seq")
 
@@ -100,6 +101,19 @@ def newest_depth(spark: SparkSession, sf: str, width: int = SEQ_CHUNK) -> DataFr
     return last_n(table(spark, sf, "depth_frames_ref"), 24, width=width).select(*KEY, "frame_id")
 
 
+LINE = "concat('lens ', lens_state, ' focus ', coalesce(cast(af_state AS varchar(9)), 'unknown'))"
+
+
+def log_lines(spark: SparkSession, sf: str, n: int = LOG_LINES) -> DataFrame:
+    lines = table(spark, sf, "camera_states").select(*KEY, F.expr(LINE).alias("line"))
+    return recent_log_lines(lines, n)
+
+
+def log_lines_sql(n: int) -> str:
+    return sql(f"SELECT session_id, seq, line FROM (SELECT session_id, seq, {LINE} AS line, row_number() OVER (PARTITION BY session_id "
+               f"ORDER BY seq DESC) AS rn FROM camera_states) WHERE rn <= {n}", "camera_states")
+
+
 def decided(spark: SparkSession, sf: str, policy: Policy, controls: bool = False, width: int = SEQ_CHUNK) -> DataFrame:
     return select_keyframes(tracking(spark, sf), policy, table(spark, sf, "control_events") if controls else None, width)
 
@@ -326,6 +340,8 @@ QUERIES = {
     "newest_depth_frames": (newest_depth, sql(
         "SELECT session_id, seq, frame_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) "
         "AS rn FROM depth_frames_ref) WHERE rn <= 24", "depth_frames_ref")),
+    "recent_log_lines": (log_lines, log_lines_sql(LOG_LINES)),
+    "recent_log_lines_narrow": (lambda s, d: log_lines(s, d, 20), log_lines_sql(20)),
     "time_since_last": (since_last, decisions_sql(DATASET, body=(
         "SELECT session_id, seq, timestamp_ns - lag(timestamp_ns) OVER w AS since_frame_ns, timestamp_ns - last_value("
         "CASE WHEN decision = 'requested' THEN timestamp_ns END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq "

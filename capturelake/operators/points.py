@@ -213,23 +213,84 @@ def view_frames(views: DataFrame, depth: DataFrame, n: int = DISPLAY_FRAMES, wid
 
 
 SHOWN_SALTS = 8
+#: Edge of the cells whose boxes are tested before points are joined to views, in metres.
+CELL_M = 0.5
+CELL_BITS = 21
+AXES = ("x", "y", "z")
+BOX = [f"_{end}_{c}" for end in ("low", "high") for c in AXES]
+
+
+def cell_code(edge: float = CELL_M) -> Column:
+    """Morton code of a point's cell: the low 21 bits of its cell number on each axis, interleaved."""
+    code = F.lit(0).cast("long")
+    for axis, c in enumerate(AXES):
+        n = F.floor(F.col(c) / edge).cast("long").bitwiseAND((1 << CELL_BITS) - 1)
+        # Spreads the bits to every third place, halving the stretches that stay together.
+        for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F),
+                            (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+            n = n.bitwiseOR(F.shiftleft(n, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        code = code.bitwiseOR(F.shiftleft(n, axis))
+    return code
+
+
+def point_boxes(points: DataFrame, edge: float = CELL_M) -> DataFrame:
+    """A box per frame and cell around its points; ``_cell`` names the cell."""
+    ends = [fn(c).alias(f"_{end}_{c}") for end, fn in (("low", F.min), ("high", F.max)) for c in AXES]
+    return points.groupBy(*FRAME, F.coalesce(cell_code(edge), F.lit(0)).alias("_cell")).agg(*ends)
+
+
+def _may_see(m: Column, k: Column) -> Column:
+    """Whether any point of a box can lie in a view: each side of the frustum is linear in the point, so the largest
+    value in the box is that of its centre and the reach of its half edges. Boxes are widened by more than rounding."""
+    centre = [(F.col(f"_low_{c}") + F.col(f"_high_{c}")) / 2 for c in AXES]
+    half = [(F.col(f"_high_{c}") - F.col(f"_low_{c}")) / 2 + 1e-6 + 1e-9 * F.abs(o) for c, o in zip(AXES, centre)]
+
+    def reaches(right: Column | float, up: Column | float, ahead: Column | float, offset: float = 0.0) -> Column:
+        a = [right * m[j] + up * m[j + 1] - ahead * m[j + 2] for j in (0, 4, 8, 12)]
+        inside = a[3] + offset
+        for slope, at, reach in zip(a, centre, half):
+            inside = inside + slope * at + F.abs(slope) * reach
+        return inside >= -1e-6
+
+    zero, one = F.lit(0.0), F.lit(1.0)
+    sides = [reaches(zero, zero, one, -NEAR), reaches(zero, zero, -one, FAR),
+             reaches(k["fx"], zero, k["cx"]), reaches(-k["fx"], zero, k["width"] - k["cx"]),
+             reaches(zero, -k["fy"], k["cy"]), reaches(zero, k["fy"], k["height"] - k["cy"])]
+    seen = sides[0]
+    for side in sides[1:]:
+        seen = seen & side
+    return seen
+
+
+def shown_cells(points: DataFrame, shown: DataFrame, edge: float = CELL_M) -> DataFrame:
+    """(view, frame, cell) where something may be seen: first the box of the whole frame is tested, then those of its cells.
+
+    ``shown`` has a row per view and frame with ``_m`` (to the camera) and ``image_k``. A frame without points drops out.
+    """
+    cells = point_boxes(points, edge)
+    whole = cells.groupBy(*FRAME).agg(*[(F.min if "low" in c else F.max)(c).alias(c) for c in BOX])
+    seen = _may_see(F.col("_m"), F.col("image_k"))
+    near = shown.join(whole, list(FRAME)).where(seen).drop(*BOX)
+    return near.join(cells, list(FRAME)).where(seen).drop(*BOX)
 
 
 def project_points(points: DataFrame, views: DataFrame, depth: DataFrame, n: int = DISPLAY_FRAMES,
-                   width: int = SEQ_CHUNK) -> DataFrame:
+                   width: int = SEQ_CHUNK, edge: float = CELL_M) -> DataFrame:
     """H6: points seen per view with pixel position u, v and depth.
 
     Points (x, y, z in session coordinates) of the frames a view shows are moved to the
     view's camera and kept between the near and far planes and inside the image. Views carry
-    ``view_id``, ``pose`` and ``image_k``.
+    ``view_id``, ``pose`` and ``image_k``. Points meet only the views whose frustum their frame and cell reach.
+    ``points`` is read twice, once for its boxes.
     """
     placed_views = with_pose(views, "_inverse", inverse_parts(parts(F.col("pose"))))
     shown = view_frames(placed_views.select(SESSION, "seq", "view_id", "image_k", pose_matrix(F.col("_inverse")).alias("_m")),
                         depth, n, width)
-    # A frame may hold any number of points, and a view a few frames: points are dealt to salts, views go to each.
+    # A cell may hold any number of points, and few views see it: points are dealt to salts, views go to each.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SHOWN_SALTS - 1)))
-    rows = (points.withColumn("_salt", F.pmod(F.xxhash64("x", "y", "z"), F.lit(SHOWN_SALTS)).cast("int"))
-            .join(shown.withColumn("_salt", salts), [*FRAME, "_salt"]).drop("_salt"))
+    rows = (points.withColumns({"_salt": F.pmod(F.xxhash64(*AXES), F.lit(SHOWN_SALTS)).cast("int"),
+                                "_cell": F.coalesce(cell_code(edge), F.lit(0))})
+            .join(shown_cells(points, shown, edge).withColumn("_salt", salts), [*FRAME, "_cell", "_salt"]).drop("_salt", "_cell"))
     x, y, z = apply_matrix(F.col("_m"), F.col("x"), F.col("y"), F.col("z"))
     placed = rows.withColumns({"_cx": x, "_cy": y, "depth_m": -z})
     ahead = placed.where((F.col("depth_m") >= NEAR) & (F.col("depth_m") <= FAR))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import numpy as np
 import pytest
 from helpers import rows_of, stamps
@@ -130,6 +133,56 @@ def test_projection(spark):
     assert rows_of(points_per_view(seen), "view_id", "points_seen") == [(2, 3)]
 
 
+@pytest.mark.parametrize("edge", [0.05, 0.5, 1000.0])
+def test_cells_that_are_tested_first_lose_no_point(spark, edge):
+    """Views turned any way and points anywhere, some near the planes: the rows are those of a loop over all of them."""
+    rng = random.Random(4)
+    spots = [("s", f, i, *(rng.choice((0.0, 0.5, rng.uniform(-3, 3))) + 2 * f * (c == 0) for c in range(3)), 1.0)
+             for f in range(6) for i in range(40)]
+    odd = [("s", 0, 99, None, 0.0, 0.0, 1.0), ("s", 1, 99, float("nan"), 0.0, 0.0, 1.0)]
+    depth = stamps(spark, [("s", f, f) for f in range(6)]).withColumn("frame_id", F.col("seq"))
+    turned = 0.7 * F.col("seq")
+    placed = views(spark, range(6, 12)).select("session_id", "seq", "view_id", "image_k", F.struct(
+        (F.col("seq") - 6.0).alias("tx"), F.lit(0.0).alias("ty"), F.lit(1.0).alias("tz"), F.lit(0.0).alias("qx"),
+        F.sin(turned).alias("qy"), F.lit(0.0).alias("qz"), F.cos(turned).alias("qw")).alias("pose"))
+    want = []
+    for view in range(6, 12):
+        s, c = math.sin(2 * 0.7 * view), math.cos(2 * 0.7 * view)
+        for _, f, i, x, y, z, _ in spots:
+            x, z = x - (view - 6.0), z - 1.0
+            right, ahead = c * x - s * z, -(s * x + c * z)
+            if 0.1 <= ahead <= 100 and 0 <= 50 + 100 * right / ahead < 100 and 0 <= 50 - 100 * y / ahead < 100:
+                want.append((view, f, i))
+    seen = project_points(cloud(spark, spots + odd), placed, depth, edge=edge)
+    got = [r for r in rows_of(seen, "view_id", "frame_id", "i") if r[2] != 99]
+    assert got == sorted(want) and len(got) > 50
+
+
+def test_scattered_frames_are_pruned_before_the_projection(spark):
+    """Frames in rooms side by side, views that look at one each: at most half of the points meet a view."""
+    from capturelake.functions.pose import inverse_parts, parts, pose_matrix, with_pose
+    from capturelake.operators.points import cell_code, shown_cells
+
+    spots = [("s", f, i, 10.0 * f + 0.01 * i, 0.02 * i, 0.0, 1.0) for f in range(10) for i in range(50)]
+    depth = stamps(spark, [("s", f, f) for f in range(10)]).withColumn("frame_id", F.col("seq"))
+    placed = with_pose(views(spark, [20]), "_inverse", inverse_parts(parts(F.col("pose")))).select(
+        "session_id", "seq", "view_id", "image_k", pose_matrix(F.col("_inverse")).alias("_m"))
+    points = cloud(spark, spots)
+    shown = view_frames(placed, depth)
+    kept = shown_cells(points, shown)
+    entering = points.withColumn("_cell", cell_code()).join(kept, ["session_id", "frame_id", "_cell"])
+    assert shown.count() == 10 and {r.frame_id for r in kept.collect()} == {0} and 0 < entering.count() <= 250 // 5
+
+
+def test_cell_codes_tell_cells_apart(spark):
+    from capturelake.operators.points import cell_code
+
+    spots = [("s", 0, 0, x * 0.5 + 0.1, y * 0.5, z * 0.5 + 0.49, 1.0) for x in range(-4, 5) for y in range(-4, 5) for z in range(-3, 3)]
+    codes = [r[0] for r in cloud(spark, spots).select(cell_code(0.5)).collect()]
+    assert len(set(codes)) == len(codes)
+    assert cloud(spark, [("s", 0, 0, 0.6, 0.0, 0.0, 1.0)]).select(cell_code(0.5)).first()[0] == 1
+
+
 def test_zip_cuts_the_longer_side(spark):
     points = cloud(spark, [("s", 1, i, 0.0, 0.0, 0.0, 1.0) for i in range(4)])
     colors = spark.createDataFrame([("s", 1, i, 9) for i in range(3)], "session_id string, frame_id long, i long, red int")
