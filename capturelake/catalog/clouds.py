@@ -17,6 +17,7 @@ from capturelake.operators.points import (color_pixels, color_position, explode_
                                           zip_points_colors)
 from capturelake.plans.chunks import SESSION, attach, chunk_of
 from capturelake.policies import DISPLAY_FRAMES
+from capturelake.session import cut
 from capturelake.sources.readers import complete_depth_frames
 
 GRID = 2000
@@ -133,7 +134,7 @@ def projected(spark: SparkSession, sf: str, n: int = DISPLAY_FRAMES) -> DataFram
     # Set back a little, so that no point lies exactly on the near plane.
     back = [F.lit(v) for v in (0.0, 0.0, SET_BACK, 0.0, 0.0, 0.0, 1.0)]
     moved = with_pose(root_relative(views(spark, sf)), "pose", compose_parts(parts(F.col("pose")), back))
-    seen = project_points(world(spark, sf), moved, depth, n)
+    seen = project_points(cut(world(spark, sf).select(SESSION, "frame_id", "i", "x", "y", "z")), moved, depth, n)
     return points_per_view(seen).withColumn("nearest_m", r("nearest_m", 4))
 
 
