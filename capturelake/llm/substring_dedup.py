@@ -16,8 +16,10 @@ The automata are not broadcast: their number grows with the corpus, and every do
 every one. The shards bring each segment to the only automaton it can match.
 
 Defined results: null text has no words; documents with fewer words than a window keep all; rows that
-repeat a doc_id with the same text are one document and get the same result each; a null doc_id
-keeps all words and is no reference; other columns are ignored; an empty table gives an empty result.
+repeat a doc_id with the same text are one document and get the same result each; rows that repeat a doc_id with
+another text are documents of their own, and of their equal windows the one in the text of least hash (signed 64 bits)
+stays; a null doc_id keeps all words and is no reference; texts of any length are read whole; other columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -155,7 +157,10 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def candidates(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(doc_id, starts): segments whose minimizer occurs more than once; docs: (doc_id, text)."""
+    """(doc_id, starts): segments whose minimizer occurs more than once; docs: (doc_id, text).
+
+    Texts that share a doc_id share a row: a start too many costs the shard a look at it and changes no result.
+    """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,13 +205,16 @@ def candidates(docs: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(doc_id, first, after): words covered by windows that start earlier elsewhere; docs: (doc_id, text)."""
+    """(doc_id, version, first, after): words covered by windows that start earlier elsewhere.
+
+    docs: (doc_id, text, version); version tells apart the texts of one doc_id and orders them.
+    """
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = utf8(batch.column(1))
-            wanted = batch.column(2)
+            wanted, versions = batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
             for low, high in slices(offsets, SLICE):
                 part, places = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
                 texts, first, count, minimizer, begin, end, _ = segments(part, places, window, phrase)
@@ -216,35 +224,37 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
                 keep = np.flatnonzero(np.isin(texts << 40 | first, pairs))
                 raw = part.tobytes()
                 doc_ids, starts, m = ids[low:high][texts[keep]], first[keep], minimizer[keep]
+                version = versions[low:high][texts[keep]]
                 content = [raw[a:b] for a, b in zip(begin[keep].tolist(), end[keep].tolist(), strict=True)]
                 held, settled = {}, np.zeros(len(keep), np.int64)
-                for i in np.lexsort((starts, doc_ids)).tolist():
+                for i in np.lexsort((starts, version, doc_ids)).tolist():
                     at = held.setdefault((int(m[i]), content[i]), i)
-                    if (doc_ids[at], starts[at]) != (doc_ids[i], starts[i]):
+                    if (doc_ids[at], version[at], starts[at]) != (doc_ids[i], version[i], starts[i]):
                         settled[i], content[i] = count[keep[i]], b""
                 # Settled segments need no shard; they are dealt out anyhow.
                 m = np.where(settled > 0, mixed((doc_ids * 1_000_003 + starts).view(np.uint64)).view(np.int64), m)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(m), pa.array(doc_ids), pa.array(starts), pa.array(content, pa.binary()), pa.array(settled)],
-                    names=["m", "doc_id", "start", "content", "settled"])
+                    [pa.array(m), pa.array(doc_ids), pa.array(version), pa.array(starts), pa.array(content, pa.binary()),
+                     pa.array(settled)], names=["m", "doc_id", "version", "start", "content", "settled"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, key, place = Shard(window), None, None
         for batch in batches:
-            ids, begins, ends = [], [], []
-            m, doc_ids, starts = (x.tolist() for x in _columns(batch, "m", "doc_id", "start"))
-            rows = zip(m, doc_ids, starts, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-            for mine, doc_id, start, content, settled in rows:
+            ids, found, begins, ends = [], [], [], []
+            m, doc_ids, versions, starts = (x.tolist() for x in _columns(batch, "m", "doc_id", "version", "start"))
+            rows = zip(m, doc_ids, versions, starts, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            for mine, doc_id, version, start, content, settled in rows:
                 if settled:
                     ids.append(doc_id)
+                    found.append(version)
                     begins.append(start)
                     ends.append(start + settled - 1 + window)
                     continue
                 if mine != key:
                     shard, key, place = Shard(window), mine, None
-                if (doc_id, start) == place:
+                if (doc_id, version, start) == place:
                     continue  # a repeated row
-                place = (doc_id, start)
+                place = (doc_id, version, start)
                 flags = shard.repeated(content)
                 at, n = 0, len(flags)
                 while at < n:
@@ -253,19 +263,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
                         while to + 1 < n and flags[to + 1]:
                             to += 1
                         ids.append(doc_id)
+                        found.append(version)
                         begins.append(start + at)
                         ends.append(start + to + window)
                         at = to
                     at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, begins, ends)],
-                                             names=["doc_id", "first", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, found, begins, ends)],
+                                             names=["doc_id", "version", "first", "after"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = candidates(docs, window, phrase)
-    rows = docs.join(chosen, "doc_id").select("doc_id", "text", "starts")
-    moved = rows.mapInArrow(contents, "m long, doc_id long, start long, content binary, settled long")
-    return (moved.repartition(parts, "m").sortWithinPartitions("m", "doc_id", "start")
-            .mapInArrow(match, "doc_id long, first long, after long"))
+    rows = docs.join(chosen, "doc_id").select("doc_id", "text", "starts", "version")
+    moved = rows.mapInArrow(contents, "m long, doc_id long, version long, start long, content binary, settled long")
+    return (moved.repartition(parts, "m").sortWithinPartitions("m", "doc_id", "version", "start")
+            .mapInArrow(match, "doc_id long, version long, first long, after long"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -279,8 +290,9 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
 
 
 def _removed(docs: DataFrame, window: int, phrase: int, digest: bool) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    spans = working_table(repeated_spans(docs, window, phrase).groupBy("doc_id").agg(
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn(
+        "version", F.xxhash64("text"))
+    spans = working_table(repeated_spans(docs, window, phrase).groupBy("doc_id", "version").agg(
         F.collect_list("first").alias("first"), F.collect_list(F.col("after")).alias("after")))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,4 +318,4 @@ def _removed(docs: DataFrame, window: int, phrase: int, digest: bool) -> DataFra
                 names=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"])
 
     schema = SCHEMA if digest else "doc_id long, n_words long, n_removed long, kept_text binary"
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "first", "after").mapInArrow(remove, schema)
+    return docs.join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "first", "after").mapInArrow(remove, schema)

@@ -5,17 +5,23 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from capturelake.llm.substring_dedup import dedup_digest, dedup_substrings
 
 
+def version(text):
+    """The signed 64-bit hash that orders different texts of one doc_id."""
+    return int.from_bytes(xxhash.xxh64_digest((text or "").encode(), seed=42), "big", signed=True)
+
+
 def brute(rows, window=20):
     seen, out = {}, set()
-    for i, t in sorted({r for r in rows if r[0] is not None}):
+    for i, t in sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], version(r[1]))):
         w = (t or "").encode().split()
         gone = np.zeros(len(w), bool)
         for a in range(len(w) - window + 1):
-            if seen.setdefault(tuple(w[a:a + window]), (i, a)) != (i, a):
+            if seen.setdefault(tuple(w[a:a + window]), (i, t, a)) != (i, t, a):
                 gone[a:a + window] = True
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
         out.add((i, len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
@@ -56,3 +62,15 @@ def test_other_lengths_and_texts(documents, words):
 
 def test_empty_table(documents):
     assert dedup_digest(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_texts_that_share_a_doc_id(documents, words, seed):
+    """Overlapping, equal, disjoint and empty texts of one id, in one batch and over several."""
+    rows = [r for r in corpus(20 + seed, words) if r[0] is not None]
+    passage = words(900 + seed, 70)
+    rows += [(5, f"{passage} tail"), (5, f"head {passage}"), (5, passage), (5, passage), (5, "short"), (5, ""),
+             (6, f"{passage} {passage}"), (9, rows[8][1]), (9, rows[9][1] + " " + rows[8][1])]
+    for parts in (1, 6):
+        got = [tuple(r) for r in dedup_digest(documents(rows).repartition(parts)).collect()]
+        assert len(got) == len(rows) and set(got) == brute(rows)
