@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,10 @@ from capturelake.operators.points import explode_depth_frames
 from capturelake.operators.select import select_keyframes
 from capturelake.plans.assemble import assemble_keyframes, with_poses
 from capturelake.plans.chunks import SESSION
-from capturelake.plans.commit import commit_keyframes
+from capturelake.plans.commit import commit_keyframes, commit_snapshot
 from capturelake.policies import DATASET, PHOTO_GENERIC
 from capturelake.session import checkpoint_dir
-from capturelake.sources import readers, writers
+from capturelake.sources import readers, snapshots, writers
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -98,24 +99,62 @@ def published_files(spark: SparkSession, sf: str) -> DataFrame:
     return writers.publish_datasets(working, root).select(SESSION, F.col("file").alias("published"))
 
 
-def dataset_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Photos to published datasets, read back: documents, point files, transforms and trajectory meet by name."""
+def snapshot_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifests of two commits, each in a generation of its own; the second finds every session published."""
     root = shared_folder(spark)
+    valid = build_manifests(documents(spark, sf), sessions(spark, sf))
+    taken = valid.where(F.substring(SESSION, -1, 1).isin("0", "2", "4", "6", "8"))
+    writers.write_documents(taken.select(F.concat(F.lit("dataset_"), SESSION).alias(SESSION),
+                                         F.lit("README").alias("file"), F.lit("taken").alias("content")), root, "taken")
+    working = valid.withColumn(SESSION, F.concat(F.lit("capture_tmp_"), SESSION))
+    for _ in range(2):
+        generation = snapshots.new_generation()
+        writers.write_manifests(working.withColumn(SESSION, snapshots.folder(F.col(SESSION), generation)),
+                                snapshots.files_of(root, generation))
+        outcome = snapshots.publish_snapshots(working.select(SESSION), root, generation)
+    checked = snapshots.verify_snapshots(spark, root).withColumnRenamed(SESSION, "published")
+    return outcome.select(SESSION, F.col("file").alias("published"), "status").join(checked, "published").select(
+        SESSION, "published", "status", "files", "missing", "resized", "unlisted")
+
+
+def _photos_and_points(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     images, meta, frames, depth = tables(spark, sf)
     based = root_relative(attach_root(frames, session_roots(frames)))
     keyframes = with_poses(assemble_keyframes(images, meta, frames, depth), based)
     points = depth.select(SESSION, F.col("seq").alias("depth_seq"), "frame_id", F.explode(F.expr("sequence(0L, frame_id % 3)")).alias("i")).select(
         SESSION, "depth_seq", "i", (F.col("i") * 0.5).alias("x"), F.expr("(frame_id % 100) / 128D").alias("y"), F.lit(-1.0).alias("z"),
         F.col("i").alias("red"), F.lit(2).alias("green"), F.lit(3).alias("blue"), F.lit(1.0).alias("confidence"))
-    photos = images.select(SESSION, "timestamp_ns", F.lit("photo").cast("binary").alias("content"))
+    return keyframes, points, images.select(SESSION, "timestamp_ns", F.lit("photo").cast("binary").alias("content"))
+
+
+def dataset_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Photos to published datasets, read back: documents, point files, transforms and trajectory meet by name."""
+    root = shared_folder(spark)
+    keyframes, points, photos = _photos_and_points(spark, sf)
     commit_keyframes(keyframes, points, root, photos, requested_at_ms=1_700_000_000_000)
-    docs = readers.read_keyframes(spark, root).select(
+    return _read_back(spark, root, lambda rows, *by: rows)
+
+
+def snapshot_dataset_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The same datasets published by pointers, and every file read through them."""
+    root = shared_folder(spark)
+    keyframes, points, photos = _photos_and_points(spark, sf)
+    commit_snapshot(keyframes, points, root, photos, requested_at_ms=1_700_000_000_000)
+    return _read_back(spark, snapshots.snapshot_files(root), lambda rows, *by: snapshots.published(rows, root, by))
+
+
+def _read_back(spark: SparkSession, root: str, seen: Callable[..., DataFrame]) -> DataFrame:
+    """The files of datasets joined by name; ``seen`` takes a reader's rows and columns that tell them apart."""
+    docs = seen(readers.read_keyframes(spark, root), "file_name").select(
         SESSION, "capture_index", "image", "point_count", F.regexp_replace("file_name", r"\.json$", "").alias("frame"))
-    clouds = readers.read_point_clouds(spark, root).groupBy(SESSION, "frame").agg(
+    clouds = seen(readers.read_point_clouds(spark, root), "frame", "i").groupBy(SESSION, "frame").agg(
         F.count("*").alias("cloud_points"), r(F.sum(F.col("y").cast("double")), 4).alias("sum_y"))
-    listed = readers.read_transforms(spark, root, lines=True).select(SESSION, "capture_index", F.col("file_path").alias("listed_as"))
-    track = readers.read_trajectory(spark, root).select(SESSION, F.col("index").alias("capture_index"), F.col("image").alias("tracked_as"))
-    shots = readers.read_images(spark, root).select(SESSION, "capture_index", F.col("length").alias("photo_bytes"))
+    listed = seen(readers.read_transforms(spark, root, lines=True), "file_path").select(
+        SESSION, "capture_index", F.col("file_path").alias("listed_as"))
+    track = seen(readers.read_trajectory(spark, root), "index").select(
+        SESSION, F.col("index").alias("capture_index"), F.col("image").alias("tracked_as"))
+    shots = seen(readers.read_images(spark, root), "path").select(
+        SESSION, "capture_index", F.col("length").alias("photo_bytes"))
     return (docs.join(clouds, [SESSION, "frame"], "left").drop("frame").join(listed, [SESSION, "capture_index"], "left")
             .join(track, [SESSION, "capture_index"], "left").join(shots, [SESSION, "capture_index"], "left"))
 
@@ -195,6 +234,12 @@ M = sql_matrix()
 OK = f"""ok AS (SELECT k.* FROM keyframes k JOIN (SELECT session_id FROM keyframes GROUP BY session_id
   HAVING count(*) FILTER (capture_index IS NULL OR jpeg_width IS NULL) = 0) g USING (session_id))"""
 
+DATASETS = sql(
+    f"SELECT concat('dataset_', k.session_id) AS session_id, capture_index, {IMAGE} AS image, cast(k.depth_seq % 3 + 1 AS int) AS point_count, "
+    f"cast(k.depth_seq % 3 + 1 AS bigint) AS cloud_points, {rq('(k.depth_seq % 3 + 1) * ((k.depth_seq % 100) / 128e0)', 'sum_y', 4)}, "
+    f"{IMAGE} AS listed_as, {IMAGE} AS tracked_as, cast(5 AS bigint) AS photo_bytes FROM kf k WHERE outcome = 'saved'",
+    *PHOTO_TABLES, extra=NEAREST)
+
 QUERIES = {
     "point_cloud_files": (point_cloud_files, sql(
         f"SELECT session_id, {ROOT_NAME} AS frame, frame_id*33000000 AS frame_ts_ns, "
@@ -231,11 +276,13 @@ QUERIES = {
         "SELECT concat('capture_tmp_', session_id) AS session_id, CASE WHEN right(session_id, 1) IN ('0','2','4','6','8') "
         "THEN concat('dataset_', session_id, '_saved') ELSE concat('dataset_', session_id) END AS published "
         "FROM checked WHERE bad_frames = 0 AND frame_count > 0", "keyframes", extra=VALID)),
-    "dataset_files": (dataset_files, sql(
-        f"SELECT concat('dataset_', k.session_id) AS session_id, capture_index, {IMAGE} AS image, cast(k.depth_seq % 3 + 1 AS int) AS point_count, "
-        f"cast(k.depth_seq % 3 + 1 AS bigint) AS cloud_points, {rq('(k.depth_seq % 3 + 1) * ((k.depth_seq % 100) / 128e0)', 'sum_y', 4)}, "
-        f"{IMAGE} AS listed_as, {IMAGE} AS tracked_as, cast(5 AS bigint) AS photo_bytes FROM kf k WHERE outcome = 'saved'",
-        *PHOTO_TABLES, extra=NEAREST)),
+    "dataset_files": (dataset_files, DATASETS),
+    "snapshot_dataset_files": (snapshot_dataset_files, DATASETS),
+    "snapshot_files": (snapshot_files, sql(
+        "SELECT concat('capture_tmp_', session_id) AS session_id, CASE WHEN right(session_id, 1) IN ('0','2','4','6','8') "
+        "THEN concat('dataset_', session_id, '_saved') ELSE concat('dataset_', session_id) END AS published, 'already' AS status, "
+        "1::bigint AS files, 0::bigint AS missing, 0::bigint AS resized, 0::bigint AS unlisted "
+        "FROM checked WHERE bad_frames = 0 AND frame_count > 0", "keyframes", extra=VALID)),
     "session_camera_files": (session_camera_files, """
 SELECT concat('s', lpad(cast(c_custkey AS varchar), 6, '0')) AS session_id,
   CASE WHEN c_custkey % 2 = 0 THEN 'Pixel 10a' ELSE 'Pixel 9' END AS model, cast(c_custkey % 3 AS varchar) AS camera_id,
