@@ -63,9 +63,18 @@ def validated_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def transforms_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _transforms_back(spark, sf, lambda root: readers.read_transforms(spark, root, lines=True))
+
+
+def transforms_files_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The same documents as of an unknown tool, in ranges so short that most documents have several."""
+    return _transforms_back(spark, sf, lambda root: readers.read_transforms_ranges(spark, root, size=1 << 12))
+
+
+def _transforms_back(spark: SparkSession, sf: str, read: Callable[[str], DataFrame]) -> DataFrame:
     root = shared_folder(spark)
     writers.write_transforms(build_transforms(documents(spark, sf)), root)
-    back = readers.read_transforms(spark, root, lines=True)
+    back = read(root)
     return back.select(SESSION, "camera_model", "capture_index", "file_path", r("fl_x", 5).alias("fl_x"),
                        *[r(F.col("transform_matrix")[i][3]).alias(f"m{i}3") for i in range(3)])
 
@@ -234,6 +243,10 @@ M = sql_matrix()
 OK = f"""ok AS (SELECT k.* FROM keyframes k JOIN (SELECT session_id FROM keyframes GROUP BY session_id
   HAVING count(*) FILTER (capture_index IS NULL OR jpeg_width IS NULL) = 0) g USING (session_id))"""
 
+TRANSFORMS = sql(
+    f"SELECT session_id, 'OPENCV' AS camera_model, capture_index, image AS file_path, {rq('fx*jpeg_width/img_w', 'fl_x', 5)}, "
+    + ", ".join(rq(M[12 + i], f"m{i}3") for i in range(3)) + " FROM ok", "keyframes", extra=OK)
+
 DATASETS = sql(
     f"SELECT concat('dataset_', k.session_id) AS session_id, capture_index, {IMAGE} AS image, cast(k.depth_seq % 3 + 1 AS int) AS point_count, "
     f"cast(k.depth_seq % 3 + 1 AS bigint) AS cloud_points, {rq('(k.depth_seq % 3 + 1) * ((k.depth_seq % 100) / 128e0)', 'sum_y', 4)}, "
@@ -261,9 +274,8 @@ QUERIES = {
     "validated_files": (validated_files, sql(
         "SELECT session_id, frame_count, bad_frames, CASE WHEN frame_count = 0 THEN 'no captured keyframes' "
         "WHEN bad_frames > 0 THEN 'finalize failed' ELSE 'ok' END AS status FROM checked", "keyframes", extra=VALID)),
-    "transforms_files": (transforms_files, sql(
-        f"SELECT session_id, 'OPENCV' AS camera_model, capture_index, image AS file_path, {rq('fx*jpeg_width/img_w', 'fl_x', 5)}, "
-        + ", ".join(rq(M[12 + i], f"m{i}3") for i in range(3)) + " FROM ok", "keyframes", extra=OK)),
+    "transforms_files": (transforms_files, TRANSFORMS),
+    "transforms_files_ranges": (transforms_files_ranges, TRANSFORMS),
     "job_files": (job_files, sql(
         "SELECT session_id, count(*) AS frame_count, 1700000000000 AS requested_at_unix_ms, "
         "'READY_FOR_ANDROID_NATIVE_TRAINER' AS status FROM ok WHERE session_id IN (SELECT session_id FROM sess) "

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from capturelake import schemas
 from capturelake.plans.chunks import SESSION, attach
 from capturelake.sources.files import open_root
+from capturelake.sources.json_ranges import RANGE, elements
 from capturelake.sources.ply import RECORD, parse_header
 
 #: Points read at a time, and bytes that hold any header.
@@ -44,8 +45,9 @@ def read_keyframes(spark: SparkSession, root: str) -> DataFrame:
 def read_transforms(spark: SparkSession, root: str, lines: bool = False) -> DataFrame:
     """A2: one row per frame of every transforms.json, frame fields flattened.
 
-    A document of another tool is parsed whole, by one task. ``lines`` says that this library wrote the documents:
-    they hold a frame per line and are read line by line, in splits of any file.
+    A document of another tool is parsed whole, by one task; ``read_transforms_ranges`` reads such documents of any
+    size. ``lines`` says that this library wrote the documents: they hold a frame per line and are read line by
+    line, in splits of any file.
     """
     if lines:
         return _transforms_by_line(spark, root)
@@ -54,6 +56,15 @@ def read_transforms(spark: SparkSession, root: str, lines: bool = False) -> Data
     return rows.select(SESSION, "camera_model", "coordinate_system", "f.*")
 
 
+def read_transforms_ranges(spark: SparkSession, root: str, size: int = RANGE) -> DataFrame:
+    """A2 for transforms.json of any layout and size: byte ranges of a file are read by many tasks. Runs jobs."""
+    files = _files(spark, "transforms.json").format("binaryFile").load(root).select("path", "length")
+    cut_out = elements(files, "frames", "camera_model string, coordinate_system string", size)
+    return cut_out.select(_session(F.col("path")).alias(SESSION), "root.camera_model", "root.coordinate_system",
+                          F.from_json("element", schemas.TRANSFORM_FRAME).alias("f")).select(
+        SESSION, "camera_model", "coordinate_system", "f.*")
+
+
 def _transforms_by_line(spark: SparkSession, root: str) -> DataFrame:
     rows = _with_session(_files(spark, "transforms.json").text(root))
     head = F.concat(F.col("value"), F.lit("]}"))  # the first line ends where the list of frames begins
