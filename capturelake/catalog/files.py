@@ -25,7 +25,7 @@ from capturelake.plans.chunks import SESSION
 from capturelake.plans.commit import commit_keyframes, commit_snapshot
 from capturelake.policies import DATASET, PHOTO_GENERIC
 from capturelake.session import checkpoint_dir
-from capturelake.sources import readers, snapshots, writers
+from capturelake.sources import readers, snapshots, working, writers
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -115,12 +115,12 @@ def snapshot_files(spark: SparkSession, sf: str) -> DataFrame:
     taken = valid.where(F.substring(SESSION, -1, 1).isin("0", "2", "4", "6", "8"))
     writers.write_documents(taken.select(F.concat(F.lit("dataset_"), SESSION).alias(SESSION),
                                          F.lit("README").alias("file"), F.lit("taken").alias("content")), root, "taken")
-    working = valid.withColumn(SESSION, F.concat(F.lit("capture_tmp_"), SESSION))
+    named = valid.withColumn(SESSION, F.concat(F.lit("capture_tmp_"), SESSION))
     for _ in range(2):
         generation = snapshots.new_generation()
-        writers.write_manifests(working.withColumn(SESSION, snapshots.folder(F.col(SESSION), generation)),
+        writers.write_manifests(named.withColumn(SESSION, snapshots.folder(F.col(SESSION), generation)),
                                 snapshots.files_of(root, generation))
-        outcome = snapshots.publish_snapshots(working.select(SESSION), root, generation)
+        outcome = snapshots.publish_snapshots(named.select(SESSION), root, generation)
     checked = snapshots.verify_snapshots(spark, root).withColumnRenamed(SESSION, "published")
     return outcome.select(SESSION, F.col("file").alias("published"), "status").join(checked, "published").select(
         SESSION, "published", "status", "files", "missing", "resized", "unlisted")
@@ -223,6 +223,18 @@ def pose_table(spark: SparkSession, sf: str) -> DataFrame:
         F.col("image_k.width").alias("width"), "af_state")
 
 
+def metadata_by_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Photos and metadata as working tables by day and bucket, matched where they lie."""
+    root, mark = shared_folder(spark), uuid.uuid4().hex
+    images, meta, _, _ = tables(spark, sf)
+    day = F.expr("date_add(DATE'2024-01-01', cast(substring(session_id, 2) AS int) % 5)")
+    laid = [working.write_working_table(df, f"{name}_{mark}", f"{root}/{name}", day, buckets=8)
+            for name, df in (("images", images), ("still_metadata", meta))]
+    return working.match_in_place(*laid).select(
+        SESSION, F.col(working.DAY).cast("string").alias("session_date"), "seq", "timestamp_ns", F.col("meta.seq").alias("meta_seq"),
+        F.col("meta.exposure_time_ns").alias("exposure_time_ns"), F.col("meta.iso").alias("iso"))
+
+
 def photo_keyframe_files(spark: SparkSession, sf: str) -> DataFrame:
     """Photo-profile keyframes: requested frames with their motion, as documents read back."""
     root = shared_folder(spark)
@@ -309,6 +321,10 @@ SELECT concat('s', lpad(cast(c_custkey AS varchar), 6, '0')) AS session_id,
         "SELECT 'state' AS kind, session_id, seq, timestamp_ns, exposure_time_ns, iso, af_state, lens_state FROM camera_states "
         "UNION ALL SELECT 'still', session_id, seq, timestamp_ns, exposure_time_ns, iso, af_state, lens_state FROM still_metadata",
         "camera_states", "still_metadata")),
+    "match_metadata_by_layout": (metadata_by_layout, sql(
+        "SELECT i.session_id, cast(DATE '2024-01-01' + cast(cast(substr(i.session_id, 2) AS int) % 5 AS int) AS date)::varchar AS session_date, "
+        "i.seq, i.timestamp_ns, m.seq AS meta_seq, exposure_time_ns, iso FROM images i "
+        "LEFT JOIN still_metadata m USING (session_id, timestamp_ns)", "images", "still_metadata")),
     "pose_table": (pose_table, sql(
         f"SELECT session_id, seq, timestamp_ns, tracking_state, {rq('tx', 'tx')}, {rq('qw', 'qw')}, 640 AS width, af_state FROM poses",
         "poses")),
