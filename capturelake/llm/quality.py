@@ -126,21 +126,26 @@ class Model:
         z = np.add.reduceat(a[:, None] * h, first[:-1], axis=0)
         return {"h": h, "t": t, "g": g, "a": a, "z": z, "y": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))}
 
+    def _gradients(self, x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of the bags, by parameter; x is standardised."""
+        p, counts, n = self.p, np.diff(first), len(labels)
+        f = self._forward(x, first)
+        dy = (f["y"] - labels) / n
+        dz = np.repeat(dy[:, None] * p["c"], counts, axis=0)
+        da = (dz * f["h"]).sum(axis=1)
+        de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, first[:-1]), counts))
+        dt = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2)
+        dg = de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
+        dh = (f["a"][:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
+        return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg,
+                "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ dy, "d": dy.sum(keepdims=True)}
+
     def fit(self, x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Model:
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-3
-        x, p, counts, n = (x - self.mean) / self.std, self.p, np.diff(first), len(labels)
+        x, p = (x - self.mean) / self.std, self.p
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
         for step in range(1, ROUNDS + 1):
-            f = self._forward(x, first)
-            dy = (f["y"] - labels) / n
-            dz = np.repeat(dy[:, None] * p["c"], counts, axis=0)
-            da = (dz * f["h"]).sum(axis=1)
-            de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, first[:-1]), counts))
-            dt = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2)
-            dg = de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
-            dh = (f["a"][:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-            grad = {"W": x.T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg,
-                    "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ dy, "d": dy.sum(keepdims=True)}
+            grad = self._gradients(x, first, labels)
             for k, g in grad.items():
                 m, v = moments[k]
                 g = g + DECAY * p[k]

@@ -71,3 +71,47 @@ def test_gradients_reduce_the_loss():
     model = Model(5)
     y = model.fit(x, first, labels).score(x, first)
     assert ((y >= 0.5) == (labels == 1)).mean() > 0.9
+
+
+def small_bags():
+    draw = np.random.default_rng(5)
+    first = np.array([0, 1, 4, 9, 11])
+    return Model(6, seed=2), draw.normal(size=(11, 6)), first, np.array([1.0, 0.0, 0.25, 1.0])
+
+
+def plain_scores(model, x, first):
+    """One passage after another: code, gate, attention over the bag, score."""
+    p, out = model.p, []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        codes = [np.tanh(row @ p["W"] + p["b"]) for row in x[a:b]]
+        weights = [np.exp(np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"]))) @ p["w"]) for h in codes]
+        bag = sum(w * h for w, h in zip(weights, codes, strict=True)) / sum(weights)
+        out.append(1 / (1 + np.exp(-(bag @ p["c"] + p["d"][0]))))
+    return np.array(out)
+
+
+def test_scores_equal_a_plain_loop():
+    model, x, first, _ = small_bags()
+    model.p["c"] = np.linspace(-1, 1, len(model.p["c"]))
+    np.testing.assert_allclose(model._forward(x, first)["y"], plain_scores(model, x, first), rtol=1e-12)
+
+
+def test_gradients_equal_finite_differences():
+    model, x, first, labels = small_bags()
+    model.p["c"] = np.linspace(-1, 1, len(model.p["c"]))
+
+    def loss():
+        y = plain_scores(model, x, first)
+        return -(labels * np.log(y) + (1 - labels) * np.log(1 - y)).mean()
+
+    draw = random.Random(4)
+    for name, grad in model._gradients(x, first, labels).items():
+        assert grad.shape == model.p[name].shape
+        for _ in range(12):
+            at = tuple(draw.randrange(n) for n in grad.shape)
+            held, around = model.p[name][at], []
+            for step in (1e-5, -1e-5):
+                model.p[name][at] = held + step
+                around.append(loss())
+            model.p[name][at] = held
+            assert abs((around[0] - around[1]) / 2e-5 - grad[at]) < 1e-8, (name, at)
